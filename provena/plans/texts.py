@@ -9,6 +9,7 @@ from provena.functions import checks, digest
 from provena.functions import text as tx
 from provena.operators import materials as mat
 from provena.operators import search, spans
+from provena.operators.ranking import first_rows
 from provena.plans.registry import query
 from provena.plans.shared_sql import define, stating
 from provena.sources import tables as tb
@@ -629,8 +630,8 @@ def list_materials(spark, sf_dir):
 define(
     "asked",
     """
-SELECT doc_id AS query_id, task_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS query
-FROM materials WHERE doc_id % 20 = 0""",
+SELECT min(doc_id) AS query_id, task_id, arg_min(array_to_string(string_split(text, ' ')[1:3], ' '), doc_id) AS query
+FROM materials GROUP BY task_id""",
     "materials",
 )
 define(
@@ -654,9 +655,8 @@ WHERE total > 0""",
 def asked(spark, sf_dir):
     """One query per task: the first words of its first material."""
     opening = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    return tb.materials(spark, sf_dir).filter(F.col("doc_id") % tb.TASK_SIZE == 0).select(
-        F.col("doc_id").alias("query_id"), "task_id", opening.alias("query")
-    )
+    openings = tb.materials(spark, sf_dir).select("task_id", F.col("doc_id").alias("query_id"), opening.alias("query"))
+    return first_rows(openings, ["task_id"], [F.col("query_id")], ["query_id", "query"])
 
 
 @query("search_materials", stating("hits", "SELECT query_id, task_id, artifact_id, score, match_count, snippet FROM hits"))
