@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "bindings")
+MODULES = ("texts", "bindings", "ledgers")
 
 
 def load() -> None:
