@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from provena.functions import text as tx
 from provena.functions import tokens as tk
-from provena.functions.digest import sha
+from provena.functions.digest import operation_key, payload_digest, sha, stable_id
 from provena.operators import materials as mat
 from provena.operators.findings import finding, joined_messages, union_all
-from provena.operators.ranking import first_rows
+from provena.operators.ranking import first_rows, top_rows
+from provena.sources.tables import MAX_MATERIALS
 
 GATE_A = "provenance_precheck"
 GATE_B = "provenance_gate"
 FORMAT_GATE = "format_gate"
+IMPLEMENTATION = "provena/1"
 REQUIRED_GATES = (GATE_A, GATE_B, FORMAT_GATE)
 
 #: Spans of one slot whose problems are listed; a slot is filled within one call budget.
@@ -448,6 +450,33 @@ def finalize(tasks: DataFrame, irs: DataFrame, reports: DataFrame, deliveries: D
         .when(F.col("_done").isNotNull(), "already_delivered")
         .otherwise("delivered")
     )
+    delivered = F.col("outcome").isin("delivered", "already_delivered")
+    digest = payload_digest(F.col("candidate_sha256"), F.col("render_ir_sha256"))
+    key = operation_key(F.col("task_id"), F.col("ir_epoch"), F.lit("finalize"), digest, F.lit(IMPLEMENTATION))
     return joined.withColumn("outcome", outcome).select(
-        "task_id", "outcome", F.when(F.col("outcome") == "gates_failed", F.col("messages")).alias("gate_problems"), "_done"
+        "task_id", "outcome",
+        F.when(F.col("outcome") == "gates_failed", F.col("messages")).alias("gate_problems"),
+        F.when(delivered, F.coalesce(F.col("_done"), stable_id("dlv", key))).alias("delivery_id"),
     )
+
+
+def manifests(
+    delivered: DataFrame, irs: DataFrame, tasks: DataFrame, materials: DataFrame, reports: DataFrame, overrides: DataFrame
+) -> DataFrame:
+    """One manifest per delivered task; its parts as columns and as JSON.
+
+    Materials, gates and overrides of a task are bounded by the limits of a task.
+    """
+    few = top_rows(materials.select("task_id", "artifact_id", "sha256"), ["task_id"], [F.col("artifact_id")], MAX_MATERIALS, "_n")
+    held = few.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("artifact_id", "sha256"))).alias("materials"))
+    passed = reports.groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct("gate", "overall_status"))).alias("gates"))
+    waived = overrides.groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct("slot_id", "decision_id"))).alias("overrides"))
+    whole = (
+        delivered.filter(F.col("delivery_id").isNotNull()).select("task_id", "delivery_id")
+        .join(irs.select("task_id", "render_ir_sha256", "candidate_sha256"), "task_id")
+        .join(tasks.select("task_id", "epoch", "template_version_id"), "task_id")
+        .join(held, "task_id", "left")
+        .join(passed, "task_id", "left")
+        .join(waived, "task_id", "left")
+    )
+    return whole.withColumn("manifest", F.to_json(F.struct(*[F.col(c) for c in sorted(whole.columns)])))
