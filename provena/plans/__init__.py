@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "bindings", "ledgers", "gating")
+MODULES = ("texts", "bindings", "ledgers", "gating", "styles")
 
 
 def load() -> None:
