@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "bindings", "ledgers", "gating", "styles", "webs")
+MODULES = ("texts", "bindings", "ledgers", "gating", "styles", "webs", "archives")
 
 
 def load() -> None:
