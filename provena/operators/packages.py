@@ -128,6 +128,11 @@ def safety(entries: DataFrame) -> DataFrame:
     return every.dropDuplicates(["file", "code", "locator"])
 
 
+def relevant() -> Column:
+    """Element rows that ``unsupported`` looks at."""
+    return F.col("name").isin(*[n for n, _, _ in UNSUPPORTED_ELEMENTS]) | F.col("problem").isNotNull()
+
+
 def unsupported(elements: DataFrame, entries: DataFrame) -> DataFrame:
     """Text carriers outside the supported subset: per part and code, how many and the first."""
     rules = F.map_from_entries(

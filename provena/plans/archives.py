@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.functions import digest, tokens
+from provena import session
+from provena.functions import tokens
 from provena.operators import packages
 from provena.plans.registry import query
 from provena.plans.shared_sql import define, stating
@@ -34,7 +35,7 @@ def _document_xml(doc_id: int, text: str) -> str:
     for i, line in enumerate(text.split("\n")):
         style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>' if i % 3 == 0 else ""
         mark = {1: '<w:bookmarkStart w:id="7" w:name="slot_a"/><w:bookmarkEnd w:id="7"/>', 2: '<w:bookmarkStart w:id="8" w:name="open"/>'}.get(i, "")
-        tail = f"<w:r><w:tab/><w:t>end</w:t><w:br/></w:r>" if i % 4 == 1 else ""
+        tail = "<w:r><w:tab/><w:t>end</w:t><w:br/></w:r>" if i % 4 == 1 else ""
         body.append(f"<w:p>{style}{mark}{_run(line)}{tail}</w:p>")
     if doc_id % 5 == 2:
         body.append("<w:p><w:fldSimple/></w:p>")
@@ -179,7 +180,9 @@ FROM documents WHERE doc_id % 23 <> 22)"""
 @query("unsupported_elements", _UNSUPPORTED)
 def unsupported_elements(spark, sf_dir):
     made = packed(spark, sf_dir)
-    return packages.unsupported(archives.elements(made), archives.entries(made))
+    # Only the few kinds of element that matter leave the reader's stage.
+    elements = session.settle(archives.elements(made).filter(packages.relevant()), "elements")
+    return packages.unsupported(elements, archives.entries(made))
 
 
 @query(
@@ -196,4 +199,5 @@ SELECT doc_id::VARCHAR AS file, u.code AS code, u.locator AS locator, u.detail A
    WHEN 7 THEN {'code': 'XML_DOCTYPE', 'locator': 'word/settings.xml', 'detail': 'DOCTYPE declaration in XML part'} END END AS u FROM documents) WHERE u IS NOT NULL""",
 )
 def archive_safety(spark, sf_dir):
-    return packages.safety(archives.entries(packed(spark, sf_dir)))
+    # Several checks read the entries; the archives are opened once.
+    return packages.safety(session.settle(archives.entries(packed(spark, sf_dir)), "entries"))
