@@ -15,8 +15,9 @@ from provena.operators.binding import let
 from provena.operators.findings import union_all
 from provena.operators.ranking import latest_rows
 
+#: Sidecar version and slot kinds (fixed values).
 SIDECAR_VERSION = "1.1"
-KINDS = ("text_block", "table", "list", "heading", "field")
+KINDS = ("text_block", "data_table", "chart", "table_asset", "image_asset")
 
 #: Template syntax (fixed values).
 PLACEHOLDER = r"\{\{[^{}]*\}\}"

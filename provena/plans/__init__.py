@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "bindings", "ledgers", "gating", "styles", "webs", "archives", "templating")
+MODULES = ("texts", "bindings", "ledgers", "gating", "styles", "webs", "archives", "templating", "streams")
 
 
 def load() -> None:
