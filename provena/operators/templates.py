@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions import checks
-from provena.functions.digest import payload_digest, stable_id
-from provena.operators.binding import let
+from provena.functions.digest import sha, stable_id
 from provena.operators.findings import union_all
 from provena.operators.ranking import latest_rows
 
@@ -309,12 +308,6 @@ def ensure_registered(incoming: DataFrame, versions: DataFrame, digests: tuple[s
     )
 
 
-def contract_digest(rows: DataFrame, fields: list[str]) -> Column:
-    """Digest of a row's canonical JSON: fields sorted by name, NULLs kept as empty."""
-    return payload_digest(F.to_json(F.struct(*[F.col(f) for f in sorted(fields)])))
-
-
-__all__ = [
-    "contract_digest", "discovered", "ensure_registered", "header_findings", "let", "offset_owners",
-    "placeholder_findings", "region_members", "scaffold", "sidecar_tables", "slot_order", "style_findings",
-]
+def contract_digest(fields: list[str]) -> Column:
+    """Digest of a row's canonical JSON: keys sorted, no spaces, whatever order they came in."""
+    return sha(F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]), {"ignoreNullFields": "false"}))

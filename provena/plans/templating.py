@@ -356,12 +356,17 @@ def contract_tables(spark, sf_dir):
     )
 
 
-@query("canonical_json")
+@query(
+    "canonical_json",
+    """
+SELECT c_custkey, sha256('{"c_custkey":' || c_custkey::VARCHAR || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey::VARCHAR || '}') AS contract_sha256, TRUE AS order_free
+FROM customer""",
+)
 def canonical_json(spark, sf_dir):
     """Digest of each customer's canonical JSON; key order of the source does not matter."""
-    rows = tb.read(spark, sf_dir, "customer")
+    rows = tb.read(spark, sf_dir, "customer").drop("c_acctbal")
     fields = list(rows.columns)
+    digested = templates.contract_digest(fields)
     return rows.select(
-        "c_custkey", templates.contract_digest(rows, fields).alias("contract_sha256"),
-        (templates.contract_digest(rows, fields) == templates.contract_digest(rows, fields[::-1])).alias("order_free"),
+        "c_custkey", digested.alias("contract_sha256"), (digested == templates.contract_digest(fields[::-1])).alias("order_free")
     )
