@@ -96,10 +96,26 @@ def snippet(text: Column, pos: Column, limit: int) -> Column:
 
 
 def illegal_positions(text: Column) -> Column:
-    """Code-point indexes of characters that may not be rendered."""
+    """Code-point indexes of characters that may not be rendered.
+
+    Few offenders are placed by the lengths of the pieces between them. That would be
+    quadratic in their number, so texts full of them are walked by character instead.
+    """
+    pieces = F.split(text, CONTROLS)
+
+    def place(acc: Column, piece: Column) -> Column:
+        at = acc["next"] + F.length(piece)
+        return F.struct((at + 1).alias("next"), F.concat(acc["seen"], F.array(at)).alias("seen"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("next"), F.array().cast("array<bigint>").alias("seen"))
+    few = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, place)["seen"]
     marks = F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike(CONTROLS), i.cast("bigint")))
-    found = F.filter(marks, lambda i: i.isNotNull())
-    return F.when(text.rlike(CONTROLS), found).otherwise(F.array().cast("array<bigint>"))
+    many = F.filter(marks, lambda i: i.isNotNull())
+    return (
+        F.when(~text.rlike(CONTROLS), F.array().cast("array<bigint>"))
+        .when(F.size(pieces) <= 500, few)
+        .otherwise(many)
+    )
 
 
 def offence_message(text: Column, positions: Column, limit: int = 5) -> Column:

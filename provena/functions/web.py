@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,15 +110,20 @@ def unescape(text: Column) -> Column:
     return F.coalesce(_unescape(F.when(odd, text)), plain)
 
 
-def html_to_text(markup: Column) -> Column:
-    """Text of a page: script and style bodies, comments and tags go, the rest stays."""
+def strip_markup(markup: Column) -> Column:
+    """A page without script and style bodies, comments and tags; entities still encoded."""
     text = F.regexp_replace(markup, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
     text = F.regexp_replace(text, r"(?s)<[!?][^>]*>", "")
     text = F.regexp_replace(text, r"""</?[A-Za-z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""", "")
     # Tags with an unpaired quote.
-    text = F.regexp_replace(text, r"</?[A-Za-z][^>]*>", "")
-    return unescape(text)
+    return F.regexp_replace(text, r"</?[A-Za-z][^>]*>", "")
+
+
+def html_to_text(pages: DataFrame, markup: str, target: str) -> DataFrame:
+    """Add the text of a page column. Stripping is a step of its own, done once per row."""
+    stripped = pages.withColumn("_stripped", strip_markup(F.col(markup)))
+    return stripped.withColumn(target, unescape(F.col("_stripped"))).drop("_stripped")
 
 
 def squash(fragment: Column) -> Column:

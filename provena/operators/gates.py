@@ -116,6 +116,30 @@ def paragraph_diff(expected: DataFrame, candidate: DataFrame, keys: list[str]) -
     return mine.join(theirs, [*keys, "pos"], "full_outer").withColumn("verdict", verdict)
 
 
+def document_diff(pairs: DataFrame, key: str) -> DataFrame:
+    """The same comparison for whole texts on one row (key, expected, actual).
+
+    Counts and first positions come from the two line arrays themselves, so the bodies
+    are joined once and nothing but the verdicts moves on.
+    """
+    mine, theirs = F.split("expected", "\n"), F.split("actual", "\n")
+
+    def verdict(i: Column) -> Column:
+        a, b = F.get("_mine", i), F.get("_theirs", i)
+        return F.when(b.isNull(), "ended").when(a.isNull(), "extra").when(a == b, "same").otherwise("changed")
+
+    lined = pairs.select(key, mine.alias("_mine"), theirs.alias("_theirs"))
+    steps = F.sequence(F.lit(0), F.greatest(F.size("_mine"), F.size("_theirs")) - 1)
+    judged = lined.select(key, F.transform(steps, verdict).alias("_v"))
+
+    def summary(name: str) -> Column:
+        count = F.size(F.filter("_v", lambda v: v == name)).cast("bigint")
+        return F.struct(F.lit(name).alias("verdict"), count.alias("n"), (F.array_position("_v", name) - 1).alias("first_pos"))
+
+    found = F.filter(F.array(*[summary(v) for v in ("same", "changed", "ended", "extra")]), lambda s: s["n"] > 0)
+    return judged.select(key, F.inline(found))
+
+
 def sequence_problems(expected: DataFrame, candidate: DataFrame) -> DataFrame:
     """Problems of a candidate against what was expected, in the order a reader meets them."""
     sizes = candidate.groupBy("task_id").agg(F.count("*").alias("_n"))

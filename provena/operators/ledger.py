@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.operators.ranking import bucket_of, latest_rows, previous_rows, row_numbers
+from provena.session import settle
 
 #: Status changes a task may make (fixed values).
 TRANSITIONS = {
@@ -293,16 +294,28 @@ def reconcile_status(tasks: DataFrame, deliveries: DataFrame, commands: DataFram
 def lineage(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """All ancestors of each root over (child, parent) edges, with the smallest depth.
 
-    Every level is one join; the depth of a lineage is known and small.
+    Roots share most of their ancestry, so the closure is built once over the edges whose
+    child is itself somebody's parent, and roots are joined to it at the end: a root costs
+    one step and one join, not one join per level. The depth of a lineage is known.
     """
-    level = roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("depth"))
-    found = None
-    for depth in range(1, max_depth + 1):
-        level = level.join(edges, F.col("node") == F.col("child")).select(
-            "root", F.col("parent").alias("node"), F.lit(depth).cast("bigint").alias("depth")
+    links = settle(edges.distinct(), "edges")
+    inner = links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+    upper = settle(inner, "upper-edges")
+    level = upper.select("child", "parent", F.lit(1).cast("bigint").alias("depth"))
+    found = level
+    for depth in range(2, max_depth):
+        step = upper.select(F.col("child").alias("parent"), F.col("parent").alias("_next"))
+        level = level.join(step, "parent").select(
+            "child", F.col("_next").alias("parent"), F.lit(depth).cast("bigint").alias("depth")
         ).distinct()
-        found = level if found is None else found.unionByName(level)
-    return found.groupBy("root", F.col("node").alias("ancestor")).agg(F.min("depth").alias("depth"))
+        found = found.unionByName(level)
+    closure = found.groupBy("child", "parent").agg(F.min("depth").alias("depth"))
+    first = roots.distinct().join(links, F.col("node") == F.col("child")).select(F.col("node").alias("root"), F.col("parent").alias("ancestor"))
+    onward = first.join(closure, F.col("ancestor") == F.col("child")).select(
+        "root", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")
+    )
+    every = first.withColumn("depth", F.lit(1).cast("bigint")).unionByName(onward)
+    return every.groupBy("root", "ancestor").agg(F.min("depth").alias("depth"))
 
 
 def event_label(code: Column) -> Column:

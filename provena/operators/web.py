@@ -58,10 +58,12 @@ def page_text(pages: DataFrame, max_chars: int = wf.MAX_PAGE_CHARS) -> DataFrame
         .when(~wf.media_accepted(F.col("content_type")), F.concat(F.lit("unsupported content type "), wf.media_type(F.col("content_type"))))
     )
     body = F.substring(F.col("body"), 1, wf.MAX_PAGE_BYTES)
-    text = wf.html_to_text(wf.decode_body(body, F.col("content_type")))
-    return pages.withColumn("problem", problem).withColumn(
-        "text", F.when(F.col("problem").isNull(), F.substr(text, F.lit(1), F.lit(max_chars)))
+    usable = pages.withColumn("problem", problem).withColumn(
+        "_markup", F.when(F.col("problem").isNull(), wf.decode_body(body, F.col("content_type")))
     )
+    return wf.html_to_text(usable, "_markup", "_text").withColumn(
+        "text", F.substr("_text", F.lit(1), F.lit(max_chars))
+    ).drop("_markup", "_text")
 
 
 def result_blocks(listings: DataFrame, key: str, layout: Layout, limit: int) -> DataFrame:

@@ -223,19 +223,12 @@ def paragraph_diff(spark, sf_dir):
     docs = tb.read(spark, sf_dir, "documents").select(
         "doc_id", "text", digest.sha(F.substring_index("text", "\n", 1)).alias("title")
     )
-    heads = docs.groupBy("title").agg(F.min("doc_id").alias("head_id"))
-    pairs = docs.select("doc_id", "title").join(heads, "title").filter(F.col("doc_id") > F.col("head_id"))
-
-    def paragraphs(of: str) -> DataFrame:
-        texts = docs.select(F.col("doc_id").alias(of), "text")
-        rows = pairs.select(*{"doc_id", of}).join(texts, of)
-        return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-
-    slotless = paragraphs("head_id").withColumn("slot_id", F.lit(None).cast("string"))
-    diff = gates.paragraph_diff(slotless, paragraphs("doc_id"), ["doc_id"])
-    return diff.groupBy("doc_id", "verdict").agg(
-        F.count("*").alias("n"), F.min("pos").cast("bigint").alias("first_pos")
+    # One head per title; a title with very many documents is split by the join, not gathered.
+    heads = first_rows(docs, ["title"], [F.col("doc_id")], ["doc_id", "text"])
+    pairs = docs.select("doc_id", "title", F.col("text").alias("actual")).join(
+        heads.select("title", F.col("doc_id").alias("head_id"), F.col("text").alias("expected")), "title"
     )
+    return gates.document_diff(pairs.filter(F.col("doc_id") > F.col("head_id")), "doc_id")
 
 
 define(

@@ -573,7 +573,7 @@ def lineage_closure(spark, sf_dir):
         return F.concat(F.lit(kind + ":"), F.col(column).cast("string"))
 
     def edge(table, child, parent):
-        return tb.read(spark, sf_dir, table).select(child.alias("child"), parent.alias("parent")).distinct()
+        return tb.read(spark, sf_dir, table).select(child.alias("child"), parent.alias("parent"))
 
     line = F.concat_ws(":", F.lit("line"), F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string"))
     edges = (
@@ -584,7 +584,7 @@ def lineage_closure(spark, sf_dir):
         .unionByName(edge("supplier", node("supplier", "s_suppkey"), node("nation", "s_nationkey")))
         .unionByName(edge("nation", node("nation", "n_nationkey"), node("region", "n_regionkey")))
     )
-    roots = tb.read(spark, sf_dir, "lineitem").select(line.alias("node")).distinct()
+    roots = tb.read(spark, sf_dir, "lineitem").select(line.alias("node"))
     closure = ledger.lineage(edges, roots, 4)
     return closure.groupBy("ancestor", "depth").agg(F.count("*").alias("n_roots"))
 

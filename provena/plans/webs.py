@@ -127,7 +127,7 @@ define("page_texts", f"SELECT page_id, url, {_STRIPPED.format(html='html')} AS t
 
 @query("html_to_text", stating("page_texts", "SELECT page_id, sha256(text) AS sha256, length(text) AS code_points FROM page_texts"))
 def html_to_text(spark, sf_dir):
-    stripped = tb.read(spark, sf_dir, "pages").select("page_id", wf.html_to_text(F.col("html")).alias("text"))
+    stripped = wf.html_to_text(tb.read(spark, sf_dir, "pages"), "html", "text")
     return stripped.select("page_id", digest.sha(F.col("text")).alias("sha256"), tx.code_points(F.col("text")).alias("code_points"))
 
 
@@ -309,7 +309,8 @@ def fetched(spark, sf_dir) -> DataFrame:
     page = F.col("page_id")
     again = (page % 4 == 0) | (page % 26 == 7)
     tries = F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = tb.read(spark, sf_dir, "pages").withColumn("_text", wf.html_to_text(F.col("html"))).select("page_id", "url", "_text", F.explode(tries).alias("_r"))
+    texts = wf.html_to_text(tb.read(spark, sf_dir, "pages"), "html", "_text")
+    rows = texts.select("page_id", "url", "_text", F.explode(tries).alias("_r"))
     return rows.select(
         tb.padded_id("task", F.floor(page / 20)).alias("task_id"), (page * 2 + F.col("_r")).alias("arrival"),
         F.when(page % 20 == 15, F.concat(F.lit("program://digest-"), page.cast("string"))).otherwise(F.col("url")).alias("url"),

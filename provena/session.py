@@ -14,6 +14,12 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Also split a hot key when that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Broadcast on measured sizes. Before anything ran there are only guesses from file
+    # sizes, so a planned broadcast must be tiny even after unpacking; AQE turns a join
+    # into a broadcast later, once it has counted the bytes of a side.
+    "spark.sql.autoBroadcastJoinThreshold": "2m",
+    "spark.sql.sources.fileCompressionFactor": "5.0",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

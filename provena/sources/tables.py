@@ -25,8 +25,23 @@ SLOT_SCHEMA = (
 )
 
 
+#: Tables of long texts, and the key by which a scan of too few parts is spread.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows, TEXT_TABLES[table]) if table in TEXT_TABLES else rows
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan over all cores when the files give fewer parts than that.
+
+    One small file is one task, whatever is computed on its texts. A large table scans in
+    many more parts than there are cores and is left as it is, so no body is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def padded_id(prefix: str, number: Column) -> Column:
