@@ -58,14 +58,14 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return whole
 
 
-def joined_messages(df: DataFrame, keys: Sequence[str], order: str, message: str, limit: int) -> DataFrame:
-    """The first ``limit`` messages per key joined with ``"; "``, and how many there are.
-
-    Only that many messages per key are gathered; the count is a separate aggregate.
-    """
-    totals = df.groupBy(*keys).agg(F.count("*").alias("n_messages"))
+def listed_messages(df: DataFrame, keys: Sequence[str], order: str, message: str, limit: int) -> DataFrame:
+    """The first ``limit`` messages per key joined with ``"; "``; no more are gathered."""
     first = top_rows(df.select(*keys, order, message), keys, [F.col(order), F.col(message)], limit, "_n")
     listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", message))).alias("_m"))
-    return totals.join(listed, list(keys)).select(
-        *keys, "n_messages", F.array_join(F.transform("_m", lambda m: m[message]), "; ").alias("messages")
-    )
+    return listed.select(*keys, F.array_join(F.transform("_m", lambda m: m[message]), "; ").alias("messages"))
+
+
+def joined_messages(df: DataFrame, keys: Sequence[str], order: str, message: str, limit: int) -> DataFrame:
+    """Listed messages and how many there are in all."""
+    totals = df.groupBy(*keys).agg(F.count("*").alias("n_messages"))
+    return totals.join(listed_messages(df, keys, order, message, limit), list(keys))

@@ -13,7 +13,7 @@ from provena.functions import text as tx
 from provena.functions import tokens as tk
 from provena.functions.digest import operation_key, payload_digest, sha, stable_id
 from provena.operators import materials as mat
-from provena.operators.findings import finding, joined_messages, union_all
+from provena.operators.findings import finding, listed_messages, union_all
 from provena.operators.ranking import first_rows, top_rows
 from provena.sources.tables import MAX_MATERIALS
 
@@ -320,7 +320,7 @@ def override_problems(ir_slots: DataFrame, tasks: DataFrame, overrides: DataFram
 
 
 def per_slot_findings(slots: DataFrame, problems: DataFrame, check: str) -> DataFrame:
-    messages = joined_messages(problems, ["task_id", "slot_id"], "span_no", "message", MAX_SLOT_SPANS)
+    messages = listed_messages(problems, ["task_id", "slot_id"], "span_no", "message", MAX_SLOT_SPANS)
     joined = slots.join(messages, ["task_id", "slot_id"], "left")
     return finding(
         joined, GATE_A, F.concat(F.lit(check + ":"), F.col("slot_id")), F.col("messages"),
@@ -351,7 +351,7 @@ def gate_a(
     fresh = base.join(live, "task_id", "left")
     head = F.substr(F.col("set_digest"), F.lit(1), F.lit(12))
     stale = F.when(~F.col("set_digest").eqNullSafe(F.col("binding_digest")), F.coalesce(head, F.lit("-")))
-    coverage = joined_messages(coverage_problems(ir_regions, contract_regions), ["task_id"], "kind", "message", MAX_SLOT_SPANS)
+    coverage = listed_messages(coverage_problems(ir_regions, contract_regions), ["task_id"], "kind", "message", MAX_SLOT_SPANS)
     viz = F.when(F.size("viz_slots") > 0, F.concat(F.lit("viz producers: "), F.array_join(F.array_sort("viz_slots"), ", ")))
     with_spans = ir_spans.select("task_id", "slot_id").distinct()
     omissions = override_problems(ir_slots, tasks, overrides, artifacts)
@@ -398,7 +398,7 @@ def gate_b(
     drift = region_problems(recomputed, recorded)
 
     def first_five(problems: DataFrame, order: str) -> DataFrame:
-        return tasks.join(joined_messages(problems, ["task_id"], order, "message", 5), "task_id", "left")
+        return tasks.join(listed_messages(problems, ["task_id"], order, "message", 5), "task_id", "left")
 
     left = tasks.join(residue(candidate), "task_id", "left")
     listed = unsupported.withColumn("message", F.concat_ws("@", "code", "locator"))
@@ -458,7 +458,7 @@ def subject_problems(irs: DataFrame, reports: DataFrame) -> DataFrame:
 def finalize(tasks: DataFrame, irs: DataFrame, reports: DataFrame, deliveries: DataFrame) -> DataFrame:
     """Per task: delivered now, already delivered, or why not. A task is delivered once."""
     problems = subject_problems(irs, reports).withColumn("_order", F.struct("gate_no", "problem_no"))
-    gates = joined_messages(problems, ["task_id"], "_order", "problem", 5 * len(REQUIRED_GATES))
+    gates = listed_messages(problems, ["task_id"], "_order", "problem", 5 * len(REQUIRED_GATES))
     done = deliveries.select("task_id", F.col("delivery_id").alias("_done"))
     joined = (
         irs.join(tasks.select("task_id", "status", "epoch", "template_version_id"), "task_id", "left")

@@ -24,6 +24,9 @@ SETTINGS = {
 }
 
 
+_stand_in: str | None = None
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on to an existing session."""
     for key, value in SETTINGS.items():
@@ -51,14 +54,17 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "pro
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Where the session names none, as in local tests, a temporary folder is set.
+    Only where the session names none, as in local tests, a temporary folder stands in.
     """
+    global _stand_in
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        _stand_in = _stand_in or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _stand_in
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
