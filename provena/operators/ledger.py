@@ -80,8 +80,8 @@ def idempotency(
 
 def order_versions(orders: DataFrame) -> DataFrame:
     """Orders as versions of their customer: 1, 2, … by date and key."""
-    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint")
-    return row_numbers(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], month, "version")
+    day = F.unix_date(F.to_date("o_orderdate")).cast("bigint")
+    return row_numbers(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], day, "version")
 
 
 def next_version(keys: DataFrame, rows: DataFrame, key: str, row_key: str, version: str) -> DataFrame:

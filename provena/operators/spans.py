@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import text as tx
 from provena.functions.digest import sha, stable_id
+from provena.session import settle
 
 #: Words of an anchor, the window by which a passage is looked up in the corpus.
 ANCHOR_WORDS = 5
@@ -133,8 +134,19 @@ def locate(materials: DataFrame, passages: DataFrame) -> DataFrame:
     words = F.split(F.col("quote"), r"\s+")
     shaped = passages.filter(F.col("quote") != "").withColumn("_words", words).withColumn("_n", F.size("_words"))
     inner = F.slice(F.col("_words"), F.lit(2), F.col("_n") - 2)
+    # The window with the most characters is the one least likely to be found elsewhere.
+    places = F.sequence(F.lit(0), F.size(inner) - ANCHOR_WORDS)
+    widest = F.array_max(
+        F.transform(
+            places,
+            lambda i: F.struct(
+                F.length(F.array_join(F.slice(inner, (i + 1).cast("int"), F.lit(ANCHOR_WORDS)), "")).alias("n"),
+                _window_hash(inner, i, ANCHOR_WORDS).alias("hash"),
+            ),
+        )
+    )
     long = shaped.filter(F.col("_n") >= ANCHOR_WORDS + 2).select(
-        "passage_id", "quote", _window_hash(inner, F.lit(0), ANCHOR_WORDS).alias("_anchor")
+        "passage_id", "quote", widest.getField("hash").alias("_anchor")
     )
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
     short = shaped.filter((F.col("_n") >= 3) & (F.col("_n") < ANCHOR_WORDS + 2)).select(
@@ -143,7 +155,11 @@ def locate(materials: DataFrame, passages: DataFrame) -> DataFrame:
     tiny = shaped.filter(F.col("_n") < 3).select("passage_id", "quote")
 
     probed = materials.select("artifact_id", F.split("text", r"\s+").alias("_words"))
-    candidates = _candidates(probed, long, ANCHOR_WORDS).unionByName(_candidates(probed, short, 1)).distinct()
+    # Written down, the candidates have a known size: few are broadcast to the bodies, many
+    # are joined to them.
+    candidates = settle(
+        _candidates(probed, long, ANCHOR_WORDS).unionByName(_candidates(probed, short, 1)).distinct(), "candidates"
+    )
     with_text = candidates.join(passages, "passage_id").join(materials.select("artifact_id", "text"), "artifact_id")
     # Nearly always empty; Spark plans a nested loop over these few quotes.
     direct = materials.select("artifact_id", "text").join(tiny, F.contains(F.col("text"), F.col("quote")))

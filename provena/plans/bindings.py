@@ -396,12 +396,12 @@ def plan_slots(spark, sf_dir) -> DataFrame:
 def plan_contract(spark) -> tuple[DataFrame, DataFrame]:
     """Slots and sections of the three contracts the plans are checked against."""
     names = ["sales_summary", "risks", "next_plan"] + [f"topic_{j}" for j in range(3, 18)]
-    slots = spark.createDataFrame(
-        [(f"tver_{v:032d}", n, "text_block", i < 3, "body") for v in range(3) for i, n in enumerate(names)],
+    slots = tb.literal(
+        spark, [(f"tver_{v:032d}", n, "text_block", i < 3, "body") for v in range(3) for i, n in enumerate(names)],
         "template_version_id string, slot_id string, kind string, required boolean, style_key string",
     )
-    sections = spark.createDataFrame(
-        [(f"tver_{v:032d}", "main", names[: 10 + v] + (["stray"] if v == 1 else [])) for v in range(3)],
+    sections = tb.literal(
+        spark, [(f"tver_{v:032d}", "main", names[: 10 + v] + (["stray"] if v == 1 else [])) for v in range(3)],
         "template_version_id string, section_id string, slot_ids array<string>",
     )
     return slots, sections

@@ -537,8 +537,8 @@ class Precheck:
             "ref_version",
             F.when((region == "r0") & (number % 10 == 7), F.lit("tver_" + "f" * 32)).otherwise(F.col("template_version_id")),
         )
-        self.contract_regions = spark.createDataFrame(
-            [(f"tver_{v:032d}", f"r{i}") for v in range(3) for i in range(3)], "template_version_id string, region_id string"
+        self.contract_regions = tb.literal(
+            spark, [(f"tver_{v:032d}", f"r{i}") for v in range(3) for i in range(3)], "template_version_id string, region_id string"
         )
         live = mat.set_digests(self.artifacts).select("task_id", "set_digest")
         target = F.when(number % 13 == 6, F.lit("tver_" + "9" * 32)).otherwise(F.col("template_version_id"))

@@ -169,7 +169,7 @@ def style_specs(spark) -> DataFrame:
         (1, "title", None, "Arial", "SimHei", 36, True, None, None, 1440, 1440, None, None, 2, 20),
         (2, "plain", None, None, None, None, False, "center", 10, None, None, None, None, 2, 20),
     ]
-    return spark.createDataFrame(rows, SPEC_SCHEMA)
+    return tb.literal(spark, rows, SPEC_SCHEMA)
 
 
 def styled(spark, sf_dir) -> DataFrame:
@@ -317,8 +317,8 @@ def corpus(spark, sf_dir) -> DataFrame:
             F.when(kind == "margins", 100).otherwise(1440).alias("top"),
         )
     )
-    specs = spark.createDataFrame(
-        [(0, "body", "Normal", "Calibri", "SimSun", 21, None, "left", 0, 1440, 1440, None, None, 2, 20)], SPEC_SCHEMA
+    specs = tb.literal(
+        spark, [(0, "body", "Normal", "Calibri", "SimSun", 21, None, "left", 0, 1440, 1440, None, None, 2, 20)], SPEC_SCHEMA
     )
     chained = styling.chains(style_defs(spark, sf_dir))
     resolved = styling.effective(mutated, chained, doc_defaults(spark, sf_dir), numbering(spark, sf_dir))

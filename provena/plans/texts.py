@@ -12,6 +12,7 @@ from provena.operators import search, spans
 from provena.operators.ranking import first_rows
 from provena.plans.registry import query
 from provena.plans.shared_sql import define, stating
+from provena.session import settle
 from provena.sources import tables as tb
 
 define(
@@ -656,7 +657,8 @@ def asked(spark, sf_dir):
     """One query per task: the first words of its first material."""
     opening = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     openings = tb.materials(spark, sf_dir).select("task_id", F.col("doc_id").alias("query_id"), opening.alias("query"))
-    return first_rows(openings, ["task_id"], [F.col("query_id")], ["query_id", "query"])
+    # Queries of known size: few are broadcast to the bodies, many are joined to them.
+    return settle(first_rows(openings, ["task_id"], [F.col("query_id")], ["query_id", "query"]), "queries")
 
 
 @query("search_materials", stating("hits", "SELECT query_id, task_id, artifact_id, score, match_count, snippet FROM hits"))

@@ -6,8 +6,11 @@ task, so anything gathered per task is bounded however large the corpus is.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from provena.functions import text as tx
 from provena.functions.digest import sha
@@ -44,6 +47,14 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table. As a local relation its exact size is known to the planner, so
+    joining it never moves the other side."""
+    fields = T.StructType.fromDDL(schema)
+    named = [dict(zip(fields.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(named, to_arrow_schema(fields)), fields)
+
+
 def padded_id(prefix: str, number: Column) -> Column:
     """An id of the usual shape that spells a number."""
     return F.concat(F.lit(prefix + "_"), F.lpad(number.cast("string"), 32, "0"))
@@ -113,7 +124,7 @@ def contract_slots(spark: SparkSession) -> DataFrame:
                 (f"tver_{version:032d}", slot, pos, "{{ " + slot + " }}", "text_block",
                  required, omit, semantic, "body" if version < 2 or pos < 2 else "note", markers)
             )
-    return spark.createDataFrame(rows, SLOT_SCHEMA)
+    return literal(spark, rows, SLOT_SCHEMA)
 
 
 def headed_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
