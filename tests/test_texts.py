@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import sys
 import unicodedata
 
 import pytest
@@ -77,25 +76,6 @@ def test_counts_equal_python(spark, values, term):
     assert column(frame, tx.literal_position(F.col("text"), F.lit(term))) == [v.find(term) for v in values]
 
 
-def test_characters_left_out_of_normalisation_are_stable():
-    """No character the quick check skips may change under NFC, alone or after another one."""
-    import re
-
-    second = set()
-    for c in map(chr, range(sys.maxunicode + 1)):
-        parts = unicodedata.decomposition(c)
-        if parts and not parts.startswith("<"):
-            codes = parts.split()
-            if len(codes) == 2:
-                second.add(chr(int(codes[1], 16)))
-    ranges = re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", tx.NFC_STABLE)
-    assert len(ranges) > 10
-    for low, high in ranges:
-        for code in range(int(low, 16), int(high, 16) + 1):
-            c = chr(code)
-            assert unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and c not in second, hex(code)
-
-
 def test_canonical_literals(spark):
     frame = texts_frame(spark, ["a\r\nb\rc\n\rd", "e\u0301", "\U00010000"])
     assert column(frame, tx.canonical(F.col("text"))) == ["a\nb\nc\n\nd", "\u00e9", "\U00010000"]
