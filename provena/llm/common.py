@@ -109,3 +109,16 @@ WORD = re.compile(r"\w+")
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+
+
+#: Rows up to which a written table of a few numbers a row may be broadcast: at most some 50 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if its counted rows are within ``limit``.
+
+    For written tables of narrow rows, whose count costs next to nothing. Beyond the limit
+    the join is left to Spark, which shuffles both sides and splits hot keys.
+    """
+    return F.broadcast(df) if df.count() <= limit else df

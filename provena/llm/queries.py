@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import common, langid, quality, toxicity
+from provena.llm import common, decontamination, langid, licenses, quality, toxicity
 from provena.llm.common import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -37,3 +37,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", (common.fold(F.col("doc_id"), 4) == 2).alias("held_out"), quality.score(F.col("text"), model).alias("score")
     ).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, its numbers, names and units exchanged or not."""
+    found = decontamination.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "share", "exact")
+
+
+def _licence_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licenses.KNOWN)
+
+    def form(text: str) -> str:
+        out = f"regexp_replace(lower({text}), {quoted(licenses.COPYRIGHT)}, '\\1', 'g')"
+        out = f"' ' || regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', '  ', 'g') || ' '"
+        for other, usual in licenses.SPELLINGS:
+            out = f"replace({out}, ' {other} ', ' {usual} ')"
+        return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g'), ' '))"
+
+    return f"""
+    WITH known AS (SELECT {form('text')} AS digest, min(license_id) AS license_id FROM (VALUES {known}) k(license_id, text) GROUP BY 1),
+    units AS (
+      SELECT doc_id, 0 AS line_no, text AS unit FROM documents WHERE text IS NOT NULL
+      UNION ALL
+      SELECT doc_id, unnest(range(1, len(lines) + 1))::INT AS line_no, unnest(lines) AS unit
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text LIKE '%' || chr(10) || '%')
+    )
+    SELECT doc_id, line_no, license_id, digest FROM (SELECT doc_id, line_no, {form('unit')} AS digest FROM units WHERE trim(unit, ' ') <> '' OR line_no = 0)
+    JOIN known USING (digest)
+    """
+
+
+@query("op8_licenses", _licence_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and lines that are a known licence text."""
+    return licenses.scan(common.table(spark, sf_dir, "documents"), licenses.built_in(spark))
