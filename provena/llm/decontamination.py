@@ -59,7 +59,7 @@ def marked(text: Column) -> Column:
     sentence or a line break.
     """
     clean = F.translate(F.coalesce(text, F.lit("")), "=\x01", "  ")
-    named = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;][ \t]|[\p{L}\p{N},;])(?<=[ \t])(\p{Lu}[\p{Ll}\p{M}]+)(?![\p{L}\p{M}\p{N}])", "\x01a=$1")
+    named = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;][ \t])(\p{Lu}[\p{Ll}\p{M}]+)(?![\p{L}\p{M}\p{N}])", "\x01a=$1")
     worded = F.regexp_replace(named, r"(?iu)(?<![\p{L}\p{N}=])(" + "|".join(NUMBER_WORDS) + r")(?![\p{L}\p{N}])", "\x01n=$1")
     measured = F.regexp_replace(worded, rf"(?iu)(?<![\p{{L}}\p{{N}}=])({_NUMBER})[ \t]?({_UNIT})(?![\p{{L}}\p{{N}}])", " \x01n=$1 \x01u=$2 ")
     counted = F.regexp_replace(measured, rf"(?<!=)(?<![0-9][.,:/])(?<![0-9]){_NUMBER}", " \x01n=$0 ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import common, decontamination, langid, licenses, quality, toxicity
+from provena.llm import common, decontamination, jaccard, langid, licenses, quality, toxicity
 from provena.llm.common import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -74,3 +74,9 @@ def _licence_sql() -> str:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and lines that are a known licence text."""
     return licenses.scan(common.table(spark, sf_dir, "documents"), licenses.built_in(spark))
+
+
+@query("op7_jaccard")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by word 5-grams with a Jaccard similarity of 0.75 or more."""
+    return jaccard.join(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
