@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import common, decontamination, jaccard, langid, licenses, quality, toxicity
+from provena.llm import bpe, common, decontamination, jaccard, langid, licenses, quality, toxicity
 from provena.llm.common import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -80,3 +80,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by word 5-grams with a Jaccard similarity of 0.75 or more."""
     return jaccard.join(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids of the many-language vocabulary, and back."""
+    ranks = common.resource(common.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    both = bpe.decode(bpe.encode(common.table(spark, sf_dir, "documents"), ranks), ranks)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
