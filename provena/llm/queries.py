@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import bpe, common, decontamination, jaccard, langid, licenses, quality, toxicity
+from provena.llm import bpe, common, decontamination, idindex, jaccard, langid, licenses, quality, toxicity
 from provena.llm.common import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -88,3 +88,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = common.resource(common.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     both = bpe.decode(bpe.encode(common.table(spark, sf_dir, "documents"), ranks), ranks)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_idindex")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written in order of the ids and read back through the index."""
+    docs = common.table(spark, sf_dir, "documents")
+    path = idindex.folder(spark)
+    idindex.write(docs, common.resource(common.tokenizer_path("byte_bpe_50k.json")).decode("utf-8"), path)
+    return idindex.read(spark, path, docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
