@@ -74,15 +74,32 @@ KNOWN = (
 COPYRIGHT = r"(^|\n)[ \t]*(?:copyright (?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; null stays null."""
+def _worded(text: Column) -> Column:
+    """Lower-case words between single blanks, one before and after, without copyright lines."""
     bare = F.regexp_replace(F.lower(text), COPYRIGHT, "$1")
-    words = F.concat(F.lit(" "), F.regexp_replace(bare, r"[^a-z0-9\x{80}-\x{10FFFF}]+", "  "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(bare, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), F.lit(" "))
+
+
+def _spelled(words: Column) -> Column:
+    # Blanks are doubled so that neighbours do not share the one between them.
+    words = F.replace(words, F.lit(" "), F.lit("  "))
     for other, usual in SPELLINGS:
         words = F.replace(words, F.lit(f" {other} "), F.lit(f" {usual} "))
     return F.trim(F.regexp_replace(words, " +", " "))
 
 
+def canonical(text: Column) -> Column:
+    """The canonical form; null stays null."""
+    return _spelled(_worded(text))
+
+
+def _digest(text: Column, longest: int) -> Column:
+    """The digest of the canonical form, null where that is too long for any known text: no
+    spelling takes away half of a word."""
+    # Bound once: a filter and a projection would each work out the words.
+    return F.transform(F.array(_worded(text)), lambda w: F.when(F.length(w) <= 2 * longest + 4, F.sha2(_spelled(w), 256)))[0]
+
+
 def digests(known: DataFrame) -> DataFrame:
     """license_id and digest of known texts; of licences with one digest the first stays."""
     form = canonical(F.col("text"))
@@ -107,5 +124,6 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     whole = texts.select("doc_id", F.lit(0).alias("line_no"), F.col("text").alias("unit"))
     single = texts.where(F.contains("text", F.lit("\n"))).select("doc_id", F.posexplode(lines).alias("line_no", "unit"))
     single = single.select("doc_id", (F.col("line_no") + 1).alias("line_no"), "unit").where(F.trim("unit") != "")
-    found = whole.unionByName(single).select("doc_id", "line_no", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
+    longest = known.agg(F.max(F.length(canonical(F.col("text"))))).first()[0] or 0
+    found = whole.unionByName(single).select("doc_id", "line_no", _digest(F.col("unit"), longest).alias("digest"))
     return found.join(digests(known), "digest").select("doc_id", "line_no", "license_id", "digest")
