@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import bpe, common, decontamination, idindex, jaccard, langid, licenses, quality, toxicity
+from provena.llm import bpe, common, decontamination, idindex, jaccard, langid, licenses, neighbours, quality, toxicity
 from provena.llm.common import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -97,3 +97,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = idindex.folder(spark)
     idindex.write(docs, common.resource(common.tokenizer_path("byte_bpe_50k.json")).decode("utf-8"), path)
     return idindex.read(spark, path, docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op2_neighbours")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id is divisible by 20."""
+    return neighbours.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
