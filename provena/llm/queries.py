@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import bpe, common, decontamination, idindex, jaccard, langid, licenses, neighbours, quality, toxicity
+from provena.llm import bpe, common, decontamination, htmltext, idindex, jaccard, langid, licenses, neighbours, quality, toxicity
 from provena.llm.common import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -103,3 +103,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for every vector whose id is divisible by 20."""
     return neighbours.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op9_pagetext")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = common.table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.fit(pages))
