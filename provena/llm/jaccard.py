@@ -369,3 +369,32 @@ def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
     classes = session.settle(grouped.join(lowest, "comp").select("node", "component_id"), "classes")
     rows = mine.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "node").join(classes, "node", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+
+
+def first_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``docs`` with all their columns, of each component the document of the smallest id.
+
+    Texts without a word are no copies of each other and all stay. Where an id stands in
+    several rows, one row of it stays in each component that it is the first of; rows
+    without an id stay only where no row of their set has one, and then once per set.
+    """
+    rows = session.settle(join(docs, p), "components")
+    again = session.settle(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "repeated-ids")
+    own, node, comp, key = common.fresh(docs, "own_id", "own_node", "own_component", "own_key")
+    gone = rows.where("node is not null and doc_id <> component_id").select("doc_id").unionByName(again.where("doc_id is not null")).distinct()
+    gone = session.settle(gone.withColumnRenamed("doc_id", own), "copies")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(common.sized(gone), F.col("doc_id") == F.col(own), "left_anti")
+    if again.isEmpty():
+        return kept
+
+    @F.pandas_udf("long")
+    def node_of_text(texts: pd.Series) -> pd.Series:
+        return pd.Series([node_of(s) if len(s) else None for s in shingle_sets(texts, p.words)], dtype="Int64")
+
+    # Rows whose id does not name them: their set does.
+    several = docs.join(common.sized(again.withColumnRenamed("doc_id", own)), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    several = several.withColumn(node, node_of_text.asNondeterministic()(F.col("text")))
+    known = rows.where("node is not null").select(F.col("node").alias(own), F.col("component_id").alias(comp)).distinct()
+    placed = several.where(F.col(node).isNotNull()).join(known, F.col(node) == F.col(own)).where(F.col("doc_id").eqNullSafe(F.col(comp)))
+    placed = placed.withColumn(key, F.struct(F.col(comp), F.when(F.col(comp).isNull(), F.col(node)))).dropDuplicates([key])
+    return kept.unionByName(placed.select(*docs.columns)).unionByName(several.where(F.col(node).isNull()).select(*docs.columns))
