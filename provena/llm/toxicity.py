@@ -30,12 +30,14 @@ class Params:
         with the smallest seeded hash of their id.
     members: classifiers whose margins are averaged.
     min_texts: a word must stand in so many different sampled texts to be a feature.
+    prior: share of toxic texts in the corpus; None takes the share among labelled rows.
     """
 
     positives: int = 2500
     unlabelled: int = 6000
     members: int = 2
     min_texts: int = 4
+    prior: float | None = None
     rounds: int = 250
     rate: float = 0.08
     l1: float = 2e-4
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, p: Pa
     open_ids = lambda df: df.select("doc_id").where(F.col("doc_id").isNotNull() & (common.fold(F.col("doc_id"), parts) != held))
     known = open_ids(labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic = 1"))
     counted = labels.where(F.col("toxic").isNotNull() & (common.fold(F.col("doc_id"), parts) != held)).agg(F.avg(F.col("toxic").cast("double")).alias("prior")).first()
-    prior = float(np.clip(counted["prior"] or 0.0, 0.005, 0.5))
+    prior = float(np.clip((counted["prior"] or 0.0) if p.prior is None else p.prior, 0.005, 0.5))
     pos_ids = common.smallest_ids(known, p.positives, p.seed)
     if not pos_ids:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0, prior)
