@@ -59,10 +59,13 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def listed_messages(df: DataFrame, keys: Sequence[str], order: str, message: str, limit: int) -> DataFrame:
-    """The first ``limit`` messages per key joined with ``"; "``; no more are gathered."""
+    """The first ``limit`` messages per key joined with ``"; "``, and how many more there are."""
     first = top_rows(df.select(*keys, order, message), keys, [F.col(order), F.col(message)], limit, "_n")
     listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", message))).alias("_m"))
-    return listed.select(*keys, F.array_join(F.transform("_m", lambda m: m[message]), "; ").alias("messages"))
+    more = df.groupBy(*keys).agg((F.count("*") - limit).alias("_more")).filter(F.col("_more") > 0)
+    text = F.array_join(F.transform("_m", lambda m: m[message]), "; ")
+    rest = F.when(F.col("_more").isNotNull(), F.concat(F.lit("; and "), F.col("_more").cast("string"), F.lit(" more"))).otherwise("")
+    return listed.join(more, list(keys), "left").select(*keys, F.concat(text, rest).alias("messages"))
 
 
 def joined_messages(df: DataFrame, keys: Sequence[str], order: str, message: str, limit: int) -> DataFrame:

@@ -14,8 +14,7 @@ from provena.functions import tokens as tk
 from provena.functions.digest import operation_key, payload_digest, sha, stable_id
 from provena.operators import materials as mat
 from provena.operators.findings import finding, listed_messages, union_all
-from provena.operators.ranking import first_rows, top_rows
-from provena.sources.tables import MAX_MATERIALS
+from provena.operators.ranking import first_rows
 
 GATE_A = "provenance_precheck"
 GATE_B = "provenance_gate"
@@ -23,8 +22,9 @@ FORMAT_GATE = "format_gate"
 IMPLEMENTATION = "provena/1"
 REQUIRED_GATES = (GATE_A, GATE_B, FORMAT_GATE)
 
-#: Spans of one slot whose problems are listed; a slot is filled within one call budget.
-MAX_SLOT_SPANS = 1000
+#: Problems that one finding spells out; it also says how many more there are, and all of
+#: them are rows of the checks' own tables.
+SHOWN = 1000
 
 
 def build_render_slots(bindings: DataFrame, slots: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +152,8 @@ def sequence_problems(expected: DataFrame, candidate: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("slot "), F.col("slot_id"), F.lit(" paragraph "), pos, F.lit(" mismatch")))
         .alias("message"),
     )
-    units = expected.filter(F.coalesce(F.col("span_no"), F.lit(0)) == 0).join(sizes, "task_id")
+    # A task without a candidate paragraph has none of what was expected.
+    units = expected.filter(F.coalesce(F.col("span_no"), F.lit(0)) == 0).join(sizes, "task_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     first, n = F.col("first_pos"), F.col("_n")
     unfilled = units.filter(F.col("slot_id").isNotNull() & ~F.col("in_ir") & (first < n)).select(
         "task_id", first.alias("at"), F.lit(1).alias("step"),
@@ -279,13 +280,16 @@ def span_problems(ir_spans: DataFrame, artifacts: DataFrame) -> DataFrame:
     return joined.select("task_id", "slot_id", "span_no", F.explode(found).alias("message"))
 
 
-def coverage_problems(ir_regions: DataFrame, contract_regions: DataFrame) -> DataFrame:
-    """Static refs (task_id, template_version_id, region_id, ref_version) against the contract."""
+def coverage_problems(ir_regions: DataFrame, contract_regions: DataFrame, irs: DataFrame) -> DataFrame:
+    """Static refs (task_id, template_version_id, region_id, ref_version) against the contract.
+
+    ``irs`` is (task_id, template_version_id): one that names no region at all covers none.
+    """
     foreign = ir_regions.filter(F.col("ref_version") != F.col("template_version_id")).select(
         "task_id", F.lit(0).alias("kind"), F.col("region_id"),
         F.concat(F.lit("region "), F.col("region_id"), F.lit(": foreign template version")).alias("message"),
     )
-    plans = ir_regions.select("task_id", "template_version_id").distinct()
+    plans = irs.select("task_id", "template_version_id").unionByName(ir_regions.select("task_id", "template_version_id")).distinct()
     wanted = plans.join(contract_regions.select("template_version_id", "region_id"), "template_version_id").withColumn("_c", F.lit(True))
     seen = ir_regions.select("task_id", "template_version_id", "region_id").withColumn("_i", F.lit(True))
     both = wanted.join(seen, ["task_id", "template_version_id", "region_id"], "full_outer")
@@ -320,7 +324,7 @@ def override_problems(ir_slots: DataFrame, tasks: DataFrame, overrides: DataFram
 
 
 def per_slot_findings(slots: DataFrame, problems: DataFrame, check: str) -> DataFrame:
-    messages = listed_messages(problems, ["task_id", "slot_id"], "span_no", "message", MAX_SLOT_SPANS)
+    messages = listed_messages(problems, ["task_id", "slot_id"], "span_no", "message", SHOWN)
     joined = slots.join(messages, ["task_id", "slot_id"], "left")
     return finding(
         joined, GATE_A, F.concat(F.lit(check + ":"), F.col("slot_id")), F.col("messages"),
@@ -338,20 +342,32 @@ def gate_a(
     binding_digest, registered, docx_matches, viz_slots), one row per task to render.
     """
     base = irs.join(tasks.select("task_id", "epoch", "template_version_id"), "task_id")
-    mine, target = F.col("template_version_id"), F.col("ir_version")
+    mine, target, no = F.col("template_version_id"), F.col("ir_version"), F.lit(False)
+
+    def known(a: Column, b: Column) -> Column:
+        """Differing, or not known on either side: what is not known does not pass."""
+        return ~F.coalesce(a == b, no)
+
+    def shown(value: Column) -> Column:
+        return F.coalesce(value.cast("string"), F.lit("-"))
+
     identity = (
-        F.when(mine != target, F.concat(F.lit("task bound to "), mine, F.lit(", IR targets "), target))
-        .when(F.col("binding_version_id") != target, F.concat(F.lit("binding targets "), F.col("binding_version_id"), F.lit(", IR targets "), target))
-        .when(~F.col("registered"), F.concat(F.lit("template version "), target, F.lit(" not registered")))
-        .when(~F.col("docx_matches"), F.lit("contract docx hash differs from the registered template version"))
+        F.when(known(mine, target), F.concat(F.lit("task bound to "), shown(mine), F.lit(", IR targets "), shown(target)))
+        .when(
+            known(F.col("binding_version_id"), target),
+            F.concat(F.lit("binding targets "), shown(F.col("binding_version_id")), F.lit(", IR targets "), shown(target)),
+        )
+        .when(~F.coalesce("registered", no), F.concat(F.lit("template version "), target, F.lit(" not registered")))
+        .when(~F.coalesce("docx_matches", no), F.lit("contract docx hash differs from the registered template version"))
     )
-    epochs = F.concat(F.lit("ir="), F.col("ir_epoch").cast("string"), F.lit(", binding="), F.col("binding_epoch").cast("string"))
-    in_step = (F.col("epoch") == F.col("ir_epoch")) & (F.col("epoch") == F.col("binding_epoch"))
+    epochs = F.concat(F.lit("ir="), shown(F.col("ir_epoch")), F.lit(", binding="), shown(F.col("binding_epoch")))
+    out_of_step = known(F.col("epoch"), F.col("ir_epoch")) | known(F.col("epoch"), F.col("binding_epoch"))
     live = mat.set_digests(artifacts)
-    fresh = base.join(live, "task_id", "left")
+    # A task without materials holds the empty set, which has a digest too.
+    fresh = base.join(live, "task_id", "left").withColumn("set_digest", F.coalesce("set_digest", mat.empty_set_digest()))
     head = F.substr(F.col("set_digest"), F.lit(1), F.lit(12))
-    stale = F.when(~F.col("set_digest").eqNullSafe(F.col("binding_digest")), F.coalesce(head, F.lit("-")))
-    coverage = listed_messages(coverage_problems(ir_regions, contract_regions), ["task_id"], "kind", "message", MAX_SLOT_SPANS)
+    stale = F.when(known(F.col("set_digest"), F.col("binding_digest")), head)
+    coverage = listed_messages(coverage_problems(ir_regions, contract_regions, base), ["task_id"], "kind", "message", SHOWN)
     viz = F.when(F.size("viz_slots") > 0, F.concat(F.lit("viz producers: "), F.array_join(F.array_sort("viz_slots"), ", ")))
     with_spans = ir_spans.select("task_id", "slot_id").distinct()
     omissions = override_problems(ir_slots, tasks, overrides, artifacts)
@@ -359,8 +375,8 @@ def gate_a(
         [
             finding(base, GATE_A, F.lit("template_identity"), identity, locator=F.lit("task/ir/binding/contract")),
             finding(
-                base, GATE_A, F.lit("epoch_match"), F.when(~in_step, epochs),
-                expected=F.concat(F.lit("epoch "), F.col("epoch").cast("string")), actual=epochs,
+                base, GATE_A, F.lit("epoch_match"), F.when(out_of_step, epochs),
+                expected=F.concat(F.lit("epoch "), shown(F.col("epoch"))), actual=epochs,
             ),
             per_slot_findings(ir_slots.select("task_id", "slot_id"), scope_problems(ir_spans, artifacts), "scope"),
             per_slot_findings(with_spans, span_problems(ir_spans, artifacts), "spans"),
@@ -489,10 +505,9 @@ def manifests(
 ) -> DataFrame:
     """One manifest per delivered task; its parts as columns and as JSON.
 
-    Materials, gates and overrides of a task are bounded by the limits of a task.
+    A manifest names every material of its task, however many there are.
     """
-    few = top_rows(materials.select("task_id", "artifact_id", "sha256"), ["task_id"], [F.col("artifact_id")], MAX_MATERIALS, "_n")
-    held = few.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("artifact_id", "sha256"))).alias("materials"))
+    held = materials.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("artifact_id", "sha256"))).alias("materials"))
     passed = reports.groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct("gate", "overall_status"))).alias("gates"))
     waived = overrides.groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct("slot_id", "decision_id"))).alias("overrides"))
     whole = (

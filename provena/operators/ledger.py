@@ -291,25 +291,27 @@ def reconcile_status(tasks: DataFrame, deliveries: DataFrame, commands: DataFram
     )
 
 
-def lineage(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+def lineage(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All ancestors of each root over (child, parent) edges, with the smallest depth.
 
     Roots share most of their ancestry, so the closure is built once over the edges whose
     child is itself somebody's parent, and roots are joined to it at the end: a root costs
-    one step and one join, not one join per level. The depth of a lineage is known.
+    one step and one join, not one join per level. Each round goes one step on from the
+    pairs that the last one found, and leaves out those known, so it ends at the last
+    ancestor, cycles or not.
     """
     links = settle(edges.distinct(), "edges")
     inner = links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
     upper = settle(inner, "upper-edges")
-    level = upper.select("child", "parent", F.lit(1).cast("bigint").alias("depth"))
-    found = level
-    for depth in range(2, max_depth):
-        step = upper.select(F.col("child").alias("parent"), F.col("parent").alias("_next"))
-        level = level.join(step, "parent").select(
-            "child", F.col("_next").alias("parent"), F.lit(depth).cast("bigint").alias("depth")
-        ).distinct()
-        found = found.unionByName(level)
-    closure = found.groupBy("child", "parent").agg(F.min("depth").alias("depth"))
+    step = upper.select(F.col("child").alias("parent"), F.col("parent").alias("_next"))
+    closure = level = upper.select("child", "parent", F.lit(1).cast("bigint").alias("depth"))
+    depth = 1
+    while not level.isEmpty():
+        depth += 1
+        onward = level.join(step, "parent").select("child", F.col("_next").alias("parent")).distinct()
+        new = onward.join(closure, ["child", "parent"], "left_anti")
+        level = settle(new.withColumn("depth", F.lit(depth).cast("bigint")), "lineage-level")
+        closure = closure.unionByName(level)
     first = roots.distinct().join(links, F.col("node") == F.col("child")).select(F.col("node").alias("root"), F.col("parent").alias("ancestor"))
     onward = first.join(closure, F.col("ancestor") == F.col("child")).select(
         "root", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions import text as tx
 from provena.functions.digest import set_digest, sha
-from provena.operators.ranking import top_rows
 from provena.sources.tables import MAX_MATERIALS
 
+#: Parts of the digest of a large set.
+SET_BUCKETS = 1024
+
 
 def ingest(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Uploads with ``content`` bytes to (canonical materials, rejected uploads).
@@ -43,23 +45,33 @@ def scoped(materials: DataFrame, lookups: DataFrame) -> DataFrame:
 def set_digests(materials: DataFrame, limit: int = MAX_MATERIALS) -> DataFrame:
     """Digest of the material set of each task, from (task_id, artifact_id, sha256).
 
-    A task holds at most ``limit`` materials. One more than that is gathered at most, so
-    a task over the limit is seen and refused instead of being collected whole.
+    A set of up to ``limit`` materials is digested as one sorted list. Of a larger one the
+    lists of ``SET_BUCKETS`` parts by a hash of the id are digested, and then the digests in
+    order of the parts: no list grows with the task but one part of it, and none is cut.
+    ``set_status`` tells the two forms apart.
     """
-    few = top_rows(
-        materials.select("task_id", "artifact_id", "sha256"), ["task_id"], [F.col("artifact_id")], limit + 1, "_n"
+    pair = F.concat_ws(":", "artifact_id", "sha256")
+    parts = materials.groupBy("task_id", F.pmod(F.xxhash64("artifact_id"), F.lit(SET_BUCKETS)).alias("_part")).agg(
+        F.collect_list(pair).alias("_pairs"), F.count("*").alias("_n")
     )
-    gathered = few.groupBy("task_id").agg(
-        F.collect_list(F.concat_ws(":", "artifact_id", "sha256")).alias("_pairs"), F.count("*").alias("_seen")
+    small = F.when(F.col("_n") <= limit, F.col("_pairs"))
+    sums = parts.select("task_id", "_part", "_n", set_digest(F.col("_pairs")).alias("_digest"), small.alias("_pairs"))
+    gathered = sums.groupBy("task_id").agg(
+        F.sum("_n").alias("_seen"), F.collect_list("_pairs").alias("_all"), F.array_sort(F.collect_list(F.struct("_part", "_digest"))).alias("_parts")
     )
-    over = F.col("_seen") > limit
+    few = F.col("_seen") <= limit
+    whole = F.concat_ws("\n", F.transform("_parts", lambda x: F.concat_ws(":", x["_part"].cast("string"), x["_digest"])))
     return gathered.select(
-        "task_id",
-        F.when(over, F.lit(None)).otherwise(set_digest(F.col("_pairs"))).alias("set_digest"),
-        F.when(over, "too_many_materials").otherwise("ok").alias("set_status"),
+        "task_id", F.when(few, set_digest(F.flatten("_all"))).otherwise(sha(whole)).alias("set_digest"),
+        F.when(few, "ok").otherwise("in_parts").alias("set_status"),
     )
 
 
+def empty_set_digest() -> Column:
+    """The digest of a task that holds no materials, for which ``set_digests`` has no row."""
+    return sha(F.lit(""))
+
+
 def counts(tasks: DataFrame, materials: DataFrame) -> DataFrame:
     """Materials per task, zero for tasks without any."""
     held = materials.groupBy("task_id").agg(F.count("*").alias("_n"))

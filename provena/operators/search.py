@@ -96,16 +96,17 @@ def read_slices(materials: DataFrame, requests: DataFrame, cap: int = READ_CHARS
     )
 
 
-def admit(calls: DataFrame, max_calls: Column, max_chars: Column, bound: int = 80) -> DataFrame:
+def admit(calls: DataFrame, max_calls: Column, max_chars: Column) -> DataFrame:
     """Which tool calls of a turn are admitted (turn, call_no, chars).
 
     A call beyond the call cap is refused. A read that would pass the character cap is
     refused too: it has used a call but no characters, so a running sum would be wrong
-    after the first refusal and the calls are folded in order. Only the first ``bound``
-    calls of a turn (no cap may be larger) can be admitted, so the fold is bounded; all
-    later ones are refused by comparison with the last of these.
+    after the first refusal and the calls are folded in order. Only as many calls of a turn
+    as the largest cap allows are folded; all later ones are refused by comparison with
+    the last of these.
     """
-    capped = calls.withColumn("_calls", F.least(max_calls, F.lit(bound))).withColumn("_chars", max_chars)
+    capped = calls.withColumn("_calls", max_calls).withColumn("_chars", max_chars)
+    bound = max(1, capped.agg(F.max("_calls")).first()[0] or 1)
     head = top_rows(capped, ["turn"], [F.col("call_no")], bound, "_pos").filter(F.col("_pos") <= F.col("_calls"))
     turns = head.groupBy("turn").agg(
         F.array_sort(F.collect_list(F.struct("call_no", "chars"))).alias("_list"),

@@ -92,13 +92,18 @@ def append_event(spark, sf_dir):
     return ledger.appended(tb.events(spark, sf_dir), batch, "o_orderkey")
 
 
-_KEYED = "SELECT doc_id, substring(text, 1, 40) AS request_key, sha256(text) AS payload FROM documents"
+def title_key(text):
+    """A request's key: the digest of the whole title line."""
+    return digest.sha(F.substring_index(text, "\n", 1))
+
+
+_KEYED = "SELECT doc_id, sha256(string_split(text, chr(10))[1]) AS request_key, sha256(text) AS payload FROM documents"
 
 
 def keyed(spark, sf_dir) -> DataFrame:
     """Documents as requests: the opening is the key, the whole text the payload."""
     return tb.read(spark, sf_dir, "documents").select(
-        "doc_id", F.substr("text", F.lit(1), F.lit(40)).alias("request_key"), digest.sha(F.col("text")).alias("payload")
+        "doc_id", title_key(F.col("text")).alias("request_key"), digest.sha(F.col("text")).alias("payload")
     )
 
 
@@ -419,15 +424,15 @@ SELECT arrival, payload_digest, CASE WHEN first IS NULL OR arrival < first THEN
    WHEN payload_digest = stored THEN 'replay' ELSE 'conflict' END AS outcome
 FROM (SELECT r.*, min(arrival) FILTER (known) OVER (PARTITION BY request_id) AS first,
              arg_min(payload_digest, arrival) FILTER (known) OVER (PARTITION BY request_id) AS stored
-      FROM (SELECT doc_id AS arrival, substring(text, 1, 40) AS request_id, length(text) % 4 < 3 AS known,
-                   sha256(concat_ws(chr(31), substring(text, 1, 40), 'tver_' || lpad((length(text) % 4)::VARCHAR, 32, '0'), 'report', 'local_only',
+      FROM (SELECT doc_id AS arrival, sha256(string_split(text, chr(10))[1]) AS request_id, length(text) % 4 < 3 AS known,
+                   sha256(concat_ws(chr(31), sha256(string_split(text, chr(10))[1]), 'tver_' || lpad((length(text) % 4)::VARCHAR, 32, '0'), 'report', 'local_only',
                      string_split(relative_path, '/')[1] || ':' || sha256(text))) AS payload_digest FROM materials) r)""",
     ),
 )
 def submit_requests(spark, sf_dir):
     text = F.col("text")
     version = tb.padded_id("tver", F.length(text) % 4)
-    key = F.substr(text, F.lit(1), F.lit(40))
+    key = title_key(text)
     named = F.concat_ws(":", F.element_at(F.split("relative_path", "/"), 1), digest.sha(text))
     requests = tb.materials(spark, sf_dir).select(
         F.col("doc_id").alias("arrival"), key.alias("request_id"), version.alias("template_version_id"),
@@ -585,7 +590,7 @@ def lineage_closure(spark, sf_dir):
         .unionByName(edge("nation", node("nation", "n_nationkey"), node("region", "n_regionkey")))
     )
     roots = tb.read(spark, sf_dir, "lineitem").select(line.alias("node"))
-    closure = ledger.lineage(edges, roots, 4)
+    closure = ledger.lineage(edges, roots)
     return closure.groupBy("ancestor", "depth").agg(F.count("*").alias("n_roots"))
 
 

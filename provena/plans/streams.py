@@ -47,7 +47,7 @@ FROM ({ledgers._KEYED}) WINDOW w AS (PARTITION BY request_key ORDER BY doc_id)""
 )
 def stream_idempotency(spark, sf_dir):
     requests = feeds.table_stream(spark, sf_dir, "documents").select(
-        F.substr("text", F.lit(1), F.lit(40)).alias("request_key"), F.col("doc_id").alias("seq"), digest.sha(F.col("text")).alias("digest")
+        ledgers.title_key(F.col("text")).alias("request_key"), F.col("doc_id").alias("seq"), digest.sha(F.col("text")).alias("digest")
     )
     return feeds.run_append(feeds.idempotency(requests), "idempotency")
 

@@ -150,11 +150,10 @@ def page_text(spark, sf_dir):
 
 @query(
     "squash_tags",
-    "SELECT page_id, regexp_replace(regexp_replace(substring(html, 1, 2000), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g') AS squashed FROM pages",
+    "SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g') AS squashed FROM pages",
 )
 def squash_tags(spark, sf_dir):
-    fragment = F.substr("html", F.lit(1), F.lit(2000))
-    return tb.read(spark, sf_dir, "pages").select("page_id", wf.squash(fragment).alias("squashed"))
+    return tb.read(spark, sf_dir, "pages").select("page_id", wf.squash(F.col("html")).alias("squashed"))
 
 
 _SLUG = "regexp_replace(substring(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), 1, 40), '^-+|-+$', '', 'g')"

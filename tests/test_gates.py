@@ -160,3 +160,59 @@ def test_placeholder_shapes(spark):
     cases = {"{{ a_b }}": True, "{{ 1a }}": False, "{{ __ }}": False, "{ a }": False, "{{é}}": True, "{{a b}}": False, "{{}}": False, "{{ _1a }}": False}
     frame = spark.createDataFrame([(k,) for k in cases], "p string")
     assert {r.p: r.ok for r in frame.select("p", checks.placeholder_valid(F.col("p")).alias("ok")).collect()} == cases
+
+
+def _irs(spark, **changed):
+    row = {"task_id": "t", "ir_version": "v1", "ir_epoch": 1, "binding_version_id": "v1", "binding_epoch": 1, "binding_digest": None, "registered": True, "docx_matches": True, "viz_slots": []}
+    row |= changed
+    return spark.createDataFrame(
+        [tuple(row.values())],
+        "task_id string, ir_version string, ir_epoch bigint, binding_version_id string, binding_epoch bigint, binding_digest string, registered boolean, docx_matches boolean, viz_slots array<string>",
+    )
+
+
+def _gate_a(spark, irs, task=("t", 1, "v1"), regions=(), materials=()):
+    frame = spark.createDataFrame
+    found = gates.gate_a(
+        frame([task], "task_id string, epoch bigint, template_version_id string"), irs,
+        frame([], "task_id string, slot_id string, override_artifact_id string"),
+        frame([], "task_id string, slot_id string, span_no int, artifact_id string, canonical_sha256 string, span_start bigint, span_end bigint, span_sha256 string"),
+        frame(list(regions), "task_id string, template_version_id string, region_id string, ref_version string"),
+        frame([("v1", "r0")], "template_version_id string, region_id string"),
+        frame(list(materials), "task_id string, artifact_id string, sha256 string, text string"),
+        frame([], "task_id string, epoch bigint, slot_id string, decision_id string, reason_artifact_id string"),
+    )
+    return {r.check_id for r in found.filter("status = 'fail'").collect()}
+
+
+def test_gate_a_fails_closed(spark):
+    import hashlib
+
+    empty = hashlib.sha256(b"").hexdigest()
+    whole = [("t", "v1", "r0", "v1")]
+    assert _gate_a(spark, _irs(spark, binding_digest=empty), regions=whole) == set()
+    assert _gate_a(spark, _irs(spark, binding_digest=empty)) == {"static_regions"}
+    assert _gate_a(spark, _irs(spark), regions=whole) == {"binding_freshness"}
+    assert _gate_a(spark, _irs(spark, binding_digest=empty, ir_epoch=None), regions=whole) == {"epoch_match"}
+    assert _gate_a(spark, _irs(spark, binding_digest=empty), task=("t", None, "v1"), regions=whole) == {"epoch_match"}
+    assert "template_identity" in _gate_a(spark, _irs(spark, binding_digest=empty), task=("t", 1, None), regions=whole)
+    assert _gate_a(spark, _irs(spark, binding_digest=empty, registered=None), regions=whole) == {"template_identity"}
+    held = [("t", f"a{i}", "s", "x") for i in range(60)]
+    assert _gate_a(spark, _irs(spark, binding_digest=empty), regions=whole, materials=held) == {"binding_freshness"}
+
+
+def test_an_empty_candidate_is_a_problem(spark):
+    expected = spark.createDataFrame(
+        [("t", 0, None, 0, True, 0, 1, 0, "text")],
+        "task_id string, idx int, slot_id string, span_no int, in_ir boolean, first_pos bigint, n_expected bigint, pos bigint, text string",
+    )
+    candidate = spark.createDataFrame([], "task_id string, pos bigint, text string, bookmarks array<string>")
+    found = gates.sequence_problems(expected, candidate).collect()
+    assert [r.message for r in found] == ["template not fully consumed at paragraph 0"]
+
+
+def test_cut_messages_say_how_many_more(spark):
+    from provena.operators.findings import listed_messages
+
+    rows = spark.range(7).selectExpr("'k' AS key", "id AS n", "concat('m', id) AS message")
+    assert listed_messages(rows, ["key"], "n", "message", 5).collect()[0].messages == "m0; m1; m2; m3; m4; and 2 more"

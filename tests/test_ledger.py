@@ -166,5 +166,5 @@ def test_sources_cap_counts_program_texts(spark):
 def test_lineage_over_diamonds(spark):
     edges = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("r2", "c")], "child string, parent string")
     roots = spark.createDataFrame([("r1",), ("r2",)], "node string")
-    got = {(r.root, r.ancestor, r.depth) for r in ledger.lineage(edges, roots, 4).collect()}
+    got = {(r.root, r.ancestor, r.depth) for r in ledger.lineage(edges, roots).collect()}
     assert got == {("r1", "a", 1), ("r1", "b", 1), ("r1", "c", 2), ("r1", "d", 3), ("r2", "c", 1), ("r2", "d", 2)}

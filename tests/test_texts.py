@@ -127,9 +127,13 @@ def test_budget_refusals_use_calls_but_no_characters(spark):
     assert rows == {1: ("admitted", 40), 2: ("refused_chars", 40), 3: ("admitted", 50), 4: ("refused_calls", None)}
 
 
-def test_too_many_materials_are_refused_not_collected(spark):
+def test_large_sets_have_a_digest_of_their_own(spark):
     rows = spark.range(200).select(F.lit("hot").alias("task_id"), F.col("id").cast("string").alias("artifact_id"), F.lit("s").alias("sha256"))
     small = spark.createDataFrame([("ok", "b", "2"), ("ok", "a", "1")], "task_id string, artifact_id string, sha256 string")
     got = {r.task_id: r for r in mat.set_digests(rows.unionByName(small)).collect()}
-    assert got["hot"].set_status == "too_many_materials" and got["hot"].set_digest is None
+    assert got["hot"].set_status == "in_parts" and len(got["hot"].set_digest) == 64
+    again = mat.set_digests(rows.orderBy(F.desc("artifact_id"))).collect()[0]
+    assert again.set_digest == got["hot"].set_digest
+    fewer = mat.set_digests(rows.filter("artifact_id <> '7'")).collect()[0]
+    assert fewer.set_status == "in_parts" and fewer.set_digest != got["hot"].set_digest
     assert got["ok"].set_digest == hashlib.sha256(b"a:1\nb:2").hexdigest()
