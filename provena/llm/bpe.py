@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -22,14 +23,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena import session
 
 #: Fixed value: the pattern that the rank files were made with; each match is merged alone.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text that a chunk holds before it is closed; a longer text is one chunk.
-CHUNK = 12_000_000
+CHUNK = 6_000_000
 #: Characters of corpus for each group of words.
-GROUP = 12_000_000
+GROUP = 6_000_000
 
 
 def ranks_of(content: bytes) -> dict[bytes, int]:
@@ -64,51 +64,107 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return flat[np.arange(total) + np.repeat(starts - before, lengths)]
 
 
-def _chunks(docs: DataFrame, groups: int) -> DataFrame:
-    """Two kinds of rows. Of a chunk: its documents' ids, numbers of pre-tokens, the
-    positions' words, and the order of its words. Of a chunk and a group: the words."""
-    columns = ["chunk", "part", "n", "ids", "known", "lengths", "slots", "words"]
+class _Pieces(dict):
+    """Splits a piece, with the blank before it, when it first comes."""
 
-    def run(batches):
+    def __init__(self, split):
+        super().__init__()
+        self.split = split
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = self.split(" " + piece)
+        return found
+
+
+class Words:
+    """Numbers the different pre-tokens of a chunk in the order in which they first come.
+
+    A text falls apart before every single blank between two other characters: no pre-token
+    reaches over such a place, and a piece splits alone as it does in the text. So every
+    different piece is split once. Texts with other white space beside a blank are split whole.
+    """
+
+    def __init__(self):
         import regex
-        from pyspark import TaskContext
-
-        find = regex.compile(PATTERN).findall
-        base, number = TaskContext.get().partitionId() << 32, itertools.count()
-
-        def closed(ids, lengths, slots, words):
-            chunk = base + next(number)
-            raw = [w.encode("utf-8", "replace") for w in words]
-            part = np.fromiter((zlib.crc32(w) % groups for w in raw), np.int64, len(raw))
-            # Words by group, in a group by their bytes; ``order`` says where a number went.
-            by = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[by], np.arange(groups + 1))
-            by = list(itertools.chain.from_iterable(sorted(by[i:j].tolist(), key=raw.__getitem__) for i, j in zip(cuts[:-1], cuts[1:])))
-            order = np.empty(len(by), np.int64)
-            order[by] = np.arange(len(by))
-            rows = [(chunk, -1, len(raw), np.array([i or 0 for i in ids], np.int64), [i is not None for i in ids], np.array(lengths, np.int64), _squeeze(np.frombuffer(b"".join(slots), np.uint32)), _squeeze(order))]
-            for g in np.flatnonzero(np.diff(cuts)):
-                mine = [raw[i] for i in by[cuts[g] : cuts[g + 1]]]
-                rows.append((chunk, int(g), len(mine), None, None, None, None, _words_blob(mine)))
-            return pd.DataFrame(rows, columns=columns)
-
-        ids, lengths, slots, size, words = [], [], [], 0, defaultdict(itertools.count().__next__)
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
-                found = array("I", map(words.__getitem__, find(text or "")))
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                lengths.append(len(found))
-                slots.append(found.tobytes())
-                size += len(text or "") + 16
-                if size > CHUNK:
-                    yield closed(ids, lengths, slots, words)
-                    ids, lengths, slots, size, words = [], [], [], 0, defaultdict(itertools.count().__next__)
-        if ids:
-            yield closed(ids, lengths, slots, words)
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "chunk long, part int, n int, ids array<long>, known array<boolean>, lengths array<long>, slots binary, words binary"
-    )
+
+        self.find = regex.compile(PATTERN).findall
+        self.odd = re.compile(r" \s|\s ").search
+        self.numbers: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.pieces = _Pieces(self._split)
+
+    def _split(self, piece: str) -> bytes:
+        return array("I", map(self.numbers.__getitem__, self.find(piece))).tobytes()
+
+    def read(self, text: str) -> bytes:
+        """Numbers of the text's pre-tokens, as unsigned 32-bit integers."""
+        if self.odd(text):
+            return self._split(text)
+        head, *rest = text.split(" ")
+        return self._split(head) + b"".join(map(self.pieces.__getitem__, rest))
+
+    def sorted(self, groups: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words by group, in a group by their bytes; where each group begins; and where a
+        number went. It depends on which words there are alone."""
+        raw = [w.encode("utf-8", "replace") for w in self.numbers]
+        part = np.fromiter((zlib.crc32(w) % groups for w in raw), np.int64, len(raw))
+        by = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[by], np.arange(groups + 1))
+        by = list(itertools.chain.from_iterable(sorted(by[i:j].tolist(), key=raw.__getitem__) for i, j in zip(cuts[:-1], cuts[1:])))
+        order = np.empty(len(by), np.int64)
+        order[by] = np.arange(len(by))
+        return [raw[i] for i in by], cuts, order
+
+
+def _in_chunks(batches):
+    """Chunk ids, and the ids and texts of each chunk's documents.
+
+    A chunk is named by the scan's partition and its place in it, and so is the same chunk
+    whenever the table is read."""
+    from pyspark import TaskContext
+
+    base, number, ids, texts, size = TaskContext.get().partitionId() << 32, itertools.count(), [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
+            ids.append(None if pd.isna(doc_id) else int(doc_id))
+            texts.append(text or "")
+            size += len(texts[-1]) + 16
+            if size > CHUNK:
+                yield base + next(number), ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield base + next(number), ids, texts
+
+
+def _asked(docs: DataFrame, groups: int) -> DataFrame:
+    """chunk, part (the group), n and words: the different words of each chunk."""
+
+    def run(batches):
+        for chunk, _, texts in _in_chunks(batches):
+            words = Words()
+            for text in texts:
+                words.read(text)
+            listed, cuts, _ = words.sorted(groups)
+            rows = [(chunk, g, int(cuts[g + 1] - cuts[g]), _words_blob(listed[cuts[g] : cuts[g + 1]])) for g in np.flatnonzero(np.diff(cuts)).tolist()]
+            yield pd.DataFrame(rows, columns=["chunk", "part", "n", "words"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, part int, n int, words binary")
+
+
+def _holders(docs: DataFrame, groups: int) -> DataFrame:
+    """Of each chunk: its documents' ids, their numbers of pre-tokens, the positions' words,
+    and the place of each word among all of the chunk."""
+
+    def run(batches):
+        for chunk, ids, texts in _in_chunks(batches):
+            words = Words()
+            slots = [words.read(text) for text in texts]
+            _, _, order = words.sorted(groups)
+            yield pd.DataFrame({
+                "chunk": [chunk], "ids": [np.array([i or 0 for i in ids], np.int64)], "known": [np.array([i is not None for i in ids])],
+                "lengths": [np.array([len(s) // 4 for s in slots], np.int64)], "slots": [_squeeze(np.frombuffer(b"".join(slots), np.uint32))], "order": [_squeeze(order)],
+            })
+
+    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, ids array<long>, known array<boolean>, lengths array<long>, slots binary, order binary")
 
 
 def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
@@ -116,15 +172,15 @@ def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
 
     ``docs`` has doc_id and text; other columns are not read. ``ranks`` is the content of a
     rank file. Null texts count as empty and have no ids; every row gives a row, repeated
-    ids and null ids too.
+    ids and null ids too. ``docs`` is read twice and must give the same partitions both
+    times, as a stored table does; where it does not, the job fails.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(16, int(size) // GROUP + 1)
-    chunks = session.settle(_chunks(docs, groups), "bpe-chunks")
-
     def encoded(group):
         import tiktoken
 
+
         coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(ranks), special_tokens={})
         asked = [_words_list(w, n) for w, n in zip(group["words"], group["n"])]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(asked)))}
@@ -138,13 +194,12 @@ def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
             rows.append((chunk, part, len(words), _squeeze(lengths[at]), _squeeze(_gathered(flat, starts[at], lengths[at]))))
         return pd.DataFrame(rows, columns=["chunk", "part", "n", "lengths", "ids"])
 
-    words = chunks.where("part >= 0").select("chunk", "part", "n", "words")
-    known = words.groupBy("part").applyInPandas(encoded, "chunk long, part int, n int, lengths binary, ids binary")
-    holders = chunks.where("part = -1").select("chunk", "ids", "known", "lengths", "slots", F.col("words").alias("order"))
+    known = _asked(docs, groups).groupBy("part").applyInPandas(encoded, "chunk long, part int, n int, lengths binary, ids binary")
+    holders = _holders(docs, groups)
 
     def assembled(holder, answers):
-        if not len(holder):
-            return pd.DataFrame({"doc_id": [], "n_tokens": [], "ids": []})
+        if len(holder) != 1:
+            raise ValueError("the documents were read in other chunks the second time")
         row = holder.iloc[0]
         slots = _unsqueeze(row["slots"])
         answers = answers.sort_values("part")
@@ -152,7 +207,10 @@ def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
         lengths = np.concatenate([*map(_unsqueeze, answers["lengths"]), *none])
         flat = np.concatenate([*map(_unsqueeze, answers["ids"]), *none]).astype("<u4")
         starts = np.cumsum(lengths) - lengths
-        at = _unsqueeze(row["order"])[slots] if len(slots) else slots
+        order = _unsqueeze(row["order"])
+        if len(order) != len(lengths):
+            raise ValueError("the documents were read in other chunks the second time")
+        at = order[slots] if len(slots) else slots
         ends = np.cumsum(np.asarray(row["lengths"], np.int64))
         out, sizes, begin = [], [], 0
         for end in ends.tolist():
