@@ -288,34 +288,93 @@ def _first_pairs(lists: DataFrame, p: Params) -> DataFrame:
     )
 
 
+#: Sets that are compared with one copy of a set; beyond that the set is sent again.
+BESIDE = 2_000
+#: Bytes of sets that a task holds before it sends them on.
+SENT = 16_000_000
+
+
 def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
-    """Those of the written ``pairs(a, b)`` whose sets are similar, by their whole sets."""
-    wanted = session.settle(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(owners, "node").select("owner", "node"), "wanted-sets")
+    """Those of the written ``pairs(a, b)`` whose sets are similar, by their whole sets.
+
+    Each set is made where its text is read and sent once for each pair as ``b``, and once
+    for each part of its pairs as ``a``; there it is held while the others stream by."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts"))
+    members = pairs.join(parts, "a").select(F.col("b").alias("node"), F.struct("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("role")).alias("r"))
+    heads = parts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a").select("node", F.struct("a", "part", F.lit(0).alias("role")).alias("r"))
+    # A node is compared with the few first nodes of its lists, or it is such a node itself.
+    wanted = members.unionByName(heads).groupBy("node").agg(F.collect_list("r").alias("roles")).join(owners, "node")
+    wanted = session.settle(wanted.select("owner", "node", "roles"), "wanted-sets")
 
     def sets(batches):
         for batch in batches:
+            rows, held = [], 0
             found = shingle_sets(batch["text"], p.words)
-            mine = [len(s) > 0 and node_of(s) == n for s, n in zip(found, batch["node"])]
-            yield pd.DataFrame({"node": batch["node"][mine], "shingles": [s.tobytes() for s, m in zip(found, mine) if m]})
-
-    own = docs.select(F.col("doc_id").alias("owner"), "text").join(common.sized(wanted), "owner").select("node", "text")
-    own = session.settle(own.mapInPandas(sets, "node long, shingles binary"), "sets")
+            for s, node, roles in zip(found, batch["node"], batch["roles"]):
+                if len(s) and node_of(s) == node:
+                    raw = s.tobytes()
+                    for r in roles:
+                        rows.append((r["a"], r["part"], r["role"], node, raw))
+                        held += len(raw)
+                        if held > SENT:
+                            yield pd.DataFrame(rows, columns=["a", "part", "role", "b", "shingles"])
+                            rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["a", "part", "role", "b", "shingles"])
 
     def similar(batches):
+        head, own = None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * p.den >= p.num * (len(x) + len(y) - both))
+            for a, part, role, blob in zip(batch["a"], batch["part"], batch["role"], batch["shingles"]):
+                s = np.frombuffer(blob, np.uint64)
+                if role == 0:
+                    head, own = (a, part), s
+                    keep.append(False)
+                    continue
+                both = len(np.intersect1d(own, s, assume_unique=True)) if head == (a, part) else 0
+                keep.append(both * p.den >= p.num * (len(own) + len(s) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    joined = pairs.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return session.settle(joined.mapInPandas(similar, "a long, b long").distinct(), "similar")
+    own = docs.select(F.col("doc_id").alias("owner"), "text").join(common.sized(wanted), "owner").select("node", "roles", "text")
+    sent = own.mapInPandas(sets, "a long, part int, role int, b long, shingles binary")
+    met = sent.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
+    return session.settle(met.mapInPandas(similar, "a long, b long").distinct(), "similar")
+
+
+#: Nodes of a list that the others are compared with in one round; how many pairs across
+#: components there may be for each list entry to compare them all; and what a round must
+#: leave at most of them for another one to follow.
+PIVOTS, FEW, SLOW = 3, 2, 0.7
+
+
+def _fits(x: str, y: str, p: Params):
+    """What sizes, and the rest of both sets from a shared key on, allow."""
+    small, large = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
+    return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & (small * p.den >= large * p.num) & (F.least(f"{x}.reach", f"{y}.reach") * (p.num + p.den) >= (small + large) * p.num)
+
+
+def _pivoted(split: DataFrame, turn: int, p: Params) -> DataFrame:
+    """Each node of a list with a few nodes of it, others in every round."""
+    entry = F.struct("node", "size", "reach", "comp").alias("y")
+    picks = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "node").alias("h"), entry)).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = split.groupBy("bucket", "list").agg(*picks).select("bucket", "list", F.explode(F.array_distinct(F.array(*[f"p{k}.y" for k in range(PIVOTS)]))).alias("y"))
+    met = split.alias("x").join(pivots, ["bucket", "list"]).where(_fits("x", "y", p))
+    # The pivot first: it is held while the others stream by.
+    return met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+
+
+def _across(split: DataFrame, light: int, p: Params) -> DataFrame:
+    """All pairs of nodes of a list that are not in one component."""
+    x, y = split.alias("x"), split.alias("y")
+    # Two light sets are left to their subsets.
+    fits = _fits("x", "y", p) & (F.col("x.node") < F.col("y.node")) & ((F.col("x.pair") == 1) | (F.greatest("x.size", "y.size") >= light))
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.list") == F.col("y.list")) & fits)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and whether it is the first.
+    """One row per document: doc_id, n_shingles, component_id, and the numbers of its set and
+    of its component (node and comp, null without a word).
 
     ``docs`` has doc_id and text; other columns are not read. component_id is the smallest
     doc_id that links lead to. Texts without a word, null and empty ones among them, link
@@ -344,31 +403,36 @@ def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
     pairs = session.settle(met.select(F.explode(F.arrays_zip("a", "b")).alias("z")).select("z.a", "z.b").distinct(), "pairs")
     named = owners.where("owner is not null").select("node", "owner")
     links = _verified(docs, named, pairs, p)
-    comps = components.connected(links)
-
+    tried = pairs
     entries = met.select("bucket", F.explode(F.arrays_zip("list", "node", "size", "reach", "pair")).alias("z")).select("bucket", "z.*")
-    placed = session.settle(entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    split = placed.groupBy("bucket", "list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket", "list")
-    left = placed.join(split, ["bucket", "list"])
-    x, y = left.alias("x"), left.alias("y")
-    total = F.col("x.size") + F.col("y.size")
-    fits = (
-        (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-        & (F.least("x.size", "y.size") * p.den >= F.greatest("x.size", "y.size") * p.num)
-        & (F.least("x.reach", "y.reach") * (p.num + p.den) >= total * p.num)
-        # Two light sets are left to their subsets.
-        & ((F.col("x.pair") == 1) | (F.greatest("x.size", "y.size") >= light))
-    )
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.list") == F.col("y.list")) & fits)
-    more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = session.settle(more, "more-pairs")
-    if not more.isEmpty():
-        comps = components.connected(links.unionByName(_verified(docs, named, more, p)))
+    turn, before = 0, float("inf")
+    while True:
+        comps = components.connected(links)
+        placed = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # Only lists of several components go on, and fewer of them each round.
+        by = placed.groupBy("bucket", "list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket", "list")
+        split = session.settle(placed.join(by, ["bucket", "list"]), "split-lists")
+        each = split.groupBy("bucket", "list", "comp").agg(F.count("*").alias("n")).groupBy("bucket", "list").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        sums = each.agg(F.sum("n").alias("entries"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("across")).first()
+        if not sums["entries"]:
+            break
+        # Where rounds no longer help, nodes are truly apart, and all pairs are compared.
+        across, last = float(sums["across"]), before
+        all_, before = across <= FEW * sums["entries"] or across > SLOW * last, across
+        more = _across(split, light, p) if all_ else _pivoted(split, turn, p)
+        more = session.settle(more.distinct().join(tried, ["a", "b"], "left_anti"), "more-pairs")
+        found = _verified(docs, named, more, p)
+        if all_:
+            comps = components.connected(links.unionByName(found))
+            break
+        turn += 1
+        entries = split.drop("comp")
+        links, tried = session.settle(links.unionByName(found), "links-so-far"), session.settle(tried.unionByName(more), "tried")
     grouped = owners.join(comps, "node", "left").select("node", "owner", F.coalesce("comp", "node").alias("comp"))
     lowest = grouped.groupBy("comp").agg(F.min("owner").alias("component_id"))
-    classes = session.settle(grouped.join(lowest, "comp").select("node", "component_id"), "classes")
+    classes = session.settle(grouped.join(lowest, "comp").select("node", "component_id", "comp"), "classes")
     rows = mine.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "node").join(classes, "node", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "comp")
 
 
 def first_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -380,7 +444,7 @@ def first_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     rows = session.settle(join(docs, p), "components")
     again = session.settle(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "repeated-ids")
-    own, node, comp, key = common.fresh(docs, "own_id", "own_node", "own_component", "own_key")
+    own, node, comp, key = common.fresh(docs, "own_id", "own_node", "own_first", "own_component")
     gone = rows.where("node is not null and doc_id <> component_id").select("doc_id").unionByName(again.where("doc_id is not null")).distinct()
     gone = session.settle(gone.withColumnRenamed("doc_id", own), "copies")
     kept = docs.where(F.col("doc_id").isNotNull()).join(common.sized(gone), F.col("doc_id") == F.col(own), "left_anti")
@@ -394,7 +458,7 @@ def first_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # Rows whose id does not name them: their set does.
     several = docs.join(common.sized(again.withColumnRenamed("doc_id", own)), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
     several = several.withColumn(node, node_of_text.asNondeterministic()(F.col("text")))
-    known = rows.where("node is not null").select(F.col("node").alias(own), F.col("component_id").alias(comp)).distinct()
+    known = rows.where("node is not null").select(F.col("node").alias(own), F.col("component_id").alias(comp), F.col("comp").alias(key)).distinct()
     placed = several.where(F.col(node).isNotNull()).join(known, F.col(node) == F.col(own)).where(F.col("doc_id").eqNullSafe(F.col(comp)))
-    placed = placed.withColumn(key, F.struct(F.col(comp), F.when(F.col(comp).isNull(), F.col(node)))).dropDuplicates([key])
+    placed = placed.dropDuplicates([key])
     return kept.unionByName(placed.select(*docs.columns)).unionByName(several.where(F.col(node).isNull()).select(*docs.columns))
