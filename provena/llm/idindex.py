@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,44 +44,50 @@ def _alphabet() -> dict[int, int]:
     return {**{b: b for b in plain}, **{b: 256 + i for i, b in enumerate(rest)}}
 
 
+class _Found(dict):
+    """Remembers what a function makes of a key."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        found = self[key] = self.make(key)
+        return found
+
+
 class Coder:
     """Encodes whole texts with a tokenizers file, each different word once as long as the
     memory holds them. A text falls apart before every single blank between two words, and
     such a piece by the pattern; the library's model merges each word."""
 
-    HELD = 600_000
+    HELD = 700_000
 
     def __init__(self, content: str, wide: bool):
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(content).model
-        self.find = regex.compile(PATTERN).findall
+        tokenize, find, alphabet, kind = Tokenizer.from_str(content).model.tokenize, regex.compile(PATTERN).findall, _alphabet(), "I" if wide else "H"
+
+        def word(text: str) -> bytes:
+            raw = text.encode("utf-8", "replace").decode("latin-1").translate(alphabet)
+            return array(kind, [t.id for t in tokenize(raw)]).tobytes()
+
         self.odd = re.compile(r" \s|\s ").search
-        self.alphabet, self.kind = _alphabet(), "<u4" if wide else "<u2"
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            raw = word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
-            found = self.words[word] = np.array([t.id for t in self.model.tokenize(raw)], self.kind).tobytes()
-        return found
+        self.words = words = _Found(word)
+        self.split = lambda text: b"".join(map(words.__getitem__, find(text)))
+        self.pieces = _Found(lambda piece: self.split(" " + piece))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.odd(text):
-            return b"".join(map(self._word, self.find(text)))
         if len(self.words) > self.HELD or len(self.pieces) > self.HELD:
             self.words.clear()
             self.pieces.clear()
+        if self.odd(text):
+            return self.split(text)
         head, *rest = text.split(" ")
-        known = self.pieces
-        for piece in {p for p in rest if p not in known}:
-            known[piece] = b"".join(map(self._word, self.find(" " + piece)))
-        return b"".join(itertools.chain(map(self._word, self.find(head)), map(known.__getitem__, rest)))
+        return self.split(head) + b"".join(map(self.pieces.__getitem__, rest))
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, p: Params = Params()) -> None:
