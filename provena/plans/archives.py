@@ -1,162 +1,22 @@
-"""Queries on document archives. The archives are made from the documents, one each."""
+"""Queries on the listings of archives."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
-import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from provena import session
-from provena.functions import tokens
 from provena.operators import packages
 from provena.plans.registry import query
-from provena.plans.shared_sql import define, stating
-from provena.sources import archives
 from provena.sources import tables as tb
 
-_NS = (
-    'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" '
-    'xmlns:o="urn:schemas-microsoft-com:office:office"'
-)
-
-
-def _run(text: str) -> str:
-    return f'<w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r>'
-
-
-def _document_xml(doc_id: int, text: str) -> str:
-    """The document part: a paragraph per line, then a table with a nested one."""
-    body = []
-    for i, line in enumerate(text.split("\n")):
-        style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>' if i % 3 == 0 else ""
-        mark = {1: '<w:bookmarkStart w:id="7" w:name="slot_a"/><w:bookmarkEnd w:id="7"/>', 2: '<w:bookmarkStart w:id="8" w:name="open"/>'}.get(i, "")
-        tail = "<w:r><w:tab/><w:t>end</w:t><w:br/></w:r>" if i % 4 == 1 else ""
-        body.append(f"<w:p>{style}{mark}{_run(line)}{tail}</w:p>")
-    if doc_id % 5 == 2:
-        body.append("<w:p><w:fldSimple/></w:p>")
-    if doc_id % 7 == 3:
-        body.append("<w:p><w:ins/><w:del/></w:p>")
-    if doc_id % 11 == 4:
-        body.append("<w:p><o:OLEObject/></w:p>")
-    inner = f"<w:tbl><w:tr><w:tc><w:p>{_run('inner')}</w:p></w:tc></w:tr></w:tbl>"
-    body.append(
-        f"<w:tbl><w:tr><w:tc><w:p>{_run('cell 0')}</w:p></w:tc></w:tr>"
-        f"<w:tr><w:tc><w:p>{_run('cell 1')}</w:p>{inner}</w:tc></w:tr></w:tbl>"
-    )
-    return f"<w:document {_NS}><w:body>{''.join(body)}</w:body></w:document>"
-
-
-def _archive(doc_id: int, text: str) -> bytes:
-    if doc_id % 23 == 22:
-        return b"PK not an archive"
-    turn = doc_id % 9
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        if turn != 5:
-            z.writestr("[Content_Types].xml", '<Types><Override PartName="/word/document.xml"/></Types>')
-        z.writestr("word/document.xml", _document_xml(doc_id, text))
-        for name, tag, words in (("footer10", "ftr", "tenth"), ("footer2", "ftr", "second"), ("header1", "hdr", f"Head {doc_id}")):
-            z.writestr(f"word/{name}.xml", f"<w:{tag} {_NS}><w:p>{_run(words)}</w:p></w:{tag}>")
-        if turn == 1:
-            z.writestr("word/a..b/../evil.bin", "x")
-        elif turn == 2:
-            z.writestr("/abs.bin", "x")
-        elif turn == 3:
-            link = zipfile.ZipInfo("word/link.bin")
-            link.create_system, link.external_attr = 3, 0o120777 << 16
-            z.writestr(link, "target")
-        elif turn == 4:
-            z.writestr("word/vbaProject.bin", "x")
-        elif turn == 6:
-            z.writestr("word/_rels/document.xml.rels", '<Relationships><R TargetMode="External"/></Relationships>')
-        elif turn == 7:
-            z.writestr("word/settings.xml", "<!DOCTYPE a><a/>")
-        elif turn == 8:
-            z.writestr("word/comments.xml", "<a/>")
-    return out.getvalue()
-
-
-@F.pandas_udf(T.BinaryType())
-def _packed(doc_id: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([_archive(d, t) for d, t in zip(doc_id, text)])
-
-
-def packed(spark, sf_dir) -> DataFrame:
-    """An archive per document, with a flaw that depends on its number."""
-    return tb.read(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("file"), _packed("doc_id", "text").alias("content")
-    )
-
-
-_LINES = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 23 <> 22"
-_EXTRA = "(doc_id % 5 = 2)::INT + (doc_id % 7 = 3)::INT + (doc_id % 11 = 4)::INT"
-
-
-@query(
-    "docx_paragraphs",
-    f"""
-SELECT doc_id::VARCHAR AS file, 'document' AS part, 0 AS part_no, i AS idx, CASE WHEN i % 3 = 0 THEN 'Heading1' END AS style_id, NULL AS cell_locator,
-   line || CASE WHEN i % 4 = 1 THEN chr(9) || 'end' || chr(10) ELSE '' END AS text, CASE WHEN i % 4 = 1 THEN 4 ELSE 1 END AS n_tokens, CASE WHEN i % 4 = 1 THEN 2 ELSE 1 END AS n_runs,
-   CASE i WHEN 1 THEN '7:slot_a:true' WHEN 2 THEN '8:open:false' ELSE '' END AS bookmarks, NULL AS problem FROM ({_LINES})
-UNION ALL
-SELECT doc_id::VARCHAR, 'document', 0, n + k, NULL, NULL, '', 0, 0, '', NULL FROM (SELECT DISTINCT doc_id, n FROM ({_LINES})) JOIN range(3) r(k) ON k < {_EXTRA}
-UNION ALL
-SELECT doc_id::VARCHAR, 'document', 0, n + {_EXTRA} + k, NULL, ['tbl[0]/tr[0]/tc[0]', 'tbl[0]/tr[1]/tc[0]', 'tbl[0]/tr[1]/tc[0]/tbl[0]/tr[0]/tc[0]'][(k + 1)::INT], ['cell 0', 'cell 1', 'inner'][(k + 1)::INT], 1, 1, '', NULL
-FROM (SELECT DISTINCT doc_id, n FROM ({_LINES})), range(3) r(k)
-UNION ALL
-SELECT doc_id::VARCHAR, part, part_no, 0, NULL, NULL, CASE part WHEN 'header1' THEN 'Head ' || doc_id::VARCHAR WHEN 'footer2' THEN 'second' ELSE 'tenth' END, 1, 1, '', NULL
-FROM (SELECT DISTINCT doc_id FROM ({_LINES})), (VALUES ('header1', 1), ('footer2', 2), ('footer10', 3)) v(part, part_no)
-UNION ALL
-SELECT doc_id::VARCHAR, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not a readable ZIP archive: File is not a zip file' FROM documents WHERE doc_id % 23 = 22""",
-)
-def docx_paragraphs(spark, sf_dir):
-    rows = archives.paragraphs(packed(spark, sf_dir))
-    marks = F.transform("bookmarks", lambda b: F.concat_ws(":", b["id"], b["name"], b["closed"].cast("string")))
-    known = F.col("tokens").isNotNull()
-    return rows.select(
-        "file", "part", "part_no", "idx", "style_id", "cell_locator",
-        tokens.plain_text(F.col("tokens")).alias("text"),
-        F.when(known, F.size("tokens")).alias("n_tokens"), F.when(known, F.size("run_texts")).alias("n_runs"),
-        F.array_join(marks, ",").alias("bookmarks"), "problem",
-    )
-
-
-define(
-    "zip_names",
-    """
-SELECT doc_id, unnest(list_filter(['[Content_Types].xml', 'word/document.xml', 'word/footer10.xml', 'word/footer2.xml', 'word/header1.xml', 'word/a..b/../evil.bin', '/abs.bin', 'word/link.bin', 'word/vbaProject.bin',
-   'word/_rels/document.xml.rels', 'word/settings.xml', 'word/comments.xml'], lambda e, i: CASE WHEN i = 1 THEN doc_id % 9 <> 5 WHEN i <= 5 THEN TRUE
-   ELSE i - 5 = [1, 2, 3, 4, 0, 5, 6, 7][(doc_id % 9)::INT] AND doc_id % 9 > 0 END)) AS entry FROM documents WHERE doc_id % 23 <> 22""",
-)
-
-
-@query(
-    "zip_inventory",
-    stating(
-        "zip_names",
-        """
-SELECT doc_id::VARCHAR AS file, entry, entry = 'word/link.bin' AS is_symlink, CASE WHEN entry LIKE '%.xml' OR entry LIKE '%.rels' THEN entry = 'word/settings.xml' END AS has_doctype,
-   CASE WHEN entry LIKE '%.xml' OR entry LIKE '%.rels' THEN entry LIKE '%.rels' END AS external_target, NULL AS problem FROM zip_names
-UNION ALL SELECT doc_id::VARCHAR, NULL, NULL, NULL, NULL, 'not a readable ZIP archive: File is not a zip file' FROM documents WHERE doc_id % 23 = 22""",
-    ),
-)
-def zip_inventory(spark, sf_dir):
-    return archives.entries(packed(spark, sf_dir)).select("file", "entry", "is_symlink", "has_doctype", "external_target", "problem")
-
 
 @query(
     "archive_limits",
     """
 SELECT l_orderkey::VARCHAR AS file, u.code AS code, 'package' AS locator, u.detail AS detail FROM (
   SELECT l_orderkey, unnest(list_filter([
-    CASE WHEN max(b) > 900000 THEN {'code': 'ZIP_OVERSIZED', 'detail': max(b)::VARCHAR || ' bytes; limit is 900000'} END,
-    CASE WHEN count(*) > 6 THEN {'code': 'ZIP_TOO_MANY_ENTRIES', 'detail': count(*)::VARCHAR || ' entries; limit is 6'} END,
-    CASE WHEN sum(s) > 200 THEN {'code': 'ZIP_EXPANSION_OVER_LIMIT', 'detail': sum(s)::BIGINT::VARCHAR || ' declared bytes; limit is 200'} END], lambda x: x IS NOT NULL)) AS u
+    CASE WHEN max(b) > 900000 THEN {'code': 'ZIP_OVERSIZED', 'detail': 'has ' || max(b)::VARCHAR || ' bytes, 900000 allowed'} END,
+    CASE WHEN count(*) > 6 THEN {'code': 'ZIP_TOO_MANY_ENTRIES', 'detail': 'has ' || count(*)::VARCHAR || ' entries, 6 allowed'} END,
+    CASE WHEN sum(s) > 200 THEN {'code': 'ZIP_EXPANSION_OVER_LIMIT', 'detail': 'has ' || sum(s)::BIGINT::VARCHAR || ' declared bytes, 200 allowed'} END], lambda x: x IS NOT NULL)) AS u
   FROM (SELECT l_orderkey, (l_extendedprice * 10)::BIGINT AS b, l_quantity::BIGINT AS s FROM lineitem) GROUP BY l_orderkey)""",
 )
 def archive_limits(spark, sf_dir):
@@ -166,38 +26,3 @@ def archive_limits(spark, sf_dir):
         F.bround("l_quantity").cast("bigint").alias("declared_size"),
     )
     return packages.limits(entries, max_entries=6, max_bytes=900000, max_expanded=200)
-
-
-_UNSUPPORTED = """
-SELECT doc_id::VARCHAR AS file, u.code AS code, u.locator AS locator, u.detail AS detail FROM (SELECT doc_id, unnest(list_filter([
-   CASE WHEN doc_id % 5 = 2 THEN {'code': 'UNSUPPORTED_FIELD', 'locator': 'word/document.xml:fldSimple', 'detail': '1 occurrence(s) of unsupported element'} END,
-   CASE WHEN doc_id % 7 = 3 THEN {'code': 'UNSUPPORTED_REVISION', 'locator': 'word/document.xml:ins', 'detail': '2 occurrence(s) of unsupported element'} END,
-   CASE WHEN doc_id % 11 = 4 THEN {'code': 'UNSUPPORTED_OLE_OBJECT', 'locator': 'word/document.xml:OLEObject', 'detail': '1 occurrence(s) of unsupported element'} END,
-   CASE WHEN doc_id % 9 = 8 THEN {'code': 'UNSUPPORTED_COMMENT', 'locator': 'word/comments.xml', 'detail': 'unsupported text-bearing part'} END], lambda x: x IS NOT NULL)) AS u
-FROM documents WHERE doc_id % 23 <> 22)"""
-
-
-@query("unsupported_elements", _UNSUPPORTED)
-def unsupported_elements(spark, sf_dir):
-    made = packed(spark, sf_dir)
-    # Only the few kinds of element that matter leave the reader's stage.
-    elements = session.settle(archives.elements(made).filter(packages.relevant()), "elements")
-    return packages.unsupported(elements, archives.entries(made))
-
-
-@query(
-    "archive_safety",
-    """
-SELECT doc_id::VARCHAR AS file, u.code AS code, u.locator AS locator, u.detail AS detail FROM (SELECT doc_id, CASE WHEN doc_id % 23 = 22 THEN
-     {'code': 'ZIP_INVALID', 'locator': 'package', 'detail': 'not a readable ZIP archive: File is not a zip file'} ELSE CASE doc_id % 9
-   WHEN 1 THEN {'code': 'ZIP_UNSAFE_ENTRY_NAME', 'locator': 'word/a..b/../evil.bin', 'detail': '''..'' in component ''a..b''; ''..'' in component ''..'''}
-   WHEN 2 THEN {'code': 'ZIP_UNSAFE_ENTRY_NAME', 'locator': '/abs.bin', 'detail': 'absolute entry path'}
-   WHEN 3 THEN {'code': 'ZIP_SYMLINK_ENTRY', 'locator': 'word/link.bin', 'detail': 'entry is a symlink'}
-   WHEN 4 THEN {'code': 'ZIP_MACRO_PART', 'locator': 'word/vbaProject.bin', 'detail': 'macro-bearing part'}
-   WHEN 5 THEN {'code': 'ZIP_MISSING_CONTENT_TYPES', 'locator': '[Content_Types].xml', 'detail': 'package is not a normal DOCX structure'}
-   WHEN 6 THEN {'code': 'ZIP_EXTERNAL_RELATIONSHIP', 'locator': 'word/_rels/document.xml.rels', 'detail': 'relationship targets an external resource'}
-   WHEN 7 THEN {'code': 'XML_DOCTYPE', 'locator': 'word/settings.xml', 'detail': 'DOCTYPE declaration in XML part'} END END AS u FROM documents) WHERE u IS NOT NULL""",
-)
-def archive_safety(spark, sf_dir):
-    # Several checks read the entries; the archives are opened once.
-    return packages.safety(session.settle(archives.entries(packed(spark, sf_dir)), "entries"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import html
-import io
-import zipfile
 from html.parser import HTMLParser
 
 import pytest
@@ -13,59 +11,17 @@ from pyspark.sql import functions as F
 from provena import session
 from provena.functions import web as wf
 from provena.operators import packages, templates, web
-from provena.plans import archives as made
-from provena.sources import archives, sinks
+from provena.sources import sinks
 from provena.streaming import feeds
 
 
-def zipped(entries):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, data in entries:
-            z.writestr(name, data)
-    return bytearray(out.getvalue())
-
-
-def frame(spark, files):
-    return spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "file string, content binary")
-
-
-def test_archives_are_read_from_files(spark, tmp_path):
-    for doc_id in (0, 22):
-        (tmp_path / f"{doc_id}.docx").write_bytes(made._archive(doc_id, "Title\nline <&>\nend"))
-    listed = archives.files(spark, str(tmp_path))
-    rows = archives.paragraphs(listed).filter("part = 'document'").orderBy("idx").collect()
-    assert [t.text for t in rows[1].tokens] == ["line <&>", None, "end", None]
-    assert rows[-1].cell_locator == "tbl[0]/tr[1]/tc[0]/tbl[0]/tr[0]/tc[0]"
-    assert [(b.name, b.closed) for b in rows[1].bookmarks] == [("slot_a", True)]
-    broken = archives.entries(listed).filter("problem IS NOT NULL").collect()
-    assert len(broken) == 1 and "not a readable ZIP" in broken[0].problem
-
-
-def test_hostile_parts_are_refused(spark):
-    w = f"<w:document {made._NS}><w:body>"
-    deep = w + "<w:p>" * 200 + "</w:p>" * 200 + "</w:body></w:document>"
-    files = {
-        "deep": zipped([("word/document.xml", deep)]),
-        "doctype": zipped([("word/document.xml", "<!DOCTYPE a>" + w + "</w:body></w:document>")]),
-        "long": zipped([("word/document.xml", b"<a>" + b" " * archives.READ_CAP + b"</a>")]),
-        "torn": zipped([("word/document.xml", "<a><b></a>")]),
+def test_listings_over_a_limit(spark):
+    rows = spark.createDataFrame([("f", "a", 10, 5), ("f", "b", 10, 6), ("g", "a", 99, 1), ("h", None, 1, None)], "file string, entry string, file_bytes bigint, declared_size bigint")
+    got = {(r.file, r.code, r.detail) for r in packages.limits(rows, max_entries=1, max_bytes=50, max_expanded=10).collect()}
+    assert got == {
+        ("f", "ZIP_TOO_MANY_ENTRIES", "has 2 entries, 1 allowed"), ("f", "ZIP_EXPANSION_OVER_LIMIT", "has 11 declared bytes, 10 allowed"),
+        ("g", "ZIP_OVERSIZED", "has 99 bytes, 50 allowed"),
     }
-    got = {r.file: r.problem for r in archives.paragraphs(frame(spark, files)).collect()}
-    assert "deep" in got["deep"] and "DOCTYPE" in got["doctype"] and "cap" in got["long"] and "well-formed" in got["torn"]
-
-
-@pytest.mark.parametrize(
-    "extra, code",
-    [(("/abs", "x"), "ZIP_UNSAFE_ENTRY_NAME"), (("a\\b", "x"), "ZIP_UNSAFE_ENTRY_NAME"), (("x..y", "x"), "ZIP_UNSAFE_ENTRY_NAME"),
-     (("word/vbaProject.bin", "x"), "ZIP_MACRO_PART"), (("word/_rels/a.rels", "TargetMode='External'"), "ZIP_EXTERNAL_RELATIONSHIP"),
-     (("a.xml", "<!doctype x>"), "XML_DOCTYPE")],
-)
-def test_one_defect_one_finding(spark, extra, code):
-    whole = [("[Content_Types].xml", "word/document.xml"), ("word/document.xml", "<a/>")]
-    found = packages.safety(archives.entries(frame(spark, {"f": zipped([*whole, extra])}))).collect()
-    assert [r.code for r in found] == [code]
-    assert packages.safety(archives.entries(frame(spark, {"f": zipped(whole)}))).count() == 0
 
 
 class Stripper(HTMLParser):
