@@ -34,27 +34,6 @@ def path_problem(path: Column) -> Column:
     )
 
 
-def entry_name_problem(name: Column) -> Column:
-    """Why an archive entry name is refused; here any component holding ``..`` is."""
-    return F.when(name.startswith("/"), F.lit("absolute entry path")).otherwise(
-        F.nullif(
-            F.concat_ws(
-                "; ",
-                F.when(name.contains("\\"), F.lit("backslash in entry name")),
-                F.when(name.contains("\x00"), F.lit("NUL byte in entry name")),
-                F.array_join(
-                    F.transform(
-                        F.filter(F.split(name, "/"), lambda p: p.contains("..")),
-                        lambda p: F.concat(F.lit("'..' in component '"), p, F.lit("'")),
-                    ),
-                    "; ",
-                ),
-            ),
-            F.lit(""),
-        )
-    )
-
-
 def placeholder_name(text: Column) -> Column:
     """The name in a stand-alone ``{{ name }}``, NULL when the text is none."""
     token = F.trim(text)

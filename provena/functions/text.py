@@ -130,14 +130,15 @@ def offence_message(text: Column, positions: Column, limit: int = 5) -> Column:
     )
 
 
-def query_text(query: Column, limit: int = 400) -> Column:
-    """A search query as sent: outer whitespace off, at most ``limit`` points."""
-    return F.substr(F.regexp_replace(query, r"^\s+|\s+$", ""), F.lit(1), F.lit(limit))
+def query_text(query: Column, limit: int | None = None) -> Column:
+    """A search query as sent: outer white space of any script off, at most ``limit`` points."""
+    bare = F.regexp_replace(query, r"(?U)^\s+|\s+$", "")
+    return bare if limit is None else F.substr(bare, F.lit(1), F.lit(limit))
 
 
 def query_terms(query: Column) -> Column:
-    """Whitespace-separated terms, first occurrence order, no repeats."""
-    return F.array_distinct(F.filter(F.split(query, r"\s+"), lambda t: t != ""))
+    """Terms between white space of any script, first occurrence order, no repeats."""
+    return F.array_distinct(F.filter(F.split(query, r"(?U)\s+"), lambda t: t != ""))
 
 
 def basename(path: Column) -> Column:

@@ -15,7 +15,8 @@ CATEGORIES = ("web_search", "web_fetch")
 MAX_PAGE_BYTES = 2 * 1024 * 1024
 MAX_PAGE_CHARS = 20000
 
-#: Charsets Spark decodes itself; all others fall back to UTF-8 with replacement.
+#: Charsets that are decoded in the JVM, by the names a page may give them (fixed values).
+UTF8 = ("utf-8", "utf8")
 LATIN = ("iso-8859-1", "latin-1", "latin1")
 ASCII = ("us-ascii", "ascii")
 
@@ -79,11 +80,27 @@ def charset(content_type: Column) -> Column:
     return F.nullif(F.lower(found), F.lit(""))
 
 
+@F.arrow_udf(T.StringType())
+def _decode(bodies: pa.Array, names: pa.Array) -> pa.Array:
+    def text(body: bytes | None, name: str | None) -> str | None:
+        if body is None:
+            return None
+        try:
+            return body.decode(name, "replace")
+        except LookupError:
+            return body.decode("utf-8", "replace")
+
+    return pa.array([text(b, n) for b, n in zip(bodies.to_pylist(), names.to_pylist())], pa.string())
+
+
 def decode_body(body: Column, content_type: Column) -> Column:
-    """Bytes to text by declared charset, else UTF-8 with replacement characters."""
+    """Bytes to text by declared charset, else UTF-8, with replacement characters.
+
+    UTF-8, Latin-1 and ASCII are read in the JVM; rows of any other charset go to Arrow."""
     name = charset(content_type)
     plain = F.make_valid_utf8(body.cast("string"))
-    return F.when(name.isin(*LATIN), F.decode(body, "ISO-8859-1")).when(
+    other = name.isNotNull() & ~name.isin(*LATIN, *ASCII, *UTF8)
+    return F.when(other, F.coalesce(_decode(F.when(other, body), F.when(other, name)), plain)).when(name.isin(*LATIN), F.decode(body, "ISO-8859-1")).when(
         name.isin(*ASCII) & F.is_valid_utf8(body.cast("string")) & (F.octet_length(body) == F.length(plain)), plain
     ).otherwise(plain)
 

@@ -157,19 +157,19 @@ def sequence_problems(expected: DataFrame, candidate: DataFrame) -> DataFrame:
     first, n = F.col("first_pos"), F.col("_n")
     unfilled = units.filter(F.col("slot_id").isNotNull() & ~F.col("in_ir") & (first < n)).select(
         "task_id", first.alias("at"), F.lit(1).alias("step"),
-        F.concat(F.lit("template placeholder for "), F.col("slot_id"), F.lit(" has no IR slot")).alias("message"),
+        F.concat(F.lit("placeholder of "), F.col("slot_id"), F.lit(" was not rendered")).alias("message"),
     )
     inside = units.filter(F.col("slot_id").isNotNull() & (first < n) & (first + F.col("n_expected") > n)).select(
         "task_id", n.alias("at"), F.lit(2).alias("step"),
-        F.concat(F.lit("document ended inside slot "), F.col("slot_id")).alias("message"),
+        F.concat(F.lit("candidate ends within slot "), F.col("slot_id")).alias("message"),
     )
     unread = units.filter(first >= n).groupBy("task_id").agg(F.min("_n").alias("at"), F.min("idx").alias("_idx")).select(
         "task_id", "at", F.lit(3).alias("step"),
-        F.concat(F.lit("template not fully consumed at paragraph "), F.col("_idx").cast("string")).alias("message"),
+        F.concat(F.lit("template left over from paragraph "), F.col("_idx").cast("string")).alias("message"),
     )
     extra = diff.filter(F.col("verdict") == "extra").groupBy("task_id").agg(F.min("pos").alias("at"), F.count("*").alias("_x")).select(
         "task_id", "at", F.lit(4).alias("step"),
-        F.concat(F.lit("candidate has "), F.col("_x").cast("string"), F.lit(" extra paragraph(s)")).alias("message"),
+        F.concat(F.lit("candidate has "), F.col("_x").cast("string"), F.lit(" more paragraph(s) than expected")).alias("message"),
     )
     return union_all([wrong, unfilled, inside, unread, extra])
 
@@ -179,8 +179,8 @@ def part_problems(template_parts: DataFrame, candidate_parts: DataFrame) -> Data
     mine = template_parts.select("task_id", "part", F.col("text").alias("_expected"))
     theirs = candidate_parts.select("task_id", "part", F.col("text").alias("_actual"))
     message = F.when(
-        F.col("_expected").isNull(), F.concat(F.lit("candidate introduces new part "), F.col("part"))
-    ).otherwise(F.concat(F.lit("part "), F.col("part"), F.lit(" differs from the template version")))
+        F.col("_expected").isNull(), F.concat(F.lit("part not in template: "), F.col("part"))
+    ).otherwise(F.concat(F.lit("part "), F.col("part"), F.lit(" is not the template's text")))
     joined = mine.join(theirs, ["task_id", "part"], "full_outer")
     return joined.filter(~F.col("_expected").eqNullSafe(F.col("_actual"))).select("task_id", "part", message.alias("message"))
 
@@ -232,8 +232,8 @@ def region_problems(recomputed: DataFrame, recorded: DataFrame) -> DataFrame:
     """Recomputed region digests (task_id, region_id, text_sha256) against the contract's."""
     held = recorded.select("task_id", "region_id", F.col("text_sha256").alias("_held"))
     name = F.concat(F.lit("region "), F.col("region_id"))
-    message = F.when(F.col("_held").isNull(), F.concat(name, F.lit(" unknown to contract"))).otherwise(
-        F.concat(name, F.lit(" digest drift"))
+    message = F.when(F.col("_held").isNull(), F.concat(name, F.lit(" is not in the contract"))).otherwise(
+        F.concat(name, F.lit(" has another digest"))
     )
     joined = recomputed.join(held, ["task_id", "region_id"], "left")
     return joined.filter(~F.col("text_sha256").eqNullSafe(F.col("_held"))).select("task_id", "region_id", message.alias("message"))
@@ -249,8 +249,8 @@ def scope_problems(ir_spans: DataFrame, artifacts: DataFrame) -> DataFrame:
     name = F.col("artifact_id")
     message = (
         F.when(F.col("_owner").isNull(), F.concat(name, F.lit(": not registered")))
-        .when(F.col("_owner") != F.col("task_id"), F.concat(name, F.lit(": belongs to task "), F.col("_owner")))
-        .when(F.col("_sha") != F.col("canonical_sha256"), F.concat(name, F.lit(": canonical hash drift")))
+        .when(F.col("_owner") != F.col("task_id"), F.concat(name, F.lit(": held by task "), F.col("_owner")))
+        .when(F.col("_sha") != F.col("canonical_sha256"), F.concat(name, F.lit(": text has changed")))
     )
     return joined.withColumn("message", message).filter(F.col("message").isNotNull()).select(
         "task_id", "slot_id", "span_no", "message"
@@ -271,10 +271,10 @@ def span_problems(ir_spans: DataFrame, artifacts: DataFrame) -> DataFrame:
     sound = ~tampered & ~moved
     found = F.array_compact(
         F.array(
-            F.when(tampered, F.concat(F.col("artifact_id"), F.lit(": file verify failed"))),
-            F.when(~tampered & moved, F.concat(F.col("artifact_id"), F.lit(": canonical hash mismatch after load"))),
-            F.when(sound & (sha(F.col("_piece")) != F.col("span_sha256")), F.concat(place, F.lit(": span hash mismatch"))),
-            F.when(sound & F.col("_piece").rlike(tx.CONTROLS), F.concat(place, F.lit(": forbidden control characters"))),
+            F.when(tampered, F.concat(F.col("artifact_id"), F.lit(": stored text differs from its hash"))),
+            F.when(~tampered & moved, F.concat(F.col("artifact_id"), F.lit(": hash differs from the bound one"))),
+            F.when(sound & (sha(F.col("_piece")) != F.col("span_sha256")), F.concat(place, F.lit(": span text has changed"))),
+            F.when(sound & F.col("_piece").rlike(tx.CONTROLS), F.concat(place, F.lit(": holds control characters"))),
         )
     )
     return joined.select("task_id", "slot_id", "span_no", F.explode(found).alias("message"))
@@ -287,7 +287,7 @@ def coverage_problems(ir_regions: DataFrame, contract_regions: DataFrame, irs: D
     """
     foreign = ir_regions.filter(F.col("ref_version") != F.col("template_version_id")).select(
         "task_id", F.lit(0).alias("kind"), F.col("region_id"),
-        F.concat(F.lit("region "), F.col("region_id"), F.lit(": foreign template version")).alias("message"),
+        F.concat(F.lit("region "), F.col("region_id"), F.lit(": of another template version")).alias("message"),
     )
     plans = irs.select("task_id", "template_version_id").unionByName(ir_regions.select("task_id", "template_version_id")).distinct()
     wanted = plans.join(contract_regions.select("template_version_id", "region_id"), "template_version_id").withColumn("_c", F.lit(True))
@@ -296,7 +296,7 @@ def coverage_problems(ir_regions: DataFrame, contract_regions: DataFrame, irs: D
     uneven = both.filter(F.col("_c").isNull() | F.col("_i").isNull()).select(
         "task_id", F.when(F.col("_i").isNull(), 1).otherwise(2).alias("kind"), "region_id",
         F.concat(
-            F.when(F.col("_i").isNull(), F.lit("uncovered region: ")).otherwise(F.lit("unknown region: ")), F.col("region_id")
+            F.when(F.col("_i").isNull(), F.lit("region left out: ")).otherwise(F.lit("region not in contract: ")), F.col("region_id")
         ).alias("message"),
     )
     return foreign.unionByName(uneven)
@@ -316,9 +316,9 @@ def override_problems(ir_slots: DataFrame, tasks: DataFrame, overrides: DataFram
         .join(held, "override_artifact_id", "left")
     )
     message = (
-        F.when(F.col("_active").isNull(), F.lit("no recorded user omission for this slot/epoch"))
-        .when(F.col("_owner").isNull(), F.lit("override artifact not registered"))
-        .when(F.col("_owner") != F.col("task_id"), F.concat(F.lit("override artifact belongs to "), F.col("_owner")))
+        F.when(F.col("_active").isNull(), F.lit("no omission recorded in this epoch"))
+        .when(F.col("_owner").isNull(), F.lit("omission artifact unknown"))
+        .when(F.col("_owner") != F.col("task_id"), F.concat(F.lit("omission artifact held by "), F.col("_owner")))
     )
     return joined.select("task_id", "slot_id", message.alias("message"))
 

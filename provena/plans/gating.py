@@ -234,7 +234,7 @@ def paragraph_diff(spark, sf_dir):
 define(
     "parts_diff",
     """
-SELECT task_id, part, CASE WHEN part = 'footer2' THEN 'candidate introduces new part footer2' ELSE 'part ' || part || ' differs from the template version' END AS message
+SELECT task_id, part, CASE WHEN part = 'footer2' THEN 'part not in template: footer2' ELSE 'part ' || part || ' is not the template''s text' END AS message
 FROM (SELECT task_id, 'header1' AS part FROM ir_tasks WHERE task_no % 8 = 5 UNION ALL SELECT task_id, 'footer1' FROM ir_tasks WHERE task_no % 7 = 3
       UNION ALL SELECT task_id, 'footer2' FROM ir_tasks WHERE task_no % 9 = 4)""",
     "ir_tasks",
@@ -332,7 +332,7 @@ def region_digest(spark, sf_dir):
 
 
 _DRIFT = """
-SELECT task_id, 'r' || idx::VARCHAR AS region_id, CASE WHEN idx = 2 THEN 'region r2 unknown to contract' ELSE 'region r0 digest drift' END AS message
+SELECT task_id, 'r' || idx::VARCHAR AS region_id, CASE WHEN idx = 2 THEN 'region r2 is not in the contract' ELSE 'region r0 has another digest' END AS message
 FROM template WHERE (idx = 0 AND task_no % 12 = 7) OR (idx = 2 AND task_no % 12 = 8)"""
 
 
@@ -363,13 +363,13 @@ SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY place, step, part, me
          ELSE 'slot ' || e.slot_id || ' paragraph ' || e.pos::VARCHAR || ' mismatch' END AS message
   FROM expected e JOIN candidate c ON c.task_id = e.task_id AND c.pos = e.pos WHERE c.text <> e.text
   UNION ALL
-  SELECT DISTINCT e.task_id, n.n, 2, '', 'document ended inside slot ' || e.slot_id FROM expected e JOIN (SELECT task_id, count(*) AS n FROM candidate GROUP BY 1) n USING (task_id)
+  SELECT DISTINCT e.task_id, n.n, 2, '', 'candidate ends within slot ' || e.slot_id FROM expected e JOIN (SELECT task_id, count(*) AS n FROM candidate GROUP BY 1) n USING (task_id)
   WHERE e.slot_id IS NOT NULL AND e.first_pos < n.n AND e.first_pos + e.n_expected > n.n
   UNION ALL
-  SELECT e.task_id, n.n, 3, '', 'template not fully consumed at paragraph ' || min(e.idx)::VARCHAR FROM expected e JOIN (SELECT task_id, count(*) AS n FROM candidate GROUP BY 1) n USING (task_id)
+  SELECT e.task_id, n.n, 3, '', 'template left over from paragraph ' || min(e.idx)::VARCHAR FROM expected e JOIN (SELECT task_id, count(*) AS n FROM candidate GROUP BY 1) n USING (task_id)
   WHERE e.first_pos >= n.n GROUP BY e.task_id, n.n
   UNION ALL
-  SELECT task_id, max(pos), 4, '', 'candidate has 1 extra paragraph(s)' FROM candidate WHERE task_no % 5 = 1 GROUP BY task_id
+  SELECT task_id, max(pos), 4, '', 'candidate has 1 more paragraph(s) than expected' FROM candidate WHERE task_no % 5 = 1 GROUP BY task_id
   UNION ALL
   SELECT task_id, 4611686018427387904, 5, part, message FROM parts_diff)""",
     "expected", "candidate", "parts_diff",
@@ -434,15 +434,15 @@ define(
     "a_scope",
     """
 SELECT * FROM (SELECT a.task_id, a.slot_id, a.span_no, CASE WHEN r.artifact_id IS NULL THEN a.artifact_id || ': not registered'
-   WHEN r.task_id <> a.task_id THEN a.artifact_id || ': belongs to task ' || r.task_id WHEN r.sha256 <> a.canonical_sha256 THEN a.artifact_id || ': canonical hash drift' END AS message
+   WHEN r.task_id <> a.task_id THEN a.artifact_id || ': held by task ' || r.task_id WHEN r.sha256 <> a.canonical_sha256 THEN a.artifact_id || ': text has changed' END AS message
 FROM a_spans a LEFT JOIN registered r USING (artifact_id)) WHERE message IS NOT NULL""",
     "a_spans", "registered",
 )
 define(
     "a_verify",
     """
-SELECT * FROM (SELECT a.task_id, a.slot_id, a.span_no, CASE WHEN r.sha256 <> a.canonical_sha256 THEN a.artifact_id || ': canonical hash mismatch after load'
-   WHEN sha256(substring(r.text, a.span_start + 1, a.span_end - a.span_start)) <> a.span_sha256 THEN '[' || a.span_start::VARCHAR || ',' || a.span_end::VARCHAR || '): span hash mismatch' END AS message
+SELECT * FROM (SELECT a.task_id, a.slot_id, a.span_no, CASE WHEN r.sha256 <> a.canonical_sha256 THEN a.artifact_id || ': hash differs from the bound one'
+   WHEN sha256(substring(r.text, a.span_start + 1, a.span_end - a.span_start)) <> a.span_sha256 THEN '[' || a.span_start::VARCHAR || ',' || a.span_end::VARCHAR || '): span text has changed' END AS message
 FROM a_spans a JOIN registered r USING (artifact_id)) WHERE message IS NOT NULL""",
     "a_spans", "registered",
 )
@@ -456,18 +456,18 @@ FROM ir_tasks, (VALUES ('r0'), ('r1'), ('r2'), ('r9')) v(region_id) WHERE CASE r
 define(
     "a_coverage",
     """
-SELECT task_id, 0 AS kind, region_id, 'region ' || region_id || ': foreign template version' AS message FROM a_regions WHERE ref_version <> template_version_id
-UNION ALL SELECT task_id, 1, c.region_id, 'uncovered region: ' || c.region_id FROM ir_tasks t, (VALUES ('r0'), ('r1'), ('r2')) c(region_id)
+SELECT task_id, 0 AS kind, region_id, 'region ' || region_id || ': of another template version' AS message FROM a_regions WHERE ref_version <> template_version_id
+UNION ALL SELECT task_id, 1, c.region_id, 'region left out: ' || c.region_id FROM ir_tasks t, (VALUES ('r0'), ('r1'), ('r2')) c(region_id)
    WHERE NOT EXISTS (SELECT 1 FROM a_regions a WHERE a.task_id = t.task_id AND a.region_id = c.region_id)
-UNION ALL SELECT task_id, 2, region_id, 'unknown region: ' || region_id FROM a_regions WHERE region_id NOT IN ('r0', 'r1', 'r2')""",
+UNION ALL SELECT task_id, 2, region_id, 'region not in contract: ' || region_id FROM a_regions WHERE region_id NOT IN ('r0', 'r1', 'r2')""",
     "a_regions", "ir_tasks",
 )
 define(
     "a_override",
     """
-SELECT task_id, slot_id, CASE WHEN task_no % 20 = 13 THEN 'no recorded user omission for this slot/epoch'
-   WHEN task_no % 20 = 3 AND NOT EXISTS (SELECT 1 FROM materials m WHERE m.doc_id = (i.task_no + 1) * 20) THEN 'override artifact not registered'
-   WHEN task_no % 20 = 3 THEN 'override artifact belongs to task_' || lpad((task_no + 1)::VARCHAR, 32, '0') END AS message
+SELECT task_id, slot_id, CASE WHEN task_no % 20 = 13 THEN 'no omission recorded in this epoch'
+   WHEN task_no % 20 = 3 AND NOT EXISTS (SELECT 1 FROM materials m WHERE m.doc_id = (i.task_no + 1) * 20) THEN 'omission artifact unknown'
+   WHEN task_no % 20 = 3 THEN 'omission artifact held by task_' || lpad((task_no + 1)::VARCHAR, 32, '0') END AS message
 FROM ir_ready i WHERE override_artifact_id IS NOT NULL""",
     "ir_ready", "materials",
 )

@@ -393,22 +393,26 @@ def paragraph_text(spark, sf_dir):
 @query(
     "query_normalise",
     """
-SELECT conv_id, turn, length(q) AS sent_length, len(terms) AS n_terms, array_to_string(terms[1:6], '|') AS first_terms
+SELECT conv_id, turn, length(q) AS sent_length, len(terms) AS n_terms, array_to_string(terms, '|') AS terms
 FROM (SELECT conv_id, turn, q, list_transform(list_sort(list_transform(list_distinct(w), lambda x: [lpad(list_position(w, x)::VARCHAR, 9, '0'), x])), lambda p: p[2]) AS terms
-      FROM (SELECT conv_id, turn, q, list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '') AS w
-            FROM (SELECT conv_id, turn, substring(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 400) AS q
+      FROM (SELECT conv_id, turn, q, list_filter(regexp_split_to_array(q, '[\\s\\x{3000}]+'), lambda x: x <> '') AS w
+            FROM (SELECT conv_id, turn, regexp_replace(CASE turn % 3 WHEN 0 THEN replace(text, ' ', chr(12288)) WHEN 1 THEN replace(text, ' ', chr(9)) ELSE text END,
+                         '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g') AS q
                   FROM conversations WHERE role = 'user')))
 WHERE q <> ''""",
 )
 def query_normalise(spark, sf_dir):
     asked = tb.read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    sent = asked.select("conv_id", "turn", tx.query_text(F.col("text")).alias("_q")).filter(F.col("_q") != "")
+    # Typed with ideographic blanks or tabs in some turns.
+    turn = F.col("turn") % 3
+    typed = F.when(turn == 0, F.replace("text", F.lit(" "), F.lit("\u3000"))).when(turn == 1, F.replace("text", F.lit(" "), F.lit("\t"))).otherwise(F.col("text"))
+    sent = asked.select("conv_id", "turn", tx.query_text(typed).alias("_q")).filter(F.col("_q") != "")
     terms = tx.query_terms(F.col("_q"))
     return sent.select(
         "conv_id", "turn",
         tx.code_points(F.col("_q")).alias("sent_length"),
         F.size(terms).cast("bigint").alias("n_terms"),
-        F.array_join(F.slice(terms, 1, 6), "|").alias("first_terms"),
+        F.array_join(terms, "|").alias("terms"),
     )
 
 

@@ -80,9 +80,9 @@ WHOLE = ["Title", "one", "two", "Mid", "", "End"]
     "candidate, messages",
     [
         (WHOLE, []),
-        (WHOLE + ["more"], ["candidate has 1 extra paragraph(s)"]),
-        (WHOLE[:-1], ["template not fully consumed at paragraph 4"]),
-        (WHOLE[:2], ["document ended inside slot sales", "template not fully consumed at paragraph 2"]),
+        (WHOLE + ["more"], ["candidate has 1 more paragraph(s) than expected"]),
+        (WHOLE[:-1], ["template left over from paragraph 4"]),
+        (WHOLE[:2], ["candidate ends within slot sales", "template left over from paragraph 2"]),
         (["Title", "one", "2", "Mid", "", "end"], ["slot sales paragraph 2 mismatch", "static paragraph 5 changed"]),
     ],
 )
@@ -98,7 +98,7 @@ def test_unrendered_slot_has_no_paragraph(spark):
     ir = spark.createDataFrame([], "task_id string, slot_id string, override_artifact_id string")
     have = spark.createDataFrame([("t", 0, "End")], "task_id string, pos bigint, text string")
     rows = gates.sequence_problems(gates.assemble(template, spans, ir), have).collect()
-    assert [r.message for r in rows] == ["template placeholder for sales has no IR slot"]
+    assert [r.message for r in rows] == ["placeholder of sales was not rendered"]
 
 
 def test_span_problems_see_controls_and_tampering(spark):
@@ -107,7 +107,7 @@ def test_span_problems_see_controls_and_tampering(spark):
     rows = [("t", "s", i, k, 0, len(v), sha(v), sha(v)) for i, (k, v) in enumerate(texts.items())] + [("t", "s", 3, "b", 0, 2, sha("plain"), sha("x"))]
     ir = spark.createDataFrame(rows, "task_id string, slot_id string, span_no int, artifact_id string, span_start bigint, span_end bigint, canonical_sha256 string, span_sha256 string")
     got = {(r.span_no, r.message) for r in gates.span_problems(ir, artifacts).collect()}
-    assert got == {(0, "[0,7): forbidden control characters"), (2, "c: file verify failed"), (3, "[0,2): span hash mismatch")}
+    assert got == {(0, "[0,7): holds control characters"), (2, "c: stored text differs from its hash"), (3, "[0,2): span text has changed")}
 
 
 def test_overall_status_looks_at_required_checks(spark):
@@ -208,7 +208,7 @@ def test_an_empty_candidate_is_a_problem(spark):
     )
     candidate = spark.createDataFrame([], "task_id string, pos bigint, text string, bookmarks array<string>")
     found = gates.sequence_problems(expected, candidate).collect()
-    assert [r.message for r in found] == ["template not fully consumed at paragraph 0"]
+    assert [r.message for r in found] == ["template left over from paragraph 0"]
 
 
 def test_cut_messages_say_how_many_more(spark):

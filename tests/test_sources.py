@@ -24,6 +24,16 @@ def test_listings_over_a_limit(spark):
     }
 
 
+@pytest.mark.parametrize(
+    "name, text", [("gbk", "风险　计划"), ("Big5", "計劃"), ("shift_jis", "計画です"), ("windows-1252", "“é” €"), ("utf-8", "é"), ("iso-8859-1", "é"), ("no-such", "plain"), (None, "é")]
+)
+def test_bodies_decode_by_any_charset(spark, name, text):
+    raw = text.encode(name if name and name != "no-such" else "utf-8")
+    kind = "text/html" + (f"; charset={name}" if name else "")
+    row = spark.createDataFrame([(bytearray(raw), kind)], "body binary, kind string").select(wf.decode_body(F.col("body"), F.col("kind")).alias("t")).first()
+    assert row.t == text
+
+
 class Stripper(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
