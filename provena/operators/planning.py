@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provena.operators.findings import union_all
-from provena.operators.ranking import top_rows
 
-#: A plan of more slots than this is refused, not gathered.
-MAX_PLAN_SLOTS = 200
 
 
 def membership(plan_slots: DataFrame, slots: DataFrame, sections: DataFrame) -> DataFrame:
@@ -69,17 +66,17 @@ def _cycle_of(slots: list[str], deps: dict[str, list[str]]) -> list[str] | None:
     for root in slots:
         if root in finished:
             continue
-        trail = [root]
+        trail = {root: 0}
         pending: list[Iterator[str]] = [iter(deps[root])]
         while pending:
             target = next(pending[-1], None)
             if target is None:
-                finished.add(trail.pop())
+                finished.add(trail.popitem()[0])
                 pending.pop()
             elif target in trail:
-                return trail[trail.index(target):] + [target]
+                return [*list(trail)[trail[target] :], target]
             elif target in deps and target not in finished:
-                trail.append(target)
+                trail[target] = len(trail)
                 pending.append(iter(deps[target]))
     return None
 
@@ -93,24 +90,16 @@ def _cycle_path(plans: pd.Series) -> pd.Series:
     return plans.map(path)
 
 
-def dependency_cycles(plan_slots: DataFrame, limit: int = MAX_PLAN_SLOTS) -> DataFrame:
+def dependency_cycles(plan_slots: DataFrame) -> DataFrame:
     """The first dependency cycle of each plan, as ``a -> b -> a``; plans without one drop out.
 
-    A plan is bounded by ``limit`` slots, so its graph fits a row; larger plans are named
-    as such. Plans, not slots, are what is spread over the cluster.
+    The slots of one document's plan come together in a row, however many there are, and
+    are followed in one linear walk. Plans, not slots, are what is spread over the cluster.
     """
-    few = top_rows(
-        plan_slots.select("task_id", "slot_id", "plan_pos", "depends_on"),
-        ["task_id"], [F.col("plan_pos"), F.col("slot_id")], limit + 1, "_n",
-    )
-    plans = few.groupBy("task_id").agg(
+    plans = plan_slots.groupBy("task_id").agg(
         F.array_sort(F.collect_list(F.struct("plan_pos", "slot_id", "depends_on"))).alias("_plan")
     )
-    over = F.size("_plan") > limit
-    path = _cycle_path(F.when(~over, F.col("_plan")).otherwise(F.slice("_plan", 1, 0)))
-    return plans.select("task_id", F.when(over, "too many slots").otherwise(path).alias("cycle")).filter(
-        F.col("cycle").isNotNull()
-    )
+    return plans.select("task_id", _cycle_path(F.col("_plan")).alias("cycle")).filter(F.col("cycle").isNotNull())
 
 
 def validate(plan_slots: DataFrame, slots: DataFrame, sections: DataFrame) -> DataFrame:

@@ -31,9 +31,11 @@ def level(prefix: str = "", style: Column | None = None) -> Column:
 def chains(style_defs: DataFrame) -> DataFrame:
     """(task_id, anchor, levels, note): each style with what it inherits, nearest first.
 
-    A style is visited once; a cycle or a missing base ends the chain with a note. The
-    anchor of paragraphs without a style is the default style, given as ``is_default``.
+    A style is visited once; a cycle or a missing base ends the chain with a note. Of a
+    style id that a document defines again one definition counts, the smallest. The anchor of paragraphs without a style is the default style, given as ``is_default``.
     """
+    rest = [c for c in style_defs.columns if c not in ("task_id", "style_id")]
+    style_defs = style_defs.groupBy("task_id", "style_id").agg(F.min(F.struct(*rest)).alias("_d")).select("task_id", "style_id", "_d.*")
     entry = F.struct(level(style=F.col("style_id")).alias("level"), F.col("based_on").alias("based_on"))
     tables = style_defs.groupBy("task_id").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("style_id"), entry))).alias("_styles"),

@@ -58,10 +58,20 @@ def test_dependency_cycles(spark, edges, cycle):
     assert [r.cycle for r in planning.dependency_cycles(plan).collect()] == ([cycle] if cycle else [])
 
 
-def test_oversized_plan_is_named_not_gathered(spark):
-    plan = spark.range(50).select(F.lit("t").alias("task_id"), F.col("id").alias("plan_pos"), F.col("id").cast("string").alias("slot_id"),
-                                  F.array().cast("array<string>").alias("depends_on"))
-    assert planning.dependency_cycles(plan, limit=20).first().cycle == "too many slots"
+def test_oversized_plan_is_walked_to_its_end(spark):
+    size = 1500
+    deps = F.when(F.col("id") == size - 1, F.array(F.lit("9"))).otherwise(F.array((F.col("id") + 1).cast("string")))
+    plan = spark.range(size).select(F.lit("t").alias("task_id"), F.col("id").alias("plan_pos"), F.col("id").cast("string").alias("slot_id"), deps.alias("depends_on"))
+    cycle = planning.dependency_cycles(plan).first().cycle.split(" -> ")
+    assert cycle[0] == cycle[-1] == "9" and len(cycle) == size - 9 + 1
+
+
+def test_a_repeated_style_counts_once(spark):
+    fields = {**dict.fromkeys(styling.FIELDS, None)}
+    rows = [("t", "a", "b", True, *fields.values()), ("t", "a", "b", True, *fields.values()), ("t", "b", None, False, *fields.values())]
+    schema = "task_id string, style_id string, based_on string, is_default boolean, " + ", ".join(f"{f} {t}" for f, t in styling.FIELDS.items())
+    got = {r.anchor: [x.style_id for x in r.levels] for r in styling.chains(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"a": ["a", "b"], "b": ["b"]}
 
 
 def documents(spark, candidate):
