@@ -91,6 +91,7 @@ class Words:
         self.odd = re.compile(r" \s|\s ").search
         self.numbers: dict[str, int] = defaultdict(itertools.count().__next__)
         self.pieces = _Pieces(self._split)
+        self.seen: set[str] = set()
 
     def _split(self, piece: str) -> bytes:
         return array("I", map(self.numbers.__getitem__, self.find(piece))).tobytes()
@@ -102,6 +103,21 @@ class Words:
         head, *rest = text.split(" ")
         return self._split(head) + b"".join(map(self.pieces.__getitem__, rest))
 
+    def note(self, text: str) -> None:
+        """The same pre-tokens, only to know which there are: new pieces are split at once."""
+        if self.odd(text):
+            self.numbers.update(dict.fromkeys(self.find(text), 0))
+            return
+        head, *rest = text.split(" ")
+        new = set(rest) - self.seen
+        self.seen |= new
+        if "" in new:  # a blank at the end of a text
+            new.remove("")
+            self.numbers[" "] = 0
+        self.numbers.update(dict.fromkeys(self.find(head), 0))
+        if new:
+            self.numbers.update(dict.fromkeys(self.find(" " + " ".join(new)), 0))
+
     def sorted(self, groups: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words by group, in a group by their bytes; where each group begins; and where a
         number went. It depends on which words there are alone."""
@@ -142,7 +158,7 @@ def _asked(docs: DataFrame, groups: int) -> DataFrame:
         for chunk, _, texts in _in_chunks(batches):
             words = Words()
             for text in texts:
-                words.read(text)
+                words.note(text)
             listed, cuts, _ = words.sorted(groups)
             rows = [(chunk, g, int(cuts[g + 1] - cuts[g]), _words_blob(listed[cuts[g] : cuts[g + 1]])) for g in np.flatnonzero(np.diff(cuts)).tolist()]
             yield pd.DataFrame(rows, columns=["chunk", "part", "n", "words"])
