@@ -272,11 +272,14 @@ def _first_pairs(lists: DataFrame, p: Params) -> DataFrame:
         number = np.cumsum(head) - 1
         starts = np.flatnonzero(head)
         shared = np.bincount(number)[number] > 1
-        pivot = starts[number]
+        # The first of a list is the node that has least of its own before the key: of a group
+        # of copies the one that was changed least, which most others are similar to.
+        own = np.lexsort((e["node"], -(e["reach"] / e["size"]), number))
+        pivot = own[starts][number]
         a, b = e["node"][pivot], e["node"]
         small, large = np.minimum(e["size"][pivot], e["size"]).astype(np.int64), np.maximum(e["size"][pivot], e["size"]).astype(np.int64)
         need = -(-(small + large) * p.num // (p.num + p.den))
-        ok = shared & ~head & (small * p.den >= large * p.num) & (np.minimum(e["reach"][pivot], e["reach"]) >= need)
+        ok = shared & (pivot != np.arange(len(number))) & (small * p.den >= large * p.num) & (np.minimum(e["reach"][pivot], e["reach"]) >= need)
         pairs = np.unique(np.stack([a[ok], b[ok]], 1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
         return pd.DataFrame({
             "bucket": [int(group["bucket"].iloc[0])], "a": [pairs[:, 0]], "b": [pairs[:, 1]], "list": [number[shared].astype(np.int64)],
@@ -294,6 +297,19 @@ BESIDE = 2_000
 SENT = 16_000_000
 
 
+def _narrow(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, as they travel. Two sets of n shingles agree in one that
+    they do not share with a chance of n * n / 2**48, and it would have to be the one that
+    they lack."""
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     """Those of the written ``pairs(a, b)`` whose sets are similar, by their whole sets.
 
@@ -312,7 +328,7 @@ def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, p: Params) -
             found = shingle_sets(batch["text"], p.words)
             for s, node, roles in zip(found, batch["node"], batch["roles"]):
                 if len(s) and node_of(s) == node:
-                    raw = s.tobytes()
+                    raw = _narrow(s)
                     for r in roles:
                         rows.append((r["a"], r["part"], r["role"], node, raw))
                         held += len(raw)
@@ -326,7 +342,7 @@ def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, p: Params) -
         for batch in batches:
             keep = []
             for a, part, role, blob in zip(batch["a"], batch["part"], batch["role"], batch["shingles"]):
-                s = np.frombuffer(blob, np.uint64)
+                s = _wide(blob)
                 if role == 0:
                     head, own = (a, part), s
                     keep.append(False)
@@ -343,8 +359,9 @@ def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, p: Params) -
 
 #: Nodes of a list that the others are compared with in one round; how many pairs across
 #: components there may be for each list entry to compare them all; and what a round must
-#: leave at most of them for another one to follow.
-PIVOTS, FEW, SLOW = 3, 2, 0.7
+#: leave at most of them for another one to follow. One list in ``SOME`` takes part. NOISE
+#: is how much the rank of a node varies from round to round.
+PIVOTS, FEW, SLOW, SOME, NOISE = 3, 2, 0.7, 8, 0.05
 
 
 def _fits(x: str, y: str, p: Params):
@@ -354,15 +371,30 @@ def _fits(x: str, y: str, p: Params):
 
 
 def _pivoted(split: DataFrame, turn: int, p: Params) -> DataFrame:
-    """Each node of a list with a few nodes of it, others in every round."""
-    entry = F.struct("node", "size", "reach", "comp").alias("y")
-    picks = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "node").alias("h"), entry)).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = split.groupBy("bucket", "list").agg(*picks).select("bucket", "list", F.explode(F.array_distinct(F.array(*[f"p{k}.y" for k in range(PIVOTS)]))).alias("y"))
+    """Nodes outside the largest component of a list with a few nodes in it, others in
+    every round: those that have least of their own before the key, more or less."""
+    entry = F.struct("node", "size", "reach", "comp")
+
+    def rank(k: int):
+        noise = F.pmod(F.xxhash64(F.lit(turn * PIVOTS + k), "node"), F.lit(1000)) / 1000
+        return F.struct((-F.col("reach") / F.col("size") * (1 - NOISE * (turn > 0 or k > 0) * noise)).alias("h"), F.col("node").alias("i"))
+
+    picks = [F.min(F.struct(rank(k).alias("h"), entry.alias("y"))).alias(f"p{k}") for k in range(PIVOTS)]
+    each = split.groupBy("bucket", "list", "comp").agg(F.count("*").alias("n"), *picks)
+    largest = F.max_by(F.array_distinct(F.array(*[f"p{k}.y" for k in range(PIVOTS)])), F.struct("n", "comp")).alias("ys")
+    pivots = each.groupBy("bucket", "list").agg(largest).select("bucket", "list", F.explode("ys").alias("y"))
     met = split.alias("x").join(pivots, ["bucket", "list"]).where(_fits("x", "y", p))
     # The pivot first: it is held while the others stream by.
     return met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
 
 
+def _placed(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries of those lists that hold nodes of several components, with the components."""
+    placed = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    by = placed.groupBy("bucket", "list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket", "list")
+    return session.settle(placed.join(by, ["bucket", "list"]), "split-lists")
+
+
 def _across(split: DataFrame, light: int, p: Params) -> DataFrame:
     """All pairs of nodes of a list that are not in one component."""
     x, y = split.alias("x"), split.alias("y")
@@ -372,6 +404,10 @@ def _across(split: DataFrame, light: int, p: Params) -> DataFrame:
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
+def _forest(comps: DataFrame) -> DataFrame:
+    return comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+
+
 def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and the numbers of its set and
     of its component (node and comp, null without a word).
@@ -405,29 +441,27 @@ def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
     links = _verified(docs, named, pairs, p)
     tried = pairs
     entries = met.select("bucket", F.explode(F.arrays_zip("list", "node", "size", "reach", "pair")).alias("z")).select("bucket", "z.*")
+    # Rounds bring the nodes of a group together by some of its lists; they save work and
+    # decide nothing, for all lists are looked at after them.
+    some = session.settle(entries.where(F.pmod(F.xxhash64("bucket", "list"), F.lit(SOME)) == 0), "some-lists")
     turn, before = 0, float("inf")
     while True:
         comps = components.connected(links)
-        placed = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # Only lists of several components go on, and fewer of them each round.
-        by = placed.groupBy("bucket", "list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket", "list")
-        split = session.settle(placed.join(by, ["bucket", "list"]), "split-lists")
-        each = split.groupBy("bucket", "list", "comp").agg(F.count("*").alias("n")).groupBy("bucket", "list").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        some = _placed(some, comps)
+        each = some.groupBy("bucket", "list", "comp").agg(F.count("*").alias("n")).groupBy("bucket", "list").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         sums = each.agg(F.sum("n").alias("entries"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("across")).first()
-        if not sums["entries"]:
-            break
-        # Where rounds no longer help, nodes are truly apart, and all pairs are compared.
-        across, last = float(sums["across"]), before
-        all_, before = across <= FEW * sums["entries"] or across > SLOW * last, across
-        more = _across(split, light, p) if all_ else _pivoted(split, turn, p)
-        more = session.settle(more.distinct().join(tried, ["a", "b"], "left_anti"), "more-pairs")
-        found = _verified(docs, named, more, p)
-        if all_:
-            comps = components.connected(links.unionByName(found))
+        across = float(sums["across"] or 0)
+        if across <= FEW * (sums["entries"] or 0) or across > SLOW * before:
             break
-        turn += 1
-        entries = split.drop("comp")
-        links, tried = session.settle(links.unionByName(found), "links-so-far"), session.settle(tried.unionByName(more), "tried")
+        more = session.settle(_pivoted(some, turn, p).distinct().join(tried, ["a", "b"], "left_anti"), "more-pairs")
+        some, turn, before = some.drop("comp"), turn + 1, across
+        # A component is as well told by its nodes' links to the first of them.
+        links = session.settle(_forest(comps).unionByName(_verified(docs, named, more, p)), "links-so-far")
+        tried = session.settle(tried.unionByName(more), "tried")
+    apart = _across(_placed(entries, comps), light, p).distinct().join(tried, ["a", "b"], "left_anti")
+    apart = session.settle(apart.join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "apart")
+    if not apart.isEmpty():
+        comps = components.connected(_forest(comps).unionByName(_verified(docs, named, apart, p)))
     grouped = owners.join(comps, "node", "left").select("node", "owner", F.coalesce("comp", "node").alias("comp"))
     lowest = grouped.groupBy("comp").agg(F.min("owner").alias("component_id"))
     classes = session.settle(grouped.join(lowest, "comp").select("node", "component_id", "comp"), "classes")
