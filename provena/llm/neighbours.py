@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by inner product: cross-polytope hashing with probes.
 
-Vectors are brought to unit length (where norms differ, one more coordinate makes up for the
-longest, which turns the largest inner product into the smallest angle). A table turns them by
-three rounds of random signs and a fast Hadamard transform; the nearest signed axis is the
-cell. A query looks into the cells of its nearest axes in every table, and what lies there is
-ranked by exact inner products of the original vectors in double precision.
+Vectors are split into bands of similar norm. Within a band one more coordinate makes up for
+the band's longest; queries are brought to unit length with none of it, so that the largest
+inner product is the smallest angle. A table turns them by three rounds of random signs and a
+fast Hadamard transform; the nearest signed axis is the cell. A query looks into the cells of
+its nearest axes in every table of every band, and what lies there is ranked by exact inner
+products of the original vectors in double precision.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +26,12 @@ from provena.llm import common
 class Params:
     """tables, probes: hash tables, and cells of each that a query looks into.
 
-    single: up to so many vectors there is one cell, and the search is exact. cell: vectors
+    single: a band of up to so many vectors is one cell, searched exactly. cell: vectors
         in a cell on average while one polytope can be cut that fine. group: vectors that a
         task holds at once; a cell of more is split over groups that all its queries visit.
     second: from so many vectors for each cell of one polytope on, a second one cuts the
         cells of the first.
+    ratio: the longest norm of a larger band is at most so many times its shortest.
     """
 
     top: int = 20
@@ -39,19 +42,36 @@ class Params:
     group: int = 50_000
     second: int = 20_000
     seed: int = 3
+    ratio: float = 1.5
 
 
 @dataclass(frozen=True)
-class Shape:
-    """What hashing needs to know of all vectors. axes: of the first and second polytope."""
+class Band:
+    """Vectors of similar norm. axes: of the first and second polytope. first: the number of
+    its first cell among those of all bands."""
 
     count: int
-    width: int
+    shortest: float
     longest: float
     lift: bool
     axes: tuple[int, int]
     cells: int
     probes: int
+    first: int
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What hashing needs to know of all vectors; bands from the longest norm down."""
+
+    count: int
+    width: int
+    bands: tuple[Band, ...]
+
+    @property
+    def axes(self) -> tuple[int, int]:
+        """The finest polytopes of any band."""
+        return max((b.axes for b in self.bands), key=lambda a: (a[1], a[0]), default=(0, 0))
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -66,39 +86,59 @@ def _matrix(arrays, width: int) -> np.ndarray:
     return np.array([np.asarray(a, np.float64) for a in arrays]).reshape(-1, width)
 
 
-def measure(vectors: DataFrame, p: Params) -> Shape:
-    """Counts and norms over every vector; the commonest width wins."""
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, which are not all zero; squares neither overflow nor vanish."""
+    most = np.abs(x).max(1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
 
-    def run(batches):
-        for batch in batches:
-            rows = [(len(e), float(np.linalg.norm(np.asarray(e, np.float64)))) for e in batch["embedding"]]
-            yield pd.DataFrame(rows, columns=["width", "norm"])
 
-    by = vectors.select("embedding").mapInPandas(run, "width int, norm double").groupBy("width")
-    row = by.agg(F.count("*").alias("n"), F.min("norm").alias("low"), F.max("norm").alias("high")).orderBy(F.desc("n"), "width").first()
-    if row is None:
-        return Shape(0, 0, 1.0, False, (1, 0), 1, 1)
-    n, width = row["n"], row["width"]
-    lift = row["low"] < row["high"] * (1 - 1e-4)
+def _band(count: int, shortest: float, longest: float, width: int, first: int, p: Params) -> Band:
+    lift = shortest < longest * (1 - 1e-4)
+    if count <= p.single:
+        return Band(count, shortest, longest, lift, (0, 0), 1, 1, first)
     full = 1 << int(np.ceil(np.log2(width + lift)))
-    if n <= p.single:
-        return Shape(n, width, row["high"], lift, (0, 0), 1, 1)
-    one = min(full, 1 << max(0, int(np.log2(n / p.cell / 2))))
+    one = min(full, 1 << max(0, int(np.log2(count / p.cell / 2))))
     two, probes = 0, min(p.probes, 2 * one)
-    if n > p.second * 2 * one:
-        two = min(full, 1 << int(np.ceil(np.log2(n / (p.second * 2 * one)))))
+    if count > p.second * 2 * one:
+        two = min(full, 1 << int(np.ceil(np.log2(count / (p.second * 2 * one)))))
         probes = int(np.ceil(p.probes * two**0.75))
-    return Shape(n, width, row["high"], lift, (one, two), 2 * one * max(1, 2 * two), probes)
+    return Band(count, shortest, longest, lift, (one, two), 2 * one * max(1, 2 * two), probes, first)
 
 
-def _turned(x: np.ndarray, shape: Shape, number: int, seed: int) -> np.ndarray:
-    """Unit vectors turned by the pseudo-rotation of that number."""
-    unit = x / shape.longest
-    if shape.lift:
-        unit = np.hstack([unit, np.sqrt(np.maximum(0, 1 - (unit**2).sum(1, keepdims=True)))])
-    full = 1 << int(np.ceil(np.log2(unit.shape[1])))
+def measure(vectors: DataFrame, p: Params) -> Shape:
+    """Counts and norms over every vector, in steps of a hundredth; the commonest width wins."""
+
+    def run(batches):
+        for batch in batches:
+            widths = batch["embedding"].map(len).to_numpy()
+            for width in np.unique(widths):
+                norm = _norms(_matrix(batch["embedding"][widths == width], int(width)))
+                yield pd.DataFrame({"width": int(width), "step": np.floor(100 * np.log(norm)).astype(int), "norm": norm})
+
+    steps = vectors.select("embedding").mapInPandas(run, "width int, step int, norm double").groupBy("width", "step")
+    steps = steps.agg(F.count("*").alias("n"), F.min("norm").alias("low"), F.max("norm").alias("high"))
+    # So many steps as norms have hundredths of a logarithm.
+    row = steps.groupBy("width").agg(F.sum("n").alias("n"), F.collect_list(F.struct("step", "n", "low", "high")).alias("steps")).orderBy(F.desc("n"), "width").first()
+    if row is None:
+        return Shape(0, 0, ())
+    joined = []
+    for step in sorted(row["steps"], key=lambda r: -r["step"]):
+        if joined and (step["low"] * p.ratio >= joined[-1][2] or joined[-1][0] + step["n"] <= p.single):
+            joined[-1] = (joined[-1][0] + step["n"], step["low"], joined[-1][2])
+        else:
+            joined.append((step["n"], step["low"], step["high"]))
+    bands, first = [], 0
+    for count, low, high in joined:
+        bands.append(_band(count, low, high, row["width"], first, p))
+        first += bands[-1].cells
+    return Shape(row["n"], row["width"], tuple(bands))
+
+
+def _turned(x: np.ndarray, number: int, seed: int) -> np.ndarray:
+    """Vectors at unit length, turned by the pseudo-rotation of that number."""
+    full = 1 << int(np.ceil(np.log2(x.shape[1])))
     y = np.zeros((len(x), full))
-    y[:, : unit.shape[1]] = unit
+    y[:, : x.shape[1]] = x
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
     rng = np.random.default_rng([seed, number])
     for _ in range(3):
@@ -116,37 +156,61 @@ def _signed(y: np.ndarray, axes: int) -> np.ndarray:
     return np.concatenate([y[:, :axes], -y[:, :axes]], 1)
 
 
-def cells_of(x: np.ndarray, shape: Shape, p: Params, probes: int) -> np.ndarray:
-    """The nearest ``probes`` cells in each table, nearest first: rows x tables x probes."""
-    if shape.cells == 1:
-        return np.zeros((len(x), 1, 1), np.int64)
-    one, two = shape.axes
-    out = np.empty((len(x), p.tables, probes), np.int64)
+def _nearest(far: list[np.ndarray], probes: int) -> np.ndarray:
+    """The nearest ``probes`` cells of a table, nearest first, by the signed axes of one or two polytopes."""
+    # How much farther an axis is than the nearest; cells of both polytopes add theirs up.
+    gaps = [v.max(1, keepdims=True) - v for v in far]
+    if len(far) == 1:
+        return np.argsort(gaps[0], axis=1, kind="stable")[:, :probes]
+    near = [np.argsort(g, axis=1, kind="stable")[:, : min(probes, g.shape[1])] for g in gaps]
+    cost = [np.take_along_axis(g, k, 1) for g, k in zip(gaps, near)]
+    both = (cost[0][:, :, None] + cost[1][:, None, :]).reshape(len(far[0]), -1)
+    best = np.argsort(both, axis=1, kind="stable")[:, :probes]
+    first, second = best // near[1].shape[1], best % near[1].shape[1]
+    return np.take_along_axis(near[0], first, 1) * far[1].shape[1] + np.take_along_axis(near[1], second, 1)
+
+
+def _cells(plain: np.ndarray, lifted: np.ndarray, bands: tuple[Band, ...], p: Params, one: bool) -> np.ndarray:
+    """Cells of every table of ``bands``, only the nearest or all to look into. A number
+    holds the table as its remainder by ``tables``."""
+    out = []
     for t in range(p.tables):
-        far = [_signed(_turned(x, shape, 2 * t, p.seed), one)]
-        far += [_signed(_turned(x, shape, 2 * t + 1, p.seed), two)] if two else []
-        # How much farther an axis is than the nearest; cells of both polytopes add theirs up.
-        gaps = [v.max(1, keepdims=True) - v for v in far]
-        if not two:
-            out[:, t] = np.argsort(gaps[0], axis=1, kind="stable")[:, :probes]
-            continue
-        near = [np.argsort(g, axis=1, kind="stable")[:, : min(probes, g.shape[1])] for g in gaps]
-        cost = [np.take_along_axis(g, k, 1) for g, k in zip(gaps, near)]
-        both = (cost[0][:, :, None] + cost[1][:, None, :]).reshape(len(x), -1)
-        best = np.argsort(both, axis=1, kind="stable")[:, :probes]
-        first, second = best // near[1].shape[1], best % near[1].shape[1]
-        out[:, t] = np.take_along_axis(near[0], first, 1) * 2 * two + np.take_along_axis(near[1], second, 1)
+        turned = functools.cache(lambda lift, number: _turned(lifted if lift else plain, number, p.seed))
+        for band in bands:
+            if band.cells > 1:
+                far = [_signed(turned(band.lift, 2 * t + k), axes) for k, axes in enumerate(band.axes) if axes]
+                out.append((band.first + _nearest(far, 1 if one else band.probes)) * p.tables + t)
+            elif t == 0:
+                out.append(np.full((len(plain), 1), band.first * p.tables))
+    return np.hstack(out)
+
+
+def point_cells(x: np.ndarray, shape: Shape, p: Params) -> list[np.ndarray]:
+    """Of each row its cell in every table of its band."""
+    out, norm = [None] * len(x), _norms(x)
+    own = (norm[:, None] < [b.shortest for b in shape.bands[:-1]]).sum(1)
+    for k in np.unique(own):
+        rows, band = np.flatnonzero(own == k), shape.bands[k]
+        plain = x[rows] / band.longest
+        rest = np.sqrt(np.maximum(0, 1 - (plain**2).sum(1, keepdims=True)))
+        for r, cells in zip(rows, _cells(plain, np.hstack([plain, rest]), (band,), p, True)):
+            out[r] = cells
     return out
 
 
-def _hashed(vectors: DataFrame, shape: Shape, p: Params, probes: int, column: str) -> DataFrame:
-    """id, the vector as bytes, and the nearest cells of all tables in one row."""
+def query_cells(x: np.ndarray, shape: Shape, p: Params) -> list[np.ndarray]:
+    """Of each row the cells that it looks into, in every band."""
+    plain = x / _norms(x)[:, None]
+    return list(_cells(plain, np.hstack([plain, np.zeros((len(x), 1))]), shape.bands, p, False)) if len(x) else []
+
+
+def _hashed(vectors: DataFrame, shape: Shape, cells_of, column: str, p: Params) -> DataFrame:
+    """id, the vector as bytes, and the cells of all tables in one row."""
 
     def run(batches):
         for batch in batches:
             x = _matrix(batch["embedding"], shape.width)
-            cells = cells_of(x, shape, p, probes)
-            yield pd.DataFrame({column: batch["vec_id"], "vector": [r.tobytes() for r in x], "cells": [c.ravel() for c in cells]})
+            yield pd.DataFrame({column: batch["vec_id"], "vector": [r.tobytes() for r in x], "cells": cells_of(x, shape, p)})
 
     sized = vectors.where(F.size("embedding") == shape.width)
     return sized.mapInPandas(run, f"{column} long, vector binary, cells array<long>")
@@ -169,12 +233,12 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params()) -> DataFr
     schema = "query_id long, rank int, vec_id long, score double"
     if shape.count == 0:
         return vectors.sparkSession.createDataFrame([], schema)
-    tables = p.tables if shape.cells > 1 else 1
     groups = max(1, -(-shape.count // p.group))
-    points = _hashed(all_, shape, p, 1, "vec_id")
-    queries = _hashed(all_.where(is_query), shape, p, shape.probes, "query_id")
+    points = _hashed(all_, shape, point_cells, "vec_id", p)
+    queries = _hashed(all_.where(is_query), shape, query_cells, "query_id", p)
+    placed = [F.pmod("at", F.lit(p.tables)).cast("int").alias("table"), F.floor(F.col("at") / p.tables).alias("cell")]
 
-    spread = points.select("vec_id", "vector", F.posexplode("cells").alias("table", "cell"))
+    spread = points.select("vec_id", "vector", F.explode("cells").alias("at")).select("vec_id", "vector", *placed)
     # Cells of more vectors than a task should hold, split so that each part has few enough.
     crowded = session.settle(
         spread.groupBy("table", "cell").agg(F.count("*").alias("n")).where(F.col("n") > p.group)
@@ -186,12 +250,12 @@ def search(vectors: DataFrame, is_query: Column, p: Params = Params()) -> DataFr
     spread = spread.join(hot, ["table", "cell"], "left").select(
         "table", group, F.pmod(F.xxhash64("vec_id"), one("splits")).cast("int").alias("split"), F.explode(F.sequence(F.lit(0), one("turns") - 1)).alias("turn"), "cell", "vec_id", "vector"
     )
-    looks = queries.select("query_id", F.posexplode("cells").alias("at", "cell")).select("query_id", F.floor(F.col("at") / shape.probes).cast("int").alias("table"), "cell")
+    looks = queries.select("query_id", F.explode("cells").alias("at")).select("query_id", *placed)
     looks = looks.join(hot, ["table", "cell"], "left").select(
         "table", group, F.explode(F.sequence(F.lit(0), one("splits") - 1)).alias("split"), F.pmod(F.xxhash64("query_id"), one("turns")).cast("int").alias("turn"), "cell", "query_id"
     )
     place = ["table", "part", "split", "turn"]
-    # At most as many cells as probes stand in each of these sets.
+    # At most as many cells as the probes of all bands stand in each of these sets.
     looks = looks.groupBy(*place, "query_id").agg(F.collect_set("cell").alias("cells")).join(queries.select("query_id", "vector"), "query_id")
 
     def ranked(near, asked):

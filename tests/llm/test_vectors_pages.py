@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,19 @@ def test_two_polytopes_and_small_tables(spark):
     assert [r["vec_id"] for r in few] == brute(ids[:6], x[:6].astype(float), ids[:6] == 0)[0]
 
 
+@pytest.mark.parametrize("norms", ["two", "many"])
+def test_recall_at_size_where_norms_differ(spark, norms):
+    rng = np.random.default_rng(5)
+    n = 40_000
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(n) % 2 == 0, 0.3, 1.0)[:, None] if norms == "two" else np.exp(0.5 * rng.normal(size=(n, 1)))
+    ids, asked = np.arange(n), np.arange(n) % 400 == 0
+    got = neighbours.search(spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": list(x)})), F.col("vec_id") % 400 == 0).toPandas()
+    truth = brute(ids, x, asked)
+    assert sum(len(set(t) & set(got[got.query_id == q].vec_id)) for q, t in truth.items()) / (20 * len(truth)) > 0.9
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [0.5, 0.5]), (7, [0.6, 0.0]), (8, [1.0, 0.0, 0.0]), (9, []), (0, [1.0, 0.0])]
