@@ -8,12 +8,17 @@ text, and so is each of its lines, which finds one-line notices. Only column fun
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provena import session
+from provena.llm import common
 from provena.sources.tables import literal
 
-#: Spellings that licences treat as the same word.
+#: Spellings that licences treat as the same word, each one word for one.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"),
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorisation", "authorization"),
@@ -69,6 +74,21 @@ KNOWN = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 )
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD 0-Clause License"),
+}
+#: The same texts below their title line.
+KNOWN += tuple((i, f"{title}\n{text}") for i, text in KNOWN[:3] for title in _TITLES[i])
+
+
+def _table() -> tuple[tuple[str, str], ...]:
+    """Further whole licences and notices, a row for each text and what may stand before it."""
+    rows = map(json.loads, Path(__file__).with_name("licenses.jsonl").read_text("utf-8").splitlines())
+    return tuple((r["license_id"], f"{title}\n{r['text']}" if title else r["text"]) for r in rows for title in r["titles"])
+
+
+KNOWN += _table()
 
 #: A line that only states who holds the rights.
 COPYRIGHT = r"(^|\n)[ \t]*(?:copyright (?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*"
@@ -77,7 +97,12 @@ COPYRIGHT = r"(^|\n)[ \t]*(?:copyright (?:\(c\)|©|[0-9])|\(c\)|©|all rights re
 def _worded(text: Column) -> Column:
     """Lower-case words between single blanks, one before and after, without copyright lines."""
     bare = F.regexp_replace(F.lower(text), COPYRIGHT, "$1")
-    return F.concat(F.lit(" "), F.regexp_replace(bare, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), F.lit(" "))
+    return F.regexp_replace(F.concat(F.lit(" "), bare, F.lit(" ")), r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")
+
+
+def _count(worded: Column) -> Column:
+    """How many words; the same in any spelling."""
+    return F.length(worded) - F.length(F.replace(worded, F.lit(" "), F.lit(""))) - 1
 
 
 def _spelled(words: Column) -> Column:
@@ -93,11 +118,10 @@ def canonical(text: Column) -> Column:
     return _spelled(_worded(text))
 
 
-def _digest(text: Column, longest: int) -> Column:
-    """The digest of the canonical form, null where that is too long for any known text: no
-    spelling takes away half of a word."""
+def _digest(text: Column, counts: list[int]) -> Column:
+    """The digest of the canonical form, null where no known text has as many words."""
     # Bound once: a filter and a projection would each work out the words.
-    return F.transform(F.array(_worded(text)), lambda w: F.when(F.length(w) <= 2 * longest + 4, F.sha2(_spelled(w), 256)))[0]
+    return F.transform(F.array(_worded(text)), lambda w: F.when(_count(w).isin(counts), F.sha2(_spelled(w), 256)))[0]
 
 
 def digests(known: DataFrame) -> DataFrame:
@@ -116,14 +140,15 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     ``docs`` has doc_id and text, ``known`` license_id and text; further columns are not
     read. line_no is 0 for the whole text and else counts lines from 1; a one-line document
     is reported once, as the whole. Null and empty texts match nothing; repeated rows are
-    reported as often as they stand. ``known`` is a list of licences: where Spark measures
-    its digests as small it is broadcast, else both sides are shuffled.
+    reported as often as they stand. ``known`` is a list of licences: where they
+    are counted as few, its digests are broadcast, else both sides are shuffled.
     """
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     lines = F.split("text", "\n", -1)
     whole = texts.select("doc_id", F.lit(0).alias("line_no"), F.col("text").alias("unit"))
     single = texts.where(F.contains("text", F.lit("\n"))).select("doc_id", F.posexplode(lines).alias("line_no", "unit"))
     single = single.select("doc_id", (F.col("line_no") + 1).alias("line_no"), "unit").where(F.trim("unit") != "")
-    longest = known.agg(F.max(F.length(canonical(F.col("text"))))).first()[0] or 0
-    found = whole.unionByName(single).select("doc_id", "line_no", _digest(F.col("unit"), longest).alias("digest"))
-    return found.join(digests(known), "digest").select("doc_id", "line_no", "license_id", "digest")
+    counts = [r[0] for r in known.where(F.col("text").isNotNull()).select(_count(_worded(F.col("text")))).distinct().collect()]
+    found = whole.unionByName(single).select("doc_id", "line_no", _digest(F.col("unit"), counts).alias("digest"))
+    table = common.sized(session.settle(digests(known), "license-digests"))
+    return found.join(table, "digest").select("doc_id", "line_no", "license_id", "digest")

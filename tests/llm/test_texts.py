@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -96,6 +97,17 @@ def test_licences_match_whole_texts_in_any_spelling(spark):
     assert licenses.scan(frame(spark, rows), licenses.built_in(spark).limit(0)).count() == 0
 
 
+def test_whole_wrapped_licence_files_and_notices(spark):
+    whole = {i: max((t for k, t in licenses.KNOWN if k == i), key=len) for i in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0")}
+    mit = "MIT License\n\nCopyright (c) 2021 Someone Else\n\n" + textwrap.fill(licenses.KNOWN[0][1], 78) + "\n"
+    bsd = next(t for i, t in licenses.KNOWN if i == "BSD-3-Clause" and t.startswith("Redistribution") and "1. " in t)
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2021, Someone\nAll rights reserved.\n\n" + textwrap.fill(bsd, 78)
+    lines = [("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0")]
+    rows = [(1, mit), (2, bsd), *((3 + k, f"words\n{line}\nwords") for k, (line, _) in enumerate(lines)), *((10 + k, textwrap.indent(t, "  ")) for k, t in enumerate(whole.values()))]
+    got = sorted((r["doc_id"], r["line_no"], r["license_id"]) for r in licenses.scan(frame(spark, rows), licenses.built_in(spark)).collect() if r["line_no"] == 0 or r["doc_id"] < 10)
+    assert got == sorted([(1, 0, "MIT"), (2, 0, "BSD-3-Clause"), *((3 + k, 2, i) for k, (_, i) in enumerate(lines)), *((10 + k, 0, i) for k, i in enumerate(whole))])
+
+
 ITEM = "The train from Berlin to Hamburg leaves at 14:30 and needs 95 minutes; how many km does Anna ride if it goes 120 km/h on the way from Berlin?"
 
 
