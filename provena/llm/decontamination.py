@@ -4,7 +4,9 @@ Numbers, names and units become typed placeholders that remember what they repla
 of the template, without what the placeholders hold, are hashed and joined with the windows
 of the benchmark's items. Where windows of one item line up in a document, the placeholders
 must agree: one value of the item stands for one value of the document. An item whose
-values were all exchanged consistently is found as well as a verbatim copy.
+values were all exchanged consistently is found as well as a verbatim copy. Items that are
+too short for that, or hold too little but placeholders, are found where all their tokens
+stand in a row with the same values.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from provena.llm import common
 @dataclass(frozen=True)
 class Params:
     """window: tokens in a window. literals: tokens of a window that must be no placeholder.
-    least: items of fewer tokens are not looked for; items between least and window are
-    matched as one window of their own length. share: part of an item's windows that must
+    least: items of fewer tokens, and those without such a window, are only found verbatim;
+    items between least and window are matched as one window of their own length. share: part of an item's windows that must
     be found with consistent slots."""
 
     window: int = 8
@@ -49,12 +51,18 @@ NUMBER_WORDS = (
 )
 
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+#: Letters of scripts without blanks between words: Thai to Burmese, Khmer, kana, Han. Others fail at the first test.
+_UNSPACED = (
+    r"[\x{E00}-\x{3FFFF}&&[\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{1950}-\x{19DF}\x{1A20}-\x{1AAF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}"
+    r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A9E0}-\x{A9FF}\x{AA60}-\x{AA7F}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}]&&[\p{L}\p{Nl}]]\p{M}*"
+)
 _UNIT = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
 
 
 def marked(text: Column) -> Column:
     """The tokens of a text; a placeholder is U+0001, its type, ``=`` and what it replaces.
 
+    A letter of a script that puts no blanks between words is a token of its own.
     A name is a word of a capital and small letters that neither begins the text nor follows the end of a
     sentence or a line break.
     """
@@ -64,34 +72,49 @@ def marked(text: Column) -> Column:
     measured = F.regexp_replace(worded, rf"(?iu)(?<![\p{{L}}\p{{N}}=])({_NUMBER})[ \t]?({_UNIT})(?![\p{{L}}\p{{N}}])", " \x01n=$1 \x01u=$2 ")
     counted = F.regexp_replace(measured, rf"(?<!=)(?<![0-9][.,:/])(?<![0-9]){_NUMBER}", " \x01n=$0 ")
     loose = F.regexp_replace(F.lower(counted), r"(?<![0-9=])[^\p{L}\p{M}\p{N}\s=\x01]+|(?<!=)[^\p{L}\p{M}\p{N}\s=\x01]+(?![0-9\p{L}°/])", " ")
-    return F.filter(F.split(loose, r"\s+"), lambda t: t != "")
+    single = F.regexp_replace(loose, _UNSPACED, " $0 ")
+    return F.filter(F.split(single, r"\s+"), lambda t: t != "")
+
 
+def _windows(tokens: Column, lengths: list[int], verbatim: list[int] = []) -> Column:
+    """Structs of pos, len and hash for every window of the given lengths. A window whose
+    slot values count, of a length in ``verbatim``, has it below zero."""
 
-def _windows(tokens: Column, lengths: list[int]) -> Column:
-    """Structs of pos, len and hash for every window of the given lengths."""
-    plain = F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit("\x01")), F.substring(t, 1, 2)).otherwise(t))
+    def plain(of: Column) -> Column:
+        return F.transform(of, lambda t: F.when(F.startswith(t, F.lit("\x01")), F.substring(t, 1, 2)).otherwise(t))
 
-    def of(all_plain: Column, n: int) -> Column:
-        starts = F.when(F.size(all_plain) >= n, F.sequence(F.lit(1), F.size(all_plain) - (n - 1)))
+    def of(all_: Column, n: int, sign: int) -> Column:
+        starts = F.when(F.size(all_) >= n, F.sequence(F.lit(1), F.size(all_) - (n - 1)))
         return F.coalesce(
-            F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice(all_plain, i, n)).alias("hash"))),
+            F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(sign * n).alias("len"), F.xxhash64(F.slice(all_, i, n)).alias("hash"))),
             F.array().cast("array<struct<pos:int,len:int,hash:bigint>>"),
         )
 
     # The template is bound once and every length reads it.
-    return F.flatten(F.transform(F.array(plain), lambda p: F.concat(*[of(p, n) for n in lengths])))
+    if not verbatim:
+        return F.flatten(F.transform(F.array(plain(tokens)), lambda p: F.concat(*[of(p, n, 1) for n in lengths])))
+    both = F.struct(tokens.alias("own"), plain(tokens).alias("plain"))
+    return F.flatten(F.transform(F.array(both), lambda b: F.concat(*[of(b["plain"], n, 1) for n in lengths], *[of(b["own"], n, -1) for n in verbatim])))
 
 
 def item_windows(items: DataFrame, p: Params) -> DataFrame:
-    """item_id, tokens, total and pos, len, hash of each window that has enough literals."""
-    tokens = items.where(F.col("item_id").isNotNull()).select("item_id", marked(F.col("text")).alias("tokens")).where(F.size("tokens") >= p.least)
+    """item_id, tokens, total and pos, len, hash of each window that has enough literals.
+
+    An item without one has its first tokens as a window, with their values and a ``len``
+    below zero: where it is found, all tokens have to follow.
+    """
+    all_ = items.where(F.col("item_id").isNotNull()).select("item_id", marked(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).distinct()
+    tokens = all_.where(F.size("tokens") >= p.least)
     lengths = range(p.least, p.window + 1)
     cut = tokens.select("item_id", "tokens", F.explode(_windows(F.col("tokens"), list(lengths))).alias("w"))
     cut = cut.where(F.col("w.len") == F.least(F.lit(p.window), F.size("tokens")))
     literals = F.size(F.filter(F.slice("tokens", F.col("w.pos"), F.col("w.len")), lambda t: ~F.startswith(t, F.lit("\x01"))))
     kept = cut.where(literals >= F.least(F.lit(p.literals), F.col("w.len"))).select("item_id", "tokens", "w.*").distinct()
     totals = kept.groupBy("item_id").agg(F.count("*").alias("total"))
-    return kept.join(totals, "item_id").withColumnRenamed("pos", "item_pos")
+    n = F.least(F.lit(p.window), F.size("tokens"))
+    rest = all_.join(kept.select("item_id", "tokens").distinct(), ["item_id", "tokens"], "left_anti")
+    whole = rest.select("item_id", "tokens", F.lit(1).alias("item_pos"), (-n).alias("len"), F.xxhash64(F.slice("tokens", 1, n)).alias("hash"), F.lit(1).cast("long").alias("total"))
+    return kept.join(totals, "item_id").withColumnRenamed("pos", "item_pos").unionByName(whole)
 
 
 def find(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
@@ -99,15 +122,17 @@ def find(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are not read.
     One row per text and item: doc_id, text_hash, item_id, windows found with consistent
-    slots, their share of the item's windows, and whether all slots are those of the item.
+    slots, their share of the item's windows, and whether all slots are those of the item;
+    an item that is only found verbatim counts as one window.
     Null and empty texts hold nothing; rows of one id and text count once; a null doc_id
     is an id like any other, rows without item_id are left out. Texts never leave the scan
     but for documents in which some window was found.
     """
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     bench = session.settle(item_windows(items, p), "item-windows")
-    lengths = sorted(r["len"] for r in bench.select("len").distinct().collect()) or [p.window]
-    places = docs.where(F.col("text").isNotNull()).select(*key, F.explode(_windows(marked(F.col("text")), lengths)).alias("w"))
+    sizes = sorted(r["len"] for r in bench.select("len").distinct().collect()) or [p.window]
+    lengths, verbatim = [n for n in sizes if n > 0], [-n for n in sizes if n < 0]
+    places = docs.where(F.col("text").isNotNull()).select(*key, F.explode(_windows(marked(F.col("text")), lengths, verbatim)).alias("w"))
     hits = places.select("doc_id", "text_hash", "w.*").join(
         common.sized(bench.select("hash", "len", "item_id", "item_pos")), ["hash", "len"]
     )
@@ -117,8 +142,15 @@ def find(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
     found = docs.select("doc_id", "text", *key[1:])
     texts = found.join(owners, same(found, owners), "left_semi").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
     texts = texts.select("doc_id", "text_hash", marked(F.col("text")).alias("doc_tokens"))
-    own = bench.select("item_id", "tokens", "total").distinct()
-    lined = hits.join(texts, same(hits, texts)).select(hits["*"], F.slice("doc_tokens", hits["pos"], hits["len"]).alias("d")).join(own, "item_id")
+    whole = bench.where(F.col("len") < 0).select("item_id", "tokens")
+    held = (
+        hits.where(F.col("len") < 0).join(common.sized(whole), "item_id").join(texts, same(hits, texts))
+        .where(F.slice("doc_tokens", F.col("pos"), F.size("tokens")) == F.col("tokens"))
+        .select(hits["doc_id"], hits["text_hash"], "item_id", F.lit(1).alias("windows"), F.lit(1.0).alias("share"), F.lit(True).alias("exact")).distinct()
+    )
+    own = bench.where(F.col("len") > 0).select("item_id", "tokens", "total").distinct()
+    near = hits.where(F.col("len") > 0)
+    lined = near.join(texts, same(near, texts)).select(near["*"], F.slice("doc_tokens", near["pos"], near["len"]).alias("d")).join(own, "item_id")
     slots = F.filter(
         F.arrays_zip(F.slice("tokens", F.col("item_pos"), F.col("len")).alias("i"), F.col("d")), lambda z: F.startswith(z["i"], F.lit("\x01"))
     )
@@ -132,7 +164,8 @@ def find(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
     summed = aligned.where(steady).groupBy("doc_id", "text_hash", "item_id", "total").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("windows"), F.bool_or(exact).alias("exact")
     )
-    return summed.select("doc_id", "text_hash", "item_id", "windows", (F.col("windows") / F.col("total")).alias("share"), "exact").where(F.col("share") >= p.share)
+    found = summed.select("doc_id", "text_hash", "item_id", "windows", (F.col("windows") / F.col("total")).alias("share"), "exact").where(F.col("share") >= p.share)
+    return found.unionByName(held) if verbatim else found
 
 
 def clean(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:

@@ -137,6 +137,20 @@ def test_short_items_are_one_window(spark):
     assert [r["doc_id"] for r in decontamination.find(frame(spark, rows), items).collect()] == [1]
 
 
+def test_items_without_a_window_are_found_verbatim(spark):
+    sums = " ".join(f"{i} + {i + 3} = {2 * i + 3};" for i in range(11, 40))
+    thai, chinese = "น้ำเดือดที่อุณหภูมิเท่าไร", "水在标准大气压下的沸点是多少度"
+    items = frame(spark, [(1, "What is 15% of 240?"), (2, "Define osmosis."), (3, sums), (4, chinese), (5, thai), (6, "")], "item_id long, text string")
+    rows = [
+        (1, "Q: What is 15% of 240? A: 36"), (2, "Q: What is 20% of 240?"), (3, "please define osmosis now"), (4, "define the osmosis"), (5, f"so {sums} and so on"),
+        (6, sums.replace("39 + 42", "39 + 43")), (7, f"问题：{chinese}？答案"), (8, "水在高山上的沸点是多少"), (9, f"ถาม{thai}ตอบ"), (10, None), (11, ""),
+    ]
+    docs = frame(spark, rows)
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontamination.find(docs, items).collect()}
+    assert got == {(1, 1): True, (3, 2): True, (5, 3): True, (7, 4): True, (9, 5): True}
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, items).collect()) == [2, 4, 6, 8, 10, 11]
+
+
 def plain_sets(rows):
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
