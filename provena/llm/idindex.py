@@ -10,6 +10,7 @@ fingerprint and one slice of one block.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from array import array
 from dataclasses import dataclass
@@ -29,12 +30,14 @@ _U = np.uint64
 class Params:
     """shard: characters of text in a shard on average. block: ids after which a block is
     closed; a longer document is a block. keys: of an index part on average. end: the id
-    appended to every document."""
+    appended to every document. added: whether the file's added tokens have their own ids
+    where a text holds them, as the library has it by default; else they are text."""
 
     shard: int = 32_000_000
     block: int = 2_000_000
     keys: int = 100_000
     end: int = 2
+    added: bool = False
 
 
 def _alphabet() -> dict[int, int]:
@@ -59,11 +62,12 @@ class _Found(dict):
 class Coder:
     """Encodes whole texts with a tokenizers file, each different word once as long as the
     memory holds them. A text falls apart before every single blank between two words, and
-    such a piece by the pattern; the library's model merges each word."""
+    such a piece by the pattern; the library's model merges each word. With ``added`` a text is
+    first split at the file's added tokens."""
 
     HELD = 700_000
 
-    def __init__(self, content: str, wide: bool):
+    def __init__(self, content: str, wide: bool, added: bool = False):
         import regex
         from tokenizers import Tokenizer
 
@@ -77,8 +81,28 @@ class Coder:
         self.words = words = _Found(word)
         self.split = lambda text: b"".join(map(words.__getitem__, find(text)))
         self.pieces = _Found(lambda piece: self.split(" " + piece))
+        # Of several at one place the longest counts.
+        tokens = sorted(json.loads(content).get("added_tokens") or [] if added else [], key=lambda t: -len(t["content"]))
+        self.own = [array(kind, [t["id"]]).tobytes() for t in tokens]
+        self.added = re.compile("|".join(self._mark(t) for t in tokens)).finditer if tokens else None
+
+    @staticmethod
+    def _mark(token: dict) -> str:
+        whole = f"({re.escape(token['content'])})"
+        if token.get("single_word"):
+            whole = rf"(?<!\w){whole}(?!\w)"
+        return (r"\s*" if token.get("lstrip") else "") + whole + (r"\s*" if token.get("rstrip") else "")
 
     def encode(self, text: str | None) -> bytes:
+        if not text or not self.added:
+            return self._plain(text)
+        out, at = [], 0
+        for found in self.added(text):
+            out += [self._plain(text[at : found.start()]), self.own[found.lastindex - 1]]
+            at = found.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str | None) -> bytes:
         if not text:
             return b""
         if len(self.words) > self.HELD or len(self.pieces) > self.HELD:
@@ -113,7 +137,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, p: Params = Params()) -> N
     def blocks(batches):
         from pyspark import TaskContext
 
-        coder, end = Coder(tokenizer, wide), np.array([p.end], kind).tobytes()
+        coder, end = Coder(tokenizer, wide, p.added), np.array([p.end], kind).tobytes()
         shard, number, width = TaskContext.get().partitionId(), itertools.count(), np.dtype(kind).itemsize
         ids, parts, held = [], [], 0
 

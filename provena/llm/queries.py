@@ -95,7 +95,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written in order of the ids and read back through the index."""
     docs = common.table(spark, sf_dir, "documents")
     path = idindex.folder(spark)
-    idindex.write(docs, common.resource(common.tokenizer_path("byte_bpe_50k.json")).decode("utf-8"), path)
+    idindex.write(docs, common.resource(common.tokenizer_path("byte_bpe_50k.json")).decode("utf-8"), path, idindex.Params(added=True))
     return idindex.read(spark, path, docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

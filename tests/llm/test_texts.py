@@ -70,6 +70,20 @@ def test_id_shards_read_back_by_key(spark, tmp_path):
     assert idindex.read(spark, empty, docs).count() == 0
 
 
+def test_op3_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from provena.llm.queries import QUERIES
+
+    coder = Tokenizer.from_str(TOKENIZER)
+    rows = list(enumerate(["a text<|endoftext|>", "<|endoftext|>", "one  <|endoftext|> <|endoftext|>\n two", "<|endoftext|", "plain words", "", None, *TRICKY]))
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {i: coder.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows}
+    assert 50256 in ids[0]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op3_idindex"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+
+
 def test_perfect_hash_is_minimal_and_refuses_strangers():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000))
     sizes, bits = idindex.build_hash(keys)
