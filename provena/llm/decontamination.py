@@ -68,12 +68,13 @@ def marked(text: Column) -> Column:
     """
     clean = F.translate(F.coalesce(text, F.lit("")), "=\x01", "  ")
     named = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;][ \t])(\p{Lu}[\p{Ll}\p{M}]+)(?![\p{L}\p{M}\p{N}])", "\x01a=$1")
-    worded = F.regexp_replace(named, r"(?iu)(?<![\p{L}\p{N}=])(" + "|".join(NUMBER_WORDS) + r")(?![\p{L}\p{N}])", "\x01n=$1")
-    measured = F.regexp_replace(worded, rf"(?iu)(?<![\p{{L}}\p{{N}}=])({_NUMBER})[ \t]?({_UNIT})(?![\p{{L}}\p{{N}}])", " \x01n=$1 \x01u=$2 ")
-    counted = F.regexp_replace(measured, rf"(?<!=)(?<![0-9][.,:/])(?<![0-9]){_NUMBER}", " \x01n=$0 ")
+    # Most places hold no digit, which the first test of each pattern sees.
+    measured = F.regexp_replace(named, rf"(?iu)(?=[0-9])(?<![\p{{L}}\p{{N}}=])({_NUMBER})[ \t]?({_UNIT})(?![\p{{L}}\p{{N}}])", " \x01n=$1 \x01u=$2 ")
+    counted = F.regexp_replace(measured, rf"(?=[0-9])(?<!=)(?<![0-9][.,:/])(?<![0-9]){_NUMBER}", " \x01n=$0 ")
     loose = F.regexp_replace(F.lower(counted), r"(?<![0-9=])[^\p{L}\p{M}\p{N}\s=\x01]+|(?<!=)[^\p{L}\p{M}\p{N}\s=\x01]+(?![0-9\p{L}°/])", " ")
     single = F.regexp_replace(loose, _UNSPACED, " $0 ")
-    return F.filter(F.split(single, r"\s+"), lambda t: t != "")
+    tokens = F.filter(F.split(single, r"\s+"), lambda t: t != "")
+    return F.transform(tokens, lambda t: F.when(t.isin(*NUMBER_WORDS), F.concat(F.lit("\x01n="), t)).otherwise(t))
 
 
 def _windows(tokens: Column, lengths: list[int], verbatim: list[int] = []) -> Column:
