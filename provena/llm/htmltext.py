@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from provena.llm import common
 
@@ -470,4 +471,5 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
             text = [" ".join(b.text for b, q in zip(page, row) if q >= 0.5) for page, row in zip(pages_, prob)]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    found = pages.select(F.col("page_id").cast("string"), "url", "html").mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return found.withColumn("page_id", common.as_id(F.col("page_id")))

@@ -142,7 +142,8 @@ def _profiles(docs: DataFrame, p: Params) -> DataFrame:
                 held, n, known = [], 0, set()
         yield counted(held, n)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "kind int, doc_id long, node long, size int, token long, seen long")
+    found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "kind int, doc_id string, node long, size int, token long, seen long")
+    return found.withColumn("doc_id", common.as_id(F.col("doc_id")))
 
 
 def needed(size, p: Params):
