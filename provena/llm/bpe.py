@@ -10,6 +10,7 @@ and the positions as numbers of words. Decoding joins ids to the table of token
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 import re
 import zlib
@@ -23,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provena.llm import common
 
 #: Fixed value: the pattern that the rank files were made with; each match is merged alone.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,11 +67,15 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 
 class _Pieces(dict):
-    """Splits a piece, with the blank before it, when it first comes."""
+    """Splits a piece, with the blank before it, when it first comes. It knows the numbers of
+    the words and not their owner, so a finished chunk is freed at once."""
 
-    def __init__(self, split):
+    def __init__(self, find, numbers):
         super().__init__()
-        self.split = split
+        self.find, self.numbers = find, numbers
+
+    def split(self, text: str) -> bytes:
+        return array("I", map(self.numbers.__getitem__, self.find(text))).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         found = self[piece] = self.split(" " + piece)
@@ -90,18 +96,15 @@ class Words:
         self.find = regex.compile(PATTERN).findall
         self.odd = re.compile(r" \s|\s ").search
         self.numbers: dict[str, int] = defaultdict(itertools.count().__next__)
-        self.pieces = _Pieces(self._split)
+        self.pieces = _Pieces(self.find, self.numbers)
         self.seen: set[str] = set()
 
-    def _split(self, piece: str) -> bytes:
-        return array("I", map(self.numbers.__getitem__, self.find(piece))).tobytes()
-
     def read(self, text: str) -> bytes:
         """Numbers of the text's pre-tokens, as unsigned 32-bit integers."""
         if self.odd(text):
-            return self._split(text)
+            return self.pieces.split(text)
         head, *rest = text.split(" ")
-        return self._split(head) + b"".join(map(self.pieces.__getitem__, rest))
+        return self.pieces.split(head) + b"".join(map(self.pieces.__getitem__, rest))
 
     def note(self, text: str) -> None:
         """The same pre-tokens, only to know which there are: new pieces are split at once."""
@@ -140,13 +143,14 @@ def _in_chunks(batches):
 
     base, number, ids, texts, size = TaskContext.get().partitionId() << 32, itertools.count(), [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            ids.append(None if doc_id is None else int(doc_id))
             texts.append(text or "")
             size += len(texts[-1]) + 16
             if size > CHUNK:
                 yield base + next(number), ids, texts
                 ids, texts, size = [], [], 0
+                common.give_back()
     if ids:
         yield base + next(number), ids, texts
 
@@ -163,7 +167,7 @@ def _asked(docs: DataFrame, groups: int) -> DataFrame:
             rows = [(chunk, g, int(cuts[g + 1] - cuts[g]), _words_blob(listed[cuts[g] : cuts[g + 1]])) for g in np.flatnonzero(np.diff(cuts)).tolist()]
             yield pd.DataFrame(rows, columns=["chunk", "part", "n", "words"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, part int, n int, words binary")
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "chunk long, part int, n int, words binary")
 
 
 def _holders(docs: DataFrame, groups: int) -> DataFrame:
@@ -180,7 +184,7 @@ def _holders(docs: DataFrame, groups: int) -> DataFrame:
                 "lengths": [np.array([len(s) // 4 for s in slots], np.int64)], "slots": [_squeeze(np.frombuffer(b"".join(slots), np.uint32))], "order": [_squeeze(order)],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, ids array<long>, known array<boolean>, lengths array<long>, slots binary, order binary")
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "chunk long, ids array<long>, known array<boolean>, lengths array<long>, slots binary, order binary")
 
 
 def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
@@ -192,12 +196,12 @@ def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
     times, as a stored table does; where it does not, the job fails.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups = max(16, int(size) // GROUP + 1)
+    groups, digest = max(16, int(size) // GROUP + 1), hashlib.sha256(ranks).hexdigest()
+
     def encoded(group):
         import tiktoken
 
-
-        coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(ranks), special_tokens={})
+        coder = common.per_worker(("tiktoken", digest), lambda: tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(ranks), special_tokens={}))
         asked = [_words_list(w, n) for w, n in zip(group["words"], group["n"])]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(asked)))}
         found = coder.encode_ordinary_batch([w.decode("utf-8") for w in distinct], num_threads=1)
@@ -208,6 +212,8 @@ def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
         for chunk, part, words in zip(group["chunk"], group["part"], asked):
             at = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
             rows.append((chunk, part, len(words), _squeeze(lengths[at]), _squeeze(_gathered(flat, starts[at], lengths[at]))))
+        del asked, distinct, found, flat
+        common.give_back()
         return pd.DataFrame(rows, columns=["chunk", "part", "n", "lengths", "ids"])
 
     known = _asked(docs, groups).groupBy("part").applyInPandas(encoded, "chunk long, part int, n int, lengths binary, ids binary")

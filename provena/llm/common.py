@@ -87,6 +87,35 @@ def having(df: DataFrame, key: str, ids: list[int]) -> DataFrame:
     return df.where(F.col(key).isin(ids)) if ids else df.limit(0)
 
 
+def per_worker(key: tuple, make: Callable):
+    """What ``make`` gives, made once in each Python worker process and kept for its later tasks.
+
+    Functions travel to the workers by value, so what they hold ends with a task; this lies
+    among the modules of the process. Keys are few: an operator's name and its resources.
+    """
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_provena_kept", types.ModuleType("_provena_kept")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def give_back() -> None:
+    """Hand freed memory of this process back to the system, where its C library can."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def as_id(text: Column) -> Column:
+    """An id that went to Python as a string, where nulls beside it would make it a float."""
+    return text.cast("long")
+
+
 def resource(path: str) -> bytes:
     """A vocabulary file, read where the driver runs; its content travels to the tasks."""
     with open(path, "rb") as file:

@@ -9,6 +9,7 @@ fingerprint and one slice of one block.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import re
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provena import session
+from provena.llm import common
 from provena.llm.bpe import PATTERN
 
 _U = np.uint64
@@ -31,13 +33,15 @@ class Params:
     """shard: characters of text in a shard on average. block: ids after which a block is
     closed; a longer document is a block. keys: of an index part on average. end: the id
     appended to every document. added: whether the file's added tokens have their own ids
-    where a text holds them, as the library has it by default; else they are text."""
+    where a text holds them, as the library has it; else they are text. held: bytes of words
+    and pieces that a worker remembers."""
 
     shard: int = 32_000_000
     block: int = 2_000_000
     keys: int = 100_000
     end: int = 2
-    added: bool = False
+    added: bool = True
+    held: int = 200_000_000
 
 
 def _alphabet() -> dict[int, int]:
@@ -48,14 +52,21 @@ def _alphabet() -> dict[int, int]:
 
 
 class _Found(dict):
-    """Remembers what a function makes of a key."""
+    """Remembers what a function makes of a text, within so many bytes: once they are full,
+    what was asked for since is kept, and what was not asked for until they are full again goes."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        found = self[key] = self.make(key)
+        self.make, self.bytes, self.limit, self.older = make, 0, limit // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if self.bytes > self.limit:
+            self.older = dict(self)
+            self.clear()
+            self.bytes = 0
+        found = self[key] = self.older.get(key) or self.make(key)
+        # A string and bytes have some 90 bytes besides what they hold, a place in a dict some 70.
+        self.bytes += 160 + len(found) + len(key) * (1 if key.isascii() else 4)
         return found
 
 
@@ -63,11 +74,10 @@ class Coder:
     """Encodes whole texts with a tokenizers file, each different word once as long as the
     memory holds them. A text falls apart before every single blank between two words, and
     such a piece by the pattern; the library's model merges each word. With ``added`` a text is
-    first split at the file's added tokens."""
-
-    HELD = 700_000
+    first split at the file's added tokens. Nothing here refers to itself: a coder that is let
+    go is freed at once."""
 
-    def __init__(self, content: str, wide: bool, added: bool = False):
+    def __init__(self, content: str, wide: bool, added: bool = True, held: int = Params.held):
         import regex
         from tokenizers import Tokenizer
 
@@ -78,9 +88,13 @@ class Coder:
             return array(kind, [t.id for t in tokenize(raw)]).tobytes()
 
         self.odd = re.compile(r" \s|\s ").search
-        self.words = words = _Found(word)
-        self.split = lambda text: b"".join(map(words.__getitem__, find(text)))
-        self.pieces = _Found(lambda piece: self.split(" " + piece))
+        words = _Found(word, held // 2)
+
+        def split(text: str) -> bytes:
+            return b"".join(map(words.__getitem__, find(text)))
+
+        self.words, self.split = words, split
+        self.pieces = _Found(lambda piece: split(" " + piece), held // 2)
         # Of several at one place the longest counts.
         tokens = sorted(json.loads(content).get("added_tokens") or [] if added else [], key=lambda t: -len(t["content"]))
         self.own = [array(kind, [t["id"]]).tobytes() for t in tokens]
@@ -105,9 +119,6 @@ class Coder:
     def _plain(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.words) > self.HELD or len(self.pieces) > self.HELD:
-            self.words.clear()
-            self.pieces.clear()
         if self.odd(text):
             return self.split(text)
         head, *rest = text.split(" ")
@@ -121,36 +132,38 @@ def write(docs: DataFrame, tokenizer: str, path: str, p: Params = Params()) -> N
     a tokenizers file. Null texts count as empty and still get the end id. Rows without an
     id come first; of equal ids the smaller text hash.
 
-    payload: shard, block, first (ids of all earlier blocks), n_ids, ids (raw), lengths.
-    index: part, bits of the cascade, and by slot the fingerprint and the places.
+    payload: shard, block, n_ids, ids (raw), and by row keys, known and where its ids begin
+    (``begins``, one more than rows). index: part, words of the cascade's bits with how many
+    are set before each, and by slot the fingerprint and the places.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, int(size) // p.shard + 1)
     wide = _ids(tokenizer) > 1 << 16
-    kind = "<u4" if wide else "<u2"
+    kind, digest = "<u4" if wide else "<u2", hashlib.sha256(tokenizer.encode()).hexdigest()
     # Ranges of the order, not of ids alone, so that a key of many rows spreads as well.
     ordered = (
         docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "h")
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select(F.col("doc_id").cast("string"), "text")
     )
 
     def blocks(batches):
         from pyspark import TaskContext
 
-        coder, end = Coder(tokenizer, wide, p.added), np.array([p.end], kind).tobytes()
+        # One for all tasks of a worker: words that come in every shard are merged once.
+        coder, end = common.per_worker(("Coder", digest, p.added, p.held), lambda: Coder(tokenizer, wide, p.added, p.held)), np.array([p.end], kind).tobytes()
         shard, number, width = TaskContext.get().partitionId(), itertools.count(), np.dtype(kind).itemsize
         ids, parts, held = [], [], 0
 
         def closed():
-            lengths = np.array([len(b) // width for b in parts], np.int64)
+            begins = np.cumsum([0, *(len(b) // width for b in parts)], dtype=np.int64)
             return pd.DataFrame({
-                "shard": [shard], "block": [next(number)], "n_ids": [int(lengths.sum())], "ids": [b"".join(parts)], "lengths": [lengths],
+                "shard": [shard], "block": [next(number)], "n_ids": [int(begins[-1])], "ids": [b"".join(parts)], "begins": [begins],
                 "keys": [np.array([0 if k is None else k for k in ids], np.int64)], "known": [np.array([k is not None for k in ids])],
             })
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids.append(None if doc_id is None else int(doc_id))
                 parts.append(coder.encode(text) + end)
                 held += len(parts[-1]) // width
                 if held > p.block:
@@ -159,7 +172,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, p: Params = Params()) -> N
         if ids:
             yield closed()
 
-    schema = "shard int, block int, n_ids long, ids binary, lengths array<long>, keys array<long>, known array<boolean>"
+    schema = "shard int, block int, n_ids long, ids binary, begins array<long>, keys array<long>, known array<boolean>"
     ordered.mapInPandas(blocks, schema).withColumn("wide", F.lit(wide)).write.parquet(f"{path}/payload")
     spark = docs.sparkSession
     payload = spark.read.parquet(f"{path}/payload")
@@ -188,7 +201,7 @@ def _runs(payload: DataFrame) -> DataFrame:
     )
 
 
-INDEX = "part int, n int, sizes array<int>, bits binary, fingerprints binary, first binary, places binary"
+INDEX = "part int, n int, sizes array<int>, bits binary, ranks binary, fingerprints binary, first binary, places binary"
 _PLACE = np.dtype([("shard", "<i4"), ("block", "<i4"), ("row", "<i4"), ("rows", "<i4")])
 
 
@@ -204,9 +217,10 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (_mixed(keys, 1_000_003) >> _U(32)).astype(np.uint32)
 
 
-def build_hash(keys: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Bit arrays of a cascade for different ``keys``: in each level a key that has a cell to
-    itself sets its bit, the others go on to the next level."""
+def build_hash(keys: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Bit arrays of a cascade for different ``keys``, as words of 64 bits, and how many bits
+    are set before each word: in each level a key that has a cell to itself sets its bit, the
+    others go on to the next level."""
     sizes, levels, left = [], [], keys
     while len(left):
         size = max(64, 2 * len(left))
@@ -215,26 +229,33 @@ def build_hash(keys: np.ndarray) -> tuple[list[int], np.ndarray]:
         sizes.append(size)
         levels.append(alone)
         left = left[~alone[cell]]
-    return sizes, np.concatenate([*levels, np.zeros(0, bool)])
+    bits = np.concatenate([*levels, np.zeros(-sum(sizes) % 64, bool)])
+    words = np.packbits(bits, bitorder="little").view("<u8")
+    return sizes, words, np.cumsum(np.bitwise_count(words), dtype=np.uint32) - np.bitwise_count(words)
+
 
+def slot_of(keys: np.ndarray, sizes: list[int], words: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The number of each key, below the count of keys; -1 for one that the cascade lacks.
 
-def slot_of(keys: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarray:
-    """The number of each key, below the count of keys; -1 for one that the cascade lacks."""
-    ranks = np.cumsum(bits) - 1
+    A key looks at one word and one count in each level that it goes through, two or so."""
     slot, left, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
     for level, size in enumerate(sizes):
         cell = base + (_mixed(keys[left], level) % _U(size)).astype(np.int64)
-        hit = bits[cell]
-        slot[left[hit]] = ranks[cell[hit]]
+        word, bit = words[cell >> 6], (cell & 63).astype(np.uint64)
+        hit = (word >> bit) & _U(1) == 1
+        below = np.bitwise_count(word & ((_U(1) << bit) - _U(1)))
+        slot[left[hit]] = (ranks[cell >> 6] + below)[hit]
         left, base = left[~hit], base + size
+        if not len(left):
+            break
     return slot
 
 
 def _index_part(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["key", "shard", "block"])
     keys, counts = np.unique(group["key"].to_numpy(np.int64), return_counts=True)
-    sizes, bits = build_hash(keys)
-    slots = slot_of(keys, sizes, bits)
+    sizes, words, ranks = build_hash(keys)
+    slots = slot_of(keys, sizes, words, ranks)
     prints = np.zeros(len(keys), np.uint32)
     prints[slots] = fingerprint(keys)
     # Places in the order of slots; ``first`` says where each slot's begin.
@@ -246,7 +267,7 @@ def _index_part(group: pd.DataFrame) -> pd.DataFrame:
         places[name] = group[name].to_numpy()[order]
     first = np.concatenate([[0], np.cumsum(counts[by])]).astype("<i8")
     return pd.DataFrame({
-        "part": [int(group["part"].iloc[0])], "n": [len(keys)], "sizes": [np.array(sizes, np.int32)], "bits": [np.packbits(bits).tobytes()],
+        "part": [int(group["part"].iloc[0])], "n": [len(keys)], "sizes": [np.array(sizes, np.int32)], "bits": [words.tobytes()], "ranks": [ranks.astype("<u4").tobytes()],
         "fingerprints": [prints.tobytes()], "first": [first.tobytes()], "places": [places.tobytes()],
     })
 
@@ -258,8 +279,7 @@ def _looked_up(index: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
     part = index.iloc[0]
     keys = wanted["key"].to_numpy(np.int64)
     sizes = [int(s) for s in part["sizes"]]
-    bits = np.unpackbits(np.frombuffer(part["bits"], np.uint8), count=sum(sizes)).astype(bool)
-    slots = slot_of(keys, sizes, bits)
+    slots = slot_of(keys, sizes, np.frombuffer(part["bits"], "<u8"), np.frombuffer(part["ranks"], "<u4"))
     known = slots >= 0
     known[known] = np.frombuffer(part["fingerprints"], np.uint32)[slots[known]] == fingerprint(keys[known])
     keys, slots = keys[known], slots[known]
@@ -297,15 +317,14 @@ def read(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         b = block.iloc[0]
         kind = "<u4" if b["wide"] else "<u2"
         raw = np.frombuffer(b["ids"], kind)
-        lengths = np.asarray(b["lengths"], np.int64)
-        ends = np.cumsum(lengths)
+        begins = np.asarray(b["begins"], np.int64)
         known, own = np.asarray(b["known"], bool), np.asarray(b["keys"], np.int64)
         rows = np.concatenate([np.arange(r, r + n) for r, n in zip(wanted["row"], wanted["rows"])])
         asked_for = np.repeat(wanted["key"].to_numpy(np.int64), wanted["rows"].to_numpy(np.int64))
         rows = rows[own[rows] == asked_for]
         return pd.DataFrame({
-            "doc_id": pd.array([int(own[r]) if known[r] else None for r in rows], "Int64"), "start": b["begin"] + ends[rows] - lengths[rows],
-            "n_tokens": lengths[rows], "ids": [raw[ends[r] - lengths[r] : ends[r]].astype("<u4").tobytes() for r in rows],
+            "doc_id": pd.array([int(own[r]) if known[r] else None for r in rows], "Int64"), "start": b["begin"] + begins[rows],
+            "n_tokens": begins[rows + 1] - begins[rows], "ids": [raw[begins[r] : begins[r + 1]].astype("<u4").tobytes() for r in rows],
         })
 
     return blocks.groupBy("shard", "block").cogroup(places.groupBy("shard", "block")).applyInPandas(sliced, "doc_id long, start long, n_tokens long, ids binary")

@@ -49,7 +49,6 @@ def test_id_shards_read_back_by_key(spark, tmp_path):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_str(TOKENIZER)
-    coder.encode_special_tokens = True
     rows, docs = odd_docs(spark)
     path = str(tmp_path / "ids")
     idindex.write(docs, TOKENIZER, path, idindex.Params(shard=50_000, block=5_000, keys=5))
@@ -86,13 +85,13 @@ def test_op3_gives_added_tokens_their_ids(spark, tmp_path):
 
 def test_perfect_hash_is_minimal_and_refuses_strangers():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000))
-    sizes, bits = idindex.build_hash(keys)
-    slots = idindex.slot_of(keys, sizes, bits)
+    built = idindex.build_hash(keys)
+    slots = idindex.slot_of(keys, *built)
     assert sorted(slots.tolist()) == list(range(len(keys)))
     prints = np.zeros(len(keys), np.uint32)
     prints[slots] = idindex.fingerprint(keys)
     others = np.arange(1_000_000, 1_050_000)
-    found = idindex.slot_of(others, sizes, bits)
+    found = idindex.slot_of(others, *built)
     hit = found >= 0
     assert (prints[found[hit]] == idindex.fingerprint(others[hit])).sum() == 0
 
@@ -122,6 +121,45 @@ def test_whole_wrapped_licence_files_and_notices(spark):
     assert got == sorted([(1, 0, "MIT"), (2, 0, "BSD-3-Clause"), *((3 + k, 2, i) for k, (_, i) in enumerate(lines)), *((10 + k, 0, i) for k, i in enumerate(whole))])
 
 
+BIG = [(1 << 53) + 1, (1 << 63) - 1, -(1 << 63) + 1]
+
+
+def test_large_ids_beside_nulls_stay_what_they_are(spark, tmp_path):
+    rows = [(None, "a text of some words that has no id"), *((i, f"text {i} of some words that has one") for i in BIG)]
+    docs = frame(spark, rows).coalesce(1)
+    want = sorted(map(repr, [None, *BIG]))
+    of = lambda df: sorted(repr(r[0]) for r in df.collect())
+    assert of(bpe.encode(docs, RANKS).select("doc_id")) == want
+    idindex.write(docs, TOKENIZER, str(tmp_path / "ids"))
+    assert of(idindex.read(spark, str(tmp_path / "ids"), docs).select("doc_id")) == want
+    assert of(jaccard.join(docs).select("doc_id")) == want
+    assert {r["component_id"] for r in jaccard.join(docs).collect()} == {None, *BIG}
+
+
+def test_finished_chunks_and_coders_are_freed_without_the_collector():
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        words = bpe.Words()
+        words.read("some words and some words again")
+        coder = idindex.Coder(TOKENIZER, False)
+        coder.encode("some words <|endoftext|> again")
+        gone = [weakref.ref(words), weakref.ref(words.pieces), weakref.ref(coder), weakref.ref(coder.pieces)]
+        del words, coder
+        assert [g() for g in gone] == [None] * 4
+    finally:
+        gc.enable()
+
+
+def test_a_coder_forgets_when_full():
+    coder, other = idindex.Coder(TOKENIZER, False, held=2000), idindex.Coder(TOKENIZER, False)
+    for text in [*TRICKY, LONG[:50_000]]:
+        assert coder.encode(text) == other.encode(text)
+        assert coder.words.bytes < 2_000_000
+
+
 ITEM = "The train from Berlin to Hamburg leaves at 14:30 and needs 95 minutes; how many km does Anna ride if it goes 120 km/h on the way from Berlin?"
 
 
