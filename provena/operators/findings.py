@@ -58,10 +58,14 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return whole
 
 
+def _first_messages(df: DataFrame, keys: Sequence[str], order: str, message: str, limit: int) -> DataFrame:
+    first = top_rows(df.select(*keys, order, message), keys, [F.col(order), F.col(message)], limit, "_n")
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", message))).alias("_m"))
+
+
 def listed_messages(df: DataFrame, keys: Sequence[str], order: str, message: str, limit: int) -> DataFrame:
     """The first ``limit`` messages per key joined with ``"; "``, and how many more there are."""
-    first = top_rows(df.select(*keys, order, message), keys, [F.col(order), F.col(message)], limit, "_n")
-    listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", message))).alias("_m"))
+    listed = _first_messages(df, keys, order, message, limit)
     more = df.groupBy(*keys).agg((F.count("*") - limit).alias("_more")).filter(F.col("_more") > 0)
     text = F.array_join(F.transform("_m", lambda m: m[message]), "; ")
     rest = F.when(F.col("_more").isNotNull(), F.concat(F.lit("; and "), F.col("_more").cast("string"), F.lit(" more"))).otherwise("")
@@ -69,6 +73,7 @@ def listed_messages(df: DataFrame, keys: Sequence[str], order: str, message: str
 
 
 def joined_messages(df: DataFrame, keys: Sequence[str], order: str, message: str, limit: int) -> DataFrame:
-    """Listed messages and how many there are in all."""
+    """The first ``limit`` messages per key, and in a column of its own how many there are in all."""
     totals = df.groupBy(*keys).agg(F.count("*").alias("n_messages"))
-    return totals.join(listed_messages(df, keys, order, message, limit), list(keys))
+    listed = _first_messages(df, keys, order, message, limit).select(*keys, F.array_join(F.transform("_m", lambda m: m[message]), "; ").alias("messages"))
+    return totals.join(listed, list(keys))

@@ -36,7 +36,7 @@ def stream_dedup(spark, sf_dir):
     log = log_stream(spark, sf_dir).select("seq", "event_code", "created_at")
     tries = F.when(F.col("seq") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     replayed = log.select("seq", "event_code", "created_at", F.explode(tries).alias("_try")).drop("_try")
-    return feeds.run_append(feeds.dedup(replayed).select("seq", "event_code"), "dedup")
+    return feeds.dedup_all(replayed, "dedup", ["event_code"])
 
 
 @query(
@@ -49,7 +49,7 @@ def stream_idempotency(spark, sf_dir):
     requests = feeds.table_stream(spark, sf_dir, "documents").select(
         ledgers.title_key(F.col("text")).alias("request_key"), F.col("doc_id").alias("seq"), digest.sha(F.col("text")).alias("digest")
     )
-    return feeds.run_append(feeds.idempotency(requests), "idempotency")
+    return feeds.settled_decisions(feeds.idempotency(requests), "idempotency", ["request_key", "seq"])
 
 
 def _status(code, seq):
@@ -65,7 +65,7 @@ def stream_task_state(spark, sf_dir):
     requests = log_stream(spark, sf_dir).select(
         "task_id", "seq", _status(F.col("event_code"), seq).alias("status"), F.lit(None).cast("bigint").alias("expected_epoch")
     )
-    return feeds.run_append(feeds.task_state(requests), "task-state").drop("epoch")
+    return feeds.settled_decisions(feeds.task_state(requests), "task-state", ["task_id", "seq"]).drop("epoch")
 
 
 _ALLOWED = (
@@ -97,8 +97,8 @@ def stream_stale(spark, sf_dir):
     requests = log_stream(spark, sf_dir).select(
         "task_id", "seq", _status(F.col("event_code"), seq).alias("status"), F.when(seq % 3 == 0, 1 + seq % 4).alias("expected_epoch")
     )
-    late = feeds.task_state(requests).filter(F.col("outcome") == "stale")
-    return feeds.run_append(late.select("task_id", "seq", "status", F.col("state_after").alias("state"), "epoch"), "stale")
+    late = feeds.settled_decisions(feeds.task_state(requests), "stale", ["task_id", "seq"]).filter(F.col("outcome") == "stale")
+    return late.select("task_id", "seq", "status", F.col("state_after").alias("state"), "epoch")
 
 
 @query("stream_ingest", "SELECT DISTINCT sha256(text) AS sha256, length(text) AS code_points FROM documents")
@@ -123,11 +123,10 @@ SELECT 'sliding', strftime(s, '%Y-%m-%d %H:%M:%S'), strftime(s + INTERVAL 1 DAY,
 FROM (SELECT time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - k * INTERVAL 12 HOUR AS s, event_type FROM events, (VALUES (0), (1)) v(k)) WHERE s + INTERVAL 1 DAY <= {_CLOSED} GROUP BY ALL""",
 )
 def stream_counts(spark, sf_dir):
-    log = log_stream(spark, sf_dir)
-    tumbling = feeds.counts(log, F.window("created_at", "1 day"), ["event_code"])
-    sliding = feeds.counts(log, F.window("created_at", "1 day", "12 hours"), ["event_code"])
-    one = feeds.run_append(tumbling.withColumn("kind", F.lit("tumbling")), "tumbling")
-    return _shown(one.unionByName(feeds.run_append(sliding.withColumn("kind", F.lit("sliding")), "sliding")))
+    split = feeds.split_late(log_stream(spark, sf_dir), "counts")
+    tumbling = feeds.counts_all(split, "tumbling", F.window("created_at", "1 day"), ["event_code"])
+    sliding = feeds.counts_all(split, "sliding", F.window("created_at", "1 day", "12 hours"), ["event_code"])
+    return _shown(tumbling.withColumn("kind", F.lit("tumbling")).unionByName(sliding.withColumn("kind", F.lit("sliding"))))
 
 
 @query(
@@ -138,8 +137,8 @@ FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM
 GROUP BY user_id, session HAVING max(ts) + INTERVAL 6 HOUR <= {_CLOSED}""",
 )
 def stream_sessions(spark, sf_dir):
-    sessions = feeds.counts(log_stream(spark, sf_dir), F.session_window("created_at", "6 hours"), ["user_id"])
-    return _shown(feeds.run_append(sessions, "sessions"))
+    split = feeds.split_late(log_stream(spark, sf_dir), "sessions-split")
+    return _shown(feeds.sessions_all(split, "sessions", F.session_window("created_at", "6 hours"), ["user_id"]))
 
 
 @query(
@@ -148,8 +147,8 @@ def stream_sessions(spark, sf_dir):
 )
 def event_counts(spark, sf_dir):
     """Counts so far, open windows included: update mode."""
-    counted = feeds.counts(log_stream(spark, sf_dir), F.window("created_at", "1 day"), ["event_code"])
-    return _shown(feeds.run_update(counted, "event-counts", ["event_code", "window_start"], ["window_end", "n"])).select(
+    split = feeds.split_late(log_stream(spark, sf_dir), "event-counts-split")
+    return _shown(feeds.counts_so_far(split, "event-counts", F.window("created_at", "1 day"), ["event_code"])).select(
         "event_code", "window_start", "n"
     )
 
@@ -171,4 +170,4 @@ def stream_budget(spark, sf_dir):
     calls = log_stream(spark, sf_dir).select(
         F.col("user_id").alias("turn"), F.col("seq").alias("call_no"), F.bround(F.col("value") * 10).cast("bigint").alias("chars"), "created_at"
     )
-    return feeds.run_append(feeds.budget(calls, max_calls=4, max_chars=600, gap_seconds=6 * 3600), "budget")
+    return feeds.settled_decisions(feeds.budget(calls, max_calls=4, max_chars=600, gap_seconds=6 * 3600), "budget", ["turn", "call_no"])
