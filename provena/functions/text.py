@@ -74,6 +74,22 @@ def literal_position(text: Column, term: Column) -> Column:
     return (F.position(term, text) - 1).cast("bigint")
 
 
+def literal_positions(text: Column, term: Column) -> Column:
+    """0-based positions of every occurrence, overlapping ones too; none for an empty term.
+
+    The text is cut before each place where the term begins; what stands before a cut says
+    where it is. A cut at the very beginning leaves no piece, so that place is asked for.
+    """
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    pieces = F.split(text, quoted)
+    ends = F.aggregate(
+        F.slice(pieces, 1, F.size(pieces) - 1), F.array().cast("array<bigint>"),
+        lambda acc, piece: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)).cast("bigint") + F.length(piece))),
+    )
+    first = F.when(F.startswith(text, term), F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.length(term) > 0, F.concat(first, ends)).otherwise(F.array().cast("array<bigint>"))
+
+
 def snippet(text: Column, pos: Column, limit: int) -> Column:
     """At most ``limit`` points around ``pos``; an ellipsis marks each cut end."""
     window = limit - 2

@@ -124,12 +124,13 @@ def verified_refs(handles_used: DataFrame, issued: DataFrame, artifacts: DataFra
 
 
 def locate(materials: DataFrame, passages: DataFrame) -> DataFrame:
-    """Every material that quotes a passage word for word, with the span of the quote.
+    """Every place where a material quotes a passage word for word, overlapping ones too.
 
     ``passages`` is (passage_id, quote). A quote holds its own inner words as whole words
     of the material, so a hash of a few inner words finds the candidates by an equi-join
-    and ``position`` confirms them. Bodies are joined back for candidates only. Quotes of
-    fewer than three words have no inner word; they are compared directly.
+    and the text confirms them. Bodies are joined back for candidates only. Quotes of fewer
+    than three words have no inner word; ``_short_candidates`` finds theirs. An empty quote
+    stands nowhere.
     """
     words = F.split(F.col("quote"), r"\s+")
     shaped = passages.filter(F.col("quote") != "").withColumn("_words", words).withColumn("_n", F.size("_words"))
@@ -152,27 +153,47 @@ def locate(materials: DataFrame, passages: DataFrame) -> DataFrame:
     short = shaped.filter((F.col("_n") >= 3) & (F.col("_n") < ANCHOR_WORDS + 2)).select(
         "passage_id", "quote", F.xxhash64(F.lit(1), longest.getField("word")).alias("_anchor")
     )
-    tiny = shaped.filter(F.col("_n") < 3).select("passage_id", "quote")
+    tiny = settle(shaped.filter(F.col("_n") < 3).select("passage_id", "quote"), "short-quotes")
 
     probed = materials.select("artifact_id", F.split("text", r"\s+").alias("_words"))
     # Written down, the candidates have a known size: few are broadcast to the bodies, many
     # are joined to them.
-    candidates = settle(
-        _candidates(probed, long, ANCHOR_WORDS).unionByName(_candidates(probed, short, 1)).distinct(), "candidates"
-    )
+    found = _candidates(probed, long, ANCHOR_WORDS).unionByName(_candidates(probed, short, 1))
+    if not tiny.isEmpty():
+        found = found.unionByName(_short_candidates(materials, tiny))
+    candidates = settle(found.distinct(), "candidates")
     with_text = candidates.join(passages, "passage_id").join(materials.select("artifact_id", "text"), "artifact_id")
-    # Nearly always empty; Spark plans a nested loop over these few quotes.
-    direct = materials.select("artifact_id", "text").join(tiny, F.contains(F.col("text"), F.col("quote")))
-    cols = ["passage_id", "artifact_id", "quote", "text"]
-    found = with_text.select(*cols).unionByName(direct.select(*cols))
-    start = tx.literal_position(F.col("text"), F.col("quote"))
-    return found.filter(F.contains(F.col("text"), F.col("quote"))).select(
-        "passage_id", "artifact_id",
-        start.alias("span_start"),
-        (start + F.length("quote")).alias("span_end"),
-        sha(F.col("text")).alias("canonical_sha256"),
-        sha(F.col("quote")).alias("span_sha256"),
-    )
+    # Digests once a text and quote, places after them.
+    held = with_text.filter(F.contains(F.col("text"), F.col("quote"))).select(
+        "passage_id", "artifact_id", sha(F.col("text")).alias("canonical_sha256"), sha(F.col("quote")).alias("span_sha256"),
+        F.length("quote").cast("bigint").alias("_length"), tx.literal_positions(F.col("text"), F.col("quote")).alias("_places"),
+    )
+    return held.withColumn("span_start", F.explode("_places")).select(
+        "passage_id", "artifact_id", "span_start", (F.col("span_start") + F.col("_length")).alias("span_end"), "canonical_sha256", "span_sha256"
+    )
+
+
+#: Characters by which short quotes are looked up in the vocabulary.
+GRAM = 3
+
+
+def _short_candidates(materials: DataFrame, tiny: DataFrame) -> DataFrame:
+    """(artifact_id, passage_id) pairs for quotes of one or two words, which may be parts of
+    longer words. The longest of them, or a quote of nothing but blanks, lies within one word
+    or one run of blanks: it is looked up in the corpus's different ones by its first
+    characters, and those lead to the texts that hold them."""
+    visible = F.array_max(F.transform(F.split("quote", r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
+    piece = F.when(visible.getField("n") > 0, visible.getField("word")).otherwise(F.col("quote"))
+    wanted = tiny.select("passage_id", piece.alias("_piece")).withColumn("_gram", F.substring("_piece", 1, GRAM))
+    runs = F.array_distinct(F.concat(F.split("text", r"\s+"), F.split("text", r"\S+")))
+    placed = materials.select("artifact_id", F.explode(F.filter(runs, lambda w: w != "")).alias("_run"))
+    grams = F.flatten(F.transform(
+        F.array(*[F.lit(n) for n in range(1, GRAM + 1)]),
+        lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.length("_run")), lambda i: i + n - 1 <= F.length("_run")), lambda i: F.substring(F.col("_run"), i, n)),
+    ))
+    vocabulary = placed.select("_run").distinct().withColumn("_gram", F.explode(F.array_distinct(grams)))
+    held = vocabulary.join(wanted, "_gram").filter(F.contains(F.col("_run"), F.col("_piece"))).select("_run", "passage_id")
+    return placed.join(held, "_run").select("artifact_id", "passage_id")
 
 
 def _window_hash(words: Column, at: Column, width: int) -> Column:

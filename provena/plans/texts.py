@@ -604,10 +604,10 @@ def verified_refs(spark, sf_dir):
     stating(
         "materials",
         """
-SELECT b.item_id AS passage_id, m.artifact_id, position(b.text IN m.text) - 1 AS span_start,
-       position(b.text IN m.text) - 1 + length(b.text) AS span_end, sha256(m.text) AS canonical_sha256,
-       sha256(b.text) AS span_sha256
-FROM materials m JOIN benchmark b ON contains(m.text, b.text)""",
+SELECT passage_id, artifact_id, unnest(places) AS span_start, unnest(places) + n AS span_end, canonical_sha256, span_sha256
+FROM (SELECT b.item_id AS passage_id, m.artifact_id, length(b.text) AS n, sha256(m.text) AS canonical_sha256, sha256(b.text) AS span_sha256,
+             list_filter(range(0, length(m.text) - length(b.text) + 1), lambda i: substr(m.text, i + 1, length(b.text)) = b.text) AS places
+      FROM materials m JOIN benchmark b ON contains(m.text, b.text))""",
     ),
 )
 def locate_quotes(spark, sf_dir):

@@ -137,3 +137,18 @@ def test_large_sets_have_a_digest_of_their_own(spark):
     fewer = mat.set_digests(rows.filter("artifact_id <> '7'")).collect()[0]
     assert fewer.set_status == "in_parts" and fewer.set_digest != got["hot"].set_digest
     assert got["ok"].set_digest == hashlib.sha256(b"a:1\nb:2").hexdigest()
+
+
+def test_quotes_are_found_at_every_place(spark):
+    texts = {
+        "a": "one two three four one two three four one two three four", "b": "concatenate the cat, cat", "c": "aaaa", "d": r"a \E b \Q a \E b", "e": "x  \n y\n\nz", "f": "", "g": "la la la la la la la",
+        "h": "quoted (regex) [here]* +? $^", "i": None, "j": "foo barn, snafoo bard",
+    }
+    quotes = ["one two three four one", "cat", "aa", r"a \E b", "\n", " ", "la la la", "la la la la la", "(regex) [here]* +?", "", "foo bar", "absent words here", "a", None, "é"]
+    materials = spark.createDataFrame(list(texts.items()), "artifact_id string, text string")
+    passages = spark.createDataFrame(list(enumerate(quotes)), "passage_id long, quote string")
+    want = {
+        (p, a, i, i + len(q)) for p, q in enumerate(quotes) if q for a, t in texts.items() if t for i in range(len(t)) if t.startswith(q, i)
+    }
+    got = spans.locate(materials, passages).collect()
+    assert {(r["passage_id"], r["artifact_id"], r["span_start"], r["span_end"]) for r in got} == want and len(got) == len(want)
