@@ -87,7 +87,8 @@ def _decode(bodies: pa.Array, names: pa.Array) -> pa.Array:
             return None
         try:
             return body.decode(name, "replace")
-        except LookupError:
+        except (LookupError, ValueError):
+            # A name that is no charset, or one such as idna that cannot read these bytes.
             return body.decode("utf-8", "replace")
 
     return pa.array([text(b, n) for b, n in zip(bodies.to_pylist(), names.to_pylist())], pa.string())

@@ -242,15 +242,21 @@ def region_problems(recomputed: DataFrame, recorded: DataFrame) -> DataFrame:
 # Gate A: before rendering
 
 
+def unequal(a: Column, b: Column) -> Column:
+    """Differing, or not known on either side: what is not known does not pass."""
+    return ~F.coalesce(a == b, F.lit(False))
+
+
 def scope_problems(ir_spans: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Spans of artifacts that are unknown, another task's, or whose text has moved on."""
+    """Spans of artifacts that are unknown, another task's, or whose text has moved on; a hash
+    that either side lacks counts as moved on."""
     held = artifacts.select("artifact_id", F.col("task_id").alias("_owner"), F.col("sha256").alias("_sha"))
     joined = ir_spans.join(held, "artifact_id", "left")
-    name = F.col("artifact_id")
+    name = F.coalesce("artifact_id", F.lit("-"))
     message = (
         F.when(F.col("_owner").isNull(), F.concat(name, F.lit(": not registered")))
-        .when(F.col("_owner") != F.col("task_id"), F.concat(name, F.lit(": held by task "), F.col("_owner")))
-        .when(F.col("_sha") != F.col("canonical_sha256"), F.concat(name, F.lit(": text has changed")))
+        .when(unequal(F.col("_owner"), F.col("task_id")), F.concat(name, F.lit(": held by task "), F.col("_owner")))
+        .when(unequal(F.col("_sha"), F.col("canonical_sha256")), F.concat(name, F.lit(": text has changed")))
     )
     return joined.withColumn("message", message).filter(F.col("message").isNotNull()).select(
         "task_id", "slot_id", "span_no", "message"
@@ -258,22 +264,24 @@ def scope_problems(ir_spans: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def span_problems(ir_spans: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Spans that no longer verify against the text, or that hold control characters."""
+    """Spans that do not verify against the text, or that hold control characters. What has no
+    text, hash or place to verify does not."""
     held = artifacts.select(
         "artifact_id", F.col("text").alias("_text"), F.col("sha256").alias("_registered"),
         sha(F.col("text")).alias("_actual"),
     )
     piece = tx.slice_points(F.col("_text"), F.col("span_start"), F.col("span_end"))
     joined = ir_spans.join(held, "artifact_id").withColumn("_piece", piece)
-    place = F.concat(F.lit("["), F.col("span_start").cast("string"), F.lit(","), F.col("span_end").cast("string"), F.lit(")"))
-    tampered = F.col("_actual") != F.col("_registered")
-    moved = F.col("_actual") != F.col("canonical_sha256")
+    end = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    place = F.concat(F.lit("["), end("span_start"), F.lit(","), end("span_end"), F.lit(")"))
+    tampered = unequal(F.col("_actual"), F.col("_registered"))
+    moved = unequal(F.col("_actual"), F.col("canonical_sha256"))
     sound = ~tampered & ~moved
     found = F.array_compact(
         F.array(
             F.when(tampered, F.concat(F.col("artifact_id"), F.lit(": stored text differs from its hash"))),
             F.when(~tampered & moved, F.concat(F.col("artifact_id"), F.lit(": hash differs from the bound one"))),
-            F.when(sound & (sha(F.col("_piece")) != F.col("span_sha256")), F.concat(place, F.lit(": span text has changed"))),
+            F.when(sound & unequal(sha(F.col("_piece")), F.col("span_sha256")), F.concat(place, F.lit(": span text has changed"))),
             F.when(sound & F.col("_piece").rlike(tx.CONTROLS), F.concat(place, F.lit(": holds control characters"))),
         )
     )
@@ -344,29 +352,25 @@ def gate_a(
     base = irs.join(tasks.select("task_id", "epoch", "template_version_id"), "task_id")
     mine, target, no = F.col("template_version_id"), F.col("ir_version"), F.lit(False)
 
-    def known(a: Column, b: Column) -> Column:
-        """Differing, or not known on either side: what is not known does not pass."""
-        return ~F.coalesce(a == b, no)
-
     def shown(value: Column) -> Column:
         return F.coalesce(value.cast("string"), F.lit("-"))
 
     identity = (
-        F.when(known(mine, target), F.concat(F.lit("task bound to "), shown(mine), F.lit(", IR targets "), shown(target)))
+        F.when(unequal(mine, target), F.concat(F.lit("task bound to "), shown(mine), F.lit(", IR targets "), shown(target)))
         .when(
-            known(F.col("binding_version_id"), target),
+            unequal(F.col("binding_version_id"), target),
             F.concat(F.lit("binding targets "), shown(F.col("binding_version_id")), F.lit(", IR targets "), shown(target)),
         )
         .when(~F.coalesce("registered", no), F.concat(F.lit("template version "), target, F.lit(" not registered")))
         .when(~F.coalesce("docx_matches", no), F.lit("contract docx hash differs from the registered template version"))
     )
     epochs = F.concat(F.lit("ir="), shown(F.col("ir_epoch")), F.lit(", binding="), shown(F.col("binding_epoch")))
-    out_of_step = known(F.col("epoch"), F.col("ir_epoch")) | known(F.col("epoch"), F.col("binding_epoch"))
+    out_of_step = unequal(F.col("epoch"), F.col("ir_epoch")) | unequal(F.col("epoch"), F.col("binding_epoch"))
     live = mat.set_digests(artifacts)
     # A task without materials holds the empty set, which has a digest too.
     fresh = base.join(live, "task_id", "left").withColumn("set_digest", F.coalesce("set_digest", mat.empty_set_digest()))
     head = F.substr(F.col("set_digest"), F.lit(1), F.lit(12))
-    stale = F.when(known(F.col("set_digest"), F.col("binding_digest")), head)
+    stale = F.when(unequal(F.col("set_digest"), F.col("binding_digest")), head)
     coverage = listed_messages(coverage_problems(ir_regions, contract_regions, base), ["task_id"], "kind", "message", SHOWN)
     viz = F.when(F.size("viz_slots") > 0, F.concat(F.lit("viz producers: "), F.array_join(F.array_sort("viz_slots"), ", ")))
     with_spans = ir_spans.select("task_id", "slot_id").distinct()
@@ -445,6 +449,7 @@ def subject_problems(irs: DataFrame, reports: DataFrame) -> DataFrame:
 
     ``irs`` is (task_id, render_ir_sha256, ir_version, candidate_sha256), ``reports``
     (task_id, gate, overall_status, render_ir_sha256, template_version_id, candidate_sha256).
+    A digest or version that either side lacks counts as another one.
     """
     wanted = irs.select(
         "task_id", F.col("render_ir_sha256").alias("_ir"), "ir_version", F.col("candidate_sha256").alias("_candidate"),
@@ -460,11 +465,11 @@ def subject_problems(irs: DataFrame, reports: DataFrame) -> DataFrame:
         F.array(
             say(absent, F.lit("report missing")),
             say(~absent & (F.col("overall_status") != "pass"), F.col("overall_status")),
-            say(~absent & (F.col("render_ir_sha256") != F.col("_ir")), F.lit("report bound to a different render IR")),
-            say(~absent & (F.col("template_version_id") != F.col("ir_version")), F.lit("report bound to a different template version")),
+            say(~absent & unequal(F.col("render_ir_sha256"), F.col("_ir")), F.lit("judged another rendering plan")),
+            say(~absent & unequal(F.col("template_version_id"), F.col("ir_version")), F.lit("judged another template version")),
             say(
-                ~absent & (F.col("gate") != GATE_A) & (F.col("candidate_sha256") != F.col("_candidate")),
-                F.lit("report bound to a different candidate"),
+                ~absent & (F.col("gate") != GATE_A) & unequal(F.col("candidate_sha256"), F.col("_candidate")),
+                F.lit("judged another output"),
             ),
         )
     )
@@ -472,7 +477,8 @@ def subject_problems(irs: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def finalize(tasks: DataFrame, irs: DataFrame, reports: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """Per task: delivered now, already delivered, or why not. A task is delivered once."""
+    """Per task: delivered now, already delivered, or why not. A task is delivered once, and
+    only if its epoch and template version are known to be those of its plan."""
     problems = subject_problems(irs, reports).withColumn("_order", F.struct("gate_no", "problem_no"))
     gates = listed_messages(problems, ["task_id"], "_order", "problem", 5 * len(REQUIRED_GATES))
     done = deliveries.select("task_id", F.col("delivery_id").alias("_done"))
@@ -484,8 +490,8 @@ def finalize(tasks: DataFrame, irs: DataFrame, reports: DataFrame, deliveries: D
     outcome = (
         F.when(F.col("status").isNull(), "task_vanished")
         .when(F.col("status") == "cancelled", "cancelled")
-        .when(F.col("epoch") != F.col("ir_epoch"), "stale_ir")
-        .when(F.col("template_version_id") != F.col("ir_version"), "template_changed")
+        .when(unequal(F.col("epoch"), F.col("ir_epoch")), "stale_ir")
+        .when(unequal(F.col("template_version_id"), F.col("ir_version")), "template_changed")
         .when(F.col("messages").isNotNull(), "gates_failed")
         .when(F.col("_done").isNotNull(), "already_delivered")
         .otherwise("delivered")

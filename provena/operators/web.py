@@ -88,16 +88,23 @@ def result_blocks(listings: DataFrame, key: str, layout: Layout, limit: int) ->
     return shown.withColumn("url", absolute).filter(F.col("url").rlike("^https?://"))
 
 
-def json_results(payloads: DataFrame, key: str, limit: int) -> DataFrame:
-    """Results of provider answers (key, payload): one row each, or one row with the problem."""
-    limit = max(1, min(10, limit))
-    shape = "results array<struct<title:string,url:string,content:string,snippet:string>>"
+def json_results(payloads: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Results of provider answers (key, payload): one row each, or one row with the problem.
+
+    An item that is no object gives no row and takes none from the others. ``limit`` counts
+    the items of an answer; without it all of them are read.
+    """
+    shape = "title string, url string, content string, snippet string"
     body = F.ltrim(F.regexp_replace("payload", r"^\s+", ""))
-    parsed = payloads.select(key, body.alias("_body"), F.from_json("payload", shape).alias("_p"))
+    parsed = payloads.select(key, body.alias("_body"), F.from_json("payload", "results array<string>").alias("_p"))
+    # Items are texts first, so that an odd one does not spoil the array they stand in.
+    items = F.col("_p.results") if limit is None else F.slice("_p.results", 1, max(1, min(10, limit)))
     problem = F.when(~F.col("_body").startswith("{"), "not a JSON object").when(F.col("_p.results").isNull(), "no 'results' array")
-    listed = parsed.select(key, problem.alias("problem"), F.posexplode_outer(F.slice("_p.results", 1, limit)).alias("result_no", "_r"))
+    listed = parsed.select(key, problem.alias("problem"), F.posexplode_outer(items).alias("result_no", "_item")).withColumn(
+        "_r", F.when(F.startswith(F.ltrim("_item"), F.lit("{")), F.from_json("_item", shape))
+    )
     content = F.coalesce(F.nullif(F.col("_r.content"), F.lit("")), F.col("_r.snippet"), F.lit(""))
-    present = F.col("result_no").isNotNull()
+    present = F.col("_r").isNotNull()
     return listed.filter(present | F.col("problem").isNotNull()).select(
         key, "problem", "result_no",
         F.when(present, F.coalesce("_r.title", F.lit(""))).alias("title"),

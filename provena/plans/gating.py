@@ -656,9 +656,9 @@ define(
 SELECT task_id, gate_no, gate, row_number() OVER (PARTITION BY task_id, gate ORDER BY k) - 1 AS problem_no, gate || ': ' || what AS problem FROM (
   SELECT i.task_id, v.g AS gate_no, v.gate, unnest([
      {'k': 0, 'what': CASE WHEN r.gate IS NULL THEN 'report missing' END}, {'k': 1, 'what': CASE WHEN r.overall_status <> 'pass' THEN r.overall_status END},
-     {'k': 2, 'what': CASE WHEN r.render_ir_sha256 <> i.render_ir_sha256 THEN 'report bound to a different render IR' END},
-     {'k': 3, 'what': CASE WHEN r.template_version_id <> i.ir_version THEN 'report bound to a different template version' END},
-     {'k': 4, 'what': CASE WHEN v.g > 0 AND r.candidate_sha256 <> i.candidate_sha256 THEN 'report bound to a different candidate' END}], recursive := true)
+     {'k': 2, 'what': CASE WHEN r.gate IS NOT NULL AND (r.render_ir_sha256 = i.render_ir_sha256) IS NOT TRUE THEN 'judged another rendering plan' END},
+     {'k': 3, 'what': CASE WHEN r.gate IS NOT NULL AND (r.template_version_id = i.ir_version) IS NOT TRUE THEN 'judged another template version' END},
+     {'k': 4, 'what': CASE WHEN r.gate IS NOT NULL AND v.g > 0 AND (r.candidate_sha256 = i.candidate_sha256) IS NOT TRUE THEN 'judged another output' END}], recursive := true)
   FROM irs i, (VALUES (0, 'provenance_precheck'), (1, 'provenance_gate'), (2, 'format_gate')) v(g, gate) LEFT JOIN reports r ON r.task_id = i.task_id AND r.gate = v.gate)
 WHERE what IS NOT NULL""",
     "irs", "reports",

@@ -226,3 +226,27 @@ def test_cut_messages_say_how_many_more(spark):
 
     rows = spark.range(7).selectExpr("'k' AS key", "id AS n", "concat('m', id) AS message")
     assert listed_messages(rows, ["key"], "n", "message", 5).collect()[0].messages == "m0; m1; m2; m3; m4; and 2 more"
+
+
+def test_what_is_not_known_does_not_pass(spark):
+    ok, sha_a = "pass", sha("abc")
+    irs = spark.createDataFrame(
+        [("good", "ir", "v1", "c", 1), ("nulls", None, "v1", None, 1), ("epochless", "ir", "v1", "c", None), ("versionless", "ir", None, "c", 1)],
+        "task_id string, render_ir_sha256 string, ir_version string, candidate_sha256 string, ir_epoch long",
+    )
+    reports = spark.createDataFrame(
+        [(t, g, ok, None if t == "nulls" else "ir", "v1", None if t == "nulls" else "c") for t in ("good", "nulls", "epochless", "versionless") for g in gates.REQUIRED_GATES],
+        "task_id string, gate string, overall_status string, render_ir_sha256 string, template_version_id string, candidate_sha256 string",
+    )
+    tasks = spark.createDataFrame([(t, "running", None if t == "epochless" else 1, None if t == "versionless" else "v1") for t in ("good", "nulls", "epochless", "versionless")], "task_id string, status string, epoch long, template_version_id string")
+    none = spark.createDataFrame([], "task_id string, delivery_id string")
+    problems = {r["task_id"] for r in gates.subject_problems(irs, reports).collect()}
+    assert problems == {"nulls", "versionless"}
+    outcomes = {r["task_id"]: r["outcome"] for r in gates.finalize(tasks, irs, reports, none).collect()}
+    assert outcomes == {"good": "delivered", "nulls": "gates_failed", "epochless": "stale_ir", "versionless": "template_changed"}
+    artifacts = spark.createDataFrame([("a", "t", "abc", sha_a), ("n", "t", "abc", None), ("x", "t", None, sha_a)], "artifact_id string, task_id string, text string, sha256 string")
+    piece = sha("ab")
+    spans_ = [("a", sha_a, 0, 2, piece), ("a", None, 0, 2, piece), ("a", sha_a, 0, 2, None), ("a", sha_a, None, 2, piece), ("n", sha_a, 0, 2, piece), ("x", sha_a, 0, 2, piece), (None, sha_a, 0, 2, piece)]
+    ir = spark.createDataFrame([("t", "s", k, *s) for k, s in enumerate(spans_)], "task_id string, slot_id string, span_no int, artifact_id string, canonical_sha256 string, span_start long, span_end long, span_sha256 string")
+    assert {r["span_no"] for r in gates.scope_problems(ir, artifacts).collect()} == {1, 4, 6}
+    assert {r["span_no"] for r in gates.span_problems(ir, artifacts).collect()} == {1, 2, 3, 4, 5}

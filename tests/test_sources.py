@@ -134,3 +134,17 @@ def test_template_findings(spark):
         "beside": {"PLACEHOLDER_NOT_ALONE"}, "runs": {"PLACEHOLDER_SPLIT_RUN"}, "bare": {"PLACEHOLDER_MISSING_ANCHOR"},
         "open": {"PLACEHOLDER_MISSING_ANCHOR"}, "stray": {"PLACEHOLDER_UNDECLARED", "PLACEHOLDER_NOT_VARIABLE"}, "jinja": {"JINJA_CONTROL_SYNTAX"},
     }
+
+
+def test_odd_items_and_charsets_spoil_nothing(spark):
+    payloads = [
+        (1, '{"results":["x",{"title":"T","url":"u","content":"","snippet":"s"},null,[1],7,{"title":5}]}'), (2, '{"results":["x",null]}'), (3, '{"results":{}}'), (4, "[]"), (5, None), (6, '{"results":[{"url":"a"},{"url":"b"}]}'),
+    ]
+    df = spark.createDataFrame(payloads, "id long, payload string")
+    got = {(r["id"], r["problem"], r["result_no"], r["title"], r["url"], r["snippet"]) for r in web.json_results(df, "id").collect()}
+    assert got >= {(1, None, 1, "T", "u", "s"), (1, None, 5, "5", "", ""), (3, "no 'results' array", None, None, None, None), (4, "not a JSON object", None, None, None, None), (6, None, 0, "", "a", ""), (6, None, 1, "", "b", "")}
+    assert not {g for g in got if g[0] == 2}
+    assert {r["result_no"] for r in web.json_results(df.where("id = 6"), "id", 1).collect()} == {0}
+    bodies = [(n, bytearray(b"caf\xc3\xa9 ok")) for n in ("idna", "undefined", "none\x00such", "nosuch", "rot13", "utf-8", "hex", "zip")]
+    read = spark.createDataFrame([(f"text/html; charset={n}", b) for n, b in bodies], "kind string, body binary").select("kind", wf.decode_body(F.col("body"), F.col("kind")).alias("text"))
+    assert all(r["text"] is not None and "ok" in r["text"] for r in read.collect())
