@@ -1,8 +1,8 @@
 """Effective formatting of paragraphs, and the format gate.
 
-A document's styles part is small, so its styles ride in one map per document and the
-inheritance chain of each style is walked once, inside a row. Paragraphs then join the
-chain of their style; resolving an attribute is a look at a short array of levels.
+What a style inherits is merged into one level by pointer doubling over its document's styles,
+once for all documents with the same ones. Paragraphs then join the level of their style;
+resolving an attribute looks at three levels: direct, inherited, the document's defaults.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from provena.functions import checks
 from provena.operators.findings import finding
 from provena.operators.gates import FORMAT_GATE
+from provena.operators.ranking import first_rows
+from provena.session import settle
 
 #: What one level of formatting may set.
 FIELDS = {
@@ -28,45 +30,122 @@ def level(prefix: str = "", style: Column | None = None) -> Column:
     return F.struct(name.alias("style_id"), *parts)
 
 
-def chains(style_defs: DataFrame) -> DataFrame:
-    """(task_id, anchor, levels, note): each style with what it inherits, nearest first.
+def _parts(style_defs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(task_id, part) and the definitions (part, style_id, ...) of each different styles part.
 
-    A style is visited once; a cycle or a missing base ends the chain with a note. Of a
-    style id that a document defines again one definition counts, the smallest. The anchor of paragraphs without a style is the default style, given as ``is_default``.
+    Documents made from one template have equal styles; a part is known by two sums of
+    hashes of its definitions and stands for all its documents under the smallest task id.
     """
-    rest = [c for c in style_defs.columns if c not in ("task_id", "style_id")]
-    style_defs = style_defs.groupBy("task_id", "style_id").agg(F.min(F.struct(*rest)).alias("_d")).select("task_id", "style_id", "_d.*")
-    entry = F.struct(level(style=F.col("style_id")).alias("level"), F.col("based_on").alias("based_on"))
-    tables = style_defs.groupBy("task_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("style_id"), entry))).alias("_styles"),
-        F.max(F.when(F.col("is_default"), F.col("style_id"))).alias("_default"),
+    row = [F.col(c) for c in sorted(style_defs.columns) if c != "task_id"]
+    marks = [F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)")).alias(f"_m{seed}") for seed in (1, 2)]
+    marked = style_defs.groupBy("task_id").agg(*marks, F.count("*").alias("_n"))
+    same = ["_m1", "_m2", "_n"]
+    heads = marked.groupBy(*same).agg(F.min("task_id").alias("part"))
+    of = settle(marked.join(heads, same).select("task_id", "part"), "style-parts")
+    return of, style_defs.join(of.select(F.col("part").alias("task_id")).distinct(), "task_id", "left_semi").withColumnRenamed("task_id", "part")
+
+
+def _merged(near: str, far: str) -> Column:
+    """One level of two: what the nearer sets, else what the farther does. A font and its
+    theme, bold and its value, a list and its level go together."""
+
+    def of(name: str, sets: Column) -> Column:
+        return F.when(sets, F.col(f"{near}.{name}")).otherwise(F.col(f"{far}.{name}")).alias(name)
+
+    has = lambda name: F.col(f"{near}.{name}").isNotNull()
+    latin, asian = has("font_latin") | has("font_latin_theme"), has("font_east_asia") | has("font_east_asia_theme")
+    bold = F.coalesce(F.col(f"{near}.bold_present"), F.lit(False))
+    sets = {
+        "font_latin": latin, "font_latin_theme": latin, "font_east_asia": asian, "font_east_asia_theme": asian, "size": has("size"),
+        "bold_present": bold, "bold_val": bold, "jc": has("jc"), "num_id": has("num_id"), "ilvl": has("num_id"),
+    }
+    return F.struct(F.col(f"{near}.style_id").alias("style_id"), *[of(name, sets[name]) for name in FIELDS])
+
+
+def _doubled(nodes: DataFrame, carried: dict, most: int) -> DataFrame:
+    """Nodes (part, style_id, next, ...) after jumps of 1, 2, 4, ... until each has come to its
+    end or passed ``most`` nodes. ``carried`` says what a column becomes of its value here and
+    at the node jumped to (given as ``far_<column>``)."""
+    keep = lambda c, new: F.when(F.col("next").isNull(), F.col(c)).otherwise(new).alias(c)
+
+    def jumped(nodes: DataFrame) -> DataFrame:
+        """A node at its end meets nothing and stays as it is."""
+        far = nodes.select("part", F.col("style_id").alias("next"), F.col("next").alias("far_next"), *[F.col(c).alias(f"far_{c}") for c in carried])
+        return nodes.join(far, ["part", "next"], "left").select("part", "style_id", F.col("far_next").alias("next"), *[keep(c, new) for c, new in carried.items()])
+
+    span = 1
+    while span < most:
+        # Two rounds are one job: short chains are done in it, and rows are few beside what a job costs.
+        nodes = settle(jumped(jumped(nodes)), "style-jumps")
+        span *= 4
+        if 1 < span < most and nodes.where("next IS NOT NULL").isEmpty():
+            break
+    return nodes
+
+
+def chains(style_defs: DataFrame, paths: bool = False) -> DataFrame:
+    """(task_id, anchor, levels, note, is_default): each style with what it inherits.
+
+    ``levels`` holds one level, merged of the style and all it is based on, nearest first;
+    with ``paths`` a column ``path`` lists the styles. A style is visited once; a cycle or a
+    missing base ends the chain with a note. Of a style id that a document defines again the
+    first definition counts, by the column ``def_pos`` if there is one, else the smallest.
+    The anchor of paragraphs without a style is the default style, given as ``is_default``.
+
+    Chains are followed by pointer doubling, once for each different styles part: rounds of
+    joins as many as the logarithm of the longest chain, whatever number of styles there is.
+    """
+    if "def_pos" in style_defs.columns:
+        rest = [c for c in style_defs.columns if c not in ("task_id", "style_id", "def_pos")]
+        single = first_rows(style_defs, ["task_id", "style_id"], [F.col("def_pos"), F.struct(*rest)], rest)
+    else:
+        rest = [c for c in style_defs.columns if c not in ("task_id", "style_id")]
+        single = first_rows(style_defs, ["task_id", "style_id"], [F.struct(*rest)], rest)
+    of, defs = _parts(settle(single, "style-definitions"))
+    known = defs.select("part", F.col("style_id").alias("based_on"), F.lit(True).alias("_known"))
+    joined = defs.select("part", "style_id", "based_on", "is_default", level(style=F.col("style_id")).alias("level")).join(known, ["part", "based_on"], "left")
+    path = F.array("style_id") if paths else F.lit(None).cast("array<string>")
+    nodes = settle(
+        joined.select(
+            "part", "style_id", F.when(F.col("_known"), F.col("based_on")).alias("next"), F.when(F.col("_known").isNull(), F.col("based_on")).alias("missing"),
+            "level", path.alias("path"), F.coalesce("is_default", F.lit(False)).alias("is_default"),
+        ), "styles",
     )
-    anchored = tables.select("task_id", "_styles", "_default", F.explode(F.map_keys("_styles")).alias("anchor"))
-    kind = "struct<style_id:string," + ",".join(f"{f}:{t}" for f, t in FIELDS.items()) + ">"
-    none = F.lit(None).cast("string")
-
-    def visit(acc: Column, _: Column) -> Column:
-        current, levels = acc["current"], acc["levels"]
-        found = F.try_element_at(F.col("_styles"), current)
-        again = F.exists(levels, lambda s: s["style_id"] == current)
-
-        def state(now: Column, seen: Column, note: Column) -> Column:
-            return F.struct(now.alias("current"), seen.alias("levels"), note.alias("note"))
-
-        return (
-            F.when(current.isNull(), acc)
-            .when(again, state(none, levels, F.concat(F.lit("basedOn cycle at "), current)))
-            .when(found.isNull(), state(none, levels, F.concat(F.lit("style not found: "), current)))
-            .otherwise(state(found["based_on"], F.concat(levels, F.array(found["level"])), acc["note"]))
-        )
-
-    start = F.struct(F.col("anchor").alias("current"), F.array().cast(f"array<{kind}>").alias("levels"), none.alias("note"))
-    steps = F.sequence(F.lit(0), F.size("_styles"))
-    walked = anchored.withColumn("_w", F.aggregate(steps, start, visit))
-    return walked.select(
-        "task_id", "anchor", F.col("_w.levels").alias("levels"), F.col("_w.note").alias("note"),
-        (F.col("anchor") == F.col("_default")).alias("is_default"),
+    most = nodes.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    carried = {"missing": F.coalesce("missing", "far_missing"), "level": _merged("level", "far_level"), "path": F.array_distinct(F.concat("path", "far_path")), "is_default": F.col("is_default")}
+    walked = _doubled(nodes, carried if paths else {**carried, "path": F.col("path")}, most)
+    # Who still has somewhere to go after that many jumps is led round a cycle, by a node of it.
+    round_ = walked.where("next IS NOT NULL").select("part", F.col("next").alias("style_id")).distinct()
+    if round_.isEmpty():
+        entered = walked.select("part", "style_id").limit(0).withColumn("entry", F.col("style_id"))
+    else:
+        inside = nodes.select("part", "style_id", "next").join(round_.withColumn("_in", F.lit(True)), ["part", "style_id"], "left")
+        ends = inside.select("part", "style_id", F.when(F.col("_in").isNull(), F.col("next")).alias("next"), F.when(F.col("_in"), F.col("style_id")).alias("entry"))
+        entered = _doubled(ends, {"entry": F.coalesce("entry", "far_entry")}, most).select("part", "style_id", "entry").where("entry IS NOT NULL")
+    note = F.when(F.col("entry").isNotNull(), F.concat(F.lit("basedOn cycle at "), F.col("entry"))).when(
+        F.col("missing").isNotNull(), F.concat(F.lit("style not found: "), F.col("missing"))
+    )
+    first = walked.where("is_default").groupBy("part").agg(F.max("style_id").alias("_default"))
+    done = walked.join(entered, ["part", "style_id"], "left").join(first, "part", "left").select(
+        "part", F.col("style_id").alias("anchor"), F.array("level").alias("levels"), note.alias("note"), (F.col("style_id") == F.col("_default")).alias("is_default"), *(["path"] if paths else [])
     )
+    return of.join(done, "part").drop("part")
+
+
+def with_text_runs(paragraphs: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """``paragraphs`` with the direct formatting of their first run that holds text, and
+    ``run_note`` where another such run differs from it.
+
+    ``runs`` is (keys, run_no, text) and columns of FIELDS. What the runs do not carry stays as the
+    paragraph has it; a paragraph without text in any run keeps none of a run's formatting.
+    """
+    own = [f for f in FIELDS if f in runs.columns]
+    held = F.struct(*[F.col(f).cast(FIELDS[f]).alias(f) for f in own])
+    texts = runs.where(F.coalesce("text", F.lit("")) != "").select(*keys, "run_no", held.alias("_held"))
+    chosen = texts.groupBy(*keys).agg(F.min_by("_held", "run_no").alias("_first"), F.min(F.to_json("_held")).alias("_low"), F.max(F.to_json("_held")).alias("_high"))
+    joined = paragraphs.drop(*own).join(chosen, keys, "left")
+    note = F.when(F.col("_low") != F.col("_high"), F.lit("text runs differ in direct formatting"))
+    return joined.select(*[c for c in paragraphs.columns if c not in own], *[F.col(f"_first.{f}").alias(f) for f in own], note.alias("run_note"))
 
 
 def effective(paragraphs: DataFrame, chained: DataFrame, defaults: DataFrame, numbering: DataFrame) -> DataFrame:

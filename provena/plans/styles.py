@@ -190,8 +190,8 @@ UNION ALL SELECT task_id, 'Clean', 'Clean > Normal', NULL FROM tasks""",
     ),
 )
 def style_chain(spark, sf_dir):
-    chained = styling.chains(style_defs(spark, sf_dir))
-    return chained.select("task_id", "anchor", F.array_join("levels.style_id", " > ").alias("chain"), "note")
+    chained = styling.chains(style_defs(spark, sf_dir), paths=True)
+    return chained.select("task_id", "anchor", F.array_join("path", " > ").alias("chain"), "note")
 
 
 @query(

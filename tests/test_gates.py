@@ -70,10 +70,52 @@ def test_a_repeated_style_counts_once(spark):
     fields = {**dict.fromkeys(styling.FIELDS, None)}
     rows = [("t", "a", "b", True, *fields.values()), ("t", "a", "b", True, *fields.values()), ("t", "b", None, False, *fields.values())]
     schema = "task_id string, style_id string, based_on string, is_default boolean, " + ", ".join(f"{f} {t}" for f, t in styling.FIELDS.items())
-    got = {r.anchor: [x.style_id for x in r.levels] for r in styling.chains(spark.createDataFrame(rows, schema)).collect()}
+    got = {r.anchor: r.path for r in styling.chains(spark.createDataFrame(rows, schema), paths=True).collect()}
     assert got == {"a": ["a", "b"], "b": ["b"]}
 
 
+def walked(defs, anchor):
+    """A chain followed style by style: its styles, what they set first, and how it ends."""
+    path, current = [], anchor
+    while current is not None:
+        if current in path:
+            return path, f"basedOn cycle at {current}"
+        if current not in defs:
+            return path, f"style not found: {current}"
+        path.append(current)
+        current = defs[current][0]
+    return path, None
+
+
+def test_long_chains_cycles_and_equal_parts(spark):
+    schema = "task_id string, style_id string, based_on string, is_default boolean, def_pos int, " + ", ".join(f"{f} {t}" for f, t in styling.FIELDS.items())
+    defs = {f"s{i}": (f"s{i + 1}" if i < 4999 else None, str(i) if i % 701 == 700 else None) for i in range(5000)}
+    odd = {"a": ("b", "1"), "b": ("c", None), "c": ("d", "3"), "d": ("b", None), "e": ("e", None), "f": ("gone", "6"), "g": ("f", None), "h": (None, None)}
+    none = dict.fromkeys(styling.FIELDS)
+    make = lambda task, own: [(task, s, base, s == "h", 0, *{**none, "size": size}.values()) for s, (base, size) in own.items()]
+    again = [("odd1", "h", "a", False, 1, *none.values())]  # a later definition counts for nothing
+    rows = make("long", defs) + make("odd1", odd) + make("odd2", odd) + again
+    got = {(r.task_id, r.anchor): r for r in styling.chains(spark.createDataFrame(rows, schema), paths=False).collect()}
+    assert len(got) == 5000 + 2 * len(odd)
+    for task, own in (("long", defs), ("odd1", odd), ("odd2", odd)):
+        for anchor in own if len(own) < 100 else ["s0", "s1", "s700", "s701", "s4999", "s2500"]:
+            path, note = walked(own, anchor)
+            size = next((own[s][1] for s in path if own[s][1] is not None), None)
+            assert (got[task, anchor].note, got[task, anchor].levels[0].size) == (note, size), (task, anchor)
+            assert got[task, anchor].is_default is (None if task == "long" else anchor == "h")
+    some = spark.createDataFrame([r for r in rows if r[0] == "odd2"], schema)
+    assert {r.anchor: r.path for r in styling.chains(some, paths=True).collect()} == {s: walked(odd, s)[0] for s in odd}
+    assert styling.chains(some.limit(0)).count() == 0
+
+
+def test_the_first_run_with_text_gives_the_direct_formatting(spark):
+    paragraphs = spark.createDataFrame([(1, "own", "left"), (2, "own", None), (3, "own", None), (4, "own", None)], "id long, font_latin string, jc string")
+    runs = [(1, 0, "", "skipped"), (1, 1, "text", "A"), (1, 2, "more", "A"), (2, 5, "x", "B"), (2, 2, "y", None), (3, 0, None, "C")]
+    df = styling.with_text_runs(paragraphs, spark.createDataFrame(runs, "id long, run_no int, text string, font_latin string"), ["id"])
+    got = {r.id: (r.font_latin, r.jc, r.run_note is not None) for r in df.collect()}
+    assert got == {1: ("A", "left", False), 2: (None, None, True), 3: (None, None, False), 4: (None, None, False)}
+
+
 def documents(spark, candidate):
     template = [("t", 0, "Title", None), ("t", 1, "{{ sales }}", "sales"), ("t", 2, "Mid", None), ("t", 3, "{{ risks }}", "risks"), ("t", 4, "End", None)]
     tpl = spark.createDataFrame(template, "task_id string, idx bigint, text string, slot_id string")
