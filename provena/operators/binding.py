@@ -204,14 +204,35 @@ def commit_guard(epoch: Column) -> Column:
     )
 
 
+def plan_faults(plans: DataFrame, tasks: DataFrame, slots: DataFrame) -> DataFrame:
+    """(task_id, plan_fault): why the plan that comes with a task's proposal is not that task's.
+
+    ``plans`` is (task_id, plan_task_id, plan_version_id, slot_id), a row for each slot of the
+    plan, one with a NULL slot for a plan without any. What is not known does not pass;
+    ``plan_fault`` is NULL for a plan that does. Tasks without a plan have no row.
+    """
+    template = tasks.select("task_id", F.col("template_version_id").alias("_version"))
+    known = slots.select(F.col("template_version_id").alias("_version"), "slot_id", F.lit(True).alias("_known")).distinct()
+    joined = plans.join(template, "task_id", "left").join(known, ["_version", "slot_id"], "left")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    fault = (
+        F.when(F.bool_or(~same("plan_task_id", "task_id")), "plan_of_another_task")
+        .when(F.bool_or(~same("plan_version_id", "_version")), "plan_of_another_version")
+        .when(F.bool_or(F.col("slot_id").isNotNull() & F.col("_known").isNull()), "plan_slot_unknown")
+    )
+    return joined.groupBy("task_id").agg(fault.alias("plan_fault"))
+
+
 def commit(
-    tasks: DataFrame, proposals: DataFrame, materials: DataFrame, slots: DataFrame, prior: DataFrame
+    tasks: DataFrame, proposals: DataFrame, materials: DataFrame, slots: DataFrame, prior: DataFrame, plans: DataFrame
 ) -> DataFrame:
     """One row per task with proposals: what was committed, or why nothing was.
 
-    ``proposals`` is (task_id, proposal_epoch, slot_id, binding_status, artifact_id,
-    span_start, span_end, canonical_sha256, span_sha256). Any bad slot or ref rejects the
-    task's whole proposal. ``prior`` is (task_id, epoch, binding_version).
+    ``proposals`` is (task_id, proposal_epoch, slot_id, binding_status, reason_code, error_code,
+    artifact_id, span_start, span_end, canonical_sha256, span_sha256). Any slot the template
+    lacks, bad ref, missing slot without one of the known reasons or invalid slot without an
+    error code rejects the task's whole proposal. ``prior`` is (task_id, epoch,
+    binding_version), ``plans`` as in ``plan_faults``.
     """
     held = materials.select(
         "artifact_id", F.col("task_id").alias("_holder"), "text",
@@ -222,25 +243,30 @@ def commit(
         (F.col("_holder") == F.col("task_id"))
         & (ref_status(F.col("text"), F.col("_sha"), F.col("_total")) == "ok")
     )
+    status, yes = F.col("binding_status"), lambda c: F.coalesce(c, F.lit(False))
+    neither = ~yes(status.isin("bound", "missing"))
     judged = refs.select(
         "task_id", "proposal_epoch", "slot_id", "binding_status",
-        ((F.col("binding_status") == "bound") & ~F.coalesce(ref_ok, F.lit(False))).alias("_bad_ref"),
+        (yes(status == "bound") & ~yes(ref_ok)).alias("_bad_ref"),
+        (yes(status == "missing") & ~yes(F.col("reason_code").isin(*MISSING_REASONS))).alias("_no_reason"),
+        (neither & (F.coalesce("error_code", F.lit("")) == "")).alias("_no_error"),
     )
     template = tasks.select("task_id", "template_version_id")
-    known = slots.select("template_version_id", "slot_id", F.lit(True).alias("_known"))
+    known = slots.select("template_version_id", "slot_id", F.lit(True).alias("_known"), "required")
     named = judged.join(template, "task_id", "left").join(known, ["template_version_id", "slot_id"], "left")
-    status = F.col("binding_status")
     per_task = named.groupBy("task_id").agg(
         F.max("proposal_epoch").alias("_epoch"),
         F.bool_or(F.col("_known").isNull()).alias("_unknown_slot"),
         F.bool_or("_bad_ref").alias("_bad_refs"),
+        F.bool_or("_no_reason").alias("_no_reason"),
+        F.bool_or("_no_error").alias("_no_error"),
         F.count("*").alias("_slots"),
         F.count_if(status == "bound").alias("bound"),
         F.count_if(status == "missing").alias("_missing"),
         F.count_if(status == "invalid").alias("invalid"),
-        F.collect_set(F.when(F.col("_known"), F.col("slot_id"))).alias("_mentioned"),
+        F.count_distinct(F.when(F.col("required"), F.col("slot_id"))).alias("_said"),
     )
-    required = slots.filter("required").groupBy("template_version_id").agg(F.collect_set("slot_id").alias("_required"))
+    required = slots.filter("required").groupBy("template_version_id").agg(F.count_distinct("slot_id").alias("_required"))
     versions = prior.groupBy("task_id", "epoch").agg(F.max("binding_version").alias("_version"))
     digests = mat.set_digests(materials.withColumn("sha256", sha(F.col("text"))))
     joined = (
@@ -248,18 +274,21 @@ def commit(
         .join(required, "template_version_id", "left")
         .join(versions, ["task_id", "epoch"], "left")
         .join(digests, "task_id", "left")
+        .join(plan_faults(plans, tasks, slots), "task_id", "left")
     )
-    silent = F.size(F.array_except("_required", "_mentioned"))
+    silent = F.coalesce("_required", F.lit(0)) - F.col("_said")
     outcome = F.coalesce(
         commit_guard(F.col("_epoch")),
-        F.when(F.col("_unknown_slot"), "unknown_slot").when(F.col("_bad_refs"), "ref_rejected"),
+        F.col("plan_fault"),
+        F.when(F.col("_unknown_slot"), "unknown_slot").when(F.col("_bad_refs"), "ref_rejected")
+        .when(F.col("_no_reason"), "unknown_reason").when(F.col("_no_error"), "no_error_code"),
         F.lit("committed"),
     )
     done = F.col("outcome") == "committed"
     return joined.withColumn("outcome", outcome).select(
         "task_id", "outcome",
         F.when(done, F.coalesce(F.col("_version"), F.lit(0)) + 1).cast("bigint").alias("binding_version"),
-        F.when(done, F.col("set_digest")).alias("set_digest"),
+        F.when(done, F.coalesce("set_digest", mat.empty_set_digest())).alias("set_digest"),
         F.when(done, F.col("_slots") + silent).cast("bigint").alias("slots"),
         F.when(done, F.col("bound")).alias("bound"),
         F.when(done, F.col("_missing") + silent).cast("bigint").alias("missing"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import text as tx
 from provena.functions import tokens as tk
-from provena.functions.digest import operation_key, payload_digest, sha, stable_id
+from provena.functions.digest import operation_key, ordered_digests, payload_digest, sha, stable_id
 from provena.operators import materials as mat
 from provena.operators.findings import finding, listed_messages, union_all
 from provena.operators.ranking import first_rows
@@ -218,14 +218,13 @@ def region_digests(paragraphs: DataFrame, members: DataFrame) -> DataFrame:
     """Digest and token count of static regions.
 
     ``paragraphs`` is (doc, idx, tokens), ``members`` (doc, region_id, idx). A region's
-    paragraphs are joined in order; a region lies within one document part.
+    paragraphs are joined in order and hashed as they pass, whatever a region's size; a
+    region lies within one document part.
     """
-    owned = members.join(paragraphs, ["doc", "idx"]).select(
-        "doc", "region_id", "idx", tk.digest_stream(F.col("tokens")).alias("_stream"), F.size("tokens").alias("_tokens")
-    )
-    return owned.groupBy("doc", "region_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "_stream"))).alias("_parts"), F.sum("_tokens").alias("token_count")
-    ).select("doc", "region_id", sha(F.array_join("_parts._stream", tk.PARAGRAPH_SEP)).alias("text_sha256"), "token_count")
+    stream = tk.digest_stream(F.col("tokens"))
+    owned = members.join(paragraphs, ["doc", "idx"])
+    digests = ordered_digests(owned, ["doc", "region_id"], [F.col("idx"), stream], stream, tk.PARAGRAPH_SEP, F.size("tokens"))
+    return digests.select("doc", "region_id", F.col("digest").alias("text_sha256"), F.col("total").alias("token_count"))
 
 
 def region_problems(recomputed: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions import text as tx
-from provena.functions.digest import set_digest, sha
-from provena.sources.tables import MAX_MATERIALS
-
-#: Parts of the digest of a large set.
-SET_BUCKETS = 1024
+from provena.functions.digest import ordered_digests, sha
 
 
 def ingest(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,29 +38,15 @@ def scoped(materials: DataFrame, lookups: DataFrame) -> DataFrame:
     )
 
 
-def set_digests(materials: DataFrame, limit: int = MAX_MATERIALS) -> DataFrame:
+def set_digests(materials: DataFrame) -> DataFrame:
     """Digest of the material set of each task, from (task_id, artifact_id, sha256).
 
-    A set of up to ``limit`` materials is digested as one sorted list. Of a larger one the
-    lists of ``SET_BUCKETS`` parts by a hash of the id are digested, and then the digests in
-    order of the parts: no list grows with the task but one part of it, and none is cut.
-    ``set_status`` tells the two forms apart.
+    The lines ``id:sha256`` in order of the ids, one form for sets of every size. They are
+    hashed as they pass, so no list grows with the task.
     """
     pair = F.concat_ws(":", "artifact_id", "sha256")
-    parts = materials.groupBy("task_id", F.pmod(F.xxhash64("artifact_id"), F.lit(SET_BUCKETS)).alias("_part")).agg(
-        F.collect_list(pair).alias("_pairs"), F.count("*").alias("_n")
-    )
-    small = F.when(F.col("_n") <= limit, F.col("_pairs"))
-    sums = parts.select("task_id", "_part", "_n", set_digest(F.col("_pairs")).alias("_digest"), small.alias("_pairs"))
-    gathered = sums.groupBy("task_id").agg(
-        F.sum("_n").alias("_seen"), F.collect_list("_pairs").alias("_all"), F.array_sort(F.collect_list(F.struct("_part", "_digest"))).alias("_parts")
-    )
-    few = F.col("_seen") <= limit
-    whole = F.concat_ws("\n", F.transform("_parts", lambda x: F.concat_ws(":", x["_part"].cast("string"), x["_digest"])))
-    return gathered.select(
-        "task_id", F.when(few, set_digest(F.flatten("_all"))).otherwise(sha(whole)).alias("set_digest"),
-        F.when(few, "ok").otherwise("in_parts").alias("set_status"),
-    )
+    digests = ordered_digests(materials, ["task_id"], [F.col("artifact_id"), F.col("sha256")], pair, "\n")
+    return digests.select("task_id", F.col("digest").alias("set_digest"), F.lit("ok").alias("set_status"))
 
 
 def empty_set_digest() -> Column:

@@ -246,35 +246,85 @@ def next_version(spark, sf_dir):
 _PRIOR = "SELECT task_id, epoch, v AS binding_version FROM tasks, (VALUES (1), (2)) n(v) WHERE v <= task_no % 3"
 
 
+define(
+    "proposals",
+    """
+SELECT * REPLACE (CASE WHEN task_no % 7 = 5 AND slot_id = 'risks' THEN 'invalid' ELSE binding_status END AS binding_status,
+       CASE WHEN task_no % 7 = 5 AND slot_id = 'risks' THEN NULL WHEN task_no % 5 = 4 AND binding_status = 'missing' THEN 'unsure' ELSE reason_code END AS reason_code),
+       CASE WHEN task_no % 7 = 5 AND slot_id = 'risks' THEN CASE task_no % 2 WHEN 0 THEN 'E1' ELSE '' END END AS error_code,
+       epoch + CASE WHEN task_no % 6 = 5 THEN 1 ELSE 0 END AS proposal_epoch
+FROM mentions""",
+    "mentions",
+)
+
+
+def proposals(spark, sf_dir) -> DataFrame:
+    """The mentions with epochs, reasons and errors as a commit takes them, wrong in places."""
+    number, failed = F.col("task_no"), (F.col("task_no") % 7 == 5) & (F.col("slot_id") == "risks")
+    unsure = (number % 5 == 4) & (F.col("binding_status") == "missing")
+    return mentions(spark, sf_dir).select(
+        "task_id", "slot_id", "artifact_id", "span_start", "span_end", "canonical_sha256", "span_sha256",
+        (F.col("epoch") + F.when(number % 6 == 5, 1).otherwise(0)).alias("proposal_epoch"),
+        F.when(failed, "invalid").otherwise(F.col("binding_status")).alias("binding_status"),
+        F.when(failed, None).when(unsure, "unsure").otherwise(F.col("reason_code")).alias("reason_code"),
+        F.when(failed, F.when(number % 2 == 0, "E1").otherwise("")).alias("error_code"),
+    )
+
+
+define(
+    "commit_plans",
+    """
+SELECT t.task_id, CASE WHEN t.task_no % 11 = 4 THEN 'task_other' ELSE t.task_id END AS plan_task_id,
+       CASE WHEN t.task_no % 11 = 6 THEN 'tver_other' ELSE s.template_version_id END AS plan_version_id,
+       CASE WHEN t.task_no % 11 = 8 AND s.slot_id = 'risks' THEN 'annex' ELSE s.slot_id END AS slot_id
+FROM tasks t JOIN contract_slots s USING (template_version_id) WHERE t.task_no % 11 <> 3""",
+    "tasks", "contract_slots",
+)
+
+
+def commit_plans(spark, sf_dir) -> DataFrame:
+    """The plans that come with the proposals; some tasks have none, some another's."""
+    number, rows = F.col("task_no"), tb.tasks(spark, sf_dir).join(tb.contract_slots(spark).select("template_version_id", "slot_id"), "template_version_id")
+    return rows.filter(number % 11 != 3).select(
+        "task_id", F.when(number % 11 == 4, "task_other").otherwise(F.col("task_id")).alias("plan_task_id"),
+        F.when(number % 11 == 6, "tver_other").otherwise(F.col("template_version_id")).alias("plan_version_id"),
+        F.when((number % 11 == 8) & (F.col("slot_id") == "risks"), "annex").otherwise(F.col("slot_id")).alias("slot_id"),
+    )
+
+
 @query(
     "commit_bindings",
     stating(
-        "mentions materials",
+        "proposals commit_plans materials",
         f"""
 SELECT task_id, outcome, CASE WHEN outcome = 'committed' THEN version + 1 END AS binding_version,
        CASE WHEN outcome = 'committed' THEN set_digest END AS set_digest, CASE WHEN outcome = 'committed' THEN n + silent END AS slots,
        CASE WHEN outcome = 'committed' THEN bound END AS bound, CASE WHEN outcome = 'committed' THEN missing + silent END AS missing,
-       CASE WHEN outcome = 'committed' THEN 0 END AS invalid
+       CASE WHEN outcome = 'committed' THEN invalid END AS invalid
 FROM (SELECT p.*, CASE WHEN t.status IN ('completed','failed','cancelled') THEN 'terminal'
-             WHEN t.task_no % 6 = 5 THEN 'stale_epoch' WHEN p.unknown_slot THEN 'unknown_slot' WHEN p.bad_ref THEN 'ref_rejected' ELSE 'committed' END AS outcome,
+             WHEN p.proposal_epoch <> t.epoch THEN 'stale_epoch'
+             WHEN EXISTS (SELECT 1 FROM commit_plans c WHERE c.task_id = t.task_id AND c.plan_task_id <> t.task_id) THEN 'plan_of_another_task'
+             WHEN EXISTS (SELECT 1 FROM commit_plans c WHERE c.task_id = t.task_id AND c.plan_version_id <> t.template_version_id) THEN 'plan_of_another_version'
+             WHEN EXISTS (SELECT 1 FROM commit_plans c WHERE c.task_id = t.task_id AND c.slot_id NOT IN (SELECT slot_id FROM contract_slots)) THEN 'plan_slot_unknown'
+             WHEN p.unknown_slot THEN 'unknown_slot' WHEN p.bad_ref THEN 'ref_rejected'
+             WHEN p.no_reason THEN 'unknown_reason' WHEN p.no_error THEN 'no_error_code' ELSE 'committed' END AS outcome,
              coalesce((SELECT max(binding_version) FROM ({_PRIOR}) v WHERE v.task_id = t.task_id AND v.epoch = t.epoch), 0) AS version, d.set_digest,
              3 - p.known_slots AS silent
-      FROM (SELECT task_id, count(*) AS n, count(*) FILTER (binding_status = 'bound') AS bound, count(*) FILTER (binding_status = 'missing') AS missing,
-                   bool_or(slot_id = 'appendix') AS unknown_slot, coalesce(bool_or(span_sha256 <> true_sha256), FALSE) AS bad_ref,
-                   count(*) FILTER (slot_id <> 'appendix') AS known_slots FROM mentions GROUP BY task_id) p
+      FROM (SELECT task_id, max(proposal_epoch) AS proposal_epoch, count(*) AS n, count(*) FILTER (binding_status = 'bound') AS bound,
+                   count(*) FILTER (binding_status = 'missing') AS missing, count(*) FILTER (binding_status = 'invalid') AS invalid,
+                   bool_or(slot_id = 'appendix') AS unknown_slot, coalesce(bool_or(binding_status = 'bound' AND span_sha256 <> true_sha256), FALSE) AS bad_ref,
+                   bool_or(binding_status = 'missing' AND reason_code = 'unsure') AS no_reason, coalesce(bool_or(error_code = ''), FALSE) AS no_error,
+                   count(*) FILTER (slot_id <> 'appendix') AS known_slots FROM proposals GROUP BY task_id) p
       JOIN tasks t USING (task_id)
       JOIN (SELECT task_id, sha256(string_agg(artifact_id || ':' || sha256(text), chr(10) ORDER BY artifact_id)) AS set_digest FROM headed GROUP BY task_id) d USING (task_id))""",
     ),
 )
 def commit_bindings(spark, sf_dir):
     tasks = tb.tasks(spark, sf_dir)
-    proposals = mentions(spark, sf_dir).withColumn(
-        "proposal_epoch", F.col("epoch") + F.when(F.col("task_no") % 6 == 5, 1).otherwise(0)
-    )
     prior = tasks.select(
         "task_id", "epoch", F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda v: v <= F.col("task_no") % 3)).alias("binding_version")
     )
-    return binding.commit(tasks, proposals, headed(spark, sf_dir), tb.contract_slots(spark), prior)
+    return binding.commit(tasks, proposals(spark, sf_dir), headed(spark, sf_dir), tb.contract_slots(spark), prior, commit_plans(spark, sf_dir))
 
 
 define(

@@ -16,7 +16,6 @@ from provena.functions import text as tx
 from provena.functions.digest import sha
 
 TASK_SIZE = 20
-MAX_MATERIALS = 50
 
 #: Statuses of a task, in the order used to spread them over task numbers.
 STATUSES = ("created", "running", "awaiting_user", "parked", "completed", "failed", "cancelled")

@@ -47,6 +47,44 @@ def test_auto_bind_follows_the_rules(spark):
     assert [(r.task_id, r.slot_id) for r in missing] == [("empty", "sales")]
 
 
+@pytest.mark.parametrize(
+    "slot, plan, outcome",
+    [
+        ({}, {}, "committed"),
+        ({}, None, "committed"),
+        ({}, {"plan_task_id": "u"}, "plan_of_another_task"),
+        ({}, {"plan_task_id": None}, "plan_of_another_task"),
+        ({}, {"plan_version_id": "w"}, "plan_of_another_version"),
+        ({}, {"slot_id": "annex"}, "plan_slot_unknown"),
+        ({}, {"slot_id": None}, "committed"),
+        ({"slot_id": "annex"}, {"slot_id": "annex"}, "plan_slot_unknown"),
+        ({"slot_id": "annex"}, {}, "unknown_slot"),
+        ({"binding_status": "bound"}, {}, "ref_rejected"),
+        ({"reason_code": "unsure"}, {}, "unknown_reason"),
+        ({"reason_code": None}, {}, "unknown_reason"),
+        ({"binding_status": "invalid"}, {}, "no_error_code"),
+        ({"binding_status": "invalid", "error_code": ""}, {}, "no_error_code"),
+        ({"binding_status": "invalid", "error_code": "E1"}, {}, "committed"),
+        ({"proposal_epoch": 2, "reason_code": None}, {"plan_task_id": "u"}, "stale_epoch"),
+    ],
+)
+def test_a_commit_is_guarded(spark, slot, plan, outcome):
+    one = {"task_id": "t", "proposal_epoch": 1, "slot_id": "sales", "binding_status": "missing", "reason_code": "ambiguous", "error_code": None,
+           "artifact_id": None, "span_start": None, "span_end": None, "canonical_sha256": None, "span_sha256": None, **slot}
+    proposals = spark.createDataFrame([tuple(one.values())], "task_id string, proposal_epoch int, slot_id string, binding_status string, reason_code string, "
+                                      "error_code string, artifact_id string, span_start bigint, span_end bigint, canonical_sha256 string, span_sha256 string")
+    its = {"task_id": "t", "plan_task_id": "t", "plan_version_id": "v", "slot_id": "risks", **(plan or {})}
+    plans = spark.createDataFrame([] if plan is None else [tuple(its.values())], "task_id string, plan_task_id string, plan_version_id string, slot_id string")
+    tasks = spark.createDataFrame([("t", "running", 1, "v")], "task_id string, status string, epoch int, template_version_id string")
+    prior = spark.createDataFrame([("t", 1, 4)], "task_id string, epoch int, binding_version int")
+    materials = spark.createDataFrame([], "task_id string, artifact_id string, text string")
+    row = binding.commit(tasks, proposals, materials, slots(spark), prior, plans).first()
+    assert row.outcome == outcome
+    if outcome == "committed":
+        assert (row.binding_version, row.slots, row.bound, row.set_digest) == (5, 2, 0, sha(""))
+        assert row.missing + row.invalid == 2
+
+
 @pytest.mark.parametrize(
     "edges, cycle",
     [({"sales": ["risks"], "risks": ["sales"]}, "sales -> risks -> sales"), ({"risks": ["risks"]}, "risks -> risks"),

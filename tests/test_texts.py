@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from provena.functions import digest
 from provena.functions import text as tx
 from provena.operators import materials as mat
 from provena.operators import search, spans
@@ -127,16 +128,26 @@ def test_budget_refusals_use_calls_but_no_characters(spark):
     assert rows == {1: ("admitted", 40), 2: ("refused_chars", 40), 3: ("admitted", 50), 4: ("refused_calls", None)}
 
 
-def test_large_sets_have_a_digest_of_their_own(spark):
+def test_digests_of_sets_of_any_size_have_one_form(spark):
     rows = spark.range(200).select(F.lit("hot").alias("task_id"), F.col("id").cast("string").alias("artifact_id"), F.lit("s").alias("sha256"))
-    small = spark.createDataFrame([("ok", "b", "2"), ("ok", "a", "1")], "task_id string, artifact_id string, sha256 string")
-    got = {r.task_id: r for r in mat.set_digests(rows.unionByName(small)).collect()}
-    assert got["hot"].set_status == "in_parts" and len(got["hot"].set_digest) == 64
-    again = mat.set_digests(rows.orderBy(F.desc("artifact_id"))).collect()[0]
-    assert again.set_digest == got["hot"].set_digest
-    fewer = mat.set_digests(rows.filter("artifact_id <> '7'")).collect()[0]
-    assert fewer.set_status == "in_parts" and fewer.set_digest != got["hot"].set_digest
-    assert got["ok"].set_digest == hashlib.sha256(b"a:1\nb:2").hexdigest()
+    small = spark.createDataFrame([("ok", "b", "2"), ("ok", "a", "1"), (None, "c", "3")], "task_id string, artifact_id string, sha256 string")
+    want = hashlib.sha256("\n".join(f"{i}:s" for i in sorted(map(str, range(200)))).encode()).hexdigest()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.task_id: r.set_digest for r in mat.set_digests(rows.unionByName(small).orderBy(F.desc("artifact_id"))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {"hot": want, "ok": hashlib.sha256(b"a:1\nb:2").hexdigest(), None: hashlib.sha256(b"c:3").hexdigest()}
+    assert mat.set_digests(rows.limit(0)).collect() == []
+
+
+def test_ordered_digests_leave_null_lines_out(spark):
+    rows = spark.createDataFrame(
+        [(1, 2, "b", 2), (1, 1, None, None), (1, 3, "é", 1), (None, 1, "x", 4), (2, 1, None, 1)], "k long, pos int, line string, n int"
+    )
+    got = {r.k: (r.digest, r.total) for r in digest.ordered_digests(rows, ["k"], [F.col("pos")], F.col("line"), "|", F.col("n")).collect()}
+    want = {1: ("b|é", 3), None: ("x", 4), 2: ("", 1)}
+    assert got == {k: (hashlib.sha256(t.encode()).hexdigest(), n) for k, (t, n) in want.items()}
 
 
 def test_quotes_are_found_at_every_place(spark):
