@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 #: Hosts that keep every byte on the machine (fixed values).
 LOOPBACK = ("127.0.0.1", "localhost", "::1")
 CATEGORIES = ("web_search", "web_fetch")
-MAX_PAGE_BYTES = 2 * 1024 * 1024
-MAX_PAGE_CHARS = 20000
 
 #: Charsets that are decoded in the JVM, by the names a page may give them (fixed values).
 UTF8 = ("utf-8", "utf8")

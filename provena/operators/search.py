@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from provena.functions import text as tx
 from provena.operators.ranking import top_rows
 
-MAX_LIST_ITEMS = 50
-SEARCH_TOP_K = 10
 SNIPPET_CHARS = 200
 READ_CHARS = 8000
 
@@ -26,8 +24,8 @@ def inventory(materials: DataFrame) -> DataFrame:
     )
 
 
-def listing(materials: DataFrame, limit: int = MAX_LIST_ITEMS) -> DataFrame:
-    """The first materials of each task in arrival order, with the full count."""
+def listing(materials: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` materials of each task in arrival order, with the full count."""
     totals = materials.groupBy("task_id").agg(F.count("*").alias("total_matched"))
     first = top_rows(
         materials.select("task_id", "artifact_id", "created_at"),
@@ -64,13 +62,13 @@ def score(materials: DataFrame, queries: DataFrame, snippet: int = SNIPPET_CHARS
     )
 
 
-def search(materials: DataFrame, queries: DataFrame, top_k: int = 5, cap: int = SEARCH_TOP_K) -> DataFrame:
-    """The best hits per query, by score and then artifact id."""
+def search(materials: DataFrame, queries: DataFrame, top_k: int = 5, cap: int | None = None) -> DataFrame:
+    """The ``top_k`` best hits per query, by score and then artifact id; at most ``cap`` if a service sets one."""
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
     usable = queries.filter(tx.non_blank(F.col("query")))
     order = [F.col("score").desc(), F.col("artifact_id")]
-    return top_rows(score(materials, usable), ["query_id"], order, min(top_k, cap))
+    return top_rows(score(materials, usable), ["query_id"], order, top_k if cap is None else min(top_k, cap))
 
 
 def read_slices(materials: DataFrame, requests: DataFrame, cap: int = READ_CHARS) -> DataFrame:

@@ -13,7 +13,6 @@ from provena.functions.digest import sha
 from provena.operators.ranking import bucket_of, row_numbers, top_rows
 
 MAX_SOURCES = 12
-MAX_SOURCE_CHARS = 12000
 PROGRAM = "program://"
 
 
@@ -50,26 +49,37 @@ HEADING_LAYOUT = Layout(
 )
 
 
-def page_text(pages: DataFrame, max_chars: int = wf.MAX_PAGE_CHARS) -> DataFrame:
-    """Stored responses (url, status, content_type, body) to text, or why they are refused."""
+def page_text(pages: DataFrame, max_chars: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Stored responses (url, status, content_type, body) to text, or why they are refused.
+
+    Bodies and texts are whole unless the caller sets a limit; ``truncated`` tells where one cut.
+    """
     problem = (
         F.when(wf.url_problem(F.col("url")).isNotNull(), wf.url_problem(F.col("url")))
         .when(~wf.success(F.col("status")), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
         .when(~wf.media_accepted(F.col("content_type")), F.concat(F.lit("unsupported content type "), wf.media_type(F.col("content_type"))))
     )
-    body = F.substring(F.col("body"), 1, wf.MAX_PAGE_BYTES)
+    body = F.col("body") if max_bytes is None else F.substring(F.col("body"), 1, max_bytes)
     usable = pages.withColumn("problem", problem).withColumn(
         "_markup", F.when(F.col("problem").isNull(), wf.decode_body(body, F.col("content_type")))
     )
-    return wf.html_to_text(usable, "_markup", "_text").withColumn(
-        "text", F.substr("_text", F.lit(1), F.lit(max_chars))
-    ).drop("_markup", "_text")
-
-
-def result_blocks(listings: DataFrame, key: str, layout: Layout, limit: int) -> DataFrame:
-    """Results of listing pages (key, markup): the first ``limit`` blocks, then the usable ones."""
-    limit = max(1, min(10, limit))
-    blocks = F.slice(F.regexp_extract_all("markup", F.lit(layout.block), F.lit(0)), 1, limit)
+    texts = wf.html_to_text(usable, "_markup", "_text")
+    cut = F.lit(False)
+    if max_bytes is not None:
+        cut = cut | (F.octet_length("body") > max_bytes)
+    if max_chars is not None:
+        cut = cut | (F.char_length("_text") > max_chars)
+    text = F.col("_text") if max_chars is None else F.substr("_text", F.lit(1), F.lit(max_chars))
+    truncated = F.col("problem").isNull() & F.coalesce(cut, F.lit(False))
+    return texts.withColumn("text", text).withColumn("truncated", truncated).drop("_markup", "_text")
+
+
+def result_blocks(listings: DataFrame, key: str, layout: Layout, limit: int | None = None) -> DataFrame:
+    """Results of listing pages (key, markup): the first ``limit`` blocks, at least one, then the
+    usable ones; without a limit all blocks."""
+    blocks = F.regexp_extract_all("markup", F.lit(layout.block), F.lit(0))
+    if limit is not None:
+        blocks = F.slice(blocks, 1, max(1, limit))
     rows = listings.select(key, F.posexplode(blocks).alias("block_no", "_block"))
     url, title = F.lit(""), F.lit("")
     for pattern in reversed(layout.links):
@@ -98,7 +108,7 @@ def json_results(payloads: DataFrame, key: str, limit: int | None = None) -> Dat
     body = F.ltrim(F.regexp_replace("payload", r"^\s+", ""))
     parsed = payloads.select(key, body.alias("_body"), F.from_json("payload", "results array<string>").alias("_p"))
     # Items are texts first, so that an odd one does not spoil the array they stand in.
-    items = F.col("_p.results") if limit is None else F.slice("_p.results", 1, max(1, min(10, limit)))
+    items = F.col("_p.results") if limit is None else F.slice("_p.results", 1, max(1, limit))
     problem = F.when(~F.col("_body").startswith("{"), "not a JSON object").when(F.col("_p.results").isNull(), "no 'results' array")
     listed = parsed.select(key, problem.alias("problem"), F.posexplode_outer(items).alias("result_no", "_item")).withColumn(
         "_r", F.when(F.startswith(F.ltrim("_item"), F.lit("{")), F.from_json("_item", shape))
@@ -120,20 +130,26 @@ def known_sources(requests: DataFrame, existing: DataFrame) -> tuple[DataFrame,
     return requests.join(held, key, "left_semi"), requests.join(held, key, "left_anti")
 
 
-def register_sources(requests: DataFrame, cap: int = MAX_SOURCES, max_chars: int = MAX_SOURCE_CHARS) -> DataFrame:
+def register_sources(requests: DataFrame, cap: int = MAX_SOURCES, max_chars: int | None = None) -> DataFrame:
     """Requests (task_id, arrival, url, text) in arrival order: registered, reused or refused.
 
     A page is registered once per task and address, when its canonical text is not blank
     and fewer than ``cap`` sources are there. Texts the program wrote (``program://``)
     are always registered and count once present. Only the first ``cap`` sources of a
     task decide on all its requests, so a task with very many of them stays cheap.
+
+    Texts are registered and hashed whole. With ``max_chars`` they are cut first, those of
+    the program at twice that length, and ``truncated`` tells which ones were.
     """
     program = F.col("url").startswith(PROGRAM)
-    cut = F.substr("text", F.lit(1), F.when(program, F.lit(2 * max_chars)).otherwise(F.lit(max_chars)))
+    cut, truncated = F.col("text"), F.lit(False)
+    if max_chars is not None:
+        most = F.when(program, F.lit(2 * max_chars)).otherwise(F.lit(max_chars))
+        cut, truncated = F.substr("text", F.lit(1), most), F.coalesce(F.char_length("text") > most, F.lit(False))
     ready = requests.withColumn("_canonical", tx.canonical(cut)).withColumn("_program", program)
     narrow = ready.select(
         "task_id", "arrival", "url", "_program", tx.non_blank(F.col("_canonical")).alias("_solid"),
-        sha(F.col("_canonical")).alias("sha256"), tx.code_points(F.col("_canonical")).alias("code_points"),
+        sha(F.col("_canonical")).alias("sha256"), tx.code_points(F.col("_canonical")).alias("code_points"), truncated.alias("truncated"),
     )
     firsts = narrow.filter("_solid").groupBy("task_id", "url").agg(
         F.min("arrival").alias("_first"), F.first("_program").alias("_program")
@@ -160,6 +176,7 @@ def register_sources(requests: DataFrame, cap: int = MAX_SOURCES, max_chars: int
         F.when(registered, wf.source_filename(F.col("url"), F.col("_index"))).alias("filename"),
         F.when(registered, F.col("sha256")).alias("sha256"),
         F.when(registered, F.col("code_points")).alias("code_points"),
+        F.when(registered, F.col("truncated")).alias("truncated"),
     )
 
 

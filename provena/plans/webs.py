@@ -136,7 +136,7 @@ def html_to_text(spark, sf_dir):
     stating(
         "responses page_texts",
         """
-SELECT page_id, problem, CASE WHEN problem IS NULL THEN sha256(substring(text, 1, 20000)) END AS sha256, CASE WHEN problem IS NULL THEN length(substring(text, 1, 20000)) END AS code_points
+SELECT page_id, problem, CASE WHEN problem IS NULL THEN sha256(text) END AS sha256, CASE WHEN problem IS NULL THEN length(text) END AS code_points
 FROM (SELECT page_id, text, CASE WHEN status <> 200 THEN 'HTTP ' || status::VARCHAR WHEN page_id % 8 = 3 THEN 'unsupported content type image/png' WHEN page_id % 8 = 7 THEN 'unsupported content type application/pdf' END AS problem
       FROM responses JOIN page_texts USING (page_id))""",
     ),
@@ -173,8 +173,8 @@ def filename_slug(spark, sf_dir):
 define(
     "results",
     """
-SELECT task_no, doc_id, doc_id % 20 AS block_no, substring(regexp_replace(replace(string_split(text, chr(10))[1], '<', ''), '\\s+', ' ', 'g'), 1, 60) AS line,
-   substring(regexp_replace(replace(coalesce(string_split(text, chr(10))[2], ''), '<', ''), '\\s+', ' ', 'g'), 1, 80) AS more FROM materials""",
+SELECT task_no, doc_id, doc_id % 20 AS block_no, regexp_replace(replace(string_split(text, chr(10))[1], '<', ''), '\\s+', ' ', 'g') AS line,
+   regexp_replace(replace(coalesce(string_split(text, chr(10))[2], ''), '<', ''), '\\s+', ' ', 'g') AS more FROM materials""",
     "materials",
 )
 
@@ -184,15 +184,14 @@ def listings(spark, sf_dir, heading: bool) -> DataFrame:
     doc = F.col("doc_id")
     no = (doc % tb.TASK_SIZE).cast("bigint")
 
-    def clean(line, width):
-        flat = F.regexp_replace(F.replace(line, F.lit("<"), F.lit("")), r"\s+", " ")
-        return F.substr(flat, F.lit(1), F.lit(width))
+    def clean(line):
+        return F.regexp_replace(F.replace(line, F.lit("<"), F.lit("")), r"\s+", " ")
 
     def shown(value):
         return F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
 
     lines = F.split("text", "\n")
-    title, more = clean(F.get(lines, F.lit(0)), 60), clean(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), 80)
+    title, more = clean(F.get(lines, F.lit(0))), clean(F.coalesce(F.get(lines, F.lit(1)), F.lit("")))
     marked = F.when(doc % 7 == 3, F.lit("<b> </b>")).otherwise(F.concat(F.lit("<b>"), shown(title), F.lit("</b>")))
     link = F.concat(F.lit("http://r.example/"), doc.cast("string"), F.lit("?a=1&amp;b=2"))
     if heading:
@@ -266,12 +265,11 @@ UNION ALL SELECT DISTINCT task_no, CASE WHEN task_no % 7 = 5 THEN 'not a JSON ob
 def json_results(spark, sf_dir):
     doc = F.col("doc_id")
 
-    def clean(line, width):
-        flat = F.regexp_replace(F.replace(line, F.lit("<"), F.lit("")), r"\s+", " ")
-        return F.substr(flat, F.lit(1), F.lit(width))
+    def clean(line):
+        return F.regexp_replace(F.replace(line, F.lit("<"), F.lit("")), r"\s+", " ")
 
     lines = F.split("text", "\n")
-    title, more = clean(F.get(lines, F.lit(0)), 60), clean(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), 80)
+    title, more = clean(F.get(lines, F.lit(0))), clean(F.coalesce(F.get(lines, F.lit(1)), F.lit("")))
     item = F.struct(
         (doc % tb.TASK_SIZE).alias("no"), title.alias("title"),
         F.when(doc % 4 != 1, F.concat(F.lit("http://j.example/"), doc.cast("string"))).alias("url"),
@@ -324,7 +322,7 @@ def fetched(spark, sf_dir) -> DataFrame:
         f"""
 SELECT task_id, arrival, url, outcome, CASE WHEN outcome = 'registered' THEN 'research_' || lpad(idx::VARCHAR, 3, '0') || '_' || {_SLUG} || '.txt' END AS filename,
    CASE WHEN outcome = 'registered' THEN sha256(body) END AS sha256, CASE WHEN outcome = 'registered' THEN length(body) END AS code_points
-FROM (SELECT r.task_id, r.arrival, r.url, substring(r.text, 1, CASE WHEN r.url LIKE 'program://%' THEN 24000 ELSE 12000 END) AS body,
+FROM (SELECT r.task_id, r.arrival, r.url, r.text AS body,
         CASE WHEN f.rank <= 12 THEN f.rank - 1 ELSE 12 + (SELECT count(*) FROM firsts p WHERE p.task_id = f.task_id AND p.url LIKE 'program://%' AND p.rank > 12 AND p.rank < f.rank) END AS idx,
         CASE WHEN (f.rank <= 12 OR r.url LIKE 'program://%') AND r.arrival = f.first THEN 'registered'
              WHEN (f.rank <= 12 OR r.url LIKE 'program://%') AND r.arrival > f.first THEN 'reused'
@@ -333,7 +331,7 @@ FROM (SELECT r.task_id, r.arrival, r.url, substring(r.text, 1, CASE WHEN r.url L
     ),
 )
 def register_sources(spark, sf_dir):
-    return web.register_sources(fetched(spark, sf_dir))
+    return web.register_sources(fetched(spark, sf_dir)).drop("truncated")
 
 
 @query(

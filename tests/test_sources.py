@@ -148,3 +148,26 @@ def test_odd_items_and_charsets_spoil_nothing(spark):
     bodies = [(n, bytearray(b"caf\xc3\xa9 ok")) for n in ("idna", "undefined", "none\x00such", "nosuch", "rot13", "utf-8", "hex", "zip")]
     read = spark.createDataFrame([(f"text/html; charset={n}", b) for n, b in bodies], "kind string, body binary").select("kind", wf.decode_body(F.col("body"), F.col("kind")).alias("text"))
     assert all(r["text"] is not None and "ok" in r["text"] for r in read.collect())
+
+
+def test_pages_are_whole_unless_a_limit_is_set(spark):
+    body = "<p>" + "ä" * 30000 + "</p>"
+    pages = spark.createDataFrame([("http://a.example/", 200, "text/html; charset=utf-8", body.encode()), ("http://a.example/", 500, "text/html", b"x")], "url string, status int, content_type string, body binary")
+    assert [(r.text, r.truncated) for r in web.page_text(pages).orderBy("status").collect()] == [("ä" * 30000, False), (None, False)]
+    assert [(r.text, r.truncated) for r in web.page_text(pages, max_chars=5).orderBy("status").collect()] == [("ä" * 5, True), (None, False)]
+    assert [(r.text, r.truncated) for r in web.page_text(pages, max_chars=50, max_bytes=9).orderBy("status").collect()] == [("ä" * 3, True), (None, False)]
+
+
+def test_sources_that_differ_late_have_digests_of_their_own(spark):
+    long = "x" * 50000
+    rows = spark.createDataFrame([("t", 1, "http://a.example/", long + "a"), ("t", 2, "http://b.example/", long + "b")], "task_id string, arrival bigint, url string, text string")
+    whole, cut = web.register_sources(rows).collect(), web.register_sources(rows, max_chars=100).collect()
+    assert len({r.sha256 for r in whole}) == 2 and {(r.code_points, r.truncated) for r in whole} == {(50001, False)}
+    assert len({r.sha256 for r in cut}) == 1 and {(r.code_points, r.truncated) for r in cut} == {(100, True)}
+
+
+def test_a_listing_gives_all_its_results(spark):
+    block = '<li class="b_algo"><h2><a href="http://r.example/{0}">title {0}</a></h2><p>s</p></li>'
+    pages = spark.createDataFrame([(1, "".join(block.format(i) for i in range(14)))], "id int, markup string")
+    found = lambda n: web.result_blocks(pages, "id", web.LIST_LAYOUT, n).count()
+    assert [found(None), found(12), found(0)] == [14, 12, 1]

@@ -118,6 +118,8 @@ def test_search_scores_and_order(spark):
     rows = search.search(materials, queries, top_k=5).orderBy("rank").collect()
     assert [(r.query_id, r.artifact_id, r.score, r.match_count) for r in rows] == [(1, "b", 7, 5), (1, "a", 2, 1)]
     assert len(search.search(materials, queries, top_k=5, cap=1).collect()) == 1
+    many = spark.range(15).select(F.lit("t").alias("task_id"), F.col("id").cast("string").alias("artifact_id"), F.lit("华东").alias("text"))
+    assert search.search(many, queries, top_k=12).count() == 12
     with pytest.raises(ValueError):
         search.search(materials, queries, top_k=0)
 
