@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from provena.operators.findings import union_all
-
+from provena.session import settle
 
 
 def membership(plan_slots: DataFrame, slots: DataFrame, sections: DataFrame) -> DataFrame:
@@ -60,46 +56,81 @@ def unknown_dependencies(plan_slots: DataFrame) -> DataFrame:
     )
 
 
-def _cycle_of(slots: list[str], deps: dict[str, list[str]]) -> list[str] | None:
-    """The first closed path met when slots and their dependencies are followed in order."""
-    finished: set[str] = set()
-    for root in slots:
-        if root in finished:
-            continue
-        trail = {root: 0}
-        pending: list[Iterator[str]] = [iter(deps[root])]
-        while pending:
-            target = next(pending[-1], None)
-            if target is None:
-                finished.add(trail.popitem()[0])
-                pending.pop()
-            elif target in trail:
-                return [*list(trail)[trail[target] :], target]
-            elif target in deps and target not in finished:
-                trail[target] = len(trail)
-                pending.append(iter(deps[target]))
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def _cycle_path(plans: pd.Series) -> pd.Series:
-    def path(entries) -> str | None:
-        found = _cycle_of([e["slot_id"] for e in entries], {e["slot_id"]: list(e["depends_on"]) for e in entries})
-        return None if found is None else " -> ".join(found)
-
-    return plans.map(path)
+def _dependencies(plan_slots: DataFrame) -> DataFrame:
+    """One row (task_id, slot_id, root_pos, place, dep) per dependency on a slot of the plan.
+
+    A slot named twice stands at its first position and has the dependencies of its last.
+    """
+    once = plan_slots.groupBy("task_id", "slot_id").agg(
+        F.min("plan_pos").alias("root_pos"), F.max_by("depends_on", "plan_pos").alias("_deps")
+    )
+    wanted = once.select("task_id", "slot_id", "root_pos", F.posexplode("_deps").alias("place", "dep"))
+    known = once.select("task_id", F.col("slot_id").alias("dep"))
+    return wanted.join(known, ["task_id", "dep"], "left_semi")
+
+
+def _reach_a_cycle(links: DataFrame) -> DataFrame:
+    """The slots (task_id, slot_id) of (task_id, slot_id, dep) from which a cycle can be reached.
+
+    Each round drops dependencies on slots that have none left, and lets a dependency on a
+    slot with a single one jump to that one, so a chain shrinks to half a round. A round
+    that drops nothing leaves only slots on the way to a cycle.
+    """
+    links = settle(links.distinct(), "plan-links")
+    left = links.count()
+    while left:
+        onward = links.groupBy("task_id", F.col("slot_id").alias("dep")).agg(
+            F.count("*").alias("_n"), F.min("dep").alias("_only")
+        )
+        target = F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("dep"))
+        links = settle(
+            links.join(onward, ["task_id", "dep"]).select("task_id", "slot_id", target.alias("dep")).distinct(), "plan-links"
+        )
+        before, left = left, links.count()
+        if left == before:
+            break
+    return links.select("task_id", "slot_id").distinct()
 
 
 def dependency_cycles(plan_slots: DataFrame) -> DataFrame:
     """The first dependency cycle of each plan, as ``a -> b -> a``; plans without one drop out.
 
-    The slots of one document's plan come together in a row, however many there are, and
-    are followed in one linear walk. Plans, not slots, are what is spread over the cluster.
+    It is the cycle that following slots and dependencies in order meets first: of the slots
+    that can reach a cycle the earliest one, and from each slot its first dependency that can
+    reach one. The walk is doubled each round by joins on (plan, slot), with the step doubled
+    too, so a plan of any size is spread over the cluster; only the slots of the cycle that is
+    reported come together in a row. NULL dependencies count as none.
     """
-    plans = plan_slots.groupBy("task_id").agg(
-        F.array_sort(F.collect_list(F.struct("plan_pos", "slot_id", "depends_on"))).alias("_plan")
+    deps = settle(_dependencies(plan_slots), "plan-dependencies")
+    open_ = settle(_reach_a_cycle(deps.select("task_id", "slot_id", "dep")), "plan-open")
+    onward = deps.join(open_, ["task_id", "slot_id"], "left_semi").join(
+        open_.withColumnRenamed("slot_id", "dep"), ["task_id", "dep"], "left_semi"
+    )
+    step = settle(
+        onward.groupBy("task_id", "slot_id").agg(F.min_by("dep", "place").alias("_to"), F.min("root_pos").alias("root_pos")),
+        "plan-steps",
+    )
+    begin = step.groupBy("task_id").agg(F.min_by("slot_id", "root_pos").alias("slot_id"), F.count("*").alias("_n"))
+    walk = begin.withColumn("at", F.lit(0).cast("bigint"))
+    longest = begin.agg(F.max("_n")).first()[0] or 0
+    step, length = step.join(begin.select("task_id", "_n"), "task_id").drop("root_pos"), 1
+    while length <= longest:
+        # A plan is done once its walk has more steps than it has slots.
+        step = step.filter(F.col("_n") >= length)
+        ahead = walk.join(step.drop("_n"), ["task_id", "slot_id"]).select(
+            "task_id", F.col("_to").alias("slot_id"), "_n", (F.col("at") + length).alias("at")
+        )
+        walk = settle(walk.unionByName(ahead), "plan-walk")
+        length *= 2
+        second = step.select("task_id", F.col("slot_id").alias("_to"), F.col("_to").alias("_next"))
+        doubled = step.filter(F.col("_n") >= length).join(second, ["task_id", "_to"])
+        step = settle(doubled.select("task_id", "slot_id", F.col("_next").alias("_to"), "_n"), "plan-steps")
+    visits = walk.groupBy("task_id", "slot_id").agg(F.min("at").alias("at"), F.count("*").alias("_times"))
+    entry = visits.filter(F.col("_times") > 1).groupBy("task_id").agg(F.min("at").alias("_from"))
+    path = visits.join(entry, "task_id").filter(F.col("at") >= F.col("_from")).groupBy("task_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "slot_id"))), lambda v: v["slot_id"]).alias("_path")
     )
-    return plans.select("task_id", _cycle_path(F.col("_plan")).alias("cycle")).filter(F.col("cycle").isNotNull())
+    return path.select("task_id", F.concat_ws(" -> ", "_path", F.get("_path", F.lit(0))).alias("cycle"))
 
 
 def validate(plan_slots: DataFrame, slots: DataFrame, sections: DataFrame) -> DataFrame:

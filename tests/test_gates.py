@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 
@@ -96,6 +97,38 @@ def test_dependency_cycles(spark, edges, cycle):
     assert [r.cycle for r in planning.dependency_cycles(plan).collect()] == ([cycle] if cycle else [])
 
 
+def first_cycle(names, deps):
+    """The cycle a walk in order meets first, told by recursion."""
+    done = set()
+
+    def visit(node, trail):
+        if node in trail:
+            return [*trail[trail.index(node) :], node]
+        if node in done or node not in deps:
+            return None
+        for dep in deps[node]:
+            if found := visit(dep, [*trail, node]):
+                return found
+        done.add(node)
+
+    return next((" -> ".join(c) for n in names if (c := visit(n, []))), None)
+
+
+def test_first_cycles_of_random_plans(spark):
+    pick = random.Random(5)
+    rows, want = [], {}
+    for t in range(150):
+        names = [f"s{i}" for i in range(pick.randint(1, 9))]
+        deps = {n: pick.sample([*names, "ghost"], min(len(names), pick.choice([0, 0, 1, 1, 2, 3]))) for n in names}
+        rows += [(str(t), i, n, deps[n]) for i, n in enumerate(names)]
+        want[str(t)] = first_cycle(names, deps)
+    rows += [("null", 0, "a", None), ("twice", 0, "a", ["b"]), ("twice", 1, "b", ["a"]), ("twice", 2, "a", [])]
+    plan = spark.createDataFrame(rows, "task_id string, plan_pos int, slot_id string, depends_on array<string>")
+    got = {r.task_id: r.cycle for r in planning.dependency_cycles(plan).collect()}
+    assert got == {t: c for t, c in want.items() if c} and len(got) > 20
+    assert planning.dependency_cycles(plan.limit(0)).count() == 0
+
+
 def test_oversized_plan_is_walked_to_its_end(spark):
     size = 1500
     deps = F.when(F.col("id") == size - 1, F.array(F.lit("9"))).otherwise(F.array((F.col("id") + 1).cast("string")))
