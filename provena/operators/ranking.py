@@ -12,14 +12,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a bucket of sequence numbers.
+from provena.session import settle
+
+#: Width of a bucket of sequence numbers; rows that a measured bucket aims at.
 BUCKET = 1 << 20
 
+#: A hot key is cut into up to the square of this many measured buckets.
+FAN = 32
+
 
 def bucket_of(seq: Column, width: int = BUCKET) -> Column:
     return F.floor(seq / width).cast("bigint")
 
 
+def measured_buckets(df: DataFrame, keys: Sequence[str], seq: str, name: str = "_piece", rows: int = BUCKET) -> DataFrame:
+    """Add the bucket ``name`` of each row for an order that starts with ``seq``, by measured quantiles.
+
+    Numbers that count up inside each key all lie in one bucket of fixed width. Here the rows
+    of each key are counted, and keys of more than ``rows`` rows are cut at quantiles of their
+    ``seq`` into buckets of about ``rows`` rows, at most 1024. All other rows are in bucket 0,
+    as are rows without ``seq``, which sort first. Equal ``seq`` share a bucket. Only hot keys
+    have cuts, at least ``rows`` rows each, and the cuts are written down before they are joined.
+    """
+    keys = list(keys)
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows)
+    parts = FAN * FAN
+    quantiles = F.percentile_approx(seq, [i / parts for i in range(1, parts)], 10_000)
+    found = df.select(*keys, seq).join(hot, keys).groupBy(*keys).agg(quantiles.alias("_all"), F.first("_n").alias("_n"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(parts) * rows / F.col("_n")))
+    cuts = settle(found.select(*keys, F.filter("_all", lambda q, i: (i + 1) % each == 0).alias("_cuts")), "cuts")
+
+    def below(values: Column) -> Column:
+        return F.coalesce(F.size(F.filter(values, lambda q: q <= F.col(seq))), F.lit(0))
+
+    # Two short looks in place of one through all cuts: which run of cuts, then where in it.
+    coarse = below(F.filter("_cuts", lambda q, i: i % FAN == FAN - 1)) * FAN
+    fine = below(F.slice("_cuts", coarse + 1, F.lit(FAN)))
+    piece = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(coarse + fine)
+    return df.join(cuts, keys, "left").withColumn(name, piece.cast("bigint")).drop("_cuts")
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
     """The first row per key, as a partial aggregation rather than a window."""
     picked = F.min_by(F.struct(*cols), F.struct(*order)).alias("_first")

@@ -252,14 +252,34 @@ def region_members(regions: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame
     return members, union_all([bounds, neither, tables])
 
 
+#: Characters of a document's text, or its paragraphs, that one bin holds.
+BIN = 4096
+
+
 def offset_owners(offsets: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Character offsets (doc, offset) to the paragraph (doc, idx, text) that holds them."""
-    before = Window.partitionBy("doc").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    length = F.length("text")
-    placed = paragraphs.select("doc", "idx", length.alias("_len")).withColumn("_start", F.coalesce(F.sum("_len").over(before), F.lit(0)))
+    """Character offsets (doc, offset) to the paragraph (doc, idx, text) that holds them.
+
+    Paragraphs lie one after another in idx order without anything between them. Starts are
+    summed over runs of paragraphs and then inside each run, so a document of any length is
+    summed by many tasks. Each paragraph is listed in the bins of characters it covers and
+    an offset looks into its own bin, so neither side meets more than a bin of the other;
+    empty paragraphs hold nothing. Offsets outside the document, or NULL, have no paragraph.
+    """
+    runs = paragraphs.select("doc", "idx", F.length("text").cast("bigint").alias("_len"), F.floor(F.col("idx") / BIN).alias("_run"))
+    sums = runs.groupBy("doc", "_run").agg(F.sum("_len").alias("_sum"))
+    earlier = Window.partitionBy("doc").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("doc", "_run", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    before = Window.partitionBy("doc", "_run").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    inside = runs.withColumn("_before", F.coalesce(F.sum("_len").over(before), F.lit(0)))
+    placed = inside.join(bases, ["doc", "_run"]).filter(F.col("_len") > 0).select(
+        "doc", "idx", (F.col("_base") + F.col("_before")).alias("_start"), (F.col("_base") + F.col("_before") + F.col("_len")).alias("_end")
+    )
+    bins = F.sequence(F.floor(F.col("_start") / BIN), F.floor((F.col("_end") - 1) / BIN))
+    listed = placed.withColumn("_bin", F.explode(bins))
+    asked = offsets.withColumn("_bin", F.floor(F.col("offset") / BIN))
     at = F.col("offset")
-    hit = (offsets["doc"] == placed["doc"]) & (at >= F.col("_start")) & (at < F.col("_start") + F.col("_len"))
-    return offsets.join(placed, hit, "left").select(offsets["doc"], "offset", "idx", _place(F.col("idx")).alias("locator"))
+    hit = (asked["doc"] == listed["doc"]) & (asked["_bin"] == listed["_bin"]) & (at >= F.col("_start")) & (at < F.col("_end"))
+    return asked.join(listed, hit, "left").select(asked["doc"], "offset", "idx", _place(F.col("idx")).alias("locator"))
 
 
 def scaffold(paragraphs: DataFrame, semantics: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -236,7 +236,8 @@ def epoch_cas(spark, sf_dir):
     log = versions(spark, sf_dir).select(
         "o_orderkey", "template_id", "version", (F.col("version") + F.when(F.col("o_orderkey") % 13 == 0, 1).otherwise(0)).alias("epoch")
     )
-    breaks = ledger.epoch_breaks(log, "template_id", [F.col("version")], ranking.bucket_of(F.col("version")))
+    log = ranking.measured_buckets(log, ["template_id"], "version")
+    breaks = ledger.epoch_breaks(log, "template_id", [F.col("version")], F.col("_piece"))
     return breaks.select("o_orderkey", "template_id", "epoch", "expected")
 
 
@@ -507,7 +508,8 @@ SELECT conv_id, turn, role, message_no, last_turn FROM (SELECT conv_id, turn, ro
 )
 def message_history(spark, sf_dir):
     messages = tb.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    numbered = ranking.row_numbers(messages, ["conv_id"], [F.col("turn")], ranking.bucket_of(F.col("turn")), "message_no")
+    pieces = ranking.measured_buckets(messages, ["conv_id"], "turn")
+    numbered = ranking.row_numbers(pieces, ["conv_id"], [F.col("turn")], F.col("_piece"), "message_no").drop("_piece")
     touched = messages.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
     return numbered.join(touched, "conv_id")
 

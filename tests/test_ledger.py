@@ -34,6 +34,26 @@ def test_row_numbers_and_previous_rows_over_buckets(spark):
     assert got == want
 
 
+def test_hot_keys_are_cut_at_measured_quantiles(spark):
+    rows = [("hot", i * i) for i in range(5000)] + [("cold", i) for i in range(90)] + [("tie", 7)] * 300 + [("hot", None)]
+    frame = spark.createDataFrame(rows, "k string, seq bigint")
+    cut = ranking.measured_buckets(frame, ["k"], "seq", rows=100).collect()
+    sizes = {}
+    for r in cut:
+        sizes[r.k, r._piece] = sizes.get((r.k, r._piece), 0) + 1
+    hot = [n for (k, _), n in sizes.items() if k == "hot"]
+    assert len(hot) > 40 and max(hot) < 200 and sizes["cold", 0] == 90 and len([k for k, _ in sizes if k == "tie"]) == 1
+    ordered = [r._piece for r in sorted((r for r in cut if r.k == "hot"), key=lambda r: -1 if r.seq is None else r.seq)]
+    assert ordered == sorted(ordered)
+    numbered = ranking.row_numbers(
+        ranking.measured_buckets(frame.filter("k != 'tie'"), ["k"], "seq", rows=100), ["k"], [F.col("seq")], F.col("_piece"), "n"
+    )
+    got = sorted((r.k, r.n, -1 if r.seq is None else r.seq) for r in numbered.collect())
+    hot_want = [("hot", i + 1, v) for i, v in enumerate([-1] + [i * i for i in range(5000)])]
+    assert got == [("cold", i + 1, i) for i in range(90)] + hot_want
+    assert ranking.measured_buckets(frame.limit(0), ["k"], "seq").count() == 0
+
+
 def test_row_numbers_without_keys(spark):
     frame = spark.createDataFrame([(i * 3,) for i in range(500)], "v bigint")
     rows = ranking.row_numbers(frame, [], [F.col("v")], ranking.bucket_of(F.col("v"), 10), "n").collect()
