@@ -25,6 +25,10 @@ CONTROL = r"\{%"
 RICH = r"\{\{\s*[rpP]\b"
 FILTER = r"\{\{[^{}]*\|[^{}]*\}\}"
 
+#: Characters of a document's text, or its paragraphs, that one bin holds; paragraphs in a bin of regions.
+BIN = 4096
+RUN = 64
+
 SIDECAR = (
     "schema_version string, template_id string, slots array<struct<slot_id:string,placeholder:string,kind:string,"
     "required:boolean,allow_user_omit:boolean,semantic_requirement:string,style_key:string>>, "
@@ -228,19 +232,27 @@ def region_members(regions: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame
     """Paragraphs of static regions, and the regions that point nowhere.
 
     ``regions`` is (doc, region_id, first, last, table_ref), ``paragraphs`` (doc, idx,
-    cell_locator). A range is inclusive on both ends.
+    cell_locator). A range is inclusive on both ends. Ranges and paragraphs meet in bins of
+    paragraph numbers, tables and cells by equal paths, so a long document with many regions
+    does not pair them all.
     """
     sizes = paragraphs.groupBy("doc").agg(F.count("*").alias("_n"))
     sized = regions.join(sizes, "doc", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     ranged, first, last = F.col("first").isNotNull(), F.col("first"), F.col("last")
     outside = ranged & ((first < 0) | (last < first) | (last >= F.col("_n")))
-    rows = sized.filter(~outside).select("doc", "region_id", "first", "last", "table_ref").join(
-        paragraphs.select("doc", "idx", "cell_locator"), "doc"
-    )
-    inside = F.col("idx").between(first, last) | F.coalesce(
-        F.col("first").isNull() & F.startswith(F.col("cell_locator"), F.concat("table_ref", F.lit("/"))), F.lit(False)
+    # A region meets the paragraphs of the bins its range covers, or the cells below its table.
+    sound = sized.filter(~outside)
+    covered = F.sequence(F.floor(first / RUN), F.floor(last / RUN))
+    ranges = sound.filter(ranged).select("doc", "region_id", "first", "last", F.explode(covered).alias("_bin"))
+    by_range = ranges.join(paragraphs.select("doc", "idx", F.floor(F.col("idx") / RUN).alias("_bin")), ["doc", "_bin"]).filter(
+        F.col("idx").between(first, last)
     )
-    members = rows.filter(inside).select("doc", "region_id", "idx")
+    steps = F.split("cell_locator", "/")
+    depths = F.filter(F.sequence(F.lit(1), F.size(steps)), lambda n: n < F.size(steps))
+    above = F.transform(depths, lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    cells = paragraphs.filter(F.col("cell_locator").isNotNull()).select("doc", "idx", F.explode(above).alias("table_ref"))
+    by_table = sound.filter(first.isNull()).select("doc", "region_id", "table_ref").join(cells, ["doc", "table_ref"])
+    members = by_range.select("doc", "region_id", "idx").unionByName(by_table.select("doc", "region_id", "idx"))
     neither = sized.filter(first.isNull() & F.col("table_ref").isNull()).select("doc", "region_id", F.lit("region needs a range or a table").alias("problem"))
     bounds = sized.filter(outside).select(
         "doc", "region_id",
@@ -252,10 +264,6 @@ def region_members(regions: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame
     return members, union_all([bounds, neither, tables])
 
 
-#: Characters of a document's text, or its paragraphs, that one bin holds.
-BIN = 4096
-
-
 def offset_owners(offsets: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Character offsets (doc, offset) to the paragraph (doc, idx, text) that holds them.
 

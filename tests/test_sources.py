@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import random
 from html.parser import HTMLParser
 
 import pytest
@@ -171,3 +172,33 @@ def test_a_listing_gives_all_its_results(spark):
     pages = spark.createDataFrame([(1, "".join(block.format(i) for i in range(14)))], "id int, markup string")
     found = lambda n: web.result_blocks(pages, "id", web.LIST_LAYOUT, n).count()
     assert [found(None), found(12), found(0)] == [14, 12, 1]
+
+
+def test_offsets_and_regions_of_a_long_document(spark, monkeypatch):
+    monkeypatch.setattr(templates, "BIN", 16)
+    monkeypatch.setattr(templates, "RUN", 4)
+    rng = random.Random(3)
+    texts = {d: ["x" * rng.choice([0, 0, 1, 5, 40, 200]) for _ in range(n)] for d, n in ((1, 300), (2, 1), (3, 17))}
+    rows = [(d, i, t, f"tbl[{i % 3}]/tr[{i}]/tc[0]" if i % 4 == 1 else None) for d, ts in texts.items() for i, t in enumerate(ts)]
+    paragraphs = spark.createDataFrame(rows, "doc bigint, idx bigint, text string, cell_locator string")
+    asked = [(d, o) for d, ts in texts.items() for o in range(-2, sum(map(len, ts)) + 3, 7)] + [(4, 0), (1, None)]
+    owners = {(r.doc, r.offset): r.idx for r in templates.offset_owners(spark.createDataFrame(asked, "doc bigint, offset bigint"), paragraphs).collect()}
+    assert owners == {
+        (d, o): next((i for i, _ in enumerate(texts.get(d, [])) if o is not None and o >= 0 and sum(map(len, texts[d][: i + 1])) > o), None)
+        for d, o in asked
+    }
+    wanted = [(d, f"r{k}", a, a + rng.randrange(9), None) for d in texts for k, a in enumerate(rng.sample(range(-3, 300), 40))]
+    wanted += [(1, "t", None, None, "tbl[1]"), (1, "deep", None, None, "tbl[1]/tr[1]"), (1, "no", None, None, "tbl[9]"), (2, "e", None, None, None)]
+    regions = spark.createDataFrame(wanted, "doc bigint, region_id string, first bigint, last bigint, table_ref string")
+    members, problems = templates.region_members(regions, paragraphs)
+    want, bad = set(), set()
+    for d, name, first, last, ref in wanted:
+        cells = [(i, c) for dd, i, _, c in rows if dd == d]
+        inside = [i for i, c in cells if (c or "").startswith(f"{ref}/")] if first is None else range(first, last + 1)
+        if (first is not None and (first < 0 or last >= len(cells))) or not list(inside):
+            bad.add((d, name))
+        else:
+            want |= {(d, name, i) for i in inside}
+    got = [tuple(r) for r in members.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(r.doc, r.region_id) for r in problems.collect()} == bad
