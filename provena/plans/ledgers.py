@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provena import session
 from provena.functions import checks, digest
 from provena.functions import text as tx
 from provena.operators import binding, ledger, ranking
@@ -88,8 +89,13 @@ def event_cursor(spark, sf_dir):
     "SELECT o_orderkey, (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders",
 )
 def append_event(spark, sf_dir):
+    """The orders as events written behind the log. The batch is run twice, as after a crash."""
+    from provena.sources import sinks
+
+    log, path = tb.events(spark, sf_dir).select("seq"), session.work_dir(spark, "log")
     batch = tb.read(spark, sf_dir, "orders").select("o_orderkey")
-    return ledger.appended(tb.events(spark, sf_dir), batch, "o_orderkey")
+    sinks.append_log(log, batch, path, "o_orderkey", "o_orderkey")
+    return sinks.append_log(log, batch, path, "o_orderkey", "o_orderkey")
 
 
 def title_key(text):
@@ -121,21 +127,21 @@ def idempotent_replay(spark, sf_dir):
     "content_addressed_sink",
     f"""
 SELECT k.doc_id, CASE WHEN s.payload IS NULL AND k.doc_id = first_value(k.doc_id) OVER w THEN 'write'
-         WHEN k.payload = coalesce(s.payload, first_value(k.payload) OVER w) THEN 'reuse' ELSE 'refuse' END AS outcome
+         WHEN k.payload = coalesce(s.payload, first_value(k.payload) OVER w) THEN 'reuse' ELSE 'refuse' END AS outcome,
+       coalesce(s.payload, first_value(k.payload) OVER w) AS held
 FROM (SELECT * FROM ({_KEYED}) WHERE doc_id % 3 > 0) k
 LEFT JOIN (SELECT request_key, arg_min(payload, doc_id) AS payload FROM ({_KEYED}) WHERE doc_id % 3 = 0 GROUP BY 1) s USING (request_key)
 WINDOW w AS (PARTITION BY k.request_key ORDER BY k.doc_id)""",
 )
 def content_addressed_sink(spark, sf_dir):
+    """A third of the documents is in the store; the others are written to it and read back."""
     from provena.sources import sinks
 
-    rows = keyed(spark, sf_dir)
-    stored = ranking.first_rows(
-        rows.filter(F.col("doc_id") % 3 == 0), ["request_key"], [F.col("doc_id")], ["payload"]
-    )
-    return sinks.plan_writes(
-        rows.filter(F.col("doc_id") % 3 > 0), stored, "request_key", "payload", "doc_id"
-    ).select("doc_id", "outcome")
+    rows, path = keyed(spark, sf_dir), session.work_dir(spark, "store")
+    sinks.store(rows.filter(F.col("doc_id") % 3 == 0), path, "request_key", "payload", "doc_id")
+    outcomes = sinks.store(rows.filter(F.col("doc_id") % 3 > 0), path, "request_key", "payload", "doc_id")
+    held = sinks.stored_rows(spark, path, rows.schema).select("request_key", F.col("payload").alias("held"))
+    return outcomes.join(held, "request_key", "left").select("doc_id", "outcome", "held")
 
 
 @query(

@@ -204,18 +204,22 @@ def sessions_all(split: Split, name: str, window: Column, keys: list[str]) -> Da
     return closed.join(touched, keys, "left_anti").unionByName(again)
 
 
-INGESTED = "sha256 string, code_points bigint"
-
-
 def ingest(documents: DataFrame, name: str = "ingested") -> DataFrame:
-    """Content-addressed sink: each text is written once, whatever is replayed."""
+    """Content-addressed sink: each text is written once, whatever is replayed.
+
+    A batch looks only at the folders of the store that its keys lie in. Rows that the store
+    refuses stop the stream: a digest that stands for two texts is no replay.
+    """
     spark = documents.sparkSession
     out, checkpoint = session.work_dir(spark, name), session.work_dir(spark, f"{name}-checkpoint")
     hashed = documents.select(sha(F.col("text")).alias("sha256"), tx.code_points(F.col("text")).alias("code_points"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        sinks.append_new(batch, out, "sha256", INGESTED)
+        outcomes = sinks.store(batch.where(F.col("sha256").isNotNull()), out, "sha256", "code_points")
+        refused = outcomes.where(F.col("outcome") == "refuse").first()
+        if refused is not None:
+            raise ValueError(f"{refused.sha256} is held with another length than {refused.code_points}")
 
     query = hashed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sinks.existing(spark, out, INGESTED)
+    return sinks.stored_rows(spark, out, hashed.schema)

@@ -93,11 +93,49 @@ def test_sink_writes_once(spark):
     path = session.work_dir(spark, "sink")
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "sha256 string, code_points bigint")
     for _ in range(2):
-        sinks.append_new(rows, path, "sha256", feeds.INGESTED)
-    sinks.append_new(spark.createDataFrame([("c", 3), ("a", 1)], "sha256 string, code_points bigint"), path, "sha256", feeds.INGESTED)
+        sinks.store(rows, path, "sha256", "code_points")
+    sinks.store(spark.createDataFrame([("c", 3), ("a", 1)], rows.schema), path, "sha256", "code_points")
     assert sorted(r.sha256 for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
 
 
+def test_a_store_keeps_one_row_a_key_and_refuses_conflicts(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), "name string, digest string, at bigint"
+
+    def put(rows):
+        return sorted((tuple(r) for r in sinks.store(spark.createDataFrame(rows, schema), path, "name", "digest", "at").collect()), key=repr)
+
+    first = [("a", "1", 1), ("b", "2", 2), ("b", "2", 3), ("b", "9", 4), ("b", "2", 2)]
+    assert put(first) == [("a", "1", 1, "write"), ("b", "2", 2, "write"), ("b", "2", 2, "write"), ("b", "2", 3, "reuse"), ("b", "9", 4, "refuse")]
+    assert {r[3] for r in put(first)} == {"reuse", "refuse"}
+    rows = [("a", "5", 1), ("a", "1", 2), ("c", "3", 9), (None, "1", 1), ("d", None, 1)]
+    assert sorted(r[3] for r in put(rows)) == ["refuse", "refuse", "refuse", "reuse", "write"]
+    assert put([]) == []
+    held = sinks.stored_rows(spark, path, spark.createDataFrame([], schema).schema)
+    assert sorted(tuple(r) for r in held.collect()) == [("a", "1", 1), ("b", "2", 2), ("c", "3", 9)]
+
+
+def test_a_write_that_broke_off_is_finished_when_run_again(spark, tmp_path):
+    path, rows = str(tmp_path / "store"), spark.range(200).select(F.col("id").cast("string").alias("name"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    sinks.store(rows.filter("name % 3 = 0"), path, "name", "digest")
+    outcomes = {r.outcome: r["count"] for r in sinks.store(rows, path, "name", "digest").groupBy("outcome").count().collect()}
+    assert outcomes == {"reuse": 67, "write": 133}
+    held = sinks.stored_rows(spark, path, rows.schema)
+    assert held.count() == held.distinct().count() == 200 and held.exceptAll(rows).count() == 0
+
+
+def test_a_log_is_appended_to_once(spark, tmp_path):
+    path, log = str(tmp_path / "log"), spark.createDataFrame([(4,), (7,)], "seq bigint")
+
+    def batch(*keys):
+        return spark.createDataFrame([(k,) for k in keys], "k bigint")
+
+    sinks.append_log(log, batch(30, 10, 10), path, "k", "k")
+    sinks.append_log(log, batch(30, 10), path, "k", "k")
+    rows = sinks.append_log(log, batch(5, 30, 20), path, "k", "k").collect()
+    assert sorted((r.seq, r.k) for r in rows) == [(8, 10), (9, 30), (10, 5), (11, 20)]
+    assert sinks.append_log(log.limit(0), batch(1), str(tmp_path / "new"), "k", "k").first().seq == 0
+
+
 def test_stream_state_survives_a_restart(spark, tmp_path):
     """Two runs over one checkpoint: the second sees what the first stored."""
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
