@@ -193,13 +193,21 @@ def placements(expected: DataFrame, candidate: DataFrame) -> DataFrame:
         F.count_if(F.col("pos") < F.coalesce(F.col("_n"), F.lit(0))).alias("found"),
         F.count("pos").alias("expected"),
         F.min(F.when(F.col("pos") < F.col("_n"), F.col("pos"))).alias("first_found"),
+        F.max(F.when(F.col("pos") < F.col("_n"), F.col("pos"))).alias("last_found"),
     )
 
 
-def residue(paragraphs: DataFrame) -> DataFrame:
-    """The first paragraph of each document that still holds template syntax."""
-    left = paragraphs.filter(F.col("text").contains("{{") | F.col("text").contains("{%"))
-    return first_rows(left, ["task_id"], [F.col("pos")], ["pos", "text"])
+def residue(paragraphs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The first place of each document that still holds template syntax.
+
+    Its ``paragraphs`` (task_id, pos, text) come first, then its headers and footers ``parts``
+    (task_id, part, text) by name.
+    """
+    body = paragraphs.select("task_id", F.lit(0).alias("_rank"), F.lit("document").alias("part"), F.col("pos").cast("bigint").alias("pos"), "text")
+    rest = parts.select("task_id", F.lit(1).alias("_rank"), "part", F.lit(0).cast("bigint").alias("pos"), "text")
+    rows = body.unionByName(rest)
+    left = rows.filter(F.col("text").contains("{{") | F.col("text").contains("{%"))
+    return first_rows(left, ["task_id"], [F.col("_rank"), F.col("part"), F.col("pos")], ["part", "pos", "text"])
 
 
 def anchor_problems(placed: DataFrame, candidate: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -419,7 +427,8 @@ def gate_b(
     def first_five(problems: DataFrame, order: str) -> DataFrame:
         return tasks.join(listed_messages(problems, ["task_id"], order, "message", 5), "task_id", "left")
 
-    left = tasks.join(residue(candidate), "task_id", "left")
+    left = tasks.join(residue(candidate, candidate_parts), "task_id", "left")
+    place = F.concat(F.lit("paragraphs "), F.col("first_found").cast("string"), F.lit(" to "), F.col("last_found").cast("string"))
     listed = unsupported.withColumn("message", F.concat_ws("@", "code", "locator"))
     return union_all(
         [
@@ -428,10 +437,11 @@ def gate_b(
                 placed, GATE_B, F.concat(F.lit("slot_placement:"), F.col("slot_id")),
                 F.when(F.col("found") != F.col("expected"), F.col("found").cast("string")),
                 expected=F.concat(F.col("expected").cast("string"), F.lit(" paragraph(s)")), actual=F.col("found").cast("string"),
+                locator=F.coalesce(place, F.lit("no paragraph")),
             ),
             finding(
                 left, GATE_B, F.lit("placeholder_residue"),
-                F.when(F.col("text").isNotNull(), F.concat(F.lit("document:"), F.substr(F.col("text"), F.lit(1), F.lit(50)))),
+                F.when(F.col("text").isNotNull(), F.concat(F.col("part"), F.lit(":"), F.substr(F.col("text"), F.lit(1), F.lit(50)))),
             ),
             finding(first_five(listed, "code"), GATE_B, F.lit("unsupported_containers"), F.col("messages")),
             finding(first_five(lost, "slot_id"), GATE_B, F.lit("anchors"), F.col("messages")),
@@ -505,22 +515,37 @@ def finalize(tasks: DataFrame, irs: DataFrame, reports: DataFrame, deliveries: D
     )
 
 
+#: Form of a manifest (fixed value).
+MANIFEST_VERSION = 1
+
+
 def manifests(
-    delivered: DataFrame, irs: DataFrame, tasks: DataFrame, materials: DataFrame, reports: DataFrame, overrides: DataFrame
+    delivered: DataFrame, irs: DataFrame, tasks: DataFrame, materials: DataFrame, reports: DataFrame, overrides: DataFrame,
+    versions: DataFrame, operations: DataFrame,
 ) -> DataFrame:
     """One manifest per delivered task; its parts as columns and as JSON.
 
-    A manifest names every material of its task, however many there are.
+    A manifest names every material of its task (artifact_id, sha256, kind), every gate report
+    with the rules it was judged by, the template version with the hashes of its files
+    (template_version_id, template_id, version, hashes) and the operations that led to the
+    delivery (task_id, operation_id), however many there are.
     """
-    held = materials.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("artifact_id", "sha256"))).alias("materials"))
-    passed = reports.groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct("gate", "overall_status"))).alias("gates"))
-    waived = overrides.groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct("slot_id", "decision_id"))).alias("overrides"))
+
+    def named(rows: DataFrame, name: str, *fields: str) -> DataFrame:
+        return rows.groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct(*fields))).alias(name))
+
+    held = versions.select("template_version_id", F.struct("template_id", "version", "template_version_id", "hashes").alias("template"))
+    done = operations.groupBy("task_id").agg(F.array_sort(F.collect_set("operation_id")).alias("operation_ids"))
     whole = (
         delivered.filter(F.col("delivery_id").isNotNull()).select("task_id", "delivery_id")
         .join(irs.select("task_id", "render_ir_sha256", "candidate_sha256"), "task_id")
         .join(tasks.select("task_id", "epoch", "template_version_id"), "task_id")
-        .join(held, "task_id", "left")
-        .join(passed, "task_id", "left")
-        .join(waived, "task_id", "left")
+        .join(held, "template_version_id", "left")
+        .join(named(materials, "materials", "artifact_id", "sha256", "kind"), "task_id", "left")
+        .join(named(reports, "gates", "gate", "overall_status", "rule_version"), "task_id", "left")
+        .join(named(overrides, "overrides", "slot_id", "decision_id"), "task_id", "left")
+        .join(done, "task_id", "left")
+        .withColumn("schema_version", F.lit(MANIFEST_VERSION))
+        .withColumn("implementation", F.lit(IMPLEMENTATION))
     )
     return whole.withColumn("manifest", F.to_json(F.struct(*[F.col(c) for c in sorted(whole.columns)])))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provena import session
 from provena.functions import digest
 from provena.operators import findings as fd
-from provena.operators import gates
+from provena.operators import gates, ledger
 from provena.operators import materials as mat
 from provena.operators.ranking import first_rows
 from provena.plans import bindings as bp
@@ -254,7 +254,7 @@ def parts(want: DataFrame) -> tuple[DataFrame, DataFrame]:
     theirs = (
         part(tasks, "header1", F.when(number % 8 == 5, F.lit("Other")).otherwise(fixed))
         .unionByName(part(tasks.filter(number % 7 != 3), "footer1", F.lit("Page")))
-        .unionByName(part(tasks.filter(number % 9 == 4), "footer2", F.lit("New")))
+        .unionByName(part(tasks.filter(number % 9 == 4), "footer2", F.lit("New {{ page }}")))
     )
     return mine, theirs
 
@@ -267,7 +267,7 @@ def part_diff(spark, sf_dir):
 define(
     "placed",
     """
-SELECT e.task_no, e.task_id, e.slot_id, count(*) AS expected, count(*) FILTER (e.pos < n.n) AS found, min(e.pos) FILTER (e.pos < n.n) AS first_found
+SELECT e.task_no, e.task_id, e.slot_id, count(*) AS expected, count(*) FILTER (e.pos < n.n) AS found, min(e.pos) FILTER (e.pos < n.n) AS first_found, max(e.pos) FILTER (e.pos < n.n) AS last_found
 FROM expected e JOIN (SELECT task_id, count(*) AS n FROM candidate GROUP BY 1) n USING (task_id) WHERE e.slot_id IS NOT NULL GROUP BY ALL""",
     "expected", "candidate",
 )
@@ -281,20 +281,22 @@ def rendered(spark, sf_dir, ready: DataFrame | None = None):
     return ready, spans, want, candidate(want)
 
 
-@query("slot_placement", stating("placed", "SELECT task_id, slot_id, found, expected, first_found FROM placed"))
+@query("slot_placement", stating("placed", "SELECT task_id, slot_id, found, expected, first_found, last_found FROM placed"))
 def slot_placement(spark, sf_dir):
     _, _, want, have = rendered(spark, sf_dir)
     return gates.placements(want, have)
 
 
 _RESIDUE = """
-SELECT task_id, min(pos) AS pos, arg_min(text, pos) AS text FROM candidate WHERE contains(text, '{{') OR contains(text, '{%') GROUP BY task_id"""
+SELECT task_id, 'document' AS part, min(pos) AS pos, arg_min(text, pos) AS text FROM candidate WHERE contains(text, '{{') OR contains(text, '{%') GROUP BY task_id
+UNION ALL SELECT task_id, 'footer2', 0, 'New {{ page }}' FROM ir_tasks WHERE task_no % 9 = 4
+   AND NOT EXISTS (SELECT 1 FROM candidate c WHERE c.task_id = ir_tasks.task_id AND (contains(text, '{{') OR contains(text, '{%')))"""
 
 
-@query("placeholder_residue", stating("candidate", _RESIDUE))
+@query("placeholder_residue", stating("candidate ir_tasks", _RESIDUE))
 def placeholder_residue(spark, sf_dir):
-    _, _, _, have = rendered(spark, sf_dir)
-    return gates.residue(have)
+    ready, _, _, have = rendered(spark, sf_dir)
+    return gates.residue(have, parts(ready)[1])
 
 
 _ANCHORS = """
@@ -379,9 +381,9 @@ define(
     f"""
 SELECT task_id, 'content_sequence' AS check_id, (SELECT string_agg(message, '; ' ORDER BY n) FROM sequence_messages s WHERE s.task_id = t.task_id AND n <= 5) AS problem, 'document' AS locator, NULL AS expected, NULL AS shown FROM ir_tasks t
 UNION ALL
-SELECT task_id, 'slot_placement:' || slot_id, CASE WHEN found <> expected THEN found::VARCHAR END, NULL, expected::VARCHAR || ' paragraph(s)', found::VARCHAR FROM placed
+SELECT task_id, 'slot_placement:' || slot_id, CASE WHEN found <> expected THEN found::VARCHAR END, coalesce('paragraphs ' || first_found::VARCHAR || ' to ' || last_found::VARCHAR, 'no paragraph'), expected::VARCHAR || ' paragraph(s)', found::VARCHAR FROM placed
 UNION ALL
-SELECT t.task_id, 'placeholder_residue', 'document:' || substring(r.text, 1, 50), NULL, NULL, NULL FROM ir_tasks t LEFT JOIN ({_RESIDUE}) r USING (task_id)
+SELECT t.task_id, 'placeholder_residue', r.part || ':' || substring(r.text, 1, 50), NULL, NULL, NULL FROM ir_tasks t LEFT JOIN ({_RESIDUE}) r USING (task_id)
 UNION ALL
 SELECT task_id, 'unsupported_containers', CASE WHEN task_no % 10 = 9 THEN 'UNSUPPORTED_FIELD@word/document.xml:fldSimple; UNSUPPORTED_REVISION@word/document.xml:ins' END, NULL, NULL, NULL FROM ir_tasks
 UNION ALL
@@ -715,26 +717,42 @@ def finalize_deliveries(spark, sf_dir):
         "finals reports overrides materials",
         """
 SELECT f.delivery_id, f.task_id, t.epoch, t.template_version_id, i.candidate_sha256, (SELECT count(*) FROM materials m WHERE m.task_id = f.task_id) AS n_materials,
-       (SELECT sha256(string_agg(artifact_id || ':' || sha256(text), chr(10) ORDER BY artifact_id)) FROM materials m WHERE m.task_id = f.task_id) AS materials_digest,
-       (SELECT string_agg(gate || '=' || overall_status, ',' ORDER BY gate) FROM reports r WHERE r.task_id = f.task_id) AS gates,
-       (SELECT string_agg(slot_id || '=' || decision_id, ',' ORDER BY slot_id) FROM overrides o WHERE o.task_id = f.task_id) AS overrides, TRUE AS json_reads_back
+       (SELECT sha256(string_agg(artifact_id || ':' || sha256(text) || ':' || CASE WHEN doc_id % 7 = 3 THEN 'research' ELSE 'material' END, chr(10) ORDER BY artifact_id)) FROM materials m WHERE m.task_id = f.task_id) AS materials_digest,
+       (SELECT string_agg(gate || '=' || overall_status || '=rules/' || (g + 1)::VARCHAR, ',' ORDER BY gate) FROM reports r WHERE r.task_id = f.task_id) AS gates,
+       (SELECT string_agg(slot_id || '=' || decision_id, ',' ORDER BY slot_id) FROM overrides o WHERE o.task_id = f.task_id) AS overrides,
+       'tpl_' || substring(t.template_version_id, 6) AS template_id, sha256(t.template_version_id || 'contract.json') AS contract_sha256,
+       (SELECT string_agg(sha256(r.task_id || gate), ',' ORDER BY sha256(r.task_id || gate)) FROM reports r WHERE r.task_id = f.task_id) AS operation_ids, 1 AS schema_version, TRUE AS json_reads_back
 FROM finals f JOIN tasks t USING (task_id) JOIN irs i ON i.task_id = f.task_id WHERE f.delivery_id IS NOT NULL""",
     ),
 )
 def delivery_manifest(spark, sf_dir):
     tasks, irs, reports, done = deliveries_input(spark, sf_dir)
     final = gates.finalize(tasks, irs, reports, done)
-    materials = tb.hashed(tb.materials(spark, sf_dir))
-    manifests = gates.manifests(final, irs, tasks, materials, reports, bp.overrides(spark, sf_dir))
+    kind = F.when(F.col("doc_id") % 7 == 3, "research").otherwise("material")
+    materials = tb.hashed(tb.materials(spark, sf_dir).withColumn("kind", kind))
+    version = F.col("template_version_id")
+    hashes = F.struct(*[digest.sha(F.concat(version, F.lit(f))).alias(f.split(".")[0].replace("-", "_") + "_sha256") for f in ledger.TEMPLATE_FILES])
+    versions = tasks.select("template_version_id").distinct().select(
+        "template_version_id", F.concat(F.lit("tpl_"), F.substring(version, 6, 32)).alias("template_id"), F.lit(1).alias("version"), hashes.alias("hashes")
+    )
+    rules = F.array_position(F.array(*[F.lit(g) for g in gates.REQUIRED_GATES]), F.col("gate"))
+    judged = reports.withColumn("rule_version", F.concat(F.lit("rules/"), rules.cast("string")))
+    operations = reports.select("task_id", digest.sha(F.concat("task_id", "gate")).alias("operation_id"))
+    manifests = gates.manifests(final, irs, tasks, materials, judged, bp.overrides(spark, sf_dir), versions, operations)
+
+    def joined(column, sep, *fields):
+        return F.transform(column, lambda x: F.concat_ws(sep, *[x[f] for f in fields]))
 
-    def pairs(column, left, right, sep):
-        return F.transform(column, lambda x: F.concat_ws(sep, x[left], x[right]))
+    def said(path):
+        return F.get_json_object("manifest", path)
 
     return manifests.select(
         "delivery_id", "task_id", "epoch", "template_version_id", "candidate_sha256",
         F.size("materials").cast("bigint").alias("n_materials"),
-        digest.set_digest(pairs(F.col("materials"), "artifact_id", "sha256", ":")).alias("materials_digest"),
-        F.array_join(pairs(F.col("gates"), "gate", "overall_status", "="), ",").alias("gates"),
-        F.array_join(pairs(F.col("overrides"), "slot_id", "decision_id", "="), ",").alias("overrides"),
-        (F.get_json_object("manifest", "$.delivery_id") == F.col("delivery_id")).alias("json_reads_back"),
+        digest.set_digest(joined(F.col("materials"), ":", "artifact_id", "sha256", "kind")).alias("materials_digest"),
+        F.array_join(joined(F.col("gates"), "=", "gate", "overall_status", "rule_version"), ",").alias("gates"),
+        F.array_join(joined(F.col("overrides"), "=", "slot_id", "decision_id"), ",").alias("overrides"),
+        said("$.template.template_id").alias("template_id"), said("$.template.hashes.contract_sha256").alias("contract_sha256"),
+        F.array_join("operation_ids", ",").alias("operation_ids"), "schema_version",
+        (said("$.delivery_id") == F.col("delivery_id")).alias("json_reads_back"),
     )

@@ -363,3 +363,10 @@ def test_what_is_not_known_does_not_pass(spark):
     ir = spark.createDataFrame([("t", "s", k, *s) for k, s in enumerate(spans_)], "task_id string, slot_id string, span_no int, artifact_id string, canonical_sha256 string, span_start long, span_end long, span_sha256 string")
     assert {r["span_no"] for r in gates.scope_problems(ir, artifacts).collect()} == {1, 4, 6}
     assert {r["span_no"] for r in gates.span_problems(ir, artifacts).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_residue_is_looked_for_in_every_part(spark):
+    paragraphs = spark.createDataFrame([("a", 0, "ok"), ("a", 3, "{{ x }}"), ("b", 0, "ok"), ("c", 0, None)], "task_id string, pos int, text string")
+    parts = spark.createDataFrame([("a", "footer1", "{% if %}"), ("b", "header2", "{{ p }}"), ("b", "footer9", "{{ q }}"), ("c", "header1", None)], "task_id string, part string, text string")
+    got = {r.task_id: (r.part, r.pos, r.text) for r in gates.residue(paragraphs, parts).collect()}
+    assert got == {"a": ("document", 3, "{{ x }}"), "b": ("footer9", 0, "{{ q }}")}
