@@ -339,3 +339,92 @@ def ensure_registered(incoming: DataFrame, versions: DataFrame, digests: tuple[s
 def contract_digest(fields: list[str]) -> Column:
     """Digest of a row's canonical JSON: keys sorted, no spaces, whatever order they came in."""
     return sha(F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]), {"ignoreNullFields": "false"}))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON of any shape in one form: keys in order at every depth, no spaces, numbers in Spark's own form.
+
+    NULL for text that is no JSON or names a key twice.
+    """
+    return F.to_json(F.try_parse_json(text))
+
+
+def _as_json(value: Column) -> Column:
+    return canonical_json(F.to_json(value, {"ignoreNullFields": "false"}))
+
+
+def contract_refusals(sections: DataFrame, slots: DataFrame) -> DataFrame:
+    """What keeps slots and sections from making a contract at all (template_id, problem)."""
+
+    def told(rows: DataFrame, what: str, name: str) -> DataFrame:
+        names = F.array_join(F.array_sort(F.collect_set(name)), ", ")
+        return rows.groupBy("template_id").agg(F.concat(F.lit(what), names).alias("problem"))
+
+    def repeated(column: Column) -> DataFrame:
+        return slots.groupBy("template_id", column.alias("_name")).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+
+    key = ["template_id", "slot_id"]
+    named = sections.select("template_id", F.explode("slot_ids").alias("slot_id")).distinct()
+    return union_all(
+        [
+            told(repeated(F.col("slot_id")), "slot declared twice: ", "_name"),
+            told(repeated(F.trim("placeholder")), "placeholder of two slots: ", "_name"),
+            told(named.join(slots.select(*key), key, "left_anti"), "section names an unknown slot: ", "slot_id"),
+            told(slots.select(*key).distinct().join(named, key, "left_anti"), "slot in no section: ", "slot_id"),
+        ]
+    )
+
+
+def contracts(
+    headers: DataFrame, sections: DataFrame, slots: DataFrame, anchors: DataFrame, regions: DataFrame, findings: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(contracts, refusals): one contract per template version, and templates that can have none.
+
+    ``headers`` is (template_id, version, extractor_version, docx_sha256, styles, static_map) with
+    the last two as JSON text; ``slots`` and ``sections`` as `sidecar_tables` gives them,
+    ``anchors`` (template_id, slot_id, idx, bookmark_id, in_table, cell_locator,
+    structure_signature), ``regions`` (template_id, region_id, locator, text_sha256,
+    token_count), ``findings`` (template_id, code, locator, detail). A contract's digest is that
+    of its canonical JSON without the digest itself. One with findings must not be activated.
+    Texts that are no JSON have no digest.
+    """
+    refusals = contract_refusals(sections, slots)
+    empty = union_all(
+        [
+            headers.join(rows.select("template_id").distinct(), "template_id", "left_anti").select("template_id", F.lit(f"no {name}").alias("problem"))
+            for rows, name in ((slots, "slots"), (sections, "sections"))
+        ]
+    )
+    refusals = refusals.unionByName(empty)
+
+    def gathered(rows: DataFrame, name: str, order: list[str], fields: list[str]) -> DataFrame:
+        entry = F.struct(F.struct(*order).alias("_order"), F.struct(*fields).alias("_entry"))
+        listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_entry"])
+        return rows.groupBy("template_id").agg(listed.alias(name))
+
+    placed = slot_order(anchors).withColumn("part", F.lit("document"))
+    anchor = F.struct("part", "bookmark_id", "slot_order", "in_table", "cell_locator", "structure_signature").alias("anchor")
+    anchored = slots.join(placed.select("template_id", "slot_id", anchor), ["template_id", "slot_id"], "left")
+    slot_fields = ["slot_id", "placeholder", "kind", "required", "allow_user_omit", "semantic_requirement", "style_key", "anchor"]
+    held = regions.withColumn("part", F.lit("document"))
+    whole = (
+        headers.join(refusals.select("template_id").distinct(), "template_id", "left_anti")
+        .join(gathered(sections, "sections", ["section_pos"], ["section_id", "title", "slot_ids"]), "template_id")
+        .join(gathered(anchored, "slots", ["slot_pos"], slot_fields), "template_id")
+        .join(gathered(held, "static_regions", ["region_id"], ["region_id", "part", "locator", "text_sha256", "token_count"]), "template_id", "left")
+        .join(gathered(findings, "unsupported_findings", ["code", "locator", "detail"], ["code", "locator", "detail"]), "template_id", "left")
+    )
+    for name in ("static_regions", "unsupported_findings"):
+        whole = whole.withColumn(name, F.coalesce(name, F.array().cast(whole.schema[name].dataType)))
+    hashes = F.struct("docx_sha256", sha(canonical_json(F.col("styles"))).alias("styles_sha256"), sha(canonical_json(F.col("static_map"))).alias("static_map_sha256"))
+    body = F.struct(
+        F.lit(1).alias("schema_version"), "template_id", "version", "extractor_version", hashes.alias("hashes"),
+        "sections", "slots", "static_regions", "unsupported_findings",
+    )
+    rows = whole.withColumn("contract", _as_json(body)).select(
+        "template_id", "version", "contract", sha(F.col("contract")).alias("contract_sha256"),
+        F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda s: s["anchor"].isNotNull())).alias("n_anchored"),
+        F.size("static_regions").alias("n_regions"), F.size("unsupported_findings").alias("n_findings"),
+        (F.size("unsupported_findings") == 0).alias("activatable"),
+    )
+    return rows, refusals

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions import checks, digest
+from provena.functions.digest import sha
 from provena.operators import templates
 from provena.operators.findings import union_all
 from provena.plans import ledgers
@@ -149,17 +150,14 @@ def _styles(spark, sf_dir) -> DataFrame:
     )
 
 
-@query(
-    "template_contract",
-    stating(
-        "tpl tpl_slots tpl_full",
-        f"""
+_FINDINGS = f"""
 {_STRAY} UNION ALL {_DECLARED}
 UNION ALL SELECT doc_id::VARCHAR, 'PLACEHOLDER_IN_HEADER_FOOTER', 'header1', 'dynamic placeholders are only allowed in the document part' FROM documents WHERE doc_id % 16 = 9
 UNION ALL SELECT doc_id::VARCHAR, 'STYLES_SPEC_INVALID', 'styles_spec.body', CASE WHEN doc_id % 14 = 6 THEN 'font_size below 1' ELSE 'alignment unknown' END FROM documents WHERE doc_id % 14 = 6 OR doc_id % 15 = 7
-UNION ALL SELECT doc_id::VARCHAR, 'STYLE_KEY_UNKNOWN', 'slot:risks', 'wild' FROM documents WHERE doc_id % 12 = 5""",
-    ),
-)
+UNION ALL SELECT doc_id::VARCHAR, 'STYLE_KEY_UNKNOWN', 'slot:risks', 'wild' FROM documents WHERE doc_id % 12 = 5"""
+
+
+@query("template_contract", stating("tpl tpl_slots tpl_full", _FINDINGS))
 def template_contract(spark, sf_dir):
     slots = template_slots(spark, sf_dir)
     doc = F.col("doc_id")
@@ -174,6 +172,66 @@ def template_contract(spark, sf_dir):
     )
 
 
+define(
+    "contract_anchors",
+    """
+SELECT doc_id, slot_id, i, sha256(text) AS signature, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS slot_order FROM tpl JOIN tpl_slots USING (doc_id)
+WHERE contains(text, p) AND i = CASE slot_id WHEN 'sales_summary' THEN 1 WHEN 'risks' THEN 2 ELSE 3 END AND doc_id % 5 <> 3 AND doc_id % 9 <> 4""",
+    "tpl", "tpl_slots",
+)
+_CONTRACTS = f"""
+SELECT template_id, version, sha256(contract) AS contract_sha256, n_slots, n_anchored, n_regions, n_findings, n_findings = 0 AS activatable, NULL AS problem FROM (
+  SELECT d.doc_id::VARCHAR AS template_id, 1 AS version, 3 AS n_slots, s.n_anchored, coalesce(r.n, 0) AS n_regions, coalesce(f.n, 0) AS n_findings,
+    '{{"extractor_version":"provena/1","hashes":{{"docx_sha256":"' || sha256(d.text) || '","static_map_sha256":"' || sha256('{{"regions":["' || d.doc_id::VARCHAR || '"]}}') ||
+    '","styles_sha256":"' || sha256('{{"body":{{"font_size":' || (d.doc_id % 7)::VARCHAR || ',"name":null}}}}') || '"}},"schema_version":1,"sections":[{{"section_id":"root","slot_ids":["sales_summary","risks","next_plan"],"title":null}}],"slots":[' ||
+    s.slots || '],"static_regions":[' || coalesce(r.regions, '') || '],"template_id":"' || d.doc_id::VARCHAR || '","unsupported_findings":[' || coalesce(f.found, '') || '],"version":1}}' AS contract
+  FROM documents d
+  JOIN (SELECT t.doc_id, count(a.slot_id) AS n_anchored, string_agg('{{"allow_user_omit":false,"anchor":' || coalesce('{{"bookmark_id":"' || a.i::VARCHAR || '","cell_locator":null,"in_table":false,"part":"document","slot_order":' ||
+            a.slot_order::VARCHAR || ',"structure_signature":"' || a.signature || '"}}', 'null') || ',"kind":"text_block","placeholder":"' || t.p || '","required":true,"semantic_requirement":"about ' || t.slot_id ||
+            '","slot_id":"' || t.slot_id || '","style_key":"' || CASE WHEN t.slot_id = 'risks' AND t.doc_id % 12 = 5 THEN 'wild' ELSE 'body' END || '"}}', ',' ORDER BY CASE t.slot_id WHEN 'sales_summary' THEN 0 WHEN 'risks' THEN 1 ELSE 2 END) AS slots
+        FROM tpl_slots t LEFT JOIN contract_anchors a ON a.doc_id = t.doc_id AND a.slot_id = t.slot_id GROUP BY t.doc_id) s USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg('{{"locator":"document:para[' || i::VARCHAR || ']","part":"document","region_id":"r' || i::VARCHAR || '","text_sha256":"' || sha256(text) || '","token_count":1}}', ',' ORDER BY 'r' || i::VARCHAR) AS regions
+        FROM tpl WHERE i IN (0, 6) GROUP BY doc_id) r USING (doc_id)
+  LEFT JOIN (SELECT template_id, count(*) AS n, string_agg('{{"code":"' || code || '","detail":' || to_json(detail)::VARCHAR || ',"locator":"' || locator || '"}}', ',' ORDER BY code, locator, detail) AS found
+        FROM ({_FINDINGS}) GROUP BY template_id) f ON f.template_id = d.doc_id::VARCHAR
+  WHERE d.doc_id % 17 <> 3)
+UNION ALL SELECT doc_id::VARCHAR, 1, NULL, NULL, NULL, NULL, NULL, NULL, 'slot in no section: next_plan' FROM documents WHERE doc_id % 17 = 3"""
+
+
+@query("contract_rows", stating("tpl tpl_slots tpl_full contract_anchors", _CONTRACTS))
+def contract_rows(spark, sf_dir):
+    """Each document's template contract with its digest; some sidecars leave a slot out of all sections."""
+    doc, no_text = F.col("doc_id"), F.lit(None).cast("string")
+    docs = tb.read(spark, sf_dir, "documents").withColumn("template_id", doc.cast("string"))
+    styles = F.to_json(F.struct(F.struct(no_text.alias("name"), (doc % 7).alias("font_size")).alias("body")), {"ignoreNullFields": "false"})
+    headers = docs.select(
+        "template_id", F.lit(1).alias("version"), F.lit("provena/1").alias("extractor_version"), sha(F.col("text")).alias("docx_sha256"),
+        styles.alias("styles"), F.concat(F.lit('{ "regions" : ["'), "template_id", F.lit('"]}')).alias("static_map"),
+    )
+    all_slots = F.array(*[F.lit(n) for n in ("sales_summary", "risks", "next_plan")])
+    listed = F.when(doc % 17 == 3, F.slice(all_slots, 1, 2)).otherwise(all_slots)
+    sections = docs.select("template_id", F.lit(0).alias("section_pos"), F.lit("root").alias("section_id"), no_text.alias("title"), listed.alias("slot_ids"))
+    slots = template_slots(spark, sf_dir).select(
+        "template_id", "slot_id", "placeholder", "style_key", F.array_position(all_slots, F.col("slot_id")).alias("slot_pos"),
+        F.lit("text_block").alias("kind"), F.lit(True).alias("required"), F.lit(False).alias("allow_user_omit"),
+        F.concat(F.lit("about "), F.col("slot_id")).alias("semantic_requirement"),
+    )
+    rows = paragraph_rows(spark, sf_dir)
+    marks = rows.select("template_id", "idx", "text", F.explode("bookmarks").alias("_b")).filter("_b.closed")
+    anchors = marks.filter(F.contains("text", F.concat(F.lit("{{ "), F.col("_b.name"), F.lit(" }}")))).select(
+        "template_id", F.col("_b.name").alias("slot_id"), "idx", F.col("_b.id").alias("bookmark_id"), F.lit(False).alias("in_table"),
+        no_text.alias("cell_locator"), sha(F.col("text")).alias("structure_signature"),
+    )
+    name = F.col("idx").cast("string")
+    regions = rows.filter(F.col("idx").isin(0, 6)).select(
+        "template_id", F.concat(F.lit("r"), name).alias("region_id"), F.concat(F.lit("document:para["), name, F.lit("]")).alias("locator"),
+        sha(F.col("text")).alias("text_sha256"), F.lit(1).alias("token_count"),
+    )
+    made, refused = templates.contracts(headers, sections, slots, anchors, regions, template_contract(spark, sf_dir))
+    blank = refused.select("template_id", F.lit(1).alias("version"), "problem")
+    return made.drop("contract").withColumn("problem", no_text).unionByName(blank, allowMissingColumns=True)
+
+
 @query(
     "slot_order",
     stating(

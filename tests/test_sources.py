@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
+import json
 import random
 from html.parser import HTMLParser
 
@@ -240,3 +242,43 @@ def test_offsets_and_regions_of_a_long_document(spark, monkeypatch):
     got = [tuple(r) for r in members.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {(r.doc, r.region_id) for r in problems.collect()} == bad
+
+
+def test_canonical_json_of_any_shape(spark):
+    texts = ['{"b": [ {"z":1, "a":null} ], "a" : {"d":"x\\ny", "c":[true,2]}}', '{"a":{"c":[true,2],"d":"x\\ny"},"b":[{"a":null,"z":1}]}', '"é"', "[ ]", "no json", '{"a":1,"a":2}', "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.c for r in rows.select("i", templates.canonical_json(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert got == [texts[1], texts[1], '"é"', "[]", None, None, None, None]
+
+
+def test_contracts_are_digested_without_their_digest(spark):
+    def frame(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    def slot(template, pos, name, placeholder=None):
+        return (template, pos, name, placeholder or "{{ %s }}" % name, "text_block", True, False, "says", "body")
+
+    names = ["ok", "twice", "same", "stray", "orphan", "bare"]
+    headers = frame([(t, 2, "x/1", "d" * 64, '{"b":1,"a":2}', "{}") for t in names], "template_id string, version int, extractor_version string, docx_sha256 string, styles string, static_map string")
+    rows = [slot("ok", 1, "b"), slot("ok", 0, "a"), slot("twice", 0, "a"), slot("twice", 1, "a", "{{ z }}"), slot("same", 0, "a"), slot("same", 1, "b", " {{ a }} ")]
+    rows += [slot("stray", 0, "a"), slot("orphan", 0, "a"), slot("orphan", 1, "b")]
+    slots = frame(rows, "template_id string, slot_pos int, slot_id string, placeholder string, kind string, required boolean, allow_user_omit boolean, semantic_requirement string, style_key string")
+    listed = [("ok", ["b", "a"]), ("twice", ["a"]), ("same", ["a", "b"]), ("stray", ["a", "q"]), ("orphan", ["a"])]
+    sections = frame([(t, 0, "s", None, ids) for t, ids in listed], "template_id string, section_pos int, section_id string, title string, slot_ids array<string>")
+    anchors = frame([("ok", "b", 7, "17", True, "tbl[0]/tr[1]/tc[2]", "e" * 64)], "template_id string, slot_id string, idx int, bookmark_id string, in_table boolean, cell_locator string, structure_signature string")
+    regions = frame([("ok", "r", "document:para[0]", "f" * 64, 3)], "template_id string, region_id string, locator string, text_sha256 string, token_count int")
+    nothing = frame([], "template_id string, code string, locator string, detail string")
+    made, refused = templates.contracts(headers, sections, slots, anchors, regions, nothing)
+    (row,) = made.collect()
+    plain = json.loads(row.contract)
+    assert row.contract == json.dumps(plain, sort_keys=True, separators=(",", ":")) and hashlib.sha256(row.contract.encode()).hexdigest() == row.contract_sha256
+    assert [s["slot_id"] for s in plain["slots"]] == ["a", "b"] and plain["slots"][0]["anchor"] is None and plain["slots"][1]["anchor"]["bookmark_id"] == "17"
+    assert plain["hashes"]["styles_sha256"] == hashlib.sha256(b'{"a":2,"b":1}').hexdigest() and "contract_sha256" not in plain["hashes"]
+    assert (row.n_slots, row.n_anchored, row.n_regions, row.n_findings, row.activatable, plain["unsupported_findings"]) == (2, 1, 1, 0, True, [])
+    assert {(r.template_id, r.problem) for r in refused.collect()} == {
+        ("twice", "slot declared twice: a"), ("same", "placeholder of two slots: {{ a }}"), ("stray", "section names an unknown slot: q"),
+        ("orphan", "slot in no section: b"), ("bare", "no slots"), ("bare", "no sections"),
+    }
+    found = frame([("ok", "C", "l", 'say "x"'), ("ok", "A", "l", None)], nothing.schema)
+    other = templates.contracts(headers, sections, slots, anchors, regions.limit(0), found)[0].first()
+    assert not other.activatable and [f["code"] for f in json.loads(other.contract)["unsupported_findings"]] == ["A", "C"] and json.loads(other.contract)["static_regions"] == []
