@@ -295,11 +295,15 @@ MUTATIONS = ("font", "font_size", "alignment", "numbering", "indent", "style_dri
 
 
 def corpus(spark, sf_dir) -> DataFrame:
-    """Every document's opening as a clean paragraph and once per injected defect, classified."""
+    """Every document as it is and once per defect injected into its opening, classified.
+
+    Template syntax is looked for in the whole text, where it is scanned; what goes on is the opening.
+    """
     kinds = F.array(*[F.lit(m) for m in ("clean", *MUTATIONS)])
-    kind = F.col("label")
+    kind, whole = F.col("label"), F.col("text")
     cases = tb.materials(spark, sf_dir).select(
-        "task_id", "doc_id", F.substring_index("text", "\n", 1).alias("line"), F.explode(kinds).alias("label")
+        "task_id", "doc_id", F.substring_index(whole, "\n", 1).alias("line"),
+        (whole.contains("{{") | whole.contains("{%")).alias("residue"), F.explode(kinds).alias("label"),
     )
 
     def injected(mutation, value):
@@ -307,7 +311,7 @@ def corpus(spark, sf_dir) -> DataFrame:
 
     mutated = _nulls(
         cases.select(
-            "task_id", "doc_id", "label",
+            "task_id", "doc_id", "label", "residue",
             F.when(kind == "placeholder_residue", "{{ injected }}").otherwise(F.col("line")).alias("text"),
             F.when(kind == "style_drift", "Heading2").otherwise("Clean").alias("style_id"),
             injected("font", "InjectedFont").alias("font_latin"), injected("font", "InjectedFont").alias("font_east_asia"),
@@ -327,7 +331,7 @@ def corpus(spark, sf_dir) -> DataFrame:
         {"has_section": F.lit(True), "has_margins": F.lit(True), "bottom": F.lit(1440)}
     ).drop("detail")
     both = styling.check_margins(pages, specs)
-    left = F.col("text").contains("{{") | F.col("text").contains("{%")
+    left = F.col("residue") | F.col("text").contains("{{") | F.col("text").contains("{%")
     verdicts = F.array(F.col("_style"), F.col("status"), F.when(left, "fail").otherwise("pass"))
     predicted = F.when(F.array_contains(verdicts, "fail"), "fail").when(F.array_contains(verdicts, "unknown"), "unknown").otherwise("pass")
     return both.select("doc_id", "label", (kind != "clean").alias("expect_fail"), predicted.alias("predicted"))
@@ -335,7 +339,7 @@ def corpus(spark, sf_dir) -> DataFrame:
 
 _CORPUS = """
 SELECT doc_id, label, label <> 'clean' AS expect_fail, CASE WHEN label <> 'clean' OR residue THEN 'fail' ELSE 'pass' END AS predicted
-FROM (SELECT doc_id, contains(string_split(text, chr(10))[1], '{{') OR contains(string_split(text, chr(10))[1], '{%') AS residue,
+FROM (SELECT doc_id, contains(text, '{{') OR contains(text, '{%') AS residue,
       unnest(['clean', 'font', 'font_size', 'alignment', 'numbering', 'indent', 'style_drift', 'placeholder_residue', 'margins']) AS label FROM documents)"""
 _METRICS = """
 SELECT class, n, detected, tp, fp, fn, tn, unknown_clean, unknown_bad, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0 END AS "precision",
