@@ -350,7 +350,8 @@ def source_cap(spark, sf_dir):
 
 @query(
     "existing_sources",
-    "SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'reuse' ELSE 'new' END AS outcome FROM pages",
+    """
+SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM pages held WHERE held.page_id % 4 = 1 AND held.url = p.url) THEN 'reuse' ELSE 'new' END AS outcome FROM pages p""",
 )
 def existing_sources(spark, sf_dir):
     pages = tb.read(spark, sf_dir, "pages").select("page_id", F.lit("task").alias("task_id"), "url")
