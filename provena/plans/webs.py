@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ from provena.plans.registry import query
 from provena.plans.shared_sql import define, stating
 from provena.sources import tables as tb
 
+
+def _quoted(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _point(character: str) -> str:
+    return f"chr({ord(character)})"
+
+
 define(
     "damaged_urls",
     """
@@ -22,14 +34,11 @@ SELECT page_id, CASE page_id % 9 WHEN 1 THEN 'ftp' || substring(url, 5) WHEN 2 T
 )
 _SCHEME = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1))"
 _AUTHORITY = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
-define(
-    "parsed_urls",
-    f"""
+_PARSED = f"""
 SELECT *, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme not http/https: ' || scheme WHEN host = '' THEN 'no host component' WHEN contains(authority, '@') THEN 'embedded credentials' END AS problem
 FROM (SELECT *, lower(CASE WHEN place LIKE '[%' THEN regexp_extract(place, '^\\[([^\\]]*)\\]', 1) ELSE regexp_extract(place, '^([^:]*)', 1) END) AS host
-      FROM (SELECT *, {_SCHEME} AS scheme, {_AUTHORITY} AS authority, regexp_replace({_AUTHORITY}, '^.*@', '') AS place FROM damaged_urls))""",
-    "damaged_urls",
-)
+      FROM (SELECT *, {_SCHEME} AS scheme, {_AUTHORITY} AS authority, regexp_replace({_AUTHORITY}, '^.*@', '') AS place FROM {{table}}))"""
+define("parsed_urls", _PARSED.replace("{table}", "damaged_urls"), "damaged_urls")
 
 
 def damaged_urls(spark, sf_dir) -> DataFrame:
@@ -119,10 +128,48 @@ def charset_of(spark, sf_dir):
     return responses(spark, sf_dir).select("page_id", wf.charset(F.col("content_type")).alias("charset"))
 
 
-_STRIPPED = """replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({html},
-  '<script\\b[^>]*>.*?</script\\s*>', '', 'gis'), '<style\\b[^>]*>.*?</style\\s*>', '', 'gis'), '<!--.*?-->', '', 'gs'), '<[!?][^>]*>', '', 'gs'), '</?[A-Za-z][^>]*>', '', 'g'),
-  '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
-define("page_texts", f"SELECT page_id, url, {_STRIPPED.format(html='html')} AS text FROM pages")
+# Markup off: script and style elements, comments, declarations, tags whose quoted attributes may hold
+# ">", tags with an unpaired quote. Letters, white space and word ends are spelled as the query takes them.
+_NOT_WORD, _BLANK = r"[^\p{L}\p{Nd}\p{Mn}_>]", r"[ \t\n\x0B\f\r]"
+_ELEMENTS = "|".join(
+    f"<{tag}(?:{_NOT_WORD}[^>]*)?>.*?</{tag}{_BLANK}*>" for tag in ("[sS][cC][rR][iI][pP][tT]", "[sS][tT][yY][lL][eE]")
+)
+_STRIPPED = "html"
+for _pattern in (
+    _ELEMENTS, "<!--.*?-->", "<[!?][^>]*>", """</?[A-Za-z](?:[^"'>]|"[^"]*"|'[^']*')*>""", "</?[A-Za-z][^>]*>",
+):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, {_quoted(_pattern)}, '', 'gs')"
+
+# Character references as HTML 5 reads them: every name, names that need no semicolon as the longest
+# beginning of what stands there, numbers with the replacements of the standard.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_REPLACED = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+define("named", "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(n)}, {_quoted(c)})" for n, c in html5.items()) + ") v(name, value)")
+define("replaced", "SELECT * FROM (VALUES " + ", ".join(f"({n}, {_point(c)})" for n, c in _REPLACED.items()) + ") v(code, value)")
+define("stripped", f"SELECT page_id, url, {_STRIPPED} AS bare FROM pages")
+define(
+    "decoded",
+    f"""
+SELECT ref, CASE WHEN ref NOT LIKE '&#%' THEN coalesce(value || substring(ref, size + 2), ref) WHEN code IS NULL OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN chr(65533)
+   WHEN point IS NOT NULL THEN point
+   WHEN code BETWEEN 1 AND 8 OR code = 11 OR code BETWEEN 14 AND 31 OR code = 127 OR code BETWEEN 64976 AND 65007 OR code % 65536 >= 65534 THEN '' ELSE chr(code::INT) END AS value
+FROM (SELECT r.ref, r.code, n.value, n.size, p.value AS point
+      FROM (SELECT ref, CASE WHEN ref LIKE '&#x%' OR ref LIKE '&#X%' THEN TRY_CAST('0x' || coalesce(nullif(ltrim(rtrim(substring(ref, 4), ';'), '0'), ''), '0') AS BIGINT)
+                    WHEN ref LIKE '&#%' THEN TRY_CAST(rtrim(substring(ref, 3), ';') AS HUGEINT) END AS code
+            FROM (SELECT DISTINCT unnest(regexp_extract_all(bare, {_quoted(_REFERENCE)})) AS ref FROM stripped)) r
+      LEFT JOIN (SELECT name, value, length(name) AS size FROM named) n ON starts_with(substring(r.ref, 2), n.name)
+      LEFT JOIN replaced p ON p.code = r.code
+      QUALIFY row_number() OVER (PARTITION BY r.ref ORDER BY n.size DESC NULLS LAST) = 1)""",
+    "stripped", "named", "replaced",
+)
+define(
+    "page_texts",
+    f"""
+SELECT page_id, url, pieces[1] || array_to_string(list_transform(refs, lambda r, i: values[r] || pieces[i + 1]), '') AS text
+FROM (SELECT page_id, url, string_split_regex(bare, {_quoted(_REFERENCE)}) AS pieces, regexp_extract_all(bare, {_quoted(_REFERENCE)}) AS refs FROM stripped),
+     (SELECT coalesce(map(list(ref), list(value)), map([]::VARCHAR[], []::VARCHAR[])) AS values FROM decoded)""",
+    "stripped", "decoded",
+)
 
 
 @query("html_to_text", stating("page_texts", "SELECT page_id, sha256(text) AS sha256, length(text) AS code_points FROM page_texts"))
@@ -291,11 +338,12 @@ define(
     "fetched",
     f"""
 SELECT 'task_' || lpad((page_id // 20)::VARCHAR, 32, '0') AS task_id, page_id * 2 + r AS arrival, CASE WHEN page_id % 20 = 15 THEN 'program://digest-' || page_id::VARCHAR ELSE url END AS url,
-   CASE WHEN page_id % 13 = 7 AND r = 0 THEN '   ' ELSE {_STRIPPED.format(html='html')} END AS text FROM pages, (VALUES (0), (1)) v(r) WHERE r = 0 OR page_id % 4 = 0 OR page_id % 26 = 7""",
+   CASE WHEN page_id % 13 = 7 AND r = 0 THEN '   ' ELSE text END AS text FROM page_texts, (VALUES (0), (1)) v(r) WHERE r = 0 OR page_id % 4 = 0 OR page_id % 26 = 7""",
+    "page_texts",
 )
 define(
     "firsts",
-    """
+    f"""
 SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY first, url) AS rank FROM (SELECT task_id, url, min(arrival) AS first FROM fetched WHERE regexp_matches(text, '\\S') GROUP BY ALL)""",
     "fetched",
 )
