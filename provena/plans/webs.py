@@ -86,6 +86,7 @@ SELECT page_id, url, html, CASE page_id % 11 WHEN 3 THEN 404 WHEN 4 THEN 301 ELS
    CASE page_id % 8 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'Text/HTML; Charset=''UTF-8''' WHEN 2 THEN 'text/html; charset=bogus' WHEN 3 THEN 'image/png' WHEN 4 THEN '' WHEN 5 THEN 'application/json'
         WHEN 6 THEN 'application/xhtml+xml; q=1; charset="utf-8"' ELSE 'application/pdf' END AS content_type FROM pages""",
 )
+define("response_urls", f"SELECT page_id, problem FROM ({_PARSED.replace('{table}', 'pages')})")
 
 
 def responses(spark, sf_dir) -> DataFrame:
@@ -181,11 +182,11 @@ def html_to_text(spark, sf_dir):
 @query(
     "page_text",
     stating(
-        "responses page_texts",
+        "responses response_urls page_texts",
         """
 SELECT page_id, problem, CASE WHEN problem IS NULL THEN sha256(text) END AS sha256, CASE WHEN problem IS NULL THEN length(text) END AS code_points
-FROM (SELECT page_id, text, CASE WHEN status <> 200 THEN 'HTTP ' || status::VARCHAR WHEN page_id % 8 = 3 THEN 'unsupported content type image/png' WHEN page_id % 8 = 7 THEN 'unsupported content type application/pdf' END AS problem
-      FROM responses JOIN page_texts USING (page_id))""",
+FROM (SELECT page_id, text, CASE WHEN u.problem IS NOT NULL THEN u.problem WHEN status NOT BETWEEN 200 AND 299 THEN 'HTTP ' || status::VARCHAR WHEN page_id % 8 = 3 THEN 'unsupported content type image/png' WHEN page_id % 8 = 7 THEN 'unsupported content type application/pdf' END AS problem
+      FROM responses JOIN page_texts USING (page_id) JOIN response_urls u USING (page_id))""",
     ),
 )
 def page_text(spark, sf_dir):
