@@ -335,17 +335,20 @@ def json_results(spark, sf_dir):
     return found.withColumn("result_no", F.col("result_no").cast("bigint"))
 
 
+# Blank is white space of any script.
+_SOLID = r"regexp_matches(text, '[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')"
+_CANONICAL = r"regexp_replace(nfc_normalize({text}), '\r\n?', chr(10), 'g')"
 define(
     "fetched",
     f"""
 SELECT 'task_' || lpad((page_id // 20)::VARCHAR, 32, '0') AS task_id, page_id * 2 + r AS arrival, CASE WHEN page_id % 20 = 15 THEN 'program://digest-' || page_id::VARCHAR ELSE url END AS url,
-   CASE WHEN page_id % 13 = 7 AND r = 0 THEN '   ' ELSE text END AS text FROM page_texts, (VALUES (0), (1)) v(r) WHERE r = 0 OR page_id % 4 = 0 OR page_id % 26 = 7""",
+   CASE WHEN page_id % 13 = 7 AND r = 0 THEN '   ' ELSE {_CANONICAL.format(text='text')} END AS text FROM page_texts, (VALUES (0), (1)) v(r) WHERE r = 0 OR page_id % 4 = 0 OR page_id % 26 = 7""",
     "page_texts",
 )
 define(
     "firsts",
     f"""
-SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY first, url) AS rank FROM (SELECT task_id, url, min(arrival) AS first FROM fetched WHERE regexp_matches(text, '\\S') GROUP BY ALL)""",
+SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY first, url) AS rank FROM (SELECT task_id, url, min(arrival) AS first FROM fetched WHERE {_SOLID} GROUP BY ALL)""",
     "fetched",
 )
 
@@ -369,12 +372,12 @@ def fetched(spark, sf_dir) -> DataFrame:
     stating(
         "firsts",
         f"""
-SELECT task_id, arrival, url, outcome, CASE WHEN outcome = 'registered' THEN 'research_' || lpad(idx::VARCHAR, 3, '0') || '_' || {_SLUG} || '.txt' END AS filename,
+SELECT task_id, arrival, url, outcome, CASE WHEN outcome = 'registered' THEN 'research_' || lpad(idx::VARCHAR, 3, '0') || '_' || CASE WHEN {_SLUG} = '' THEN 'page' ELSE {_SLUG} END || '.txt' END AS filename,
    CASE WHEN outcome = 'registered' THEN sha256(body) END AS sha256, CASE WHEN outcome = 'registered' THEN length(body) END AS code_points
 FROM (SELECT r.task_id, r.arrival, r.url, r.text AS body,
         CASE WHEN f.rank <= 12 THEN f.rank - 1 ELSE 12 + (SELECT count(*) FROM firsts p WHERE p.task_id = f.task_id AND p.url LIKE 'program://%' AND p.rank > 12 AND p.rank < f.rank) END AS idx,
         CASE WHEN (f.rank <= 12 OR r.url LIKE 'program://%') AND r.arrival = f.first THEN 'registered'
-             WHEN (f.rank <= 12 OR r.url LIKE 'program://%') AND r.arrival > f.first THEN 'reused'
+             WHEN (f.rank <= 12 OR r.url LIKE 'program://%') AND r.arrival > f.first AND (r.url NOT LIKE 'program://%' OR {_SOLID}) THEN 'reused'
              WHEN l.first IS NOT NULL AND r.arrival > l.first AND r.url NOT LIKE 'program://%' THEN 'refused_budget' ELSE 'refused_empty' END AS outcome
       FROM fetched r LEFT JOIN firsts f ON f.task_id = r.task_id AND f.url = r.url LEFT JOIN (SELECT task_id, first FROM firsts WHERE rank = 12) l ON l.task_id = r.task_id)""",
     ),
