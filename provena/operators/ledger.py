@@ -291,20 +291,48 @@ def reconcile_status(tasks: DataFrame, deliveries: DataFrame, commands: DataFram
     )
 
 
-def lineage(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """All ancestors of each root over (child, parent) edges, with the smallest depth.
-
-    Roots share most of their ancestry, so the closure is built once over the edges whose
-    child is itself somebody's parent, and roots are joined to it at the end: a root costs
-    one step and one join, not one join per level. Each round goes one step on from the
-    pairs that the last one found, and leaves out those known, so it ends at the last
-    ancestor, cycles or not.
+def lineage(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """All ancestors of each root over (child, parent) edges, with the smallest depth; without
+    ``roots`` those of every child.
+
+    Roots share most of their ancestry. So the closure is built over the edges whose child is
+    itself somebody's parent, each of those with its ancestors in one row, and a root's edges
+    are joined to it once: what moves is two rows per edge, not one per ancestor and level.
+    The closure is the same question over fewer edges, until they no longer shrink by half;
+    from there on it is built step by step.
     """
-    links = settle(edges.distinct(), "edges")
-    inner = links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-    upper = settle(inner, "upper-edges")
-    step = upper.select(F.col("child").alias("parent"), F.col("parent").alias("_next"))
-    closure = level = upper.select("child", "parent", F.lit(1).cast("bigint").alias("depth"))
+    child = F.col("child")
+    # Everything lies by child: one exchange per side, the joins below need no other.
+    links = edges.select("child", "parent").repartition(child).distinct()
+    parents = edges.select(F.col("parent").alias("child")).distinct().withColumn("upper", F.lit(True))
+    marked = links.join(parents, "child", "left").withColumn("upper", F.col("upper").isNotNull())
+    if roots is None:
+        marked = marked.withColumn("root", F.lit(True))
+    else:
+        named = roots.select(F.col(roots.columns[0]).alias("child")).distinct().withColumn("root", F.lit(True))
+        marked = marked.join(named, "child", "left").withColumn("root", F.col("root").isNotNull()).filter("root OR upper")
+    marked = settle(marked, "lineage-edges")
+    upper = marked.filter("upper").select("child", "parent")
+    before, after = marked.count(), upper.count()
+    first = marked.filter("root").select(child.alias("root"), "parent")
+    if after == 0:
+        return first.select("root", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("depth"))
+    closure = lineage(upper) if 2 * after <= before else _steps(upper)
+    above = closure.groupBy(F.col("root").alias("_node")).agg(
+        F.collect_list(F.struct("ancestor", (F.col("depth") + 1).alias("depth"))).alias("_above")
+    )
+    joined = first.join(above, F.col("parent") == F.col("_node"), "left").select("root", "parent", "_above").repartition("root")
+    own = F.array(F.struct(F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("depth")))
+    every = joined.select("root", F.inline(F.when(F.col("_above").isNull(), own).otherwise(F.concat(own, F.col("_above")))))
+    return every.groupBy("root", "ancestor").agg(F.min("depth").alias("depth"))
+
+
+def _steps(links: DataFrame) -> DataFrame:
+    """All ancestors of every child of distinct (child, parent) links. Each round goes one step
+    on from the pairs that the last one found, and leaves out those known, so it ends at the
+    last ancestor, cycles or not."""
+    step = links.select(F.col("child").alias("parent"), F.col("parent").alias("_next"))
+    closure = level = links.select("child", "parent", F.lit(1).cast("bigint").alias("depth"))
     depth = 1
     while not level.isEmpty():
         depth += 1
@@ -312,12 +340,7 @@ def lineage(edges: DataFrame, roots: DataFrame) -> DataFrame:
         new = onward.join(closure, ["child", "parent"], "left_anti")
         level = settle(new.withColumn("depth", F.lit(depth).cast("bigint")), "lineage-level")
         closure = closure.unionByName(level)
-    first = roots.distinct().join(links, F.col("node") == F.col("child")).select(F.col("node").alias("root"), F.col("parent").alias("ancestor"))
-    onward = first.join(closure, F.col("ancestor") == F.col("child")).select(
-        "root", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")
-    )
-    every = first.withColumn("depth", F.lit(1).cast("bigint")).unionByName(onward)
-    return every.groupBy("root", "ancestor").agg(F.min("depth").alias("depth"))
+    return closure.select(F.col("child").alias("root"), F.col("parent").alias("ancestor"), "depth")
 
 
 def event_label(code: Column) -> Column:

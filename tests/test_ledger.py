@@ -188,3 +188,28 @@ def test_lineage_over_diamonds(spark):
     roots = spark.createDataFrame([("r1",), ("r2",)], "node string")
     got = {(r.root, r.ancestor, r.depth) for r in ledger.lineage(edges, roots).collect()}
     assert got == {("r1", "a", 1), ("r1", "b", 1), ("r1", "c", 2), ("r1", "d", 3), ("r2", "c", 1), ("r2", "d", 2)}
+
+
+def test_lineage_moves_a_root_once_and_holds_cycles(spark, monkeypatch):
+    """Against a plain search, over graphs that thin out, chains and cycles. A graph that thins
+    out upwards is no longer walked level by level over all its edges."""
+    thin = [(f"l{i}", f"o{i // 2}") for i in range(40)] + [(f"l{i}", f"s{i % 3}") for i in range(40)]
+    thin += [(f"o{i}", f"c{i % 4}") for i in range(20)] + [(f"c{i}", f"s{i % 3}") for i in range(4)] + [("s0", "n"), ("s1", "n"), ("n", "r")]
+    chain = [(f"v{i}", f"v{i + 1}") for i in range(9)] + [("v3", "v7")]
+    cycle = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("x", "x"), ("y", "x"), ("y", None), ("y", "x")]
+    steps = []
+    plain = ledger._steps
+    monkeypatch.setattr(ledger, "_steps", lambda links: steps.append(links.count()) or plain(links))
+    for pairs, roots, walked in ((thin, [f"l{i}" for i in range(38)] + ["l1", "c2", "none"], []), (chain, ["v0", "v4"], [9]), (cycle, ["y", "b"], [7])):
+        edges = spark.createDataFrame(pairs, "child string, parent string")
+        want = set()
+        for root in set(roots):
+            depth, seen, level = 1, {}, {p for c, p in pairs if c == root}
+            while level:
+                seen.update({node: depth for node in level if node not in seen})
+                depth, level = depth + 1, {p for c, p in pairs if c in level} - set(seen)
+            want |= {(root, node, at) for node, at in seen.items()}
+        steps.clear()
+        got = [tuple(r) for r in ledger.lineage(edges, spark.createDataFrame([(r,) for r in roots], "node string")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert (not steps) if not walked else steps
