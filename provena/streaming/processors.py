@@ -4,7 +4,9 @@ A key's rows are kept in leaves: runs of rows in order of their number, a few hu
 in a map state by the smallest number a leaf may hold. Each leaf knows the fold's state before
 and after it. Rows that come later than rows of higher numbers go into their leaf, and the
 fold is taken up again there, as far as it comes out differently; decisions that change go out
-again with a higher revision. A task holds one leaf at a time, never all rows of a key.
+again with a higher revision. A task holds one leaf at a time, never all rows of a key. What
+costs is asking the store, so the leaf at hand is written when another one is needed, and a
+key that is new asks once and writes twice.
 """
 
 from __future__ import annotations
@@ -56,16 +58,31 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.leaves = handle.getMapState("leaves", "low bigint", "rows string, before string, after string, n int")
         self.base = handle.getValueState("base", "low bigint, state string, revision bigint")
+        self.hand, self.unwritten = None, False
 
-    def _leaf(self, low: int) -> list[list]:
-        """Rows as [number, payload, tag, decision]."""
-        return json.loads(self.leaves.getValue((low,))[0])
+    def _leaf(self, low: int) -> tuple[list[list], str | None, str | None]:
+        """Rows as [number, payload, tag, decision], and the state before and after them."""
+        if self.hand is None or self.hand[0] != low:
+            self._put_down()
+            rows, before, after, _ = self.leaves.getValue((low,))
+            self.hand = (low, json.loads(rows), before, after)
+        return self.hand[1:]
 
     def _store(self, low: int, rows: list[list], before: str | None, after: str | None) -> None:
-        self.leaves.updateValue((low,), (json.dumps(rows), before, after, len(rows)))
-
-    def _placed(self, frame: pd.DataFrame, lows: list[int], touched: set[int], floor: int) -> list[tuple[list, str]]:
-        """Put a frame's rows into their leaves. Those that no leaf takes come back with why."""
+        if self.hand is not None and self.hand[0] != low:
+            self._put_down()
+        self.hand, self.unwritten = (low, rows, before, after), True
+
+    def _put_down(self) -> None:
+        """Write the leaf at hand, if it changed, and let go of it."""
+        if self.unwritten:
+            low, rows, before, after = self.hand
+            self.leaves.updateValue((low,), (json.dumps(rows), before, after, len(rows)))
+        self.hand, self.unwritten = None, False
+
+    def _placed(self, frame: pd.DataFrame, lows: list[int], held: set[int], touched: set[int], floor: int) -> list[tuple[list, str]]:
+        """Put a frame's rows into their leaves. Those that no leaf takes come back with why.
+        ``held`` are the leaves that there are, the others of ``lows`` have no rows yet."""
         refused, new = [], {}
         for number, *payload in zip(frame[self.number], *(frame[c] for c in self.payload)):
             payload = [None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in payload]
@@ -78,7 +95,7 @@ class Ordered(StatefulProcessor):
             else:
                 new.setdefault(lows[bisect.bisect_right(lows, row[0]) - 1], []).append([*row, None])
         for low, rows in new.items():
-            own = self._leaf(low) if self.leaves.containsKey((low,)) else []
+            own = self._leaf(low)[0] if low in held else []
             known = {(r[0], r[2]) for r in own}
             for row in rows:
                 if (row[0], row[2]) not in known:
@@ -94,6 +111,7 @@ class Ordered(StatefulProcessor):
                 part, own = own[:cut], own[cut:]
                 self._store(at, part, None, None)
                 touched.add(at)
+                held.add(at)
                 if at not in lows:
                     bisect.insort(lows, at)
                 at = own[0][0] if own else at
@@ -102,13 +120,13 @@ class Ordered(StatefulProcessor):
     def _folded(self, key, lows: list[int], touched: set[int], state: str, revision: int) -> Iterator[pd.DataFrame]:
         at = lows.index(min(touched))
         if at:
-            state = self.leaves.getValue((lows[at - 1],))[2]
+            state = self._leaf(lows[at - 1])[2]
         while at < len(lows):
             low = lows[at]
-            rows, before, after, _ = self.leaves.getValue((low,))
+            rows, before, after = self._leaf(low)
             if low in touched or before != state:
                 touched.discard(low)
-                rows, now, out = json.loads(rows), json.loads(state), []
+                now, out = json.loads(state), []
                 for row in rows:
                     now, decision = self.decide(now, row)
                     if decision != row[3]:
@@ -124,20 +142,23 @@ class Ordered(StatefulProcessor):
             else:
                 # Nothing changes until the next leaf that has new rows.
                 at = lows.index(min(touched))
-                after = self.leaves.getValue((lows[at - 1],))[2]
+                after = self._leaf(lows[at - 1])[2]
             state = after
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        floor, state, revision = self.base.get() if self.base.exists() else (LOWEST, json.dumps(self.start), 0)
-        lows, touched = sorted(low for (low,) in self.leaves.keys()) or [floor], set()
+        base = self.base.get()
+        floor, state, revision = base or (LOWEST, json.dumps(self.start), 0)
+        held, touched = {low for (low,) in self.leaves.keys()} if base else set(), set()
+        lows = sorted(held) or [floor]
         for frame in rows:
-            refused = self._placed(frame, lows, touched, floor)
+            refused = self._placed(frame, lows, held, touched, floor)
             if refused:
                 yield pd.DataFrame([(*self.shown(key, row, [why]), row[2], revision) for row, why in refused], columns=self.columns)
         if touched:
             yield from self._folded(key, lows, touched, state, revision)
+        self._put_down()
         if self.keep is not None:
-            sizes = [self.leaves.getValue((low,))[3] for low in lows] if self.leaves.exists() else []
+            sizes = [self.leaves.getValue((low,))[3] for low in lows] if held else []
             while len(sizes) > 1 and sum(sizes[1:]) >= self.keep:
                 state, floor = self.leaves.getValue((lows[0],))[2], lows[1]
                 self.leaves.removeKey((lows[0],))
