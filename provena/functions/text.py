@@ -7,8 +7,10 @@ Spark; the regexp position functions count UTF-16 units and are not used here.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +18,38 @@ from pyspark.sql import types as T
 #: C0 controls other than tab, line feed and carriage return (fixed values).
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
+#: Bytes of texts that are Python strings at one time; a longer text is alone.
+SLICE_BYTES = 1 << 20
+
+
+def slices(values: pa.Array, limit: int | None = None) -> Iterator[pa.Array]:
+    """An array of texts in runs of at most ``limit`` bytes, or one text."""
+    limit = limit or SLICE_BYTES
+    start = size = 0
+    for i, length in enumerate(pc.binary_length(values).fill_null(0).to_pylist()):
+        if i > start and size + length > limit:
+            yield values.slice(start, i - start)
+            start, size = i, 0
+        size += length
+    yield values.slice(start)
+
+
+def composed(values: pa.Array) -> pa.Array:
+    """Texts in NFC, a few at a time; runs that are in NFC stay the bytes that came."""
+    # Arrow's own utf8_normalize leaves combining marks uncomposed.
+    done, changed = [], False
+    for part in slices(values):
+        texts = part.to_pylist()
+        if not all(v is None or unicodedata.is_normalized("NFC", v) for v in texts):
+            part = pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in texts], values.type)
+            changed = True
+        done.append(part)
+    return pa.concat_arrays(done) if changed else values
+
+
 @F.arrow_udf(T.StringType())
 def _utf8_nfc(values: pa.Array) -> pa.Array:
-    # Arrow's own utf8_normalize leaves combining marks uncomposed.
-    composed = [None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()]
-    return pa.array(composed, pa.string())
+    return composed(values)
 
 
 def nfc(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -165,3 +166,17 @@ def test_quotes_are_found_at_every_place(spark):
     }
     got = spans.locate(materials, passages).collect()
     assert {(r["passage_id"], r["artifact_id"], r["span_start"], r["span_end"]) for r in got} == want and len(got) == len(want)
+
+
+def test_composing_holds_few_texts_at_a_time(monkeypatch):
+    """Long batches are composed in runs of bytes, and what is composed already is not copied."""
+    values = pa.array(["é" * 9, None, "é" * 40, "", "plain", "å"] * 50)
+    want = [None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()]
+    sizes = [sum(len(v.encode()) for v in part.to_pylist() if v) for part in tx.slices(values, 100)]
+    assert len(sizes) > 50 and max(sizes) <= 100
+    monkeypatch.setattr(tx, "SLICE_BYTES", 100)
+    for part in (values, values.slice(7, 90), values.slice(0, 0), values.cast(pa.large_string())):
+        assert tx.composed(part).to_pylist() == [None if v is None else unicodedata.normalize("NFC", v) for v in part.to_pylist()]
+    assert tx.composed(values).to_pylist() == want
+    whole = pa.array(["été", None, "x"])
+    assert tx.composed(whole) is whole
