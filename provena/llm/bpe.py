@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -66,20 +65,37 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return flat[np.arange(total) + np.repeat(starts - before, lengths)]
 
 
-class _Pieces(dict):
-    """Splits a piece, with the blank before it, when it first comes. It knows the numbers of
-    the words and not their owner, so a finished chunk is freed at once."""
+def pieces_of(text: str) -> tuple[str, list[str], str] | None:
+    """What stands before the first single blank of a text, the pieces between such blanks, and
+    the end with its blank if it is one or ends with other white space. None if white space is
+    seen beside an outer blank; beside the others :func:`odd` finds it."""
+    head, *rest = text.split(" ")
+    if not rest:
+        return head, rest, ""
+    if head[-1:].isspace() or rest[-1][:1].isspace():
+        return None
+    if not rest[-1] or rest[-1][-1].isspace():
+        return head, rest, " " + rest.pop()
+    return head, rest, ""
+
+
+def odd(piece: str) -> bool:
+    """Whether more white space than one blank stands on a side of a piece."""
+    return not piece or piece[0].isspace() or piece[-1].isspace()
+
 
-    def __init__(self, find, numbers):
-        super().__init__()
-        self.find, self.numbers = find, numbers
+def split_all(find, pieces: list[str]) -> tuple[list[str], list[int]]:
+    """Pre-tokens of pieces that are not odd, each with its blank, and where each piece's begin,
+    with the end. The pieces are split as one text: a blank begins a piece and nothing else."""
+    found = find(" " + " ".join(pieces))
+    starts = [i for i, w in enumerate(found) if w[0] == " "]
+    if len(starts) != len(pieces):
+        raise ValueError("a pre-token reaches over a blank")
+    return found, [*starts, len(found)]
 
-    def split(self, text: str) -> bytes:
-        return array("I", map(self.numbers.__getitem__, self.find(text))).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self[piece] = self.split(" " + piece)
-        return found
+class _Pieces(dict):
+    """Numbers of the pre-tokens of a piece, with the blank before it."""
 
 
 class Words:
@@ -87,39 +103,49 @@ class Words:
 
     A text falls apart before every single blank between two other characters: no pre-token
     reaches over such a place, and a piece splits alone as it does in the text. So every
-    different piece is split once. Texts with other white space beside a blank are split whole.
+    different piece is split once, those that are new in a text together. Texts with other
+    white space beside a blank are split whole.
     """
 
     def __init__(self):
         import regex
 
         self.find = regex.compile(PATTERN).findall
-        self.odd = re.compile(r" \s|\s ").search
         self.numbers: dict[str, int] = defaultdict(itertools.count().__next__)
-        self.pieces = _Pieces(self.find, self.numbers)
+        self.pieces = _Pieces()
         self.seen: set[str] = set()
 
+    def _numbered(self, words: list[str]) -> bytes:
+        return array("I", map(self.numbers.__getitem__, words)).tobytes()
+
     def read(self, text: str) -> bytes:
         """Numbers of the text's pre-tokens, as unsigned 32-bit integers."""
-        if self.odd(text):
-            return self.pieces.split(text)
-        head, *rest = text.split(" ")
-        return self.pieces.split(head) + b"".join(map(self.pieces.__getitem__, rest))
+        parts = pieces_of(text)
+        if parts is None:
+            return self._numbered(self.find(text))
+        head, rest, tail = parts
+        pieces = self.pieces
+        new = [p for p in set(rest) if p not in pieces]
+        if any(map(odd, new)):
+            return self._numbered(self.find(text))
+        if new:
+            found, starts = split_all(self.find, new)
+            raw = self._numbered(found)
+            pieces.update(zip(new, [raw[4 * i : 4 * j] for i, j in itertools.pairwise(starts)]))
+        return b"".join([self._numbered(self.find(head)), *map(pieces.__getitem__, rest), self._numbered(self.find(tail))])
 
     def note(self, text: str) -> None:
-        """The same pre-tokens, only to know which there are: new pieces are split at once."""
-        if self.odd(text):
-            self.numbers.update(dict.fromkeys(self.find(text), 0))
-            return
-        head, *rest = text.split(" ")
-        new = set(rest) - self.seen
-        self.seen |= new
-        if "" in new:  # a blank at the end of a text
-            new.remove("")
-            self.numbers[" "] = 0
-        self.numbers.update(dict.fromkeys(self.find(head), 0))
-        if new:
-            self.numbers.update(dict.fromkeys(self.find(" " + " ".join(new)), 0))
+        """The same pre-tokens, only to know which there are."""
+        parts = pieces_of(text)
+        if parts is not None:
+            head, rest, tail = parts
+            new = set(rest) - self.seen
+            if not any(map(odd, new)):
+                self.seen |= new
+                found = itertools.chain(self.find(head), self.find(tail), self.find(" " + " ".join(new)) if new else ())
+                self.numbers.update(dict.fromkeys(found, 0))
+                return
+        self.numbers.update(dict.fromkeys(self.find(text), 0))
 
     def sorted(self, groups: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words by group, in a group by their bytes; where each group begins; and where a
@@ -204,7 +230,8 @@ def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
         coder = common.per_worker(("tiktoken", digest), lambda: tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(ranks), special_tokens={}))
         asked = [_words_list(w, n) for w, n in zip(group["words"], group["n"])]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(asked)))}
-        found = coder.encode_ordinary_batch([w.decode("utf-8") for w in distinct], num_threads=1)
+        # One by one: the library's batch makes a future of each word, which costs far more than the word.
+        found = [coder.encode_ordinary(w.decode("utf-8")) for w in distinct]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths

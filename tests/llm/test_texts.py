@@ -153,6 +153,30 @@ def test_finished_chunks_and_coders_are_freed_without_the_collector():
         gc.enable()
 
 
+def test_new_pieces_of_a_text_are_split_in_one_call(monkeypatch):
+    import regex
+
+    find, calls = regex.compile(bpe.PATTERN).findall, []
+
+    class Counted:
+        def findall(self, text):
+            calls.append(text)
+            return find(text)
+
+    monkeypatch.setattr(regex, "compile", lambda pattern: Counted())
+    rng = random.Random(3)
+    blanks = ["".join(rng.choice(" \n\ta b'1é\x1c\x85\u3000") for _ in range(rng.randrange(14))) for _ in range(5_000)]
+    words, noted = bpe.Words(), bpe.Words()
+    for text in [*TRICKY, *blanks, LONG]:
+        del calls[:]
+        numbers = np.frombuffer(words.read(text), np.uint32).tolist()
+        assert len(calls) <= 3
+        known = list(words.numbers)
+        assert [known[i] for i in numbers] == find(text)
+        noted.note(text)
+    assert set(noted.numbers) == set(words.numbers)
+
+
 def test_a_coder_forgets_when_full():
     coder, other = idindex.Coder(TOKENIZER, False, held=2000), idindex.Coder(TOKENIZER, False)
     for text in [*TRICKY, LONG[:50_000]]:
