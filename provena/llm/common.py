@@ -103,9 +103,12 @@ def per_worker(key: tuple, make: Callable):
 
 
 def give_back() -> None:
-    """Hand freed memory of this process back to the system, where its C library can."""
+    """Hand freed memory of this process back to the system, where its C library and Arrow can."""
     import ctypes
 
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena import session
@@ -128,6 +128,7 @@ def _profiles(docs: DataFrame, p: Params) -> DataFrame:
 
     def run(batches):
         held, n, known = [], 0, set()
+        common.give_back()
         for batch in batches:
             sets = shingle_sets(batch["text"], p.words)
             nodes = [node_of(s) if len(s) else None for s in sets]
@@ -140,7 +141,10 @@ def _profiles(docs: DataFrame, p: Params) -> DataFrame:
             if n > HELD:
                 yield counted(held, n)
                 held, n, known = [], 0, set()
+                common.give_back()
         yield counted(held, n)
+        held, known = [], set()
+        common.give_back()
 
     found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "kind int, doc_id string, node long, size int, token long, seen long")
     return found.withColumn("doc_id", common.as_id(F.col("doc_id")))
@@ -170,6 +174,13 @@ def boundary(sizes: dict[int, int], mean_list: float, p: Params) -> int:
     return best
 
 
+def key_count(size: Column, light: int, p: Params) -> Column:
+    """How many keys :func:`keys_of` gives for a set of a size."""
+    first = size - F.ceil(size * p.num / p.den) + 1
+    subsets = F.when((size > 1) & (size < light), F.least(first + 1, size) * (F.least(first + 1, size) - 1) / 2).otherwise(0)
+    return (subsets + F.when((size > 1) & (size * p.den >= light * p.num), first).otherwise(0)).cast("long")
+
+
 def keys_of(shingles: np.ndarray, order: tuple[np.ndarray, np.ndarray], light: int, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys under which a set meets others, how much of it lies from there on, and which keys
     are subsets of two."""
@@ -247,10 +258,13 @@ def _lists(docs: DataFrame, order, light: int, buckets: int, p: Params) -> DataF
                 if n > HELD:
                     yield packed(nodes, sizes, parts)
                     nodes, sizes, parts, n = [], [], [], 0
+                    common.give_back()
             if len(known) > 1_000_000:
                 known = set()
         if parts:
             yield packed(nodes, sizes, parts)
+        nodes, sizes, parts, known = [], [], [], set()
+        common.give_back()
 
     return docs.select("text").mapInPandas(run, "bucket int, n int, entries binary")
 
@@ -261,7 +275,7 @@ def _first_pairs(lists: DataFrame, p: Params) -> DataFrame:
 
     def run(group):
         parts = [_unpack(e, n) for e, n in zip(group["entries"], group["n"])]
-        e = {k: np.concatenate([x[k] for x in parts]) for k in _PLANES}
+        e = {k: np.concatenate([x.pop(k) for x in parts]) for k in _PLANES}
         by = np.lexsort((e["node"], e["pair"], e["key"]))
         e = {k: c[by] for k, c in e.items()}
         # Copies read by different tasks are one entry.
@@ -277,11 +291,14 @@ def _first_pairs(lists: DataFrame, p: Params) -> DataFrame:
         # of copies the one that was changed least, which most others are similar to.
         own = np.lexsort((e["node"], -(e["reach"] / e["size"]), number))
         pivot = own[starts][number]
+        del by, new, head, own, e["key"]
         a, b = e["node"][pivot], e["node"]
         small, large = np.minimum(e["size"][pivot], e["size"]).astype(np.int64), np.maximum(e["size"][pivot], e["size"]).astype(np.int64)
         need = -(-(small + large) * p.num // (p.num + p.den))
         ok = shared & (pivot != np.arange(len(number))) & (small * p.den >= large * p.num) & (np.minimum(e["reach"][pivot], e["reach"]) >= need)
         pairs = np.unique(np.stack([a[ok], b[ok]], 1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
+        del pivot, a, b, small, large, need, ok
+        common.give_back()
         return pd.DataFrame({
             "bucket": [int(group["bucket"].iloc[0])], "a": [pairs[:, 0]], "b": [pairs[:, 1]], "list": [number[shared].astype(np.int64)],
             "node": [e["node"][shared]], "size": [e["size"][shared].astype(np.int64)], "reach": [e["reach"][shared].astype(np.int64)], "pair": [e["pair"][shared].astype(np.int64)],
@@ -337,6 +354,8 @@ def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, p: Params) -
                             yield pd.DataFrame(rows, columns=["a", "part", "role", "b", "shingles"])
                             rows, held = [], 0
             yield pd.DataFrame(rows, columns=["a", "part", "role", "b", "shingles"])
+            del rows, found
+            common.give_back()
 
     def similar(batches):
         head, own = None, None
@@ -426,14 +445,14 @@ def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
     frequent = seen.orderBy(F.desc("seen"), "token").limit(p.ordered).toPandas()
     by = np.argsort(frequent["token"].to_numpy().astype(np.int64).view(np.uint64))
     order = frequent["token"].to_numpy().astype(np.int64).view(np.uint64)[by], frequent["seen"].to_numpy().astype(np.int64)[by]
-    first = F.col("size") - F.ceil(F.col("size") * p.num / p.den) + 1
-    totals = mine.agg(F.sum("size").alias("tokens"), F.sum(first).alias("first")).first()
+    totals = mine.agg(F.sum("size").alias("tokens")).first()
     sizes = {int(r["size"]): int(r["count"]) for r in mine.where("size between 2 and 700").groupBy("size").count().collect()}
     tokens = float(totals["tokens"] or 0)
     counts = order[1].astype(float)
     mean_list = ((counts**2).sum() + max(tokens - counts.sum(), 0)) / max(tokens, 1)
     light = boundary(sizes, mean_list, p)
-    buckets = max(16, int((totals["first"] or 0) / p.entries) + 1)
+    listed = mine.agg(F.sum(key_count(F.col("size"), light, p))).first()[0] or 0
+    buckets = max(16, int(listed / p.entries) + 1)
 
     owners = session.settle(mine.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies")), "set-owners")
     met = session.settle(_first_pairs(_lists(docs, order, light, buckets, p), p), "met-sets")

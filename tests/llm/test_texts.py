@@ -301,6 +301,18 @@ def test_jaccard_of_odd_rows_and_firsts(spark):
     assert jaccard.join(docs.limit(0)).count() == 0 and jaccard.first_of_each(docs.limit(0)).count() == 0
 
 
+def test_groups_of_lists_are_sized_by_all_their_entries(spark):
+    from pyspark.sql import functions as F
+
+    p = jaccard.Params()
+    sets = [np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64)) for n in range(1, 90)]
+    sizes = frame(spark, [(len(s),) for s in sets], "size long")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for light in (0, 4, 16, 64, 512):
+        counted = {r["size"]: r["n"] for r in sizes.select("size", jaccard.key_count(F.col("size"), light, p).alias("n")).collect()}
+        assert counted == {len(s): len(jaccard.keys_of(s, none, light, p)[0]) for s in sets}
+
+
 def test_hot_group_yields_few_pairs_and_all_links(spark):
     rng = random.Random(9)
     base = prose(rng, [f"w{i}" for i in range(500)], 80).split()
