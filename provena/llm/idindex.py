@@ -12,8 +12,9 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import operator
 import re
-from array import array
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from provena import session
 from provena.llm import common
-from provena.llm.bpe import PATTERN
+from provena.llm.bpe import PATTERN, odd, pieces_of, split_all
 
 _U = np.uint64
 
@@ -52,52 +53,102 @@ def _alphabet() -> dict[int, int]:
 
 
 class _Found(dict):
-    """Remembers what a function makes of a text, within so many bytes: once they are full,
+    """Remembers what a function makes of texts, within so many bytes: once they are full,
     what was asked for since is kept, and what was not asked for until they are full again goes."""
 
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.bytes, self.limit, self.older = make, 0, limit // 2, {}
 
-    def __missing__(self, key: str) -> bytes:
+    def all(self, keys: list[str], refused=None) -> list[bytes] | None:
+        """What is made of each of ``keys``; None if one that is not known is refused."""
+        found = list(map(self.get, keys))
+        if None in found:
+            lacking = {k for k, f in zip(keys, found) if f is None}
+            if not self._learn(lacking, refused):
+                return None
+            found = [self[k] if f is None else f for k, f in zip(keys, found)]
         if self.bytes > self.limit:
             self.older = dict(self)
             self.clear()
             self.bytes = 0
-        found = self[key] = self.older.get(key) or self.make(key)
-        # A string and bytes have some 90 bytes besides what they hold, a place in a dict some 70.
-        self.bytes += 160 + len(found) + len(key) * (1 if key.isascii() else 4)
         return found
 
+    def _learn(self, keys: set[str], refused) -> bool:
+        made = {k: self.older[k] for k in keys if k in self.older} if self.older else {}
+        fresh = [k for k in keys if k not in made]
+        if refused and any(map(refused, fresh)):
+            return False
+        made.update(zip(fresh, self.make(fresh) if fresh else ()))
+        self.update(made)
+        # A place in a dict has some 70 bytes.
+        self.bytes += 70 * len(made) + sum(map(sys.getsizeof, made)) + sum(map(sys.getsizeof, made.values()))
+        return True
+
+
+#: Words whose bytes are merged in one call of the library; pieces or words that a text looks up at once.
+JOINED, RUN = 100, 100_000
+
+
+def _merger(content: str, parsed: dict, kind: str):
+    """A function of words that gives their ids in a row, raw, and where each word's begin, with the end.
+
+    The library's model merges byte letters. Words are given to it together, with the byte 255
+    between them, which UTF-8 lacks: where no token but its own holds that byte, nothing is
+    merged over it. A vocabulary or model of another kind has its words one by one."""
+    from tokenizers import Tokenizer
+
+    tokenize, alphabet, model, gap = Tokenizer.from_str(content).model.tokenize, _alphabet(), parsed["model"], chr(255)
+    number, letters, vocab = operator.attrgetter("id"), np.array([alphabet[b] for b in range(256)], "<u2"), model.get("vocab") or {}
+    alone = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback", "unk_token"))
+    joined = 1 if alone or model.get("type") != "BPE" or [t for t in vocab if gap in t] != [gap] else JOINED
+
+    def merged(words: list[str]) -> tuple[bytes, list[int]]:
+        ids, ends = [], []
+        for i in range(0, len(words), joined):
+            raw = b"\xff".join([w.encode("utf-8", "replace") for w in words[i : i + joined]])
+            ids += map(number, tokenize(letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")))
+            if joined == 1:
+                ends.append(len(ids))
+            else:
+                ids.append(vocab[gap])
+        flat = np.array(ids, np.int64)
+        if joined > 1:
+            at = np.flatnonzero(flat == vocab[gap])
+            if len(at) != len(words):
+                raise ValueError("words were merged with each other")
+            flat, ends = flat[flat != vocab[gap]], (at - np.arange(len(at))).tolist()
+        return flat.astype(kind).tobytes(), [0, *ends]
+
+    return merged
+
 
 class Coder:
-    """Encodes whole texts with a tokenizers file, each different word once as long as the
-    memory holds them. A text falls apart before every single blank between two words, and
-    such a piece by the pattern; the library's model merges each word. With ``added`` a text is
-    first split at the file's added tokens. Nothing here refers to itself: a coder that is let
-    go is freed at once."""
+    """Encodes whole texts with a tokenizers file, each different piece once as long as the
+    memory holds it. A text falls apart before every single blank between two words, and
+    such a piece by the pattern; the library's model merges each word. What is new in a text
+    is split and merged together. With ``added`` a text is first split at the file's added
+    tokens. Nothing here refers to itself: a coder that is let go is freed at once."""
 
     def __init__(self, content: str, wide: bool, added: bool = True, held: int = Params.held):
         import regex
-        from tokenizers import Tokenizer
 
-        tokenize, find, alphabet, kind = Tokenizer.from_str(content).model.tokenize, regex.compile(PATTERN).findall, _alphabet(), "I" if wide else "H"
+        find, kind, parsed = regex.compile(PATTERN).findall, "<u4" if wide else "<u2", json.loads(content)
+        merged, width = _merger(content, parsed, kind), np.dtype(kind).itemsize
 
-        def word(text: str) -> bytes:
-            raw = text.encode("utf-8", "replace").decode("latin-1").translate(alphabet)
-            return array(kind, [t.id for t in tokenize(raw)]).tobytes()
+        def words(new: list[str]) -> list[bytes]:
+            raw, begins = merged(new)
+            return [raw[width * i : width * j] for i, j in itertools.pairwise(begins)]
 
-        self.odd = re.compile(r" \s|\s ").search
-        words = _Found(word, held // 2)
+        def pieces(new: list[str]) -> list[bytes]:
+            found, starts = split_all(find, new)
+            raw, begins = merged(found)
+            return [raw[width * begins[i] : width * begins[j]] for i, j in itertools.pairwise(starts)]
 
-        def split(text: str) -> bytes:
-            return b"".join(map(words.__getitem__, find(text)))
-
-        self.words, self.split = words, split
-        self.pieces = _Found(lambda piece: split(" " + piece), held // 2)
+        self.find, self.words, self.pieces = find, _Found(words, held // 4), _Found(pieces, held - held // 4)
         # Of several at one place the longest counts.
-        tokens = sorted(json.loads(content).get("added_tokens") or [] if added else [], key=lambda t: -len(t["content"]))
-        self.own = [array(kind, [t["id"]]).tobytes() for t in tokens]
+        tokens = sorted(parsed.get("added_tokens") or [] if added else [], key=lambda t: -len(t["content"]))
+        self.own = [np.array([t["id"]], kind).tobytes() for t in tokens]
         self.added = re.compile("|".join(self._mark(t) for t in tokens)).finditer if tokens else None
 
     @staticmethod
@@ -116,13 +167,24 @@ class Coder:
             at = found.end()
         return b"".join([*out, self._plain(text[at:])])
 
+    def _whole(self, text: str) -> bytes:
+        words = self.find(text)
+        return b"".join([f for i in range(0, len(words), RUN) for f in self.words.all(words[i : i + RUN])])
+
     def _plain(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.odd(text):
-            return self.split(text)
-        head, *rest = text.split(" ")
-        return self.split(head) + b"".join(map(self.pieces.__getitem__, rest))
+        parts = pieces_of(text)
+        if parts is None:
+            return self._whole(text)
+        head, rest, tail = parts
+        out = [self._whole(head)]
+        for i in range(0, len(rest), RUN):
+            found = self.pieces.all(rest[i : i + RUN], odd)
+            if found is None:
+                return self._whole(text)
+            out += found
+        return b"".join([*out, self._whole(tail)])
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, p: Params = Params()) -> None:

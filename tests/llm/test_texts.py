@@ -177,6 +177,27 @@ def test_new_pieces_of_a_text_are_split_in_one_call(monkeypatch):
     assert set(noted.numbers) == set(words.numbers)
 
 
+def test_new_words_of_a_text_are_merged_together():
+    import json
+
+    from tokenizers import Tokenizer
+
+    library, parsed, words = Tokenizer.from_str(TOKENIZER), json.loads(TOKENIZER), [f"word{i}é" for i in range(1_000)]
+    alone = {**parsed, "model": {**parsed["model"], "ignore_merges": True}}
+    for model, content in ((parsed, TOKENIZER), (alone, json.dumps(alone))):
+        ids, begins = idindex._merger(content, model, "<u2")(words)
+        ids = np.frombuffer(ids, "<u2").tolist()
+        want = [Tokenizer.from_str(content).encode(w, add_special_tokens=False).ids for w in words[:3]]
+        assert [ids[i:j] for i, j in zip(begins[:3], begins[1:4])] == want and begins[-1] == len(ids)
+    coder, asked = idindex.Coder(TOKENIZER, False), []
+    make = coder.pieces.make
+    coder.pieces.make = lambda new: asked.append(len(new)) or make(new)
+    text = "a " + " ".join(words)
+    for _ in range(2):
+        assert np.frombuffer(coder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked == [1_000]
+
+
 def test_a_coder_forgets_when_full():
     coder, other = idindex.Coder(TOKENIZER, False, held=2000), idindex.Coder(TOKENIZER, False)
     for text in [*TRICKY, LONG[:50_000]]:
