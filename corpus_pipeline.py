@@ -43,7 +43,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as ids, with the digests of the ids and of what they decode to."""
     common.prepare(spark)
     ranks = common.resource(common.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
-    both = bpe.decode(bpe.encode(docs, ranks), ranks)
+    both = bpe.encode(docs, ranks, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

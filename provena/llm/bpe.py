@@ -4,7 +4,8 @@ Documents are read in chunks of some megabytes. A chunk is split into pre-tokens
 different words go to groups by a hash of the word, where every word of the corpus meets its
 copies from all chunks and is encoded once; the ids go back to the chunks that asked, which
 put them together by position. What travels is packed: the words of a chunk in sorted order,
-and the positions as numbers of words. Decoding joins ids to the table of token bytes.
+and the positions as numbers of words. Decoding joins ids to the table of token bytes, in the
+process that put them together where both are wanted.
 """
 
 from __future__ import annotations
@@ -38,6 +39,26 @@ def ranks_of(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
 
+class TokenBytes:
+    """The bytes that ids of a vocabulary stand for. The table has one row per id, a size fixed
+    by the rank file; it travels to every task and ids are looked up in it."""
+
+    def __init__(self, ranks: bytes):
+        pairs = sorted((rank, token) for token, rank in ranks_of(ranks).items())
+        self.lengths = np.zeros(pairs[-1][0] + 1, np.int64)
+        for rank, token in pairs:
+            self.lengths[rank] = len(token)
+        self.flat, self.starts = np.frombuffer(b"".join(token for _, token in pairs), np.uint8), np.cumsum(self.lengths) - self.lengths
+
+    def of(self, blob: bytes) -> bytes:
+        """The bytes of ids that stand as little-endian unsigned 32-bit integers; an id that
+        the vocabulary lacks is an error."""
+        ids = np.frombuffer(blob, "<u4").astype(np.int64)
+        if len(ids) and (ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise ValueError("an id that the vocabulary lacks")
+        return _gathered(self.flat, self.starts[ids], self.lengths[ids]).tobytes()
+
+
 def _squeeze(numbers: np.ndarray) -> bytes:
     """Non-negative numbers below 2**32, by byte plane."""
     return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
@@ -45,7 +66,7 @@ def _squeeze(numbers: np.ndarray) -> bytes:
 
 def _unsqueeze(blob: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
 def _words_blob(words: list[bytes]) -> bytes:
@@ -213,8 +234,10 @@ def _holders(docs: DataFrame, groups: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "chunk long, ids array<long>, known array<boolean>, lengths array<long>, slots binary, order binary")
 
 
-def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text.
+def encode(docs: DataFrame, ranks: bytes, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text; with
+    ``decoded`` also that column of :func:`decode`, made where a chunk's ids are put together.
+    That takes one Python worker a task where the two calls take two, and ids travel once.
 
     ``docs`` has doc_id and text; other columns are not read. ``ranks`` is the content of a
     rank file. Null texts count as empty and have no ids; every row gives a row, repeated
@@ -243,58 +266,47 @@ def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
         common.give_back()
         return pd.DataFrame(rows, columns=["chunk", "part", "n", "lengths", "ids"])
 
+    back = TokenBytes(ranks) if decoded else None
+    columns = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
     known = _asked(docs, groups).groupBy("part").applyInPandas(encoded, "chunk long, part int, n int, lengths binary, ids binary")
     holders = _holders(docs, groups)
 
     def assembled(holder, answers):
+        common.give_back()
         if len(holder) != 1:
             raise ValueError("the documents were read in other chunks the second time")
         row = holder.iloc[0]
-        slots = _unsqueeze(row["slots"])
         answers = answers.sort_values("part")
-        none = [np.zeros(0, np.int64)]
-        lengths = np.concatenate([*map(_unsqueeze, answers["lengths"]), *none])
-        flat = np.concatenate([*map(_unsqueeze, answers["ids"]), *none]).astype("<u4")
+        none = [np.zeros(0, np.uint32)]
+        lengths = np.concatenate([*map(_unsqueeze, answers["lengths"]), *none]).astype(np.int64)
+        flat = np.concatenate([*map(_unsqueeze, answers["ids"]), *none])
         starts = np.cumsum(lengths) - lengths
         order = _unsqueeze(row["order"])
         if len(order) != len(lengths):
             raise ValueError("the documents were read in other chunks the second time")
-        at = order[slots] if len(slots) else slots
+        slots = _unsqueeze(row["slots"])
         ends = np.cumsum(np.asarray(row["lengths"], np.int64))
-        out, sizes, begin = [], [], 0
+        ids, begin = [], 0
         for end in ends.tolist():
-            mine = at[begin:end]
-            ids = _gathered(flat, starts[mine], lengths[mine])
-            out.append(ids.tobytes())
-            sizes.append(len(ids))
+            mine = order[slots[begin:end]]
+            ids.append(_gathered(flat, starts[mine], lengths[mine]).tobytes())
             begin = end
         doc_id = pd.array([i if k else None for i, k in zip(row["ids"], row["known"])], "Int64")
-        return pd.DataFrame({"doc_id": doc_id, "n_tokens": sizes, "ids": out})
+        out = {"doc_id": doc_id, "n_tokens": [len(i) // 4 for i in ids], "ids": ids}
+        return pd.DataFrame(out | {"decoded": list(map(back.of, ids))} if back else out, columns=columns)
 
-    return holders.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(assembled, "doc_id long, n_tokens long, ids binary")
+    kinds = dict(zip(columns, ["long", "long", "binary", "binary"]))
+    return holders.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(assembled, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
-    """``encoded`` with the column ``decoded``: the bytes that its ids stand for.
-
-    The token-byte table has one row per id of the vocabulary, a size fixed by its file; it
-    travels to every task and ids are looked up in it. An id that it lacks fails the job.
-    """
-    pairs = sorted((rank, token) for token, rank in ranks_of(ranks).items())
-    lengths = np.zeros(pairs[-1][0] + 1, np.int64)
-    for rank, token in pairs:
-        lengths[rank] = len(token)
-    flat, starts = np.frombuffer(b"".join(token for _, token in pairs), np.uint8), np.cumsum(lengths) - lengths
+    """``encoded`` with the column ``decoded``: the bytes that its ids stand for. An id that the
+    vocabulary lacks fails the job."""
+    back = TokenBytes(ranks)
 
     @F.pandas_udf("binary")
     def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for blob in batch:
-                ids = np.frombuffer(blob, "<u4").astype(np.int64)
-                if len(ids) and not lengths[ids].all():
-                    raise ValueError("an id that the vocabulary lacks")
-                out.append(_gathered(flat, starts[ids], lengths[ids]).tobytes())
-            yield pd.Series(out, dtype=object)
+            yield pd.Series(list(map(back.of, batch)), dtype=object)
 
     return encoded.withColumn("decoded", joined(F.col("ids")))

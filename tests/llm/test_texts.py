@@ -12,6 +12,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from provena.llm import bpe, common, decontamination, idindex, jaccard, licenses
 from tests.llm.cases import LONG, clashing, frame, odd_rows, prose
 
@@ -45,6 +46,22 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert bpe.encode(docs.limit(0), RANKS).count() == 0
 
 
+def test_ids_are_decoded_where_they_are_put_together(spark):
+    from provena.llm.queries import op5
+
+    rows, docs = odd_docs(spark)
+    docs = docs.repartition(3)
+    both, of = bpe.encode(docs, RANKS, decoded=True), lambda df: sorted(map(repr, df.collect()))
+    assert of(both) == of(bpe.decode(bpe.encode(docs, RANKS), RANKS))
+    assert bpe.encode(docs.limit(0), RANKS, decoded=True).count() == 0
+    # One Python worker a task: no second Python step stands in the stage that puts ids together.
+    for df in (both, op5(spark, "/root/testdata/sf0.001"), corpus_pipeline.encoded(spark, docs, "")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInPandas" in plan and "EvalPython" not in plan
+    with pytest.raises(ValueError, match="vocabulary lacks"):
+        bpe.TokenBytes(RANKS).of(np.array([1, 1 << 20], "<u4").tobytes())
+
+
 def test_id_shards_read_back_by_key(spark, tmp_path):
     from tokenizers import Tokenizer
 
