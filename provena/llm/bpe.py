@@ -11,7 +11,6 @@ process that put them together where both are wanted.
 from __future__ import annotations
 
 import base64
-import hashlib
 import itertools
 import zlib
 from array import array
@@ -245,16 +244,19 @@ def encode(docs: DataFrame, ranks: bytes, decoded: bool = False) -> DataFrame:
     times, as a stored table does; where it does not, the job fails.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups, digest = max(16, int(size) // GROUP + 1), hashlib.sha256(ranks).hexdigest()
+    groups = max(16, int(size) // GROUP + 1)
+
+    coders = []  # Made once a task and gone with it: later steps have no use for its 20 MB.
 
     def encoded(group):
         import tiktoken
 
-        coder = common.per_worker(("tiktoken", digest), lambda: tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(ranks), special_tokens={}))
+        if not coders:
+            coders.append(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(ranks), special_tokens={}))
         asked = [_words_list(w, n) for w, n in zip(group["words"], group["n"])]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(asked)))}
         # One by one: the library's batch makes a future of each word, which costs far more than the word.
-        found = [coder.encode_ordinary(w.decode("utf-8")) for w in distinct]
+        found = [coders[0].encode_ordinary(w.decode("utf-8")) for w in distinct]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
@@ -291,6 +293,8 @@ def encode(docs: DataFrame, ranks: bytes, decoded: bool = False) -> DataFrame:
             mine = order[slots[begin:end]]
             ids.append(_gathered(flat, starts[mine], lengths[mine]).tobytes())
             begin = end
+        del lengths, flat, starts, order, slots, answers
+        common.give_back()
         doc_id = pd.array([i if k else None for i, k in zip(row["ids"], row["known"])], "Int64")
         out = {"doc_id": doc_id, "n_tokens": [len(i) // 4 for i in ids], "ids": ids}
         return pd.DataFrame(out | {"decoded": list(map(back.of, ids))} if back else out, columns=columns)

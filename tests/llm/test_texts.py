@@ -62,6 +62,21 @@ def test_ids_are_decoded_where_they_are_put_together(spark):
         bpe.TokenBytes(RANKS).of(np.array([1, 1 << 20], "<u4").tobytes())
 
 
+def test_workers_keep_no_coder_of_words(spark):
+    def kept(batches):
+        import gc
+        import time
+
+        for batch in batches:
+            time.sleep(0.5)  # So that every idle worker gets a task.
+            gc.collect()
+            batch["id"] = sum(type(o).__module__.startswith("tiktoken") for o in gc.get_objects() if type(o).__name__ == "Encoding")
+            yield batch
+
+    bpe.encode(odd_docs(spark)[1].repartition(8), RANKS).collect()
+    assert {r["id"] for r in spark.range(0, 16, 1, 16).mapInPandas(kept, "id long").collect()} == {0}
+
+
 def test_id_shards_read_back_by_key(spark, tmp_path):
     from tokenizers import Tokenizer
 
