@@ -371,7 +371,7 @@ def _verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, p: Params) -
                 keep.append(both * p.den >= p.num * (len(own) + len(s) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    own = docs.select(F.col("doc_id").alias("owner"), "text").join(common.sized(wanted), "owner").select("node", "roles", "text")
+    own = docs.select(F.col("doc_id").alias("owner"), "text").join(common.sized(wanted, TEXTS), "owner").select("node", "roles", "text")
     sent = own.mapInPandas(sets, "a long, part int, role int, b long, shingles binary")
     met = sent.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
     return session.settle(met.mapInPandas(similar, "a long, b long").distinct(), "similar")
@@ -424,6 +424,13 @@ def _across(split: DataFrame, light: int, p: Params) -> DataFrame:
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
+#: A broadcast lies in the driver as collected rows, as a hash table of twice their bytes and in
+#: blocks. Joins of this operator are many and close together, so what one run of them leaves
+#: is still there when the next ones come: only sides up to SIDE bytes are broadcast. TEXTS is
+#: how many rows at most go to where texts are read; beyond that texts are shuffled.
+SIDE, TEXTS = "4m", 250_000
+
+
 def _forest(comps: DataFrame) -> DataFrame:
     return comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
 
@@ -436,8 +443,13 @@ def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
     doc_id that links lead to. Texts without a word, null and empty ones among them, link
     with nothing and have component_id = doc_id. Rows of one id are documents of their
     own. Rows without an id belong to documents of the same set, and else to none: their
-    component_id is then null.
+    component_id is then null. The rows are written before they are returned.
     """
+    with session.setting(docs.sparkSession, "spark.sql.adaptive.autoBroadcastJoinThreshold", SIDE):
+        return session.settle(_joined(docs, p), "components")
+
+
+def _joined(docs: DataFrame, p: Params) -> DataFrame:
     profiles = session.settle(_profiles(docs, p), "set-profiles")
     mine = profiles.where("kind = 0")
     # Light and heavy, the order, and the number of groups: all from counts over every text.
@@ -496,12 +508,12 @@ def first_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     several rows, one row of it stays in each component that it is the first of; rows
     without an id stay only where no row of their set has one, and then once per set.
     """
-    rows = session.settle(join(docs, p), "components")
+    rows = join(docs, p)
     again = session.settle(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "repeated-ids")
     own, node, comp, key = common.fresh(docs, "own_id", "own_node", "own_first", "own_component")
     gone = rows.where("node is not null and doc_id <> component_id").select("doc_id").unionByName(again.where("doc_id is not null")).distinct()
     gone = session.settle(gone.withColumnRenamed("doc_id", own), "copies")
-    kept = docs.where(F.col("doc_id").isNotNull()).join(common.sized(gone), F.col("doc_id") == F.col(own), "left_anti")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(common.sized(gone, TEXTS), F.col("doc_id") == F.col(own), "left_anti")
     if again.isEmpty():
         return kept
 
@@ -510,7 +522,7 @@ def first_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
         return pd.Series([node_of(s) if len(s) else None for s in shingle_sets(texts, p.words)], dtype="Int64")
 
     # Rows whose id does not name them: their set does.
-    several = docs.join(common.sized(again.withColumnRenamed("doc_id", own)), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    several = docs.join(common.sized(again.withColumnRenamed("doc_id", own), TEXTS), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
     several = several.withColumn(node, node_of_text.asNondeterministic()(F.col("text")))
     known = rows.where("node is not null").select(F.col("node").alias(own), F.col("component_id").alias(comp), F.col("comp").alias(key)).distinct()
     placed = several.where(F.col(node).isNotNull()).join(known, F.col(node) == F.col(own)).where(F.col("doc_id").eqNullSafe(F.col(comp)))

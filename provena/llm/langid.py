@@ -129,6 +129,13 @@ def fit(docs: DataFrame, parts: int = 4, held: int = 2, p: Params = Params()) ->
     Texts without a letter and rows without lang or id teach nothing; without any other
     row the model knows no language and answers ``und`` for every text.
     """
+    model = _fitted(docs, parts, held, p)
+    # The driver goes on without the sample and what the descent took.
+    common.give_back()
+    return model
+
+
+def _fitted(docs: DataFrame, parts: int, held: int, p: Params) -> Model:
     learn = docs.select("doc_id", "text", "lang").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (common.fold(F.col("doc_id"), parts) != held)
     )

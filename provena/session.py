@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Another value of a setting for what runs inside, and the former one after it."""
+    former = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if former is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, former)
+
+
 def build(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "provena") -> SparkSession:
     """A local session, for tests and the bench; a cluster brings its own."""
     builder = (

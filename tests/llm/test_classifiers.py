@@ -67,6 +67,13 @@ def test_language_is_learnt_and_letterless_texts_are_unknown(spark):
     assert {(r["p"]["lang"], r["p"]["score"], r["p"]["rejected"]) for r in strange} == {("und", 0.0, True)}
 
 
+def test_language_hands_the_memory_of_its_sample_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    docs = frame(spark, [(i, f"some words {i}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.fit(docs).languages == ["en"] and calls == [1]
+
+
 def test_quality_is_learnt_and_calibrated(spark):
     rng = random.Random(4)
     rows, labels = [], []

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from provena import session
 from provena.llm import bpe, common, decontamination, idindex, jaccard, licenses
 from tests.llm.cases import LONG, clashing, frame, odd_rows, prose
 
@@ -379,6 +380,24 @@ def test_hot_group_yields_few_pairs_and_all_links(spark):
     assert got == {i: c for (i, _), (_, c) in zip(rows, plain_components(rows))}
 
 
+def test_near_copies_broadcast_small_sides_only(spark, monkeypatch):
+    key = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    seen, former, settle = [], spark.conf.get(key), session.settle
+    monkeypatch.setattr(session, "settle", lambda df, name: (seen.append(df.sparkSession.conf.get(key)), settle(df, name))[1])
+    rows = corpus(4)
+    docs, want = frame(spark, rows).repartition(5), {i: c for (i, _), (_, c) in zip(rows, plain_components(rows))}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()} == want
+    assert len(seen) > 5 and set(seen) == {"4m"} and spark.conf.get(key) == former
+    # The result does not hang on what is broadcast.
+    monkeypatch.setattr(jaccard, "SIDE", "-1")
+    monkeypatch.setattr(jaccard, "TEXTS", 0)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()} == want
+    assert sorted(r["doc_id"] for r in jaccard.first_of_each(docs).collect()) == sorted(i for i, c in want.items() if i == c)
+    with pytest.raises(ZeroDivisionError), session.setting(spark, key, "1m"):
+        raise ZeroDivisionError
+    assert spark.conf.get(key) == former
+
+
 def test_digests_are_those_of_the_contract(spark):
     rows = [(1, "Zwei Wörter"), (2, None)]
     ids = bpe.encode(frame(spark, rows), RANKS).collect()
